@@ -1,9 +1,13 @@
 """The queries of the text operators by name, and SQL for those that SQL can express."""
 
-from stockwright.llm import quality, urls
+from stockwright.llm import decontaminate, pieces, quality, secrets, tokens, urls
 
 QUERIES = {
     "op4_url_filters": urls.op4_url_filters,
     "op5_quality_rules": quality.op5_quality_rules,
+    "op6_sentencepiece": pieces.op6_sentencepiece,
+    "op7_token_counts": tokens.op7_token_counts,
+    "op8_decontamination": decontaminate.op8_decontamination,
+    "op9_secret_scans": secrets.op9_secret_scans,
 }
 ORACLE_SQL: dict[str, str] = {}
