@@ -1,8 +1,10 @@
 """The queries of the text operators by name, and SQL for those that SQL can express."""
 
-from stockwright.llm import decontaminate, pieces, quality, secrets, tokens, urls
+from stockwright.llm import decontaminate, pieces, quality, secrets, sharding, simhash, tokens, urls
 
 QUERIES = {
+    "op1_simhash_dedup": simhash.op1_simhash_dedup,
+    "op3_sharding": sharding.op3_sharding,
     "op4_url_filters": urls.op4_url_filters,
     "op5_quality_rules": quality.op5_quality_rules,
     "op6_sentencepiece": pieces.op6_sentencepiece,
