@@ -1,10 +1,11 @@
 """The queries of the text operators by name, and SQL for those that SQL can express."""
 
-from stockwright.llm import decontaminate, pieces, quality, secrets, sharding, simhash, substrings, tokens, urls
+from stockwright.llm import decontaminate, pieces, quality, secrets, sharding, simhash, substrings, suffixes, tokens, urls
 
 QUERIES = {
     "op1_simhash_dedup": simhash.op1_simhash_dedup,
     "op2_substring_dedup": substrings.op2_substring_dedup,
+    "op10_suffix_array_dedup": suffixes.op10_suffix_array_dedup,
     "op3_sharding": sharding.op3_sharding,
     "op4_url_filters": urls.op4_url_filters,
     "op5_quality_rules": quality.op5_quality_rules,
