@@ -67,8 +67,8 @@ def keyset_page(df: DataFrame, keys: Sequence[str], limit: int, after: Sequence
     The predicate is a plain range over the first key with the rest as tie-break, which the files' statistics can prune.
     """
     if after is not None:
-        later = F.struct(*keys) > F.struct(*[F.lit(v) for v in after])
-        df = df.where((F.col(keys[0]) >= F.lit(after[0])) & later)
+        values = [F.lit(v).cast(df.schema[k].dataType).alias(k) for k, v in zip(keys, after, strict=True)]
+        df = df.where((F.col(keys[0]) >= values[0]) & (F.struct(*keys) > F.struct(*values)))
     return df.orderBy(*keys).limit(limit)
 
 

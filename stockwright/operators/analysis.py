@@ -42,7 +42,12 @@ def classify(items: DataFrame, keywords: DataFrame, key: str, name: str, text: s
 
     def runs(c: str) -> Column:
         w = words(c)
-        made = [F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i, n=n: F.array_join(F.slice(w, i + 1, n), " "))).otherwise(F.array().cast("array<string>")) for n in spans]
+
+        def of(n: int) -> Column:
+            made = F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.array_join(F.slice(w, i + 1, n), " "))
+            return F.when(F.size(w) >= n, made).otherwise(F.array().cast("array<string>"))
+
+        made = [of(n) for n in spans]
         return F.array_distinct(F.concat(*made) if len(made) > 1 else made[0]) if made else F.array().cast("array<string>")
 
     found = items.select(key, F.explode(F.array(F.struct(F.lit(2).alias("weight"), runs(name).alias("r")), F.struct(F.lit(1).alias("weight"), runs(text).alias("r")))).alias("x"))
