@@ -1,6 +1,9 @@
 """The queries of the text operators by name, and SQL for those that SQL can express."""
 
 from stockwright.llm import decontaminate, pieces, quality, secrets, sharding, simhash, substrings, suffixes, tokens, urls
+from stockwright.llm.oracles import ORACLE_SQL
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
 
 QUERIES = {
     "op1_simhash_dedup": simhash.op1_simhash_dedup,
@@ -14,4 +17,3 @@ QUERIES = {
     "op8_decontamination": decontaminate.op8_decontamination,
     "op9_secret_scans": secrets.op9_secret_scans,
 }
-ORACLE_SQL: dict[str, str] = {}
