@@ -99,7 +99,9 @@ def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def clean_documents(docs: DataFrame, text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
     """The documents that are kept, with all their columns, without the lines that fail; chars_col follows the text."""
-    kept = judged(docs, text_col).where("kept")
+    # a filter that the optimizer may move below the measures would repeat them inside itself; one on a value that is bound
+    # to the running task stays where it is
+    kept = judged(docs, text_col).withColumn("stays", F.col("kept") & (F.spark_partition_id() >= 0)).where("stays")
     rest = F.concat_ws("\n", F.filter(F.split("text", "\n"), lambda x: (F.length(F.btrim(x, F.lit(WS))) == 0) | ~line_fails(x)))
     kept = kept.select("row", F.when(F.col("lost") > 0, rest).otherwise(F.col("text")).alias("text"))
     new = {text_col: F.col("text")} | ({chars_col: F.length("text").cast(docs.schema[chars_col].dataType)} if chars_col in docs.columns else {})
