@@ -141,8 +141,11 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(row, did, th, text): did orders documents, null ids last; (did, th) tells rows apart, but for equal ones."""
-    return docs.select(F.struct("*").alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("did"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
+    """(row, did, th, text): did orders documents, null ids last; (did, th) tells rows apart, but for equal ones.
+
+    ``row`` packs all columns but the text, which would else be shuffled twice.
+    """
+    return docs.select(F.struct(*[F.col(c) for c in docs.columns if c != text_col]).alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("did"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
 
 
 def repeated_spans(rows: DataFrame, window: int = WINDOW, first: int = FIRST) -> DataFrame:
@@ -167,7 +170,7 @@ def repeated_spans(rows: DataFrame, window: int = WINDOW, first: int = FIRST) ->
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW, first: int = FIRST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row, n_words, n_removed, kept): ``row`` packs all columns of docs, kept are the words that stay, joined by a space.
+    """(row, n_words, n_removed, kept): ``row`` packs the columns of docs but the text, kept are the words that stay, joined by a space.
 
     A window's occurrences are ordered by (id, place), null ids last; rows that share an id aren't earlier than each other, so
     repeated rows are judged alike. Null and blank texts have no words. A text of fewer words than the window stays.

@@ -379,7 +379,7 @@ def _by_kind(texts: DataFrame, lists: DataFrame) -> DataFrame:
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", many_local: int = MANY_LOCAL, most: int = MANY) -> DataFrame:
-    """(row, n_bytes, n_removed, n_spans, kept): ``row`` packs all columns of docs, kept are the bytes that stay.
+    """(row, n_bytes, n_removed, n_spans, kept): ``row`` packs the columns of docs but the text, kept are the bytes that stay.
 
     Every byte goes that a WIDTH-byte string covers which also starts anywhere else, in this or another document. Null texts
     are empty; texts of fewer bytes stay. Rows with the same id are different rows, whose texts can repeat each other.
