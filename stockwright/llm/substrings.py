@@ -143,16 +143,21 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(row, did, th, text): did orders documents, null ids last; (did, th) tells rows apart, but for equal ones.
 
-    ``row`` packs all columns but the text, which would else be shuffled twice.
+    ``row`` packs all columns but the text, which would else be shuffled twice. Where all ids differ, th is zero: a hash of the
+    text would tell no more, and goes into every row of the shuffles.
     """
-    return docs.select(F.struct(*[F.col(c) for c in docs.columns if c != text_col]).alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("did"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
+    did = F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1))
+    most = docs.groupBy(did.alias("did")).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    th = F.xxhash64(text_col) if (most or 0) > 1 else F.lit(0).cast("long")
+    return docs.select(F.struct(*[F.col(c) for c in docs.columns if c != text_col]).alias("row"), did.alias("did"), th.alias("th"), F.col(text_col).alias("text"))
 
 
 def repeated_spans(rows: DataFrame, window: int = WINDOW, first: int = FIRST) -> DataFrame:
     """(did, th, spans): per document the ranges of words that some repeated window but its first occurrence covers."""
-    texts, shorter, lists = rows.select("did", "th", "text"), None, None
+    shorter, lists = None, None
     for length in levels(window, first):
-        source = texts if lists is None else texts.join(lists, ["did", "th"])
+        # with its row, so that this join and the one that cuts the texts share one shuffle of them
+        source = rows.select("did", "th", "text") if lists is None else rows.join(lists, ["did", "th"]).select("did", "th", "text", "places", "row")
 
         def work(batches: Iterator[pa.RecordBatch], length: int = length, shorter: int | None = shorter) -> Iterator[pa.RecordBatch]:
             return _windows(batches, length, shorter, window)

@@ -369,10 +369,12 @@ def repeated_ranges(rows: DataFrame, many_local: int = MANY_LOCAL, most: int = M
     return lists
 
 
-def _by_kind(texts: DataFrame, lists: DataFrame) -> DataFrame:
-    few = texts.join(lists.where("size(few) > 0").select("did", "th", "few"), ["did", "th"]).mapInArrow(_neighbourhoods, _NEAR)
+def _by_kind(rows: DataFrame, lists: DataFrame) -> DataFrame:
+    # each join keeps the row, so that these and the one that cuts the texts share one shuffle of them
+    with_list = lambda kind: rows.join(lists.where(f"size({kind}) > 0").select("did", "th", kind), ["did", "th"]).select("did", "th", "text", kind, "row")
+    few = with_list("few").mapInArrow(_neighbourhoods, _NEAR)
     few = few.repartition("h").sortWithinPartitions("h").mapInArrow(_compared, _RANGES)
-    many = texts.join(lists.where("size(many) > 0").select("did", "th", "many"), ["did", "th"]).mapInArrow(_hashed, _COUNTED)
+    many = with_list("many").mapInArrow(_hashed, _COUNTED)
     many = many.withColumn("n", F.count("*").over(Window.partitionBy("w1", "w2"))).where("known or n > 1").select("did", "th", "a", "b")
     known = lists.select("did", "th", F.inline("known")).select("did", "th", "a", "b")
     return known.unionByName(few).unionByName(many).groupBy("did", "th").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
@@ -385,9 +387,8 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     are empty; texts of fewer bytes stay. Rows with the same id are different rows, whose texts can repeat each other.
     """
     rows = keyed(docs, id_col, text_col)
-    texts = rows.select("did", "th", "text")
     lists = saved(repeated_ranges(rows, many_local, most))
-    found = rows.join(_by_kind(texts, lists), ["did", "th"], "left").select("row", "text", "spans")
+    found = rows.join(_by_kind(rows, lists), ["did", "th"], "left").select("row", "text", "spans")
     return found.mapInArrow(_removed, f"row {found.schema['row'].dataType.simpleString()}, {_OUT}")
 
 
