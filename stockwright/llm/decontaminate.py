@@ -6,7 +6,6 @@ item of fewer words, but not none, is one window. Hits of the 64-bit hashes are
 
 from __future__ import annotations
 
-import hashlib
 import pickle
 from collections.abc import Iterator
 

@@ -8,8 +8,8 @@ whatever its number of occurrences there, so that no hash gathers many rows in o
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +23,9 @@ WINDOW = 20
 FIRST = 8
 #: A longer text is worked on in pieces of about so many bytes that overlap by a window.
 PIECE = 4 << 20
-_KEYS = "key long, key2 long, did long, th long, a int, b int, known boolean"
+#: What is shuffled of a window: p holds 32 more bits of its hash, then where it starts; a range known to repeat has its end in
+#: ``to``, others have 0. Few columns, with the values side by side, as every repeated window goes through here.
+_KEYS = "key long, p long, did long, th long, to int"
 
 
 def levels(window: int, first: int = FIRST) -> list[int]:
@@ -85,7 +87,8 @@ def _sent(h1: np.ndarray, h2: np.ndarray, did: np.ndarray, th: np.ndarray, a: np
         known = np.arange(len(did)) >= len(keep)
         h1, h2, own = np.concatenate([h1[keep], np.zeros(len(begin), np.uint64)]), np.concatenate([h2[keep], np.zeros(len(begin), np.uint64)]), ~known
     elsewhere = joined(did.view(np.uint64) + th.view(np.uint64), a.astype(np.uint64))
-    return _frame([np.where(own, h1, elsewhere).view(np.int64), np.where(own, h2, np.uint64(1)).view(np.int64), did, th, a.astype(np.int32), b.astype(np.int32), known], [x.split()[0] for x in _KEYS.split(", ")])
+    p = np.where(own, h2, np.uint64(1)) << np.uint64(32) | a.astype(np.uint64)
+    return _frame([np.where(own, h1, elsewhere).view(np.int64), p.view(np.int64), did, th, np.where(known, b, 0).astype(np.int32)], [x.split()[0] for x in _KEYS.split(", ")])
 
 
 def _windows(batches: Iterator[pa.RecordBatch], length: int, shorter: int | None, window: int) -> Iterator[pa.RecordBatch]:
@@ -120,21 +123,21 @@ def _windows(batches: Iterator[pa.RecordBatch], length: int, shorter: int | None
             yield _sent(h1[at], h2, did[row[text]], th[row[text]], place, place + length, length == window)
 
 
-def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _kept(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        spans = batch.column(2).to_pylist()
+        starts, spans = batch.column(2).to_pylist(), batch.column(3).to_pylist()
         out = []
-        for t, some in zip(as_bytes(batch.column(1)), spans, strict=True):
+        for t, first, some in zip(as_bytes(batch.column(1)), starts, spans, strict=True):
             words = t.split()
             n, gone = len(words), 0
-            if some:
+            if first or some:
                 at, rest = 0, []
-                for s in sorted(some, key=lambda s: s["a"]):
-                    if s["b"] > at:
-                        a = max(at, s["a"])
+                for a, b in sorted([*[(x, x + window) for x in first], *[(x["a"], x["b"]) for x in some]]):
+                    if b > at:
+                        a = max(at, a)
                         rest += words[at:a]
-                        gone += s["b"] - a
-                        at = s["b"]
+                        gone += b - a
+                        at = b
                 words = rest + words[at:]
             out.append((n, gone, b" ".join(words)))
         yield _frame([batch.column(0), pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.binary()).cast(pa.string())], ["row", "n_words", "n_removed", "kept"])
@@ -153,7 +156,7 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def repeated_spans(rows: DataFrame, window: int = WINDOW, first: int = FIRST) -> DataFrame:
-    """(did, th, spans): per document the ranges of words that some repeated window but its first occurrence covers."""
+    """(did, th, starts, spans): per document the windows, and merged ranges of windows, that occur earlier too."""
     shorter, lists = None, None
     for length in levels(window, first):
         # with its row, so that this join and the one that cuts the texts share one shuffle of them
@@ -162,14 +165,15 @@ def repeated_spans(rows: DataFrame, window: int = WINDOW, first: int = FIRST) ->
         def work(batches: Iterator[pa.RecordBatch], length: int = length, shorter: int | None = shorter) -> Iterator[pa.RecordBatch]:
             return _windows(batches, length, shorter, window)
 
-        sent = source.mapInArrow(work, _KEYS)
+        sent = source.mapInArrow(work, _KEYS).repartition("key")
+        sent = sent.select("key", F.shiftrightunsigned("p", 32).alias("key2"), "did", "th", F.col("p").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("a"), "to")
         same = Window.partitionBy("key", "key2")
         if length < window:
-            repeated = sent.withColumn("n", F.count("*").over(same)).where("known or n > 1")
+            repeated = sent.withColumn("n", F.count("*").over(same)).where("to > 0 or n > 1")
             lists = repeated.groupBy("did", "th").agg(F.collect_list("a").alias("places"))
         else:
-            later = sent.withColumn("n", F.rank().over(same.orderBy("did", "a"))).where("known or n > 1")
-            lists = later.groupBy("did", "th").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+            later = sent.withColumn("n", F.rank().over(same.orderBy("did", "a"))).where("to > 0 or n > 1")
+            lists = later.groupBy("did", "th").agg(F.collect_list(F.when(F.col("to") == 0, F.col("a"))).alias("starts"), F.collect_list(F.when(F.col("to") > 0, F.struct("a", F.col("to").alias("b")))).alias("spans"))
         shorter = length
     return lists
 
@@ -182,8 +186,8 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, first: int = FIRST, i
     """
     rows = keyed(docs, id_col, text_col)
     spans = repeated_spans(rows, window, first)
-    found = rows.join(spans, ["did", "th"], "left").select("row", "text", "spans")
-    return found.mapInArrow(_kept, f"row {found.schema['row'].dataType.simpleString()}, n_words long, n_removed long, kept string")
+    found = rows.join(spans, ["did", "th"], "left").select("row", "text", "starts", "spans")
+    return found.mapInArrow(partial(_kept, window=window), f"row {found.schema['row'].dataType.simpleString()}, n_words long, n_removed long, kept string")
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
