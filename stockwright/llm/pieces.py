@@ -225,7 +225,12 @@ def model(path: str) -> PieceModel:
     return PieceModel(path)
 
 
+_ARROW = {"long": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}
+
+
 def _rows(texts: DataFrame, path: str, schema: str, row) -> DataFrame:  # noqa: ANN001
+    names, kinds = zip(*[x.split() for x in schema.split(", ")], strict=True)
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
         for batch in batches:
@@ -235,7 +240,7 @@ def _rows(texts: DataFrame, path: str, schema: str, row) -> DataFrame:  # noqa:
                 at += some.num_rows
                 out = list(zip(*[row(m, t or "") for t in some.column("text").to_pylist()], strict=True))
                 rest = [some.column(i) for i in range(some.num_columns - 1)]
-                yield pa.RecordBatch.from_arrays([*rest, *map(pa.array, out)], names=[*some.schema.names[:-1], *[x.split()[0] for x in schema.split(", ")]])
+                yield pa.RecordBatch.from_arrays([*rest, *[pa.array(x, _ARROW[k]) for x, k in zip(out, kinds, strict=True)]], names=[*some.schema.names[:-1], *names])
 
     kept = [f for f in texts.schema.fields if f.name != "text"]
     return texts.select(*[f.name for f in kept], "text").mapInArrow(work, ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in kept], schema]))
