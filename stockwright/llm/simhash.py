@@ -113,6 +113,33 @@ def links(prints: DataFrame, n: int, radius: int, near: Column | None = None) ->
     return found.select(F.col("q.d").alias("a"), F.col("t.d").alias("b")).distinct()
 
 
+def stars(prints: DataFrame, near: Column) -> DataFrame:
+    """(a, b): links of prints to three of each bucket, by quarters of f0, for which ``near`` holds.
+
+    A dense group is joined so by a number of links that grows with its size; the search for all links can then pass over
+    pairs that are joined already, and lists no group's pairs.
+    """
+    quarters = [F.struct(F.lit(k).alias("seg"), F.shiftrightunsigned("f0", 16 * k).bitwiseAND(F.lit(0xFFFF)).alias("key")) for k in range(4)]
+    tables = prints.select("*", F.inline(F.array(*quarters)))
+    row = F.struct(*prints.columns)
+    leads = tables.groupBy("seg", "key").agg(F.min_by(row, "d").alias("x"), F.max_by(row, "d").alias("y"), F.min_by(row, F.xxhash64("d")).alias("z"))
+    leads = leads.select("seg", "key", F.explode(F.array_distinct(F.array("x", "y", "z"))).alias("lead")).select("seg", "key", "lead.*")
+    t, q = tables.alias("t"), leads.alias("q")
+    found = t.join(q, (F.col("t.seg") == F.col("q.seg")) & (F.col("t.key") == F.col("q.key")) & (F.col("t.d") != F.col("q.d")) & near)
+    return found.select(F.col("q.d").alias("a"), F.col("t.d").alias("b")).distinct()
+
+
+def labelled(prints: DataFrame, group: DataFrame) -> DataFrame:
+    """prints with ``c``, the component of each."""
+    known = [c for c in prints.columns if c != "c"]
+    return saved(prints.select(*known).join(group, F.col("d") == F.col("node"), "left").select(*known, F.coalesce("component", "d").alias("c")))
+
+
+def also(group: DataFrame, links: DataFrame) -> DataFrame:
+    """The components that links make of those of group."""
+    return components(group.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links))
+
+
 def distinct_prints(prints: DataFrame) -> DataFrame:
     """(f0, ..., d): each fingerprint once, with the least document id that has it; of null ids alone, none."""
     return prints.groupBy(*[c for c in prints.columns if c != "doc_id"]).agg(F.min("doc_id").alias("d")).where("d is not null")
@@ -127,7 +154,8 @@ def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, id_col:
     """
     prints = saved(fingerprints(docs, id_col, text_col, shingle))
     once = saved(distinct_prints(prints))
-    group = components(links(once, once.count(), radius))
+    group = components(stars(once, F.bit_count(F.col("t.f0").bitwiseXOR(F.col("q.f0"))) <= radius))
+    group = also(group, links(labelled(once, group), once.count(), radius, F.col("t.c") != F.col("q.c")))
     own = once.join(group, F.col("d") == F.col("node"), "left").select("f0", F.coalesce("component", "d").alias("component_id"))
     return prints.join(own, "f0", "left").select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -136,20 +164,18 @@ def representatives(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     """The documents that stay if one of each group of near-duplicates stays, with all their columns.
 
     Fingerprints have 128 bits, of which a share of 1 - similarity may differ. The first 64 are searched with the same share
-    as radius. Close pairs are joined first, so that the wide search need not list the pairs inside their groups. The least id
+    as radius. Dense groups and close pairs are joined first, so that the wide search need not list the pairs inside them. The least id
     of a group stays, once; rows with a null id stay.
     """
     r0, most = round(64 * (1 - similarity) - 0.5), int(128 * (1 - similarity))
     prints = saved(fingerprints(docs, id_col, text_col, shingle, 2))
     once = saved(distinct_prints(prints))
     n = once.count()
-    whole = lambda limit: F.bit_count(F.col("t.f0").bitwiseXOR(F.col("q.f0"))) + F.bit_count(F.col("t.f1").bitwiseXOR(F.col("q.f1"))) <= limit
-    close = links(once, n, r0 // 3, whole(most))
-    first = components(close)
-    labelled = saved(once.join(first, F.col("d") == F.col("node"), "left").select("f0", "f1", "d", F.coalesce("component", "d").alias("c")))
-    wide = links(labelled, n, r0, whole(most) & (F.col("t.c") != F.col("q.c")))
-    both = first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(wide)
-    group = components(both)
+    differ = lambda f: F.bit_count(F.col(f"t.{f}").bitwiseXOR(F.col(f"q.{f}")))
+    near, apart = differ("f0") + differ("f1") <= most, F.col("t.c") != F.col("q.c")
+    group = components(stars(once, near & (differ("f0") <= r0)))
+    for radius in (r0 // 3, r0):
+        group = also(group, links(labelled(once, group), n, radius, near & apart))
     own = once.join(group, F.col("d") == F.col("node"), "left").select("f0", "f1", F.coalesce("component", "d").alias("c"))
     gone = prints.join(own, ["f0", "f1"]).where("doc_id <> c").select(F.col("doc_id").alias("gone")).distinct()
     kept = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id")).join(gone, F.col("id") == F.col("gone"), "left_anti")
