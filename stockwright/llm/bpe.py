@@ -3,10 +3,35 @@
 from __future__ import annotations
 
 import heapq
-from collections.abc import Callable
+from collections.abc import Callable, Hashable
 
 #: Above this many symbols a heap finds the next merge.
 SHORT = 48
+#: Entries of a young half of a Memory, and the longest key that it keeps.
+REMEMBER, LONGEST = 1 << 18, 64
+
+
+class Memory(dict):
+    """Remembers ``work`` of the keys asked for, within bounds.
+
+    A full memory becomes its older half and starts anew; what is asked for again comes back from there, so that frequent
+    keys stay. Results don't depend on what it holds.
+    """
+
+    def __init__(self, work: Callable[[Hashable], object], most: int = REMEMBER):
+        super().__init__()
+        self.work, self.most, self.old = work, most, {}
+
+    def __missing__(self, key):  # noqa: ANN001, ANN204
+        got = self.old.get(key)
+        if got is None:
+            got = self.work(key)
+        if len(key) <= LONGEST:
+            if len(self) >= self.most:
+                self.old = dict(self)
+                self.clear()
+            self[key] = got
+        return got
 
 
 def merged(symbols: list[str], rank: Callable[[str, str], float | None]) -> list[str]:

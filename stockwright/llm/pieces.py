@@ -12,16 +12,15 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stockwright.llm.bpe import merged
+from stockwright.llm.bpe import Memory, merged
 from stockwright.llm.common import table
 
 SPACE = "▁"
-#: Entries that a worker remembers, of encoded parts and of checked pairs; a full memory is emptied. Results don't depend on it.
-REMEMBER = 1 << 18
 #: Code points of a text that are encoded in one go.
 SLICE = 1 << 20
 SCHEMA = "n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -97,23 +96,15 @@ class PieceModel:
             if len(p) > 1 and merged(list(p), self.rank) == [p]:
                 self.finder.add_word(p[::-1], p)
         self.finder.make_automaton()
-        self.compatible_pairs: dict[tuple[str, str], bool] = {}
-        self.known: dict[str, tuple[str, int, str]] = {}
+        self.byte_of = {i: b for b, i in self.byte_ids.items()}
+        #: whether two pieces stay apart when their text is merged anew
+        self.compatible = Memory(lambda ab: merged([*ab[0], *ab[1]], self.rank) == [*ab])
+        self.known = Memory(self.part)
 
     def rank(self, a: str, b: str) -> float | None:
         s = self.score.get(a + b)
         return None if s is None else -s
 
-    def compatible(self, a: str, b: str) -> bool:
-        """Whether a and b stay apart when their text is merged anew."""
-        key = (a, b)
-        ok = self.compatible_pairs.get(key)
-        if ok is None:
-            if len(self.compatible_pairs) >= REMEMBER:
-                self.compatible_pairs.clear()
-            ok = self.compatible_pairs[key] = merged([*a, *b], self.rank) == [a, b]
-        return ok
-
     def split(self, part: str) -> list[str]:
         """Pieces of a part: at each place the longest piece that stays apart from the one before, else one step back."""
         if SPACE * 2 in part:  # runs of spaces merge at equal rank, for which pairs alone don't decide
@@ -122,9 +113,8 @@ class PieceModel:
         found: list[list[str]] = [[] for _ in range(n)]
         for end, piece in self.finder.iter(part[::-1]):
             found[n - 1 - end].append(piece)
-        for i, some in enumerate(found):
-            some.sort(key=len, reverse=True)
-            some.append(part[i])
+        for some, c in zip(found, part, strict=True):  # an automaton reports the longest first
+            some.append(c)
         failed = bytearray(n // 8 + 1)
         taken: list[str] = []
         tried = [0]  # how many of its pieces each open place has tried
@@ -134,7 +124,7 @@ class PieceModel:
             for k in range(tried[-1], len(found[at])):
                 piece = found[at][k]
                 to = at + len(piece)
-                if not failed[to >> 3] >> (to & 7) & 1 and (not taken or self.compatible(taken[-1], piece)):
+                if not failed[to >> 3] >> (to & 7) & 1 and (not taken or self.compatible[taken[-1], piece]):
                     tried[-1] = k + 1
                     tried.append(0)
                     taken.append(piece)
@@ -159,34 +149,20 @@ class PieceModel:
         """The text of ids, without taking off the space before the text."""
         out, run = [], bytearray()
         for i in ids:
-            piece = self.pieces[i]
-            if i in self._bytes:
-                run.append(self._bytes[i])
+            if i in self.byte_of:
+                run.append(self.byte_of[i])
                 continue
             if run:
                 out.append(run.decode(errors="replace"))
                 run.clear()
-            out.append(piece)
+            out.append(self.pieces[i])
         out.append(run.decode(errors="replace"))
         return "".join(out).replace(SPACE, " ")
 
-    @property
-    def _bytes(self) -> dict[int, int]:
-        if not hasattr(self, "_byte_of"):
-            self._byte_of = {i: b for b, i in self.byte_ids.items()}
-        return self._byte_of
-
     def part(self, part: str) -> tuple[str, int, str]:
         """(ids with commas, their number, decoded text) of a part."""
-        got = self.known.get(part)
-        if got is None:
-            if len(self.known) >= REMEMBER:
-                self.known.clear()
-            ids = self.encode_part(part)
-            got = (",".join(map(str, ids)), len(ids), self.decode_ids(ids))
-            if len(part) <= 64:
-                self.known[part] = got
-        return got
+        ids = self.encode_part(part)
+        return ",".join(map(str, ids)), len(ids), self.decode_ids(ids)
 
     def slices(self, text: str) -> Iterator[list[tuple[str, int, str]]]:
         """The parts of a text, in bounded lists."""
@@ -195,16 +171,15 @@ class PieceModel:
             to = at + SLICE
             while to < n and not (text[to] in (" ", SPACE) and text[to - 1] not in (" ", SPACE)):
                 to += 1
-            parts = self.cut.findall(lead + text[at:to].replace(" ", SPACE))
-            try:
-                known = self.known
-                yield [known[p] for p in parts]
-            except KeyError:
-                yield [self.part(p) for p in parts]
+            known = self.known
+            yield [known[p] for p in self.cut.findall(lead + text[at:to].replace(" ", SPACE))]
             at, lead = to, ""
 
-    def encode(self, text: str) -> list[int]:
-        return [int(i) for some in self.slices(text) for ids, _, _ in some for i in ids.split(",")]
+    def encode(self, text: str) -> tuple[np.ndarray, str]:
+        """The ids of a text and what they decode to."""
+        parts = [x for some in self.slices(text) for x in some]
+        ids = np.array(",".join([x[0] for x in parts]).split(","), np.int32) if parts else np.zeros(0, np.int32)
+        return ids, "".join([x[2] for x in parts]).removeprefix(" ")
 
     def decode(self, ids: list[int]) -> str:
         return self.decode_ids(ids).removeprefix(" ")
@@ -252,12 +227,8 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Extra columns are dropped, repeated rows repeat, null ids pass, an empty table gives no rows.
     """
 
-    def row(m: PieceModel, t: str) -> tuple:
-        ids = m.encode(t)
-        return ids, m.decode(ids)
-
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return _rows(texts, path or default_model(), "ids array<int>, decoded string", row)
+    return _rows(texts, path or default_model(), "ids array<int>, decoded string", lambda m, t: m.encode(t))
 
 
 def encoding_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:

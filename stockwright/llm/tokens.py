@@ -16,11 +16,9 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stockwright.llm.bpe import merged
+from stockwright.llm.bpe import Memory, merged
 from stockwright.llm.common import table
 
-#: Entries that a worker remembers of words and pre-tokens; a full memory is emptied. Results don't depend on it.
-REMEMBER = 1 << 18
 LIMIT = 2048
 SLICE = 1 << 20
 #: What str.split() takes for white space, but the tokenizer doesn't.
@@ -61,24 +59,14 @@ class WordCounter:
         self.letters = byte_letters()
         # the proof: these strings, merged like any other, end as one token
         self.whole = {w[: -len(self.end)] for w in self.vocab if w.endswith(self.end) and len(self.merge(w[: -len(self.end)])) == 1}
-        self.known: dict[str, int] = {}
-        self.known_words: dict[str, int] = {}
+        self.known, self.known_words = Memory(lambda spelled: len(self.merge(spelled))), Memory(self.word)
 
     def merge(self, spelled: str) -> list[str]:
         return merged([*spelled[:-1], spelled[-1] + self.end], lambda a, b: self.ranks.get((a, b))) if spelled else []
 
     def pre_token(self, text: str) -> int:
         spelled = "".join([self.letters[b] for b in text.encode()])
-        if spelled in self.whole:
-            return 1
-        n = self.known.get(spelled)
-        if n is None:
-            if len(self.known) >= REMEMBER:
-                self.known.clear()
-            n = len(self.merge(spelled))
-            if len(spelled) <= 64:
-                self.known[spelled] = n
-        return n
+        return 1 if spelled in self.whole else self.known[spelled]
 
     def word(self, word: str) -> int:
         """Tokens of a run without white space: special strings count as one each."""
@@ -88,10 +76,6 @@ class WordCounter:
             if not p.isascii():
                 p = unicodedata.normalize("NFC", p).replace("Σ", "σ")  # lower case letter by letter: no final sigma
             n += sum(map(self.pre_token, self.pattern.findall(p.lower())))
-        if len(word) <= 64:
-            if len(self.known_words) >= REMEMBER:
-                self.known_words.clear()
-            self.known_words[word] = n
         return n
 
     def count(self, text: str) -> int:
@@ -101,12 +85,8 @@ class WordCounter:
             while to < len(text) and not text[to].isspace():
                 to += 1
             some = text[at:to]
-            words = (_SPACE.split(some) if _ODD.search(some) else some.split())
             known = self.known_words
-            try:
-                n += sum([known[w] for w in words])
-            except KeyError:
-                n += sum([known[w] if w in known else self.word(w) for w in words])
+            n += sum([known[w] for w in (_SPACE.split(some) if _ODD.search(some) else some.split())])
             at = to
         return n
 
