@@ -8,7 +8,7 @@ from collections.abc import Callable, Hashable
 #: Above this many symbols a heap finds the next merge.
 SHORT = 48
 #: Entries of a young half of a Memory, and the longest key that it keeps.
-REMEMBER, LONGEST = 1 << 18, 64
+REMEMBER, LONGEST = 1 << 17, 64
 
 
 class Memory(dict):
