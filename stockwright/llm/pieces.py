@@ -90,11 +90,13 @@ class PieceModel:
             raise ValueError("pieces reach across spaces")
         alone = "".join(c for c in "\n\t\r" if not any(c in p for p in self.ids))
         self.cut = re.compile(f"{SPACE}*[^{SPACE}{alone}]+|{SPACE}+" + (f"|[{alone}]" if alone else ""))
-        # only pieces that encode as themselves can occur in a result
+        # only pieces that encode as themselves can occur in a result; of each the next shorter one that it starts with
+        own = {p for p in self.ids if len(p) > 1 and merged(list(p), self.rank) == [p]}
+        self.shorter = {p: next(p[:k] for k in range(len(p) - 1, 0, -1) if k == 1 or p[:k] in own) for p in own}
+        self.most = max(map(len, own), default=1)
         self.finder = ahocorasick.Automaton()
-        for p in self.ids:
-            if len(p) > 1 and merged(list(p), self.rank) == [p]:
-                self.finder.add_word(p[::-1], p)
+        for p in own:
+            self.finder.add_word(p, p)
         self.finder.make_automaton()
         self.byte_of = {i: b for b, i in self.byte_ids.items()}
         #: whether two pieces stay apart when their text is merged anew
@@ -109,44 +111,44 @@ class PieceModel:
         """Pieces of a part: at each place the longest piece that stays apart from the one before, else one step back."""
         if SPACE * 2 in part:  # runs of spaces merge at equal rank, for which pairs alone don't decide
             return merged(list(part), self.rank)
-        n = len(part)
-        found: list[list[str]] = [[] for _ in range(n)]
-        for end, piece in self.finder.iter(part[::-1]):
-            found[n - 1 - end].append(piece)
-        for some, c in zip(found, part, strict=True):  # an automaton reports the longest first
-            some.append(c)
+        n, find, most, shorter, compatible = len(part), self.finder.iter_long, self.most, self.shorter, self.compatible
         failed = bytearray(n // 8 + 1)
         taken: list[str] = []
-        tried = [0]  # how many of its pieces each open place has tried
         at = 0
         while at < n:
-            k = tried[-1]
-            for k in range(tried[-1], len(found[at])):
-                piece = found[at][k]
+            last, piece = next(find(part, at, min(n, at + most)), (0, ""))
+            if not piece or last + 1 - len(piece) != at:
+                piece = part[at]
+            while True:
                 to = at + len(piece)
-                if not failed[to >> 3] >> (to & 7) & 1 and (not taken or self.compatible[taken[-1], piece]):
-                    tried[-1] = k + 1
-                    tried.append(0)
+                if not failed[to >> 3] >> (to & 7) & 1 and (not taken or compatible[taken[-1], piece]):
                     taken.append(piece)
                     at = to
                     break
-            else:
-                failed[at >> 3] |= 1 << (at & 7)
-                if not taken:
-                    raise AssertionError(f"no encoding of {part!r}")
-                tried.pop()
-                at -= len(taken.pop())
+                piece = shorter.get(piece)
+                while piece is None:
+                    failed[at >> 3] |= 1 << (at & 7)
+                    if not taken:  # ranks that tie may leave no cut into pairs that stay apart
+                        return merged(list(part), self.rank)
+                    before = taken.pop()
+                    at -= len(before)
+                    piece = shorter.get(before)
         return taken
 
     def encode_part(self, part: str) -> list[int]:
-        ids: list[int] = []
-        for piece in self.split(part):
+        pieces = self.split(part)
+        if None not in (ids := [self.ids.get(p) for p in pieces]):
+            return ids
+        ids = []
+        for piece in pieces:
             k = self.ids.get(piece)
             ids += [k] if k is not None else [self.byte_ids[b] for b in piece.encode()]
         return ids
 
     def decode_ids(self, ids: list[int]) -> str:
         """The text of ids, without taking off the space before the text."""
+        if self.byte_of.keys().isdisjoint(ids):
+            return "".join([self.pieces[i] for i in ids]).replace(SPACE, " ")
         out, run = [], bytearray()
         for i in ids:
             if i in self.byte_of:
