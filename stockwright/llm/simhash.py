@@ -4,13 +4,16 @@ A fingerprint is cut into segments. By the pigeonhole principle two fingerprints
 a few bits, so each fingerprint looks up small Hamming balls about its segments in tables of all fingerprints, and the
 complete distance of every match is verified inside the join. Links become groups by distributed connected components.
 Equal fingerprints are one row throughout, so that a hot group of exact copies costs no more than one document.
+
+The pipeline's near-duplicates are pairs by the Jaccard similarity itself, for which no fingerprint is wide enough: candidates
+share one of their rarest shingles, which two similar sets can't avoid, and each is verified by its texts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
-from math import comb
+from math import ceil, comb
 
 import numpy as np
 import pyarrow as pa
@@ -18,13 +21,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stockwright.llm.common import as_bytes, mixed, saved, table
+from stockwright.llm.common import WordRun, as_bytes, is_not_space, joined, mixed, saved, steps, table
 from stockwright.llm.components import components
 
 SEED = 42
 #: What one lookup costs, counted in comparisons of two fingerprints; only weighs the number of segments, never the result.
 LOOKUP = 60
 SLICE = 1 << 20
+#: Shingles are counted by so many buckets of their hash to order them by rarity; only weighs the work, never the result.
+BUCKETS = 1 << 16
 
 
 def word_slices(text: bytes, overlap: int) -> Iterator[list[bytes]]:
@@ -160,24 +165,137 @@ def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, id_col:
     return prints.join(own, "f0", "left").select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def shingle_sets(texts: list[bytes], size: int) -> Iterator[np.ndarray]:
+    """The distinct hashes of each text's shingles, sorted. Only A-Z are lower-cased; fewer words than ``size`` are one shingle."""
+    fold = np.arange(256, dtype=np.uint8)
+    fold[65:91] += 32
+    word = is_not_space()
+
+    def of(run: WordRun, grams: np.ndarray, t: int) -> np.ndarray:
+        a, b = int(run.first[t]), int(run.first[t + 1])
+        if b - a >= size:
+            return np.unique(grams[a : b - size + 1])
+        acc = np.array([b - a], np.uint64)
+        for k in range(a, b):
+            acc = joined(acc, run.hash[k : k + 1])
+        return acc[: b - a]
+
+    for a, b in steps(texts):
+        if b - a > 1 or len(texts[a]) <= SLICE:
+            run = WordRun(texts[a:b], word, fold)
+            grams = run.grams(size)[0]
+            yield from (of(run, grams, t) for t in range(b - a))
+            continue
+        parts, short = [], np.zeros(0, np.uint64)
+        for words in word_slices(texts[a], size - 1):
+            run = WordRun([b" ".join(words)], word, fold)
+            h = of(run, run.grams(size)[0], 0)
+            if len(words) < size:
+                short = h
+            else:
+                parts.append(h)
+        yield np.unique(np.concatenate(parts)) if parts else short
+
+
+def rarity(texts: DataFrame, size: int) -> np.ndarray:
+    """How many shingles fall into each of BUCKETS buckets, which only orders shingles: rare ones first."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            for h in shingle_sets(as_bytes(batch.column(0)), size):
+                np.add.at(n, (h % np.uint64(BUCKETS)).astype(np.int64), 1)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(n[at], pa.int64())], names=["bucket", "n"])
+
+    out = np.zeros(BUCKETS, np.int64)
+    for bucket, n in texts.select("text").mapInArrow(work, "bucket long, n long").groupBy("bucket").agg(F.sum("n")).collect():
+        out[bucket] = n
+    return out
+
+
+def shingled(texts: DataFrame, size: int, similarity: float) -> DataFrame:
+    """texts with ``s``, a hash of the set of shingles, ``n``, its size, and ``lead``, its rarest shingles.
+
+    Two sets of at least the similarity have one of these shingles in common: each leads with n - ceil(similarity * n) + 1.
+    """
+    held = texts.sparkSession.sparkContext.broadcast(rarity(texts, size))
+
+    def row(h: np.ndarray) -> tuple[int, int, np.ndarray]:
+        n = len(h)
+        order = np.lexsort((h, held.value[(h % np.uint64(BUCKETS)).astype(np.int64)]))
+        s = mixed(h + np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64)
+        return int(s.astype(np.int64)), n, h[order[: n - ceil(similarity * n - 1e-9) + 1]].view(np.int64)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [row(h) for h in shingle_sets(as_bytes(batch.column("text")), size)]
+            made = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.list_(pa.int64())))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, "s", "n", "lead"])
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in texts.schema)
+    return texts.mapInArrow(work, f"{kinds}, s long, n long, lead array<long>")
+
+
+def verified(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose texts (s, text) have sets of shingles of at least the Jaccard similarity."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right = as_bytes(batch.column(2)), as_bytes(batch.column(3))
+            keep = []
+            for x, y in zip(shingle_sets(left, size), shingle_sets(right, size), strict=True):
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    full = pairs.join(texts.select(F.col("s").alias("a"), F.col("text").alias("x")), "a")
+    full = full.join(texts.select(F.col("s").alias("b"), F.col("text").alias("y")), "b")
+    return full.select("a", "b", "x", "y").mapInArrow(work, "a long, b long")
+
+
+def similar(once: DataFrame, size: int, similarity: float) -> DataFrame:
+    """(node, component) of sets (s, n, lead, text) over all pairs of at least the Jaccard similarity; those without a pair aren't returned.
+
+    Pairs that share a leading shingle are found by equality and verified by their texts. Each set is first held against the one
+    set that leads most of its shingles, so that a dense group is joined by a number of pairs that grows with its size; then
+    all pairs of different components.
+    """
+    posts = once.select("s", "n", F.posexplode("lead").alias("pos", "key"))
+    heads = posts.groupBy("key").agg(F.min("s").alias("head"), F.count("*").alias("m")).where("m > 1").select("key", "head")
+    posts = saved(posts.join(heads, "key"))
+    best = posts.where("s <> head").groupBy("s", "head").count().groupBy("s").agg(F.max_by("head", F.struct("count", "head")).alias("b"))
+    group = components(verified(best.select(F.col("s").alias("a"), "b"), once, size, similarity))
+    posts = saved(posts.join(group, F.col("s") == F.col("node"), "left").select("key", "pos", "s", "n", F.coalesce("component", "s").alias("c")))
+    # keys whose sets are all of one component are done; of a pair of two components one side at least isn't in the key's largest
+    open_keys = posts.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
+    posts = posts.join(open_keys, "key", "left_semi")
+    largest = posts.groupBy("key", "c").count().groupBy("key").agg(F.max_by("c", F.struct("count", "c")).alias("most"))
+    t, q = posts.join(largest, "key").where("c <> most").alias("t"), posts.alias("q")
+    least, most = F.least("t.n", "q.n"), F.greatest("t.n", "q.n")
+    # shingles in common: at most those up to this one and those behind it
+    common = F.least("t.pos", "q.pos") + 1 + F.least(F.col("t.n") - F.col("t.pos"), F.col("q.n") - F.col("q.pos")) - 1
+    wide = (least >= similarity * most - 1e-6) & (common * (1 + similarity) >= similarity * (least + most) - 1e-6)
+    pairs = t.join(q, (F.col("t.key") == F.col("q.key")) & (F.col("t.c") != F.col("q.c")) & wide)
+    pairs = pairs.select(F.least("t.s", "q.s").alias("a"), F.greatest("t.s", "q.s").alias("b")).distinct()
+    return also(group, verified(pairs, once, size, similarity))
+
+
 def representatives(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that stay if one of each group of near-duplicates stays, with all their columns.
 
-    Fingerprints have 128 bits, of which a share of 1 - similarity may differ. The first 64 are searched with the same share
-    as radius. Dense groups and close pairs are joined first, so that the wide search need not list the pairs inside them. The least id
-    of a group stays, once; rows with a null id stay.
+    Near-duplicates have sets of shingles of at least the Jaccard similarity; all such pairs are found and verified. Groups are
+    their connected components. The least id of a group stays, once; rows with a null id stay.
     """
-    r0, most = round(64 * (1 - similarity) - 0.5), int(128 * (1 - similarity))
-    prints = saved(fingerprints(docs, id_col, text_col, shingle, 2))
-    once = saved(distinct_prints(prints))
-    n = once.count()
-    differ = lambda f: F.bit_count(F.col(f"t.{f}").bitwiseXOR(F.col(f"q.{f}")))
-    near, apart = differ("f0") + differ("f1") <= most, F.col("t.c") != F.col("q.c")
-    group = components(stars(once, near & (differ("f0") <= r0)))
-    for radius in (r0 // 3, r0):
-        group = also(group, links(labelled(once, group), n, radius, near & apart))
-    own = once.join(group, F.col("d") == F.col("node"), "left").select("f0", "f1", F.coalesce("component", "d").alias("c"))
-    gone = prints.join(own, ["f0", "f1"]).where("doc_id <> c").select(F.col("doc_id").alias("gone")).distinct()
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
+    made = shingled(texts, shingle, similarity)
+    prints = saved(made.select("doc_id", "s"))
+    # documents with the same set of shingles are one row
+    once = saved(made.groupBy("s").agg(F.first("n").alias("n"), F.first("lead").alias("lead"), F.first("text").alias("text")))
+    group = similar(once, shingle, similarity)
+    own = prints.join(group, F.col("s") == F.col("node"), "left").select("doc_id", F.coalesce("component", "s").alias("c"))
+    first = own.groupBy("c").agg(F.min("doc_id").alias("first"))
+    gone = own.join(first, "c").where("doc_id <> first").select(F.col("doc_id").alias("gone")).distinct()
     kept = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id")).join(gone, F.col("id") == F.col("gone"), "left_anti")
     # of rows that repeat an id one stays; rows without id are told apart by a random number
     kept = kept.withColumn("pick", F.row_number().over(_by_id()))
