@@ -10,22 +10,26 @@ import hashlib
 import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stockwright.llm.common import table
+from stockwright.llm.pieces import SPACE, _fields, default_model
 
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 ASSIGN_LEAST, ACCESS_LEAST = 6, 20
-#: What may stand before a value that is meant to be secret, besides the words of ASSIGN.
+#: What may stand before a value that is meant to be secret, besides the words of ASSIGN. The scheme of a header is passed over;
+#: behind :// a value is a password only if @ follows, and no port with a path.
 CONTEXT = re.compile(
     r"""(?:\b(?:pass(?:phrase|code|word|wd)?|pwd|credentials?|auth(?:orization)?|bearer|private_?key|access_?key|secret(?:_?key)?|client_?secret|(?:auth|access|refresh)_?token|token|api_?key)"""
-    r"""["']?(?:\x20{0,4}[:=]{1,2}\x20{0,4}|\x20is\x20)["']?|://[^\s:/@"']{1,64}:)([^\s"'<>,;@]{6,})""",
+    r"""["']?(?:\x20{0,4}[:=]{1,2}\x20{0,4}|\x20is\x20)["']?(?:(?:bearer|basic)\x20{1,4})?(?!(?:bearer|basic)(?:\s|$))([^\s"'<>,;@]{6,})"""
+    r"""|://[^\s:/@"']{1,64}:(?!\d{1,5}/)([^\s"'<>,;@]{6,})(?=@))""",
     re.I | re.A,
 )
 #: Cheap signs, in lower case, without which CONTEXT can't match.
@@ -40,7 +44,8 @@ COMMON = (
     "love", "monkey", "dragon", "sun", "shine", "summer", "winter", "spring", "autumn", "default", "change", "changeme", "pass", "word", "example",
     "your", "here", "token", "key", "api", "none", "null", "true", "false", "required", "field", "reset", "forgot", "protected", "strong", "this", "that", "with", "for", "from",
 )
-RANK = {w: i + 1 for i, w in enumerate(COMMON)}
+#: Least letters of a word of the vocabulary; shorter ones save nothing over their letters.
+LEAST_WORD = 4
 ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm")
 NEIGHBOURS = {(a, b) for row in ROWS for x, y in zip(row, row[1:], strict=False) for a, b in ((x, y), (y, x))}
 NEIGHBOURS |= {p for up, low in zip(ROWS, ROWS[1:], strict=False) for i in range(len(low)) for j in (i, i + 1) if j < len(up) for p in ((up[j], low[i]), (low[i], up[j]))}
@@ -48,6 +53,15 @@ DATE = re.compile(r"(?:(?:19|20)\d\d(?:([-/._]?)(?:0?[1-9]|1[0-2])\1(?:0?[1-9]|[
 UNLEET = str.maketrans("4301$57@!", "aeoisstai")
 
 
+@lru_cache(maxsize=1)
+def ranks() -> dict[str, int]:
+    """The place of each known word: COMMON, then the words of the encoder's vocabulary, frequent ones first."""
+    with open(default_model(), "rb") as f:
+        pieces = [dict(_fields(v))[1].decode() for field, v in _fields(f.read()) if field == 1]
+    words = [p[1:].lower() for p in pieces if p.startswith(SPACE) and len(p) > LEAST_WORD and p[1:].isalpha()]
+    return {w: i + 1 for i, w in enumerate(dict.fromkeys([*COMMON, *words]))}
+
+
 def _brute(c: str) -> float:
     """log10 of the choices for one character that nothing explains."""
     if c.isdigit():
@@ -60,6 +74,7 @@ def _brute(c: str) -> float:
 def guess_cost(value: str) -> float:
     """log10 of the guesses for a value: the cheapest cut, times the orders that its spans can have."""
     n = len(value)
+    rank = ranks()
     low = value.lower()
     plain = low.translate(UNLEET)
     cost = [0.0] + [math.inf] * n
@@ -78,7 +93,7 @@ def guess_cost(value: str) -> float:
         for j in range(i + 1, min(n, i + LONGEST) + 1):
             offer(i, j, max(brute[j] - brute[i], 0.3))
             for text, extra in ((low, 0.0), (plain, 0.3)):
-                if (r := RANK.get(text[i:j])) is not None:
+                if (r := rank.get(text[i:j])) is not None:
                     offer(i, j, math.log10(r + 1) + extra + (0.3 if value[i:j] != low[i:j] else 0.0))
         m = DATE.match(value, i)
         if m and m.end() - i >= 4:
@@ -113,10 +128,14 @@ def spans_of(text: str, least: float = LEAST_LOG10) -> list[tuple[int, int, int]
         found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= ACCESS_LEAST]
     found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     if any(k in raw for k in SIGNS):
-        for m in CONTEXT.finditer(text):
-            a, b = m.start(1), m.start(1) + len(m[1].rstrip(".,;:!?)]}"))
-            if b - a >= ASSIGN_LEAST and not any(x <= a and b <= y for x, _, y in found) and re.search(r"[^A-Za-z]", text[a:b]) and guess_cost(text[a:b]) >= least:
+        at = 0
+        while m := CONTEXT.search(text, at):
+            a, b = m.start(m.lastindex), m.start(m.lastindex) + len(m[m.lastindex].rstrip(".,;:!?)]}"))
+            # what isn't a secret may hold the context of one
+            at = a
+            if b - a >= ASSIGN_LEAST and not any(x <= a and b <= y for x, _, y in found) and guess_cost(text[a:b]) >= least:
                 found.append((a, 3, b))
+                at = b
     return sorted(found)
 
 
