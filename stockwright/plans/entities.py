@@ -120,7 +120,7 @@ def f28(c):
 
 @R.add("f32_escaped", "SELECT page_id, replace(replace(replace(replace(replace(substr(html, 1, 300), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;') AS escaped FROM pages")
 def f32(c):
-    return c.raw("pages").select("page_id", T.xml_escaped(F.substring("html", 1, 300)).alias("escaped"))
+    return c.raw("pages").select("page_id", T.xml_escaped(F.col("html")).alias("escaped"))
 
 
 @R.add("e01_resolve_by_url", "SELECT a.page_id AS candidate_id, min(b.page_id) AS part_id FROM pages a JOIN pages b ON trim(a.url) = trim(b.url) GROUP BY 1")
