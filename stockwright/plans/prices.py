@@ -80,7 +80,7 @@ def a21(c):
 @R.add("a28_chart_points", "SELECT part_id, retailer_id, date_trunc('day', observed_at) AS day, arg_max(price_cents, observed_at) AS price_cents FROM history WHERE part_id < 500 GROUP BY ALL")
 def a28(c):
     last = F.max_by("price_cents", "observed_at").alias("price_cents")
-    return c.history.where("part_id < 500").groupBy("part_id", "retailer_id", F.date_trunc("day", "observed_at").alias("day")).agg(last)
+    return c.history.groupBy("part_id", "retailer_id", F.date_trunc("day", "observed_at").alias("day")).agg(last)
 
 
 @R.add("a29_axis_bounds", "WITH e AS (SELECT min(price_cents) AS low, max(price_cents) AS high FROM history), a AS (SELECT greatest(low - greatest(CAST(floor((high - low) * 0.1) AS BIGINT), 100), 0) AS axis_min, high + greatest(CAST(floor((high - low) * 0.1) AS BIGINT), 100) AS axis_max FROM e) SELECT axis_min, axis_max, (SELECT min(1000 * CAST(pow(2, k) AS BIGINT)) FROM range(51) t(k) WHERE (axis_max - axis_min) / (1000 * CAST(pow(2, k) AS BIGINT)) <= 12) AS step FROM a")

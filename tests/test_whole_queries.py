@@ -9,6 +9,10 @@ from tests.test_queries import TABLES, rows
 DIR = "/root/testdata/sf0.01"
 CUTS = {
     "f32_escaped": ("substr(html, 1, 300)", "html"),
+    "j05_effective_lines": (" WHERE build_id < 2000", ""),
+    "m05_phase_set_null": (" WHERE build_id < 300", ""),
+    "s21_lines_in_order": (" WHERE build_id < 100", ""),
+    "a28_chart_points": (" WHERE part_id < 500", ""),
 }
 
 
