@@ -285,19 +285,21 @@ def representatives(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     """The documents that stay if one of each group of near-duplicates stays, with all their columns.
 
     Near-duplicates have sets of shingles of at least the Jaccard similarity; all such pairs are found and verified. Groups are
-    their connected components. The least id of a group stays, once; rows with a null id stay.
+    their connected components. The least id of a group stays, once; rows with a null id stay. Of rows that repeat an id only those
+    go whose text has a near-duplicate: ids are told apart by their texts.
     """
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
     made = shingled(texts, shingle, similarity)
-    prints = saved(made.select("doc_id", "s"))
+    row = F.struct("doc_id", F.xxhash64("text").alias("t")).alias("doc")
+    prints = saved(made.select(row, "s"))
     # documents with the same set of shingles are one row
     once = saved(made.groupBy("s").agg(F.first("n").alias("n"), F.first("lead").alias("lead"), F.first("text").alias("text")))
     group = similar(once, shingle, similarity)
-    own = prints.join(group, F.col("s") == F.col("node"), "left").select("doc_id", F.coalesce("component", "s").alias("c"))
-    first = own.groupBy("c").agg(F.min("doc_id").alias("first"))
-    gone = own.join(first, "c").where("doc_id <> first").select(F.col("doc_id").alias("gone")).distinct()
-    kept = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id")).join(gone, F.col("id") == F.col("gone"), "left_anti")
-    # of rows that repeat an id one stays; rows without id are told apart by a random number
+    own = prints.join(group, F.col("s") == F.col("node"), "left").select("doc", F.coalesce("component", "s").alias("c"))
+    first = own.groupBy("c").agg(F.min("doc").alias("first"))
+    gone = own.join(first, "c").where("doc <> first").select(F.col("doc.doc_id").alias("gone"), F.col("doc.t").alias("gone_t")).distinct()
+    kept = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t")).join(gone, (F.col("id") == F.col("gone")) & (F.col("t") == F.col("gone_t")), "left_anti")
+    # of rows that repeat an id and its text one stays; rows without id are told apart by a random number
     kept = kept.withColumn("pick", F.row_number().over(_by_id()))
     return kept.where("id is null or pick = 1").select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
@@ -305,7 +307,7 @@ def representatives(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
 def _by_id():  # noqa: ANN202
     from pyspark.sql import Window
 
-    return Window.partitionBy("id", F.when(F.col("id").isNull(), F.xxhash64("row"))).orderBy(F.xxhash64("row"))
+    return Window.partitionBy("id", "t", F.when(F.col("id").isNull(), F.xxhash64("row"))).orderBy(F.xxhash64("row"))
 
 
 def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

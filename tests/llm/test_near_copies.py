@@ -66,3 +66,10 @@ def test_long_texts_have_the_shingles_of_their_slices(monkeypatch):
     monkeypatch.setattr(simhash, "SLICE", 16)
     monkeypatch.setattr(simhash, "steps", lambda t: ((k, k + 1) for k in range(len(t))))
     assert [h.tolist() for h in simhash.shingle_sets(texts, 5)] == whole
+
+
+def test_rows_that_repeat_an_id_are_judged_by_their_texts(spark):
+    words = lambda k, n: " ".join(f"{k}{i}" for i in range(n))
+    docs = [(1, words("a", 90)), (2, words("a", 90) + " end"), (2, words("b", 90)), (3, words("c", 90)), (3, words("d", 90)), (3, words("d", 90)), (3, words("d", 90).upper())]
+    got = simhash.representatives(spark.createDataFrame(docs, SCHEMA).repartition(2)).collect()
+    assert sorted((r.doc_id, r.text[0].lower()) for r in got) == [(1, "a"), (2, "b"), (3, "c"), (3, "d")]
