@@ -37,7 +37,7 @@ def classify(items: DataFrame, keywords: DataFrame, key: str, name: str, text: s
     """
     longest = F.size(F.split("keyword", " "))
     kw = keywords.select("category", "place", F.lower("keyword").alias("keyword")).distinct()
-    spans = [r[0] for r in kw.select(longest).distinct().limit(64).collect()]
+    spans = [r[0] for r in kw.select(longest).distinct().collect()]
     words = lambda c: F.filter(F.split(F.lower(F.coalesce(F.col(c), F.lit(""))), "[^\\p{L}\\p{N}]+"), lambda w: w != "")
 
     def runs(c: str) -> Column:

@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 
+from stockwright.operators import analysis
 from stockwright.plans import catalogue
 from tests.test_queries import TABLES, rows
 
@@ -24,3 +25,11 @@ def test_query_is_whole(spark, name):
     ours, theirs = catalogue.QUERIES[name](spark, DIR).toPandas(), con.execute(catalogue.ORACLE_SQL[name].replace(*CUTS[name])).fetchdf()
     assert sorted(ours.columns) == sorted(theirs.columns)
     assert len(ours) == len(theirs) and rows(ours) == rows(theirs)
+
+
+def test_keywords_of_any_number_of_lengths_match(spark):
+    phrase = lambda n: " ".join([f"w{n}"] * n)
+    keywords = spark.createDataFrame([(f"c{n}", n, phrase(n)) for n in range(1, 81)], "category string, place int, keyword string")
+    items = spark.createDataFrame([(n, phrase(n), "") for n in range(1, 81)], "id int, name string, text string")
+    got = {r.id: r.category for r in analysis.classify(items, keywords, "id", "name", "text").collect()}
+    assert got == {n: f"c{n}" for n in range(1, 81)}
