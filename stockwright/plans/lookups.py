@@ -139,7 +139,7 @@ def p16(c):
 
 @R.add("p19_file_keys", "SELECT page_id, NOT regexp_matches(k, '^(?i:https?)://') AND contains(k, '/') AS is_key FROM (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN url ELSE substr(url, 9) END AS k FROM pages)")
 def p19(c):
-    k = F.when(F.col("page_id") % 2 == 0, F.col("url")).otherwise(F.substring("url", 9, 100000))
+    k = F.when(F.col("page_id") % 2 == 0, F.col("url")).otherwise(F.expr("substring(url, 9)"))
     return c.raw("pages").select("page_id", P.is_file_key(k).alias("is_key"))
 
 
