@@ -118,7 +118,7 @@ def f28(c):
     return c.parts.select("id", T.composite(F.col("manufacturer"), F.col("canonical_part_id").cast("string")).alias("key"))
 
 
-@R.add("f32_escaped", "SELECT page_id, replace(replace(replace(replace(replace(substr(html, 1, 300), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;') AS escaped FROM pages")
+@R.add("f32_escaped", "SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;') AS escaped FROM pages")
 def f32(c):
     return c.raw("pages").select("page_id", T.xml_escaped(F.col("html")).alias("escaped"))
 

@@ -325,7 +325,7 @@ def m13(c):
     return c.parts.where("canonical_part_id is not null and not canonical_part_id <=> id - 1").select("id")
 
 
-@R.add("k01_create_absent", "SELECT id FROM parts WHERE id <= 1000 UNION ALL SELECT CAST(k AS BIGINT) FROM range(900, 1100) t(k) WHERE k > 1000")
+@R.add("k01_create_absent", "SELECT id FROM parts WHERE id <= 1000 UNION ALL SELECT CAST(k AS BIGINT) FROM range(900, 1100) t(k) WHERE k NOT IN (SELECT id FROM parts WHERE id <= 1000)")
 def k01(c):
     return L.insert_absent(c.parts.where("id <= 1000").select("id"), c.spark.range(900, 1100), ["id"])
 
