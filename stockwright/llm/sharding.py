@@ -16,7 +16,7 @@ from operator import or_
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stockwright.llm.common import checkpoint_dir, saved, table
+from stockwright.llm.common import saved, shared_dir, table
 
 SHARDS = 24
 #: Added to the UTF-8 bytes of a text.
@@ -33,8 +33,7 @@ class RunningSums:
     def __init__(self, groups: DataFrame):
         spark = groups.sparkSession
         n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        checkpoint_dir(spark)
-        path = f"{spark.sparkContext.getCheckpointDir()}/sums-{uuid.uuid4()}"
+        path = f"{shared_dir(spark)}/sums-{uuid.uuid4()}"
         # the ranges must be fixed before anything is summed over them
         ranged = saved(groups.repartitionByRange(n, "first", "key").withColumn("part", F.spark_partition_id()))
         sums = {r.part: r.b for r in ranged.groupBy("part").agg(F.sum("bytes").alias("b")).collect()}

@@ -18,10 +18,11 @@ from math import ceil, comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+import zstandard
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stockwright.llm.common import WordRun, as_bytes, is_not_space, joined, mixed, saved, steps, table
+from stockwright.llm.common import WordRun, as_bytes, is_not_space, joined, mixed, saved, steps, table, written
 from stockwright.llm.components import components
 
 SEED = 42
@@ -30,6 +31,8 @@ LOOKUP = 60
 SLICE = 1 << 20
 #: Shingles are counted by so many buckets of their hash to order them by rarity; only weighs the work, never the result.
 BUCKETS = 1 << 16
+#: Bits of the map that passes over texts of no pair before they are shuffled; where it fills up, all pass.
+MARKS = 1 << 25
 
 
 def word_slices(text: bytes, overlap: int) -> Iterator[list[bytes]]:
@@ -214,71 +217,141 @@ def rarity(texts: DataFrame, size: int) -> np.ndarray:
     return out
 
 
-def shingled(texts: DataFrame, size: int, similarity: float) -> DataFrame:
-    """texts with ``s``, a hash of the set of shingles, ``n``, its size, and ``lead``, its rarest shingles.
+def set_hash(h: np.ndarray) -> int:
+    """A signed hash of a set of shingles, whatever its order."""
+    return int(mixed(h + np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64).astype(np.int64))
 
-    Two sets of at least the similarity have one of these shingles in common: each leads with n - ceil(similarity * n) + 1.
+
+def set_hashes(docs: DataFrame, size: int) -> DataFrame:
+    """docs (with a text) with ``s``, the hash of the text's set of shingles, in place of the text."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            s = [set_hash(h) for h in shingle_sets(as_bytes(batch.column("text")), size)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(s, pa.int64())], names=[*batch.schema.names[:-1], "s"])
+
+    rest = [f for f in docs.schema if f.name != "text"]
+    return docs.select(*[f.name for f in rest], "text").mapInArrow(work, ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in rest], "s long"]))
+
+
+def posts(texts: DataFrame, size: int, similarity: float) -> DataFrame:
+    """(key, s, at, head): under each leading shingle that several sets share, those sets and one of them, the head.
+
+    A set's leading shingles are its rarest, n - ceil(similarity * n) + 1 of n; two sets of at least the similarity have one of
+    them in common. ``at`` holds n and the shingle's place. Of the sets of a batch that share a key one goes to that key's
+    task, as the others' head; so a key of very many sets gathers one row a batch, and one of equal sets no more.
     """
     held = texts.sparkSession.sparkContext.broadcast(rarity(texts, size))
 
-    def row(h: np.ndarray) -> tuple[int, int, np.ndarray]:
-        n = len(h)
+    def leading(h: np.ndarray) -> np.ndarray:
         order = np.lexsort((h, held.value[(h % np.uint64(BUCKETS)).astype(np.int64)]))
-        s = mixed(h + np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64)
-        return int(s.astype(np.int64)), n, h[order[: n - ceil(similarity * n - 1e-9) + 1]].view(np.int64)
+        return h[order[: len(h) - ceil(similarity * len(h) - 1e-9) + 1]].view(np.int64)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [row(h) for h in shingle_sets(as_bytes(batch.column("text")), size)]
-            made = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.list_(pa.int64())))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, "s", "n", "lead"])
+            sets: dict[int, tuple[int, np.ndarray]] = {}
+            for h in shingle_sets(as_bytes(batch.column(0)), size):
+                if len(h) and (x := set_hash(h)) not in sets:
+                    sets[x] = len(h), leading(h)
+            if not sets:
+                continue
+            counts = np.array([len(k) for _, k in sets.values()])
+            s = np.repeat(np.array(list(sets), np.int64), counts)
+            n = np.repeat(np.array([n for n, _ in sets.values()], np.int64), counts)
+            key = np.concatenate([k for _, k in sets.values()])
+            at = n << 32 | (np.arange(len(key)) - np.repeat(np.cumsum(counts) - counts, counts))
+            order = np.lexsort((s, key))
+            s, key, at = s[order], key[order], at[order]
+            first = np.ones(len(key), bool)
+            first[1:] = key[1:] != key[:-1]
+            run = np.cumsum(first) - 1
+            head, many = s[first][run], (np.bincount(run) > 1)[run]
+            elsewhere = joined(s.view(np.uint64), key.view(np.uint64)).view(np.int64)
+            led = pa.StructArray.from_arrays([pa.array(key), pa.array(head)], names=["key", "head"], mask=pa.array(~many))
+            yield pa.RecordBatch.from_arrays([pa.array(np.where(first, key, elsewhere)), pa.array(s), pa.array(at), led], names=["k", "s", "at", "led"])
+
+    sent = texts.select("text").mapInArrow(work, "k long, s long, at long, led struct<key:long,head:long>")
+    same = Window.partitionBy("k")
+    found = sent.select("*", F.min("s").over(same).alias("lo"), F.max("s").over(same).alias("hi")).where("led is not null or lo < hi")
+    head = F.when(F.col("led.head") != F.col("s"), F.col("led.head")).otherwise(F.col("lo"))
+    return found.select(F.coalesce("led.key", "k").alias("key"), "s", "at", head.alias("head"))
+
+
+def named(pairs: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size with the low bits of all ids that pairs (a, b) name: what isn't marked isn't among them."""
+    bit = F.explode(F.array("a", "b")).alias("s")
+    place = F.col("s").bitwiseAND(F.lit(MARKS - 1))
+    words = pairs.select(bit).groupBy(F.shiftright(place, 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("v")).toArrow()
+    out = np.zeros(MARKS // 64, np.uint64)
+    out[words["w"].to_numpy()] = words["v"].to_numpy().view(np.uint64)
+    return out
 
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in texts.schema)
-    return texts.mapInArrow(work, f"{kinds}, s long, n long, lead array<long>")
+
+def packed_texts(texts: DataFrame, size: int, marks: np.ndarray) -> DataFrame:
+    """(s, z): of each marked set of shingles one compressed text."""
+    held = texts.sparkSession.sparkContext.broadcast(marks)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for batch in batches:
+            raw, found = as_bytes(batch.column(0)), {}
+            for k, h in enumerate(shingle_sets(raw, size)):
+                s = set_hash(h)
+                low = s & (MARKS - 1)
+                if s not in found and int(held.value[low >> 6]) >> (low & 63) & 1:
+                    found[s] = pack(raw[k])
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())], names=["s", "z"])
+
+    return texts.select("text").mapInArrow(work, "s long, z binary").groupBy("s").agg(F.first("z").alias("z"))
 
 
 def verified(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose texts (s, text) have sets of shingles of at least the Jaccard similarity."""
+    """The pairs (a, b) of sets whose texts have sets of shingles of at least the Jaccard similarity."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            left, right = as_bytes(batch.column(2)), as_bytes(batch.column(3))
-            keep = []
-            for x, y in zip(shingle_sets(left, size), shingle_sets(right, size), strict=True):
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    full = pairs.join(texts.select(F.col("s").alias("a"), F.col("text").alias("x")), "a")
-    full = full.join(texts.select(F.col("s").alias("b"), F.col("text").alias("y")), "b")
+        unpack = zstandard.ZstdDecompressor().decompress
+        for whole in batches:
+            for batch in (whole.slice(i, 64) for i in range(0, whole.num_rows, 64)):
+                columns = [batch.column(k).to_pylist() for k in (2, 3)]
+                once = list(dict.fromkeys(columns[0] + columns[1]))
+                sets = dict(zip(once, shingle_sets([unpack(z) for z in once], size), strict=True))
+                keep = []
+                for x, y in zip(*columns, strict=True):
+                    x, y = sets[x], sets[y]
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    held = packed_texts(texts, size, named(pairs))
+    full = pairs.join(held.select(F.col("s").alias("a"), F.col("z").alias("x")), "a")
+    full = full.join(held.select(F.col("s").alias("b"), F.col("z").alias("y")), "b")
     return full.select("a", "b", "x", "y").mapInArrow(work, "a long, b long")
 
 
-def similar(once: DataFrame, size: int, similarity: float) -> DataFrame:
-    """(node, component) of sets (s, n, lead, text) over all pairs of at least the Jaccard similarity; those without a pair aren't returned.
+def similar(texts: DataFrame, size: int, similarity: float) -> DataFrame:
+    """(node, component) of sets of shingles over all pairs of at least the Jaccard similarity; those without a pair aren't returned.
 
-    Pairs that share a leading shingle are found by equality and verified by their texts. Each set is first held against the one
-    set that leads most of its shingles, so that a dense group is joined by a number of pairs that grows with its size; then
+    Pairs that share a leading shingle are found by equality and verified by their texts. Each set is first held against the
+    head with which it shares most of them, so that a dense group is joined by a number of pairs that grows with its size; then
     all pairs of different components.
     """
-    posts = once.select("s", "n", F.posexplode("lead").alias("pos", "key"))
-    heads = posts.groupBy("key").agg(F.min("s").alias("head"), F.count("*").alias("m")).where("m > 1").select("key", "head")
-    posts = saved(posts.join(heads, "key"))
-    best = posts.where("s <> head").groupBy("s", "head").count().groupBy("s").agg(F.max_by("head", F.struct("count", "head")).alias("b"))
-    group = components(verified(best.select(F.col("s").alias("a"), "b"), once, size, similarity))
-    posts = saved(posts.join(group, F.col("s") == F.col("node"), "left").select("key", "pos", "s", "n", F.coalesce("component", "s").alias("c")))
+    shared = written(posts(texts, size, similarity))
+    best = shared.where("s <> head").groupBy("s", "head").count().groupBy("s").agg(F.max_by("head", F.struct("count", "head")).alias("b"))
+    group = components(verified(written(best.select(F.col("s").alias("a"), "b")), texts, size, similarity))
+    own = shared.select("key", "s", "at").distinct().join(group, F.col("s") == F.col("node"), "left")
+    own = own.select("key", F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).alias("pos"), "s", F.shiftright("at", 32).alias("n"), F.coalesce("component", "s").alias("c"))
     # keys whose sets are all of one component are done; of a pair of two components one side at least isn't in the key's largest
-    open_keys = posts.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-    posts = posts.join(open_keys, "key", "left_semi")
-    largest = posts.groupBy("key", "c").count().groupBy("key").agg(F.max_by("c", F.struct("count", "c")).alias("most"))
-    t, q = posts.join(largest, "key").where("c <> most").alias("t"), posts.alias("q")
+    open_keys = own.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
+    open_ = written(own.join(open_keys, "key", "left_semi"))
+    largest = open_.groupBy("key", "c").count().groupBy("key").agg(F.max_by("c", F.struct("count", "c")).alias("most"))
+    t, q = open_.join(largest, "key").where("c <> most").alias("t"), open_.alias("q")
     least, most = F.least("t.n", "q.n"), F.greatest("t.n", "q.n")
     # shingles in common: at most those up to this one and those behind it
     common = F.least("t.pos", "q.pos") + 1 + F.least(F.col("t.n") - F.col("t.pos"), F.col("q.n") - F.col("q.pos")) - 1
     wide = (least >= similarity * most - 1e-6) & (common * (1 + similarity) >= similarity * (least + most) - 1e-6)
     pairs = t.join(q, (F.col("t.key") == F.col("q.key")) & (F.col("t.c") != F.col("q.c")) & wide)
-    pairs = pairs.select(F.least("t.s", "q.s").alias("a"), F.greatest("t.s", "q.s").alias("b")).distinct()
-    return also(group, verified(pairs, once, size, similarity))
+    pairs = written(pairs.select(F.least("t.s", "q.s").alias("a"), F.greatest("t.s", "q.s").alias("b")).distinct())
+    return also(group, verified(pairs, texts, size, similarity))
 
 
 def representatives(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -286,29 +359,22 @@ def representatives(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
 
     Near-duplicates have sets of shingles of at least the Jaccard similarity; all such pairs are found and verified. Groups are
     their connected components. The least id of a group stays, once; rows with a null id stay. Of rows that repeat an id only those
-    go whose text has a near-duplicate: ids are told apart by their texts.
+    go whose text has a near-duplicate: ids are told apart by their texts. Null and blank texts are one group.
     """
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
-    made = shingled(texts, shingle, similarity)
-    row = F.struct("doc_id", F.xxhash64("text").alias("t")).alias("doc")
-    prints = saved(made.select(row, "s"))
-    # documents with the same set of shingles are one row
-    once = saved(made.groupBy("s").agg(F.first("n").alias("n"), F.first("lead").alias("lead"), F.first("text").alias("text")))
-    group = similar(once, shingle, similarity)
+    # documents with the same set of shingles share s
+    prints = written(set_hashes(texts.select(F.struct("doc_id", F.xxhash64("text").alias("t")).alias("doc"), "text"), shingle))
+    group = similar(texts, shingle, similarity)
     own = prints.join(group, F.col("s") == F.col("node"), "left").select("doc", F.coalesce("component", "s").alias("c"))
     first = own.groupBy("c").agg(F.min("doc").alias("first"))
-    gone = own.join(first, "c").where("doc <> first").select(F.col("doc.doc_id").alias("gone"), F.col("doc.t").alias("gone_t")).distinct()
-    kept = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t")).join(gone, (F.col("id") == F.col("gone")) & (F.col("t") == F.col("gone_t")), "left_anti")
-    # of rows that repeat an id and its text one stays; rows without id are told apart by a random number
-    kept = kept.withColumn("pick", F.row_number().over(_by_id()))
+    gone = own.join(first, "c").where("doc <> first").select(F.col("doc.doc_id").alias("id"), F.col("doc.t").alias("t"), F.lit(0).cast("long").alias("salt")).distinct()
+    # of rows that repeat an id and its text one stays; rows without id are told apart by the salt
+    row = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t"))
+    row = row.withColumn("salt", F.when(F.col("id").isNull(), F.xxhash64("row")).otherwise(F.lit(0).cast("long")))
+    kept = row.join(gone, ["id", "t", "salt"], "left_anti")
+    kept = kept.withColumn("pick", F.row_number().over(Window.partitionBy("id", "t", "salt").orderBy(F.xxhash64("row"))))
     return kept.where("id is null or pick = 1").select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
-def _by_id():  # noqa: ANN202
-    from pyspark.sql import Window
-
-    return Window.partitionBy("id", "t", F.when(F.col("id").isNull(), F.xxhash64("row"))).orderBy(F.xxhash64("row"))
-
-
 def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
