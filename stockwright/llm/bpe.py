@@ -34,6 +34,11 @@ class Memory(dict):
         return got
 
 
+    def forget(self) -> None:
+        self.clear()
+        self.old = {}
+
+
 def merged(symbols: list[str], rank: Callable[[str, str], float | None]) -> list[str]:
     """Joins the adjacent pair of least rank, the leftmost of equals, until no pair has a rank."""
     return _by_scan(list(symbols), rank) if len(symbols) <= SHORT else _by_heap(symbols, rank)

@@ -205,7 +205,10 @@ def model(path: str) -> PieceModel:
 _ARROW = {"long": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}
 
 
-def _rows(texts: DataFrame, path: str, schema: str, row) -> DataFrame:  # noqa: ANN001
+def _rows(texts: DataFrame, path: str, schema: str, row, forget: bool = False) -> DataFrame:  # noqa: ANN001
+    """texts with the columns of schema, made of each text by ``row``. forget: a task leaves no memory of parts in its worker,
+    where other stages follow in the same workers.
+    """
     names, kinds = zip(*[x.split() for x in schema.split(", ")], strict=True)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,6 +221,9 @@ def _rows(texts: DataFrame, path: str, schema: str, row) -> DataFrame:  # noqa:
                 out = list(zip(*[row(m, t or "") for t in some.column("text").to_pylist()], strict=True))
                 rest = [some.column(i) for i in range(some.num_columns - 1)]
                 yield pa.RecordBatch.from_arrays([*rest, *[pa.array(x, _ARROW[k]) for x, k in zip(out, kinds, strict=True)]], names=[*some.schema.names[:-1], *names])
+        if forget:
+            m.known.forget()
+            m.compatible.forget()
 
     kept = [f for f in texts.schema.fields if f.name != "text"]
     return texts.select(*[f.name for f in kept], "text").mapInArrow(work, ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in kept], schema]))
@@ -230,7 +236,7 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
 
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return _rows(texts, path or default_model(), "ids array<int>, decoded string", lambda m, t: m.encode(t))
+    return _rows(texts, path or default_model(), "ids array<int>, decoded string", lambda m, t: m.encode(t), forget=True)
 
 
 def encoding_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
