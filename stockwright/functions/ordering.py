@@ -47,6 +47,43 @@ def part_order(order: str = "votes_desc", id_col: str = "id") -> list[Column]:
     return [*key(F.col(column), down), F.col(id_col).asc()]
 
 
+def datetime_key(value: Column) -> list[Column]:
+    """Earlier times first, missing ones last."""
+    return [value.asc_nulls_last()]
+
+
+def compound_key(*values: Column) -> list[Column]:
+    """Several texts, one after the other, as one key; a missing one is an empty text."""
+    return [F.concat_ws("\x1f", *[F.coalesce(v.cast("string"), F.lit("")) for v in values]).asc()]
+
+
+#: Orders of a build list's lines: the column, and whether it is a number.
+LINE_KEYS = {"part": False, "part_manufacturer": False, "part_number": False, "fit": False, "qty": True, "price": True}
+
+
+def line_order(key: str, descending: bool = False, part: str = "part") -> list[Column]:
+    """Lines by a key of LINE_KEYS: missing values, empty texts among them, are last both ways; ties go by the part's name."""
+    value = F.col(key) if LINE_KEYS[key] else F.nullif(F.col(key), F.lit(""))
+    return [value.desc_nulls_last() if descending else value.asc_nulls_last(), F.col(part).asc()]
+
+
+#: Orders of the table of parts and what stands for a missing value.
+TABLE_KEYS = {"part": "", "part_manufacturer": "", "part_number": "", "category": "", "fit": "", "rating": 0, "price": 0}
+
+
+def table_order(key: str, descending: bool = False) -> list[Column]:
+    value = F.coalesce(key, F.lit(TABLE_KEYS[key]))
+    return [value.desc() if descending else value.asc()]
+
+
+#: Activities in the order of a crawl's table.
+ACTIVITIES = ("active", "idle", "stalled", "queued", "done")
+
+
+def activity_order(activity: Column, name: Column) -> list[Column]:
+    return [F.array_position(F.lit(list(ACTIVITIES)), activity).asc(), name.asc()]
+
+
 def cursor(values: Sequence) -> str:
     return base64.urlsafe_b64encode(json.dumps(list(values), separators=(",", ":")).encode()).decode().rstrip("=")
 
@@ -72,6 +109,13 @@ def keyset_page(df: DataFrame, keys: Sequence[str], limit: int, after: Sequence
     return df.orderBy(*keys).limit(limit)
 
 
+def scan_page(df: DataFrame, key: str, limit: int, after: str | None = None) -> DataFrame:
+    """One page of a whole table in the order of a text key, without the reservations that share it."""
+    from stockwright.functions.predicates import not_reserved
+
+    return keyset_page(df.where(not_reserved(key)), [key], limit, None if after is None else [after])
+
+
 def offset_page(df: DataFrame, order: Sequence[Column], skip: int, limit: int) -> DataFrame:
     return df.orderBy(*order).offset(max(0, skip)).limit(min(max(1, limit), _PAGE_MOST))
 

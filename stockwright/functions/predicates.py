@@ -7,12 +7,13 @@ from dataclasses import dataclass
 from functools import reduce
 from operator import and_, or_
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def normal_term(term: Column | str | None) -> Column:
-    return F.lower(F.trim(F.coalesce(term if isinstance(term, Column) else F.lit(term), F.lit(""))))
+    """A search term in lower case without the white space about it; nothing is an empty term."""
+    return F.lower(F.btrim(F.coalesce(term if isinstance(term, Column) else F.lit(term), F.lit("")), F.lit(" \t\n\x0b\x0c\r")))
 
 
 def _any(term: str | None, columns: Sequence[Column | str], how) -> Column:  # noqa: ANN001
@@ -45,6 +46,25 @@ def activity(done: Column, age_seconds: Column) -> Column:
     return F.when(done, "done").when(age_seconds < 15, "active").when(age_seconds < 90, "idle").otherwise("stalled")
 
 
+def exact_after_lookup(name: Column, wanted: str) -> Column:
+    """Found by its name in any case, but kept only if the case is that of the name too."""
+    return (F.lower(name) == wanted.lower()) & (name == wanted)
+
+
+#: What anyone may see of a user.
+PUBLIC = ("user_id", "username", "segment")
+
+
+def public(users: DataFrame) -> DataFrame:
+    """Users as others see them: no address, no balance."""
+    return users.select(*[c for c in users.columns if c in PUBLIC])
+
+
+def not_reserved(key: Column | str) -> Column:
+    """Rows of a table that aren't reservations of unique values, which share it."""
+    return ~F.startswith(F.col(key) if isinstance(key, str) else key, F.lit("#unique#"))
+
+
 @dataclass(frozen=True)
 class PartFilter:
     """What a catalogue listing may be narrowed to. An owner sees duplicates too, anyone else canonical parts only."""

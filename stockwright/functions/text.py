@@ -7,8 +7,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Query parameters that only follow visitors around.
-TRACKING = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "gclid", "fbclid", "ref")
+# Query parameters that only follow visitors around, and those that only size an image.
+TRACKING = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "fbclid", "gclid", "gclsrc", "dclid", "msclkid", "twclid", "ref", "source")
+SIZES = ("width", "height", "w", "h", "size", "resize", "dpr", "q", "quality", "format", "fit", "crop")
+LARGE_WIDTH = 5760
+_SCHEME = "^([A-Za-z][A-Za-z0-9+.-]*):"
+_PARTS = "^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://([^/?#]*))?([^?#]*)"
+
+
+#: The white space that str.strip() takes off, as far as ASCII goes.
+_BLANKS = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f"
 
 
 def slug(name: Column) -> Column:
@@ -55,14 +63,53 @@ def host(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
 
 
-def canonical_url(url: Column, drop: Sequence[str] = TRACKING) -> Column:
-    """Lower-case scheme and host, no tracking parameters, no fragment, no bare slash."""
-    scheme = F.lower(F.regexp_extract(url, "^([A-Za-z][A-Za-z0-9+.-]*)://", 1))
-    path = F.regexp_extract(url, "^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+def _decoded(value: Column) -> Column:
+    return F.coalesce(F.try_url_decode(value), value)
+
+
+def _encoded(value: Column) -> Column:
+    return F.replace(F.replace(F.url_encode(value), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
+def query_pairs(url: Column, drop: Sequence[str], blanks: bool = True) -> Column:
+    """The decoded parameters of a url as array<struct<k,v>> without those to drop, whatever their case; a name that occurs
+    again is moved to its first place. Without ``blanks`` parameters of no value go.
+    """
     query = F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1)
-    kept = F.filter(F.split(query, "&"), lambda p: (p != "") & ~F.lower(F.split(p, "=")[0]).isin(*drop))
-    tail = F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise("")
-    return F.concat(scheme, F.lit("://"), host(url), F.when(path == "/", "").otherwise(path), tail)
+    some = F.filter(F.split(query, "&"), lambda p: p != "")
+    pairs = F.transform(some, lambda p: F.struct(_decoded(F.regexp_extract(p, "^[^=]*", 0)).alias("k"), _decoded(F.regexp_extract(p, "(?s)^[^=]*=(.*)$", 1)).alias("v")))
+    pairs = F.filter(pairs, lambda p: (~F.lower(p["k"]).isin(*drop) if drop else F.lit(True)) & (F.lit(blanks) | (p["v"] != "")))
+    return F.flatten(F.transform(F.array_distinct(F.transform(pairs, lambda p: p["k"])), lambda k: F.filter(pairs, lambda p: p["k"] == k)))
+
+
+def query_text(pairs: Column) -> Column:
+    """Parameters encoded again, with the ? before them; empty if there are none."""
+    joined = F.array_join(F.transform(pairs, lambda p: F.concat(_encoded(p["k"]), F.lit("="), _encoded(p["v"]))), "&")
+    return F.when(F.size(pairs) > 0, F.concat(F.lit("?"), joined)).otherwise("")
+
+
+def canonical_url(url: Column, drop: Sequence[str] = TRACKING) -> Column:
+    """Lower-case scheme (https, if there is none) and host, no tracking parameters, no fragment, no bare slash."""
+    scheme = F.coalesce(F.nullif(F.lower(F.regexp_extract(url, _SCHEME, 1)), F.lit("")), F.lit("https"))
+    netloc, path = F.lower(F.regexp_extract(url, _PARTS, 1)), F.regexp_extract(url, _PARTS, 2)
+    path = F.when(path == "/", "").when((netloc == "") & ~F.startswith(path, F.lit("/")), F.concat(F.lit("/"), path)).otherwise(path)
+    return F.concat(scheme, F.lit("://"), netloc, path, query_text(query_pairs(url, drop)))
+
+
+def image_url(url: Column, width: int | None = None) -> Column:
+    """An image's address without what only sizes it, the same for all its sizes; with a width, the address to fetch it at.
+
+    Texts without scheme or host stay as they are.
+    """
+    u = F.btrim(url, F.lit(_BLANKS))
+    scheme, netloc, path = F.lower(F.regexp_extract(u, _SCHEME, 1)), F.lower(F.regexp_extract(u, _PARTS, 1)), F.regexp_extract(u, _PARTS, 2)
+    pairs = query_pairs(u, SIZES, blanks=width is not None)
+    if width is None:
+        netloc = F.ltrim(netloc, F.lit("w."))
+    else:
+        pairs = F.concat(pairs, F.array(F.struct(F.lit("width").alias("k"), F.lit(str(width)).alias("v"))))
+    made = F.concat(F.when(scheme.isin("http", "https"), "https").otherwise(scheme), F.lit("://"), netloc, F.when(path == "", "/").otherwise(path), query_text(pairs))
+    return F.when((scheme != "") & (F.regexp_extract(u, _PARTS, 1) != ""), made).otherwise(url)
 
 
 def url_key(url: Column) -> Column:
@@ -102,6 +149,11 @@ def capped(items: Column, most: int) -> Column:
     return F.slice(F.array_distinct(items), 1, most)
 
 
+def with_new(items: Column, item: Column, most: int) -> Column:
+    """An item behind the others, unless it is among them or there are ``most`` already."""
+    return F.when(F.array_contains(items, item) | (F.size(items) >= most), items).otherwise(F.array_append(items, item))
+
+
 def to_front(items: Column, place: int) -> Column:
     """The element at a place moved to the front."""
     return F.concat(F.array(F.get(items, place)), F.filter(items, lambda _, i: i != place))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stockwright.functions.text import xml_escaped
+from stockwright.functions.text import LARGE_WIDTH, gtin, image_url, query_pairs, xml_escaped
 
 
 def facets(filtered: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -29,30 +32,57 @@ def resolve(candidates: DataFrame, by_gtin: DataFrame, by_url: DataFrame, by_num
     return df.select("candidate_id", F.coalesce("g", "u", "m").alias("part_id"), (distinct > 1).alias("conflict"))
 
 
-def classify(items: DataFrame, keywords: DataFrame, key: str, name: str, text: str, other: str = "other", most_keywords: int = 20_000) -> DataFrame:
-    """(key, category): twice the keywords found in the name plus those in the text; the first category of the best score.
+# Keywords of a category that don't count where the text about them speaks of something else.
+EXCEPT = (
+    ("wheels", ("wheel", "wheels"), ("steering wheel", "steering wheels", "wheel cleaner", "wheel polish", "wheel wax")),
+    ("suspension", ("spring", "springs"), ("valve spring", "valve springs")),
+    ("body", ("license plate",), ("license plate frame", "license plate relocator")),
+)
+_TOKEN = r"(?U)\w+|\W+"
 
-    keywords (category, place, keyword), of bounded number, are matched as whole words or phrases. Items are cut into word
-    runs that meet the keywords by equality, so that the work follows the text and not items times keywords.
+
+def classify(items: DataFrame, keywords: DataFrame | Sequence[tuple[str, int, str]], key: str, name: str, text: str, other: str = "other", exceptions: Sequence = EXCEPT, most_keywords: int = 20_000) -> DataFrame:
+    """(key, category): twice the distinct keywords found in the name plus those in the text; the first category of the best
+    score, ``other`` where none is found, null where both texts are blank.
+
+    keywords (category, place, keyword) are matched as whole words or phrases that begin and end with a letter, digit or
+    underscore. exceptions (category, its keywords, phrases): these don't count where name or text hold one of the phrases.
+    Items are cut into word runs that meet the keywords by equality, so that the work follows the text and not items times
+    keywords. Up to most_keywords are broadcast, more are joined by a shuffle.
     """
-    longest = F.size(F.split("keyword", " "))
-    kw = keywords.select("category", "place", F.lower("keyword").alias("keyword")).distinct()
-    spans = [r[0] for r in kw.select(longest).distinct().collect()]
-    words = lambda c: F.filter(F.split(F.lower(F.coalesce(F.col(c), F.lit(""))), "[^\\p{L}\\p{N}]+"), lambda w: w != "")
+    spark = items.sparkSession
+    kind = "category string, place int, keyword string"
+    if isinstance(keywords, DataFrame):
+        first = keywords.select("category", "place", "keyword").limit(most_keywords + 1).collect()
+        few = len(first) <= most_keywords
+    else:
+        first, few = list(keywords), len(keywords) <= most_keywords
+    table = spark.createDataFrame([tuple(r) for r in first], kind) if few or not isinstance(keywords, DataFrame) else keywords
+    kw = table.select("category", "place", F.lower("keyword").alias("keyword")).distinct()
+    if few or not isinstance(keywords, DataFrame):
+        lengths = sorted({len(re.findall(r"\w+", r[2])) for r in first})
+    else:
+        lengths = sorted(r[0] for r in kw.select(F.size(F.regexp_extract_all("keyword", F.lit(r"(?U)\w+"), 0))).distinct().collect())
 
     def runs(c: str) -> Column:
-        w = words(c)
+        # words at even places, what is between them at odd ones
+        tokens = F.regexp_extract_all(F.regexp_replace(F.lower(F.coalesce(F.col(c), F.lit(""))), r"(?U)^\W+", ""), F.lit(_TOKEN), 0)
+        n_words = F.floor((F.size(tokens) + 1) / 2).cast("int")
 
         def of(n: int) -> Column:
-            made = F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.array_join(F.slice(w, i + 1, n), " "))
-            return F.when(F.size(w) >= n, made).otherwise(F.array().cast("array<string>"))
-
-        made = [of(n) for n in spans]
-        return F.array_distinct(F.concat(*made) if len(made) > 1 else made[0]) if made else F.array().cast("array<string>")
-
-    found = items.select(key, F.explode(F.array(F.struct(F.lit(2).alias("weight"), runs(name).alias("r")), F.struct(F.lit(1).alias("weight"), runs(text).alias("r")))).alias("x"))
-    found = found.select(key, "x.weight", F.explode("x.r").alias("keyword"))
-    scored = found.join(F.broadcast(kw.limit(most_keywords)) if kw.limit(most_keywords + 1).count() <= most_keywords else kw, "keyword").groupBy(key, "category", "place").agg(F.sum("weight").alias("score"))
+            made = F.transform(F.sequence(F.lit(0), n_words - n), lambda i: F.array_join(F.slice(tokens, 2 * i + 1, 2 * n - 1), ""))
+            return F.when(n_words >= n, made).otherwise(F.array().cast("array<string>"))
+
+        made = [of(n) for n in lengths if n]
+        return F.array_distinct(F.concat(*made)) if made else F.array().cast("array<string>")
+
+    both = F.lower(F.concat_ws(" ", name, text))
+    said = F.array(*[F.when(reduce(or_, [F.contains(both, F.lit(p)) for p in phrases]), F.lit(c)) for c, _, phrases in exceptions]) if exceptions else F.array().cast("array<string>")
+    found = items.select(key, F.array_compact(said).alias("said"), F.explode(F.array(F.struct(F.lit(2).alias("weight"), runs(name).alias("r")), F.struct(F.lit(1).alias("weight"), runs(text).alias("r")))).alias("x"))
+    found = found.select(key, "said", "x.weight", F.explode("x.r").alias("keyword")).join(F.broadcast(kw) if few else kw, "keyword")
+    for c, words, _ in exceptions:
+        found = found.where(~((F.col("category") == c) & F.col("keyword").isin(*words) & F.array_contains("said", c)))
+    scored = found.groupBy(key, "category", "place").agg(F.sum("weight").alias("score"))
     best = scored.groupBy(key).agg(F.max_by("category", F.struct("score", -F.col("place"))).alias("category"))
     blank = (F.trim(F.coalesce(name, F.lit(""))) == "") & (F.trim(F.coalesce(text, F.lit(""))) == "")
     return items.select(key, blank.alias("_blank")).join(best, key, "left").select(key, F.when(~F.col("_blank"), F.coalesce("category", F.lit(other))).alias("category"))
@@ -72,6 +102,87 @@ def value_score(joined: DataFrame, predicted: str, truth: str) -> DataFrame:
     return ratios(known.agg(F.count_if(F.col(predicted) == F.col(truth)).alias("tp"), F.count(predicted).alias("np"), F.count("*").alias("nt")))
 
 
+def micro_score(predicted: DataFrame, truth: DataFrame, entity: str, keys: Sequence[str]) -> DataFrame:
+    """Scores of many multisets, one for each entity, by the sums of their counts; entities of either side are the sample."""
+    scores = multiset_score(predicted, truth, [entity, *keys])
+    sample = predicted.select(entity).unionByName(truth.select(entity)).agg(F.countDistinct(entity).alias("sample_size"))
+    return sample.join(F.broadcast(scores))  # two single rows
+
+
+def verified_counts(expected: DataFrame, found: DataFrame, name: str = "name") -> DataFrame:
+    """(name, expected, found, ok) from two tables (name, n); a missing one counts as none."""
+    e, f = expected.select(name, F.col("n").alias("expected")), found.select(name, F.col("n").alias("found"))
+    n = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    return e.join(f, name, "full_outer").select(name, n("expected").alias("expected"), n("found").alias("found"), (n("expected") == n("found")).alias("ok"))
+
+
+def crawl_rates(processed: Column, total: Column, seconds: Column) -> Column:
+    """struct<percent, per_minute, eta_seconds>, rounded halves up; 0 where there is nothing to divide by."""
+    half_up = lambda c: F.floor(c + 0.5).cast("long")
+    percent = F.when(total > 0, F.least(F.lit(100), F.greatest(F.lit(0), half_up(processed / total * 100)))).otherwise(0).cast("long")
+    rate = F.when(seconds > 0, half_up(processed / seconds * 60)).otherwise(0)
+    left = F.when(total > 0, F.greatest(F.lit(0), total - processed)).otherwise(0)
+    eta = F.when((rate > 0) & (left > 0), half_up(left / rate * 60)).otherwise(0)
+    return F.struct(percent.alias("percent"), rate.alias("per_minute"), eta.alias("eta_seconds"))
+
+
+def by_gtin(candidates: DataFrame, parts: DataFrame) -> DataFrame:
+    """(candidate_id, part_id): the canonical part with the candidate's GTIN, digits only; a part that is stored with just
+    these digits comes before one that is stored in another form, then the least id. candidates (candidate_id, gtin), parts
+    (id, gtin, canonical_part_id).
+    """
+    canon = parts.where("canonical_part_id is null").select(gtin(F.col("gtin")).alias("k"), "id", F.col("gtin").alias("stored")).where("k is not null")
+    best = canon.groupBy("k").agg(F.min_by("id", F.struct(F.col("stored") != F.col("k"), F.col("id"))).alias("part_id"))
+    return candidates.select("candidate_id", gtin(F.col("gtin")).alias("k")).join(best, "k", "left").select("candidate_id", "part_id")
+
+
+def owned_by_url(candidates: DataFrame, listed: DataFrame) -> DataFrame:
+    """(candidate_id, part_id): the creator's own part of least id that is listed at the candidate's url; it bars a new one.
+    candidates (candidate_id, user_id, url), listed (url, user_id, id).
+    """
+    own = listed.where("url is not null").groupBy("user_id", F.trim("url").alias("u")).agg(F.min("id").alias("part_id"))
+    return candidates.select("candidate_id", "user_id", F.nullif(F.trim("url"), F.lit("")).alias("u")).join(own, ["user_id", "u"], "left").select("candidate_id", "part_id")
+
+
+def retailer_of(candidates: DataFrame, retailers: DataFrame) -> DataFrame:
+    """(candidate_id, retailer_id, action): by domain as given, then with or without www., then by name; ``found``,
+    ``backfilled`` where the retailer of that name had no domain, ``created`` where there is none.
+    candidates (candidate_id, name, domain), retailers (retailer_id, name, domain).
+    """
+    own = F.nullif(F.lower(F.trim("domain")), F.lit(""))
+    stored = retailers.where("domain is not null").groupBy(F.lower("domain").alias("v")).agg(F.min("retailer_id").alias("at"))
+    asked = candidates.select("candidate_id", F.lower(F.trim("name")).alias("n"), own.alias("d"))
+    other = F.when(F.startswith("d", F.lit("www.")), F.expr("substring(d, 5)")).otherwise(F.concat(F.lit("www."), F.col("d")))
+    spelled = asked.where("d is not null").select("candidate_id", F.posexplode(F.array("d", other)).alias("place", "v"))
+    by_domain = spelled.join(stored, "v").groupBy("candidate_id").agg(F.min_by("at", "place").alias("at"))
+    by_name = retailers.groupBy(F.lower("name").alias("n")).agg(F.min(F.struct("retailer_id", "domain")).alias("r"))
+    df = asked.join(by_domain, "candidate_id", "left").join(by_name, "n", "left")
+    fills = F.col("at").isNull() & F.col("r").isNotNull() & F.col("d").isNotNull() & F.col("r.domain").isNull()
+    found = F.coalesce(F.col("at"), F.col("r.retailer_id"))
+    return df.select("candidate_id", found.alias("retailer_id"), F.when(found.isNull(), "created").when(fills, "backfilled").otherwise("found").alias("action"))
+
+
+def identifier_conflicts(candidates: DataFrame, stored: DataFrame) -> DataFrame:
+    """(candidate_id, identifier, existing_id) of candidates with an identifier that a stored part of another id has: gtin
+    before manufacturer_part_number, then the least id. Both tables have (id, gtin, manufacturer, number), null where unknown.
+    """
+    c = candidates.select(F.col("id").alias("candidate_id"), "gtin", "manufacturer", "number")
+    g = c.join(stored.where("gtin is not null").select("gtin", "id"), "gtin").select("candidate_id", F.lit(0).alias("place"), "id")
+    m = c.join(stored.where("manufacturer is not null and number is not null").select("manufacturer", "number", "id"), ["manufacturer", "number"]).select("candidate_id", F.lit(1).alias("place"), "id")
+    first = g.unionByName(m).where("id <> candidate_id").groupBy("candidate_id").agg(F.min(F.struct("place", "id")).alias("x"))
+    return first.select("candidate_id", F.when(F.col("x.place") == 0, "gtin").otherwise("manufacturer_part_number").alias("identifier"), F.col("x.id").alias("existing_id"))
+
+
+def images_to_fetch(items: DataFrame, cached: DataFrame, key: str, urls: str, most: int = 12) -> DataFrame:
+    """(key, image): of the first ``most`` urls of an item, the widest of each canonical address, the first of equals, at the
+    address of its large form, unless the canonical address is in cached (canonical).
+    """
+    some = items.select(key, F.posexplode(F.slice(urls, 1, most)).alias("place", "url")).where("url is not null and trim(url) <> ''")
+    width = F.coalesce(F.get(F.filter(query_pairs(F.col("url"), ()), lambda p: p["k"] == "width"), 0)["v"].try_cast("int"), F.lit(0))
+    widest = some.groupBy(key, image_url(F.col("url")).alias("canonical")).agg(F.max_by("url", F.struct(width, -F.col("place"))).alias("url"))
+    return widest.join(cached, "canonical", "left_anti").select(key, image_url(F.col("url"), LARGE_WIDTH).alias("image"))
+
+
 def ratios(counts: DataFrame) -> DataFrame:
     div = lambda a, b: F.when(b == 0, F.lit(0.0)).otherwise(a / b)
     tp, n_p, n_t = F.col("tp"), F.col("np"), F.col("nt")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,6 +87,47 @@ def daily(observations: DataFrame, keys: Sequence[str], arrival: str) -> DataFra
     return observations.groupBy(*keys, day.alias("day")).agg(x).select(*keys, "day", "x.price_cents", "x.observed_at")
 
 
+def ingested(listings: DataFrame, history: DataFrame, observations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Listings and history after a batch of observations (part_id, retailer_id, price_cents, observed_at).
+
+    An unknown listing is created. A price of 0 or more becomes the listing's, the latest of the batch counts, and replaces
+    the observation of the same day; without one nothing but the listing is written.
+    """
+    keys = ["part_id", "retailer_id"]
+    priced = observations.where("price_cents >= 0")
+    seen = observations.groupBy(*keys).agg(F.max(F.when(F.col("price_cents") >= 0, F.struct("observed_at", "price_cents"))).alias("x"))
+    both = listings.join(seen, keys, "full_outer")
+    new = both.select(*keys, F.coalesce("x.price_cents", "price_cents").alias("price_cents"), F.coalesce("x.observed_at", "updated_at").alias("updated_at"))
+    day = F.date_trunc("day", "observed_at").alias("day")
+    latest = priced.groupBy(*keys, day).agg(F.max(F.struct("observed_at", "price_cents")).alias("x")).select(*keys, "day", "x.observed_at", "x.price_cents")
+    kept = history.select("*", day).join(latest, [*keys, "day"], "left_anti")
+    return new, kept.select(*keys, "observed_at", "price_cents").unionByName(latest.select(*keys, "observed_at", "price_cents"))
+
+
+def chart_groups(points: DataFrame, near: float = 16.0) -> DataFrame:
+    """(chart, x, y, head_x, head_y): to which group each pixel of a chart belongs, whose points are drawn as one.
+
+    points (chart, x, y, place), in pixels and in the order in which they are drawn. A point joins the first group whose
+    first point is at most ``near`` away, else it begins one. Points of one pixel share a group, so a chart sends one row a
+    pixel, however long its history.
+    """
+
+    def walk(df: pd.DataFrame) -> pd.DataFrame:
+        heads: list[tuple[int, int]] = []
+        out = []
+        for x, y in zip(df["x"], df["y"], strict=True):
+            head = next((h for h in heads if math.hypot(x - h[0], y - h[1]) <= near), None)
+            if head is None:
+                heads.append(head := (x, y))
+            out.append(head)
+        return df.assign(head_x=[h[0] for h in out], head_y=[h[1] for h in out])[["chart", "x", "y", "head_x", "head_y"]]
+
+    pixels = points.groupBy("chart", F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y")).agg(F.min("place").alias("place"))
+    pixels = pixels.withColumn("place", F.row_number().over(Window.partitionBy("chart").orderBy("place")))
+    kind = f"chart {points.schema['chart'].dataType.simpleString()}, x long, y long, head_x long, head_y long"
+    return pixels.groupBy("chart").applyInPandas(lambda df: walk(df.sort_values("place")), kind)
+
+
 def drops(history: DataFrame, keys: Sequence[str] = ("part_id", "retailer_id")) -> DataFrame:
     """Observations that are below the one before, or the first of their listing."""
     before = F.lag("price_cents").over(Window.partitionBy(*keys).orderBy("observed_at"))

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -90,5 +90,43 @@ def in_use(df: DataFrame, references: DataFrame, key: str, ref: str) -> DataFram
     return df.join(references.select(F.col(ref).alias("_ref")), F.col(key) == F.col("_ref"), "left_semi")
 
 
-def single_file_tables(spark: SparkSession, path: str, names: Sequence[str]) -> dict[str, DataFrame]:
-    return {n: spark.read.parquet(f"{path}/{n}") for n in names}
+def claims(stored: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+    """(label, value, owner, action): what becomes of the unique values of owners that are created, changed or deleted.
+
+    stored (label, value, owner) are the values held, before and after those of the owners of a batch: none before for a new
+    owner, none after for a deleted one. A new value that another owner holds, or that an owner of lesser id claims in the
+    same batch, is ``taken``; then the owner's other changes are ``refused``. All else is ``claim`` or ``release``.
+    """
+    pair, own = ["label", "value"], ["label", "value", "owner"]
+    wanted = after.select(*own).distinct().join(before, own, "left_anti")
+    held = stored.select(*pair, F.col("owner").alias("holder"))
+    first = wanted.groupBy(*pair).agg(F.min("owner").alias("first"))
+    wanted = wanted.join(first, pair).join(held, pair, "left").select(*own, (F.coalesce(F.col("holder") != F.col("owner"), F.lit(False)) | (F.col("owner") != F.col("first"))).alias("taken"))
+    dropped = before.select(*own).distinct().join(after, own, "left_anti")
+    all_of = wanted.withColumn("action", F.lit("claim")).unionByName(dropped.withColumns({"taken": F.lit(False), "action": F.lit("release")}))
+    failed = wanted.where("taken").select("owner").distinct().withColumn("failed", F.lit(True))
+    action = F.when(F.col("taken"), "taken").when(F.col("failed"), "refused").otherwise(F.col("action"))
+    return all_of.join(failed, "owner", "left").select(*own, action.alias("action"))
+
+
+def purged(parts: DataFrame, owned: dict[str, tuple[DataFrame, str]], gone: DataFrame, key: str = "id") -> dict[str, DataFrame]:
+    """``parts`` with tombstones on the gone ones and without links to them, and each owned table without their rows."""
+    marks = gone.select(F.col(key).alias("_gone")).distinct()
+    df = parts.join(marks, F.col(key) == F.col("_gone"), "left").withColumn("deleted", F.col("_gone").isNotNull()).drop("_gone")
+    df = df.join(marks, F.col("canonical_part_id") == F.col("_gone"), "left")
+    df = df.withColumn("canonical_part_id", F.when(F.col("_gone").isNull(), F.col("canonical_part_id"))).drop("_gone")
+    return {"parts": df} | cascade(owned, gone, key)
+
+
+def emptied(df: DataFrame, ref: str) -> DataFrame:
+    """df without what it refers to: the way in which a whole table that it refers to can go."""
+    return df.withColumn(ref, F.lit(None).cast(df.schema[ref].dataType))
+
+
+def first_owners(df: DataFrame, keys: Sequence[str], owner: str, most: int = 10) -> DataFrame:
+    """Keys with more than one owner, their number and the ``most`` least of them in order."""
+    own = df.select(*keys, owner).distinct()
+    w = Window.partitionBy(*keys).orderBy(owner)
+    ranked = own.withColumn("_n", F.row_number().over(w))
+    listed = F.sort_array(F.collect_list(F.when(F.col("_n") <= most, F.col(owner))))
+    return ranked.groupBy(*keys).agg(F.count("*").alias("owners"), listed.alias("first_owners")).where("owners > 1")

@@ -7,6 +7,7 @@ from stockwright.functions import predicates as P
 from stockwright.operators import analysis as A
 from stockwright.operators import relations as L
 from stockwright.plans.registry import Registry
+from stockwright.sources import tables
 
 R = Registry()
 QUERIES, ORACLE_SQL = R.queries, R.sql
@@ -344,3 +345,332 @@ def k03(c):
 @R.add("k05_sitemap", "SELECT CAST(floor((n - 1) / 700) AS BIGINT) AS page, n AS place, '<url><loc>https://site.example/b/' || build_id || '</loc><lastmod>' || strftime(created_at, '%Y-%m-%dT%H:%M:%SZ') || '</lastmod></url>' AS entry FROM (SELECT *, row_number() OVER (ORDER BY CAST(build_id AS VARCHAR)) AS n FROM builds)")
 def k05(c):
     return A.sitemap_entries(c.builds, "build_id", "https://site.example/b/", "created_at", 700)
+
+
+_WITH_RESERVATIONS = "(SELECT CAST(id AS VARCHAR) AS id, name, price_cents FROM parts UNION ALL SELECT '#unique#name#' || lower(name), NULL, NULL FROM parts)"
+
+
+def _with_reservations(c):
+    """Parts as a table holds them that also holds the reservations of their unique names."""
+    none = c.parts.select(F.concat(F.lit("#unique#name#"), F.lower("name")).alias("id"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("long").alias("price_cents"))
+    return c.parts.select(F.col("id").cast("string").alias("id"), "name", "price_cents").unionByName(none)
+
+
+@R.add("s04_query_all", "SELECT part_id, price_cents FROM listings WHERE retailer_id = 3 AND price_cents BETWEEN 100000 AND 200000")
+def s04(c):
+    return c.listings.where("retailer_id = 3 and price_cents between 100000 and 200000").select("part_id", "price_cents").orderBy("price_cents", "part_id")
+
+
+@R.add("s06_scan_page", f"SELECT id, name FROM {_WITH_RESERVATIONS} WHERE NOT starts_with(id, '#unique#') AND price_cents > 90500 AND id > '12' ORDER BY id LIMIT 40")
+def s06(c):
+    return O.scan_page(_with_reservations(c).where("price_cents > 90500").select("id", "name"), "id", 40, "12")
+
+
+@R.add("s07_scan_all", f"SELECT id, name, price_cents FROM {_WITH_RESERVATIONS} WHERE NOT starts_with(id, '#unique#')")
+def s07(c):
+    return _with_reservations(c).where(P.not_reserved("id"))
+
+
+@R.add("s09_get_many", "SELECT id, name FROM parts WHERE id IN (SELECT part_id FROM lines WHERE quantity = 49)")
+def s09(c):
+    return L.in_use(c.parts.select("id", "name"), c.lines.where("quantity = 49"), "id", "part_id")
+
+
+@R.add("s23_alerts_of", "SELECT 'user' AS by, user_id, part_id, threshold_cents FROM alerts WHERE user_id = 7 UNION ALL SELECT 'part', user_id, part_id, threshold_cents FROM alerts WHERE part_id = 11 UNION ALL SELECT 'pair', user_id, part_id, threshold_cents FROM alerts WHERE user_id = 7 AND part_id = (SELECT min(part_id) FROM alerts WHERE user_id = 7)")
+def s23(c):
+    one = c.alerts.where("user_id = 7")
+    pair = one.join(one.agg(F.min("part_id").alias("part_id")), "part_id", "left_semi")
+    some = [("user", one), ("part", c.alerts.where("part_id = 11")), ("pair", pair)]
+    a, b, d = [df.select(F.lit(k).alias("by"), "user_id", "part_id", "threshold_cents") for k, df in some]
+    return a.unionByName(b).unionByName(d)
+
+
+@R.add("s24_recorded_images", "SELECT url, user_id, arg_min(file_id, (new, file_id)) AS file_id FROM (SELECT url, page_id % 5 AS user_id, page_id AS file_id, 1 AS new FROM pages UNION ALL SELECT url, page_id % 5, page_id + 1000000, 0 FROM pages WHERE page_id % 3 = 0) GROUP BY ALL")
+def s24(c):
+    """What is stored for a url and user stays; of several new records the first counts."""
+    new = c.raw("pages").groupBy("url", (F.col("page_id") % 5).alias("user_id")).agg(F.min("page_id").alias("file_id"))
+    stored = c.raw("pages").where("page_id % 3 = 0").groupBy("url", (F.col("page_id") % 5).alias("user_id")).agg((F.min("page_id") + 1000000).alias("file_id"))
+    return L.insert_absent(stored, new, ["url", "user_id"])
+
+
+_TERM = "CASE WHEN id % 3 = 0 THEN NULL WHEN id % 3 = 1 THEN '  ' || upper(name) || chr(9) ELSE name || chr(10) END"
+
+
+@R.add("p01_normal_term", f"SELECT id, lower(trim(coalesce({_TERM}, ''), ' ' || chr(9) || chr(10))) AS term FROM parts")
+def p01(c):
+    return c.parts.select("id", P.normal_term(F.expr(_TERM)).alias("term"))
+
+
+@R.add("p10_live_rows", "SELECT id FROM parts WHERE id % 10 <> 0")
+def p10(c):
+    """The mark is set, missing or false; rows without a mark are live."""
+    return c.parts.withColumn("deleted", F.when(F.col("id") % 10 == 0, True).when(F.col("id") % 10 == 1, None).otherwise(False)).where(P.live()).select("id")
+
+
+@R.add("p13_flagged_users", "SELECT 'superuser' AS kind, user_id FROM users WHERE segment = 'BUILDING' AND balance_cents >= 0 UNION ALL SELECT 'service', user_id FROM users WHERE segment = 'MACHINERY'")
+def p13(c):
+    u = c.users.select("user_id", (F.col("segment") == "BUILDING").alias("is_superuser"), (F.col("balance_cents") < 0).alias("disabled"), (F.col("segment") == "MACHINERY").alias("is_service_account"))
+    return u.where("is_superuser and not disabled").select(F.lit("superuser").alias("kind"), "user_id").unionByName(u.where("is_service_account").select(F.lit("service").alias("kind"), "user_id"))
+
+
+@R.add("p14_active_alerts_newest", "SELECT part_id, max(created_at) AS created_at FROM builds JOIN lines USING (build_id) JOIN parts ON id = part_id WHERE user_id = 7 AND price_cents % 20 = 0 GROUP BY part_id")
+def p14(c):
+    own = c.builds.where("user_id = 7").select("build_id", "created_at").join(c.lines.select("build_id", "part_id"), "build_id")
+    active = c.parts.where("price_cents % 20 = 0").select(F.col("id").alias("part_id"))
+    return own.join(active, "part_id", "left_semi").groupBy("part_id").agg(F.max("created_at").alias("created_at")).orderBy(F.desc("created_at"), "part_id")
+
+
+@R.add("p15_alerts_met", "SELECT user_id, part_id, threshold_cents, price_cents FROM alerts JOIN (SELECT part_id, min(price_cents) AS price_cents FROM listings GROUP BY part_id) USING (part_id) WHERE user_id % 3 <> 0 AND threshold_cents >= price_cents")
+def p15(c):
+    active = c.alerts.where("user_id % 3 <> 0")
+    now = c.listings.groupBy("part_id").agg(F.min("price_cents").alias("price_cents"))
+    return active.join(now, "part_id").where("threshold_cents >= price_cents").select("user_id", "part_id", "threshold_cents", "price_cents")
+
+
+@R.add("p17_exact_case", "SELECT s_suppkey AS generation_id, r_name AS make_name FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey WHERE r_name = 'ASIA'")
+def p17(c):
+    """A make is looked up in any case, but another spelling than its own finds nothing."""
+    v = _vehicles(c)
+    found = [v.where(P.exact_after_lookup(F.col("make_name"), n)) for n in ("ASIA", "europe")]
+    return found[0].unionByName(found[1]).select(F.col("retailer_id").alias("generation_id"), "make_name")
+
+
+@R.add("p18_public_users", "SELECT user_id, username, segment FROM users")
+def p18(c):
+    return P.public(c.users)
+
+
+@R.add("p23_manufacturer_page", "SELECT name FROM (SELECT DISTINCT manufacturer AS name, lower(manufacturer) AS k FROM parts WHERE contains(lower(manufacturer), '#1')) WHERE k > 'brand#11' ORDER BY k, name LIMIT 3")
+def p23(c):
+    names = c.parts.select(F.col("manufacturer").alias("name")).distinct().where(P.contains("#1", "name")).select(F.lower("name").alias("k"), "name")
+    return O.keyset_page(names, ["k", "name"], 3, ("brand#11", "Brand#11")).select("name")
+
+
+_LABEL = "CASE WHEN category LIKE 'S%' THEN 'A ' || category WHEN category LIKE 'P%' THEN '' END"
+
+
+@R.add("j12_parts_by_label", f"SELECT id FROM (SELECT id, lower(coalesce(nullif({_LABEL}, ''), category)) AS k FROM parts) ORDER BY k, id LIMIT 60")
+def j12(c):
+    """A category's label is its display name, or its name where it has none."""
+    labels = c.parts.select("category").distinct().select("category", F.expr(_LABEL).alias("display_name"))
+    df = c.parts.select("id", "category").join(labels, "category", "left")
+    return df.orderBy(*O.text_key(F.coalesce(F.nullif("display_name", F.lit("")), "category")), "id").limit(60).select("id")
+
+
+@R.add("l05_single_lookup", "SELECT user_id, username FROM users WHERE lower(username) = 'customer#000000012' ORDER BY user_id LIMIT 1")
+def l05(c):
+    return c.users.where(F.lower("username") == "customer#000000012").select("user_id", "username").orderBy("user_id").limit(1)
+
+
+@R.add("u03_changed_sets", "SELECT id, array_to_string(list_sort(list_filter(b, lambda x: NOT list_contains(a, x))), ',') AS added, array_to_string(list_sort(list_filter(a, lambda x: NOT list_contains(b, x))), ',') AS removed FROM (SELECT id, [id % 5, 5 + size % 11] AS a, [id % 5, 5 + id % 11] AS b FROM parts)")
+def u03(c):
+    before = F.array((F.col("id") % 5).cast("int"), (5 + F.col("size") % 11).cast("int"))
+    after = F.array((F.col("id") % 5).cast("int"), (5 + F.col("id") % 11).cast("int"))
+    text = lambda x: F.array_join(F.sort_array(x).cast("array<string>"), ",")
+    return c.parts.select("id", text(F.array_except(after, before)).alias("added"), text(F.array_except(before, after)).alias("removed"))
+
+
+_SOME = "CASE WHEN user_id % 7 = 0 THEN NULL WHEN user_id % 7 = 1 THEN '' WHEN user_id % 7 = 2 THEN upper(segment) ELSE segment || user_id END"
+for _down, _sql in ((False, "lower(v)"), (True, _mirror("v"))):
+
+    @R.add(f"o01_text_key_{'desc' if _down else 'asc'}", f"SELECT user_id FROM (SELECT user_id, {_SOME} AS v FROM users) ORDER BY coalesce(v, '') = '', {_sql}, user_id LIMIT 90")
+    def o01(c, down=_down):
+        return c.users.select("user_id", F.expr(_SOME).alias("v")).orderBy(*O.text_key(F.col("v"), down), "user_id").limit(90).select("user_id")
+
+
+@R.add("o04_compound_key", "SELECT build_id FROM (SELECT build_id, CASE WHEN status <> 'P' THEN created_at END AS t, status FROM builds) ORDER BY t NULLS LAST, status, build_id LIMIT 70")
+def o04(c):
+    when = F.when(F.col("status") != "P", F.col("created_at"))
+    return c.builds.orderBy(*O.datetime_key(when), *O.compound_key(F.col("status")), "build_id").limit(70).select("build_id")
+
+
+_LINES = """(SELECT l.build_id, l.phase, l.part_id, p.name AS part, CASE WHEN p.id % 7 <> 0 THEN manufacturer END AS part_manufacturer, CASE WHEN p.id % 5 = 0 THEN '' ELSE p.name || '-' || p.id END AS part_number,
+    CASE WHEN size % 3 <> 0 THEN category END AS fit, quantity AS qty, CASE WHEN p.id % 11 <> 0 THEN price_cents * quantity END AS price FROM lines l JOIN parts p ON p.id = l.part_id)"""
+
+
+def _lines(c):
+    p = c.parts.select(F.col("id").alias("part_id"), F.col("name").alias("part"), "manufacturer", "category", "size", "price_cents")
+    df = c.lines.drop("purchased").join(p, "part_id").withColumnRenamed("quantity", "qty")
+    return df.select("build_id", "phase", "part_id", "part", F.when(F.col("part_id") % 7 != 0, F.col("manufacturer")).alias("part_manufacturer"), F.when(F.col("part_id") % 5 == 0, "").otherwise(F.concat_ws("-", "part", "part_id")).alias("part_number"), F.when(F.col("size") % 3 != 0, F.col("category")).alias("fit"), "qty", F.when(F.col("part_id") % 11 != 0, F.col("price_cents") * F.col("qty")).alias("price"))
+
+
+def _line_sorted(key, down):
+    value = key if O.LINE_KEYS[key] else f"nullif({key}, '')"
+
+    @R.add(f"o06_lines_{key}_{'desc' if down else 'asc'}", f"SELECT build_id, phase, part_id FROM {_LINES} ORDER BY {value} IS NULL, {value} {'DESC' if down else ''}, part, build_id, phase, part_id LIMIT 60")
+    def o06(c):
+        return _lines(c).orderBy(*O.line_order(key, down), "build_id", "phase", "part_id").limit(60).select("build_id", "phase", "part_id")
+
+
+for _k in O.LINE_KEYS:
+    for _d in (False, True):
+        _line_sorted(_k, _d)
+
+_TABLE = """(SELECT id, name AS part, CASE WHEN id % 7 <> 0 THEN manufacturer END AS part_manufacturer, CASE WHEN id % 5 <> 0 THEN name || '-' || id END AS part_number, category, CASE WHEN size % 3 <> 0 THEN category END AS fit,
+    CASE WHEN id % 13 <> 0 THEN size - 25 END AS rating, CASE WHEN id % 11 <> 0 THEN price_cents END AS price FROM parts)"""
+
+
+def _table_sorted(key, down):
+    none = "''" if O.TABLE_KEYS[key] == "" else "0"
+
+    @R.add(f"o07_table_{key}_{'desc' if down else 'asc'}", f"SELECT id FROM {_TABLE} ORDER BY coalesce({key}, {none}) {'DESC' if down else ''}, id LIMIT 60")
+    def o07(c):
+        df = c.parts.select("id", F.col("name").alias("part"), F.when(F.col("id") % 7 != 0, F.col("manufacturer")).alias("part_manufacturer"), F.when(F.col("id") % 5 != 0, F.concat_ws("-", "name", "id")).alias("part_number"), "category", F.when(F.col("size") % 3 != 0, F.col("category")).alias("fit"), F.when(F.col("id") % 13 != 0, F.col("size") - 25).alias("rating"), F.when(F.col("id") % 11 != 0, F.col("price_cents")).alias("price"))
+        return df.orderBy(*O.table_order(key, down), "id").limit(60).select("id")
+
+
+for _k in O.TABLE_KEYS:
+    for _d in (False, True):
+        _table_sorted(_k, _d)
+
+
+@R.add("o08_failure_rate", "SELECT name, rate FROM (SELECT event_type AS name, count(*) FILTER (value < 50) / count(*) AS rate FROM events GROUP BY 1) ORDER BY rate DESC, name")
+def o08(c):
+    rate = (F.count_if(F.col("value") < 50) / F.count("*")).alias("rate")
+    return c.raw("events").groupBy(F.col("event_type").alias("name")).agg(rate).orderBy(F.desc("rate"), "name")
+
+
+@R.add("o08_featured", "SELECT entity_id, count(*) FILTER (vote_type IN ('upvote', 'downvote')) AS total_votes FROM ballots_latest GROUP BY 1 ORDER BY total_votes DESC, entity_id LIMIT 20")
+def o08_featured(c):
+    from stockwright.operators import votes as V
+
+    t = V.tally(V.latest(c.ballots)).select("entity_id", (F.col("upvotes") + F.col("downvotes")).alias("total_votes"))
+    return t.orderBy(F.desc("total_votes"), "entity_id").limit(20)
+
+
+_ACTIVITY = "CASE user_id % 5 WHEN 0 THEN 'done' WHEN 1 THEN 'stalled' WHEN 2 THEN 'active' WHEN 3 THEN 'queued' ELSE 'idle' END"
+
+
+@R.add("o08_activity", f"SELECT user_id, activity FROM (SELECT user_id, username, {_ACTIVITY} AS activity FROM users) ORDER BY list_position(['active', 'idle', 'stalled', 'queued', 'done'], activity), username LIMIT 80")
+def o08_activity(c):
+    df = c.users.select("user_id", "username", F.expr(_ACTIVITY).alias("activity"))
+    return df.orderBy(*O.activity_order(F.col("activity"), F.col("username"))).limit(80).select("user_id", "activity")
+
+
+@R.add("o08_generations", "SELECT retailer_id, 1980 + retailer_id % 17 AS start_year FROM retailers ORDER BY start_year, retailer_name")
+def o08_generations(c):
+    return c.retailers.select("retailer_id", (1980 + F.col("retailer_id") % 17).alias("start_year"), "retailer_name").orderBy("start_year", "retailer_name").drop("retailer_name")
+
+
+@R.add("a15_generations_by_count", "SELECT n_name AS model_name, count(*) AS n FROM supplier JOIN nation ON n_nationkey = s_nationkey GROUP BY 1 ORDER BY n DESC, 1")
+def a15(c):
+    return _vehicles(c).where("model_name <> ''").groupBy("model_name").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "model_name")
+
+
+@R.add("a25_collision_owners", "SELECT name, count(*) AS owners, array_to_string(list(id ORDER BY id)[1:10], ',') AS first_owners FROM parts GROUP BY name HAVING count(*) > 1")
+def a25(c):
+    return L.first_owners(c.parts, ["name"], "id").select("name", "owners", F.array_join(F.col("first_owners").cast("array<string>"), ",").alias("first_owners"))
+
+
+@R.add("a26_verified_counts", "SELECT coalesce(e.name, f.name) AS name, coalesce(e.n, 0) AS expected, coalesce(f.n, 0) AS found, coalesce(e.n, 0) = coalesce(f.n, 0) AS ok FROM (SELECT manufacturer AS name, count(*) AS n FROM parts WHERE size > 5 GROUP BY 1) e FULL JOIN (SELECT manufacturer AS name, count(*) AS n FROM parts WHERE canonical_part_id IS NULL AND size > 5 GROUP BY 1) f ON f.name = e.name")
+def a26(c):
+    n = lambda df: df.where("size > 5").groupBy(F.col("manufacturer").alias("name")).agg(F.count("*").alias("n"))
+    return A.verified_counts(n(c.parts), n(c.parts.where("canonical_part_id is null")))
+
+
+@R.add("a30_crawl_rates", "SELECT user_id, CAST(CASE WHEN t > 0 THEN least(100, floor(p / t * 100 + 0.5)) ELSE 0 END AS BIGINT) AS percent, r AS per_minute, CAST(CASE WHEN r > 0 AND t > p THEN floor((t - p) / r * 60 + 0.5) ELSE 0 END AS BIGINT) AS eta_seconds FROM (SELECT *, CAST(CASE WHEN s > 0 THEN floor(p / s * 60 + 0.5) ELSE 0 END AS BIGINT) AS r FROM (SELECT user_id, 1000 * count(*) FILTER (event_type <> 'error') AS p, 1000 * count(*) AS t, CAST(floor(epoch(max(ts)) - epoch(min(ts))) AS BIGINT) // 60 AS s FROM events GROUP BY 1))")
+def a30(c):
+    took = F.floor((F.unix_micros(F.max("ts").cast("timestamp")) - F.unix_micros(F.min("ts").cast("timestamp"))) / 1e6)
+    per = c.raw("events").groupBy("user_id").agg((1000 * F.count_if(F.col("event_type") != "error")).alias("p"), (1000 * F.count("*")).alias("t"), took.alias("s"))
+    return per.select("user_id", A.crawl_rates(F.col("p"), F.col("t"), F.expr("s div 60")).alias("r")).select("user_id", "r.*")
+
+
+_BEFORE = "SELECT 'name' AS label, lower(name) || '-' || id AS value, id AS owner FROM parts UNION ALL SELECT 'slug', 's' || id, id FROM parts"
+_AFTER = "SELECT 'name' AS label, CASE WHEN id % 5 = 0 THEN lower(name) || '-' || (id + 1) WHEN id % 5 = 1 THEN 'new-' || id ELSE lower(name) || '-' || id END AS value, id AS owner FROM parts WHERE id % 7 <> 0 UNION ALL SELECT 'slug', CASE WHEN id % 10 < 2 THEN 't' || id ELSE 's' || id END, id FROM parts WHERE id % 7 <> 0"
+_CLAIMS = """WITH b AS ({before}), a AS ({after}), w AS (SELECT * FROM a EXCEPT SELECT * FROM b), r AS (SELECT * FROM b EXCEPT SELECT * FROM a),
+  c AS (SELECT w.*, coalesce(b.owner <> w.owner, false) OR w.owner <> min(w.owner) OVER (PARTITION BY w.label, w.value) AS taken FROM w LEFT JOIN b USING (label, value)), f AS (SELECT DISTINCT owner FROM c WHERE taken)
+  SELECT label, value, owner, CASE WHEN taken THEN 'taken' WHEN owner IN (SELECT owner FROM f) THEN 'refused' ELSE 'claim' END AS action FROM c UNION ALL SELECT label, value, owner, CASE WHEN owner IN (SELECT owner FROM f) THEN 'refused' ELSE 'release' END FROM r"""
+
+
+@R.add("m01_unique_claims", _CLAIMS.format(before=_BEFORE, after=_AFTER))
+def m01(c):
+    label, name, slug = F.lit("name").alias("label"), F.lower("name"), F.lit("slug").alias("label")
+    owner = F.col("id").alias("owner")
+    at = lambda k: F.concat(name, F.lit("-"), (F.col("id") + k).cast("string"))
+    before = c.parts.select(label, at(0).alias("value"), owner).unionByName(c.parts.select(slug, F.concat(F.lit("s"), "id").alias("value"), owner))
+    left, turn = c.parts.where("id % 7 <> 0"), F.col("id") % 5
+    renamed = F.when(turn == 0, at(1)).when(turn == 1, F.concat(F.lit("new-"), "id")).otherwise(at(0))
+    moved = F.concat(F.when(F.col("id") % 10 < 2, "t").otherwise("s"), "id")
+    return L.claims(before, before, left.select(label, renamed.alias("value"), owner).unionByName(left.select(slug, moved.alias("value"), owner)))
+
+
+_USERS_BEFORE = "SELECT 'username' AS label, lower(username) AS value, user_id AS owner FROM users UNION ALL SELECT 'email', lower(username) || '@x.org', user_id FROM users"
+_USERS_AFTER = "SELECT 'username' AS label, CASE WHEN user_id % 10 = 1 THEN 'renamed' || user_id ELSE lower(username) END AS value, user_id AS owner FROM users WHERE user_id % 10 <> 0 UNION ALL SELECT 'email', lower(username) || '@x.org', user_id FROM users WHERE user_id % 10 <> 0 UNION ALL SELECT 'username', CASE k WHEN 0 THEN 'customer#000000005' ELSE 'created' || k END, 9000000000 + k FROM range(4) t(k) UNION ALL SELECT 'email', 'c' || k || '@x.org', 9000000000 + k FROM range(4) t(k)"
+
+
+@R.add("m03_user_reservations", _CLAIMS.format(before=_USERS_BEFORE, after=_USERS_AFTER))
+def m03(c):
+    """Users are created, one of them under a name that is held, renamed and deleted."""
+    def held(u, name, mail):
+        return u.select(F.lit("username").alias("label"), name.alias("value"), F.col("user_id").alias("owner")).unionByName(u.select(F.lit("email").alias("label"), mail.alias("value"), F.col("user_id").alias("owner")))
+
+    name, mail = F.lower("username"), F.concat(F.lower("username"), F.lit("@x.org"))
+    left = c.users.where("user_id % 10 <> 0")
+    new = c.spark.range(4).select("id", (F.col("id") + 9000000000).alias("user_id"))
+    created = held(new, F.when(F.col("id") == 0, "customer#000000005").otherwise(F.concat(F.lit("created"), "id")), F.concat(F.lit("c"), "id", F.lit("@x.org")))
+    return L.claims(held(c.users, name, mail), held(c.users, name, mail), held(left, F.when(F.col("user_id") % 10 == 1, F.concat(F.lit("renamed"), "user_id")).otherwise(name), mail).unionByName(created))
+
+
+@R.add("m06_part_purge", "SELECT 'parts deleted' AS name, count(*) AS n FROM parts WHERE id % 10 = 0 UNION ALL SELECT 'duplicates', count(*) FROM parts WHERE canonical_part_id IS NOT NULL AND canonical_part_id % 10 <> 0 UNION ALL SELECT 'listings', count(*) FROM listings WHERE part_id NOT IN (SELECT id FROM parts WHERE id % 10 = 0) UNION ALL SELECT 'history', count(*) FROM history WHERE part_id NOT IN (SELECT id FROM parts WHERE id % 10 = 0) UNION ALL SELECT 'cars', count(*) FROM parts WHERE id % 10 <> 0")
+def m06(c):
+    cars = c.parts.select(F.col("id").alias("part_id"), (F.col("size") % 11).alias("car_id"))
+    left = L.purged(c.parts, {"listings": (c.listings, "part_id"), "history": (c.history, "part_id"), "cars": (cars, "part_id")}, c.parts.where("id % 10 = 0"))
+    parts = left.pop("parts")
+    some = [("parts deleted", parts.where("deleted")), ("duplicates", parts.where("canonical_part_id is not null")), *left.items()]
+    return _counted(some)
+
+
+@R.add("m08_bulk_reset", "SELECT 'linked builds' AS name, CAST(0 AS BIGINT) AS n UNION ALL SELECT 'builds', count(*) FROM builds UNION ALL SELECT 'votes', count(*) FROM ballots WHERE entity_id % 2 <> 0 UNION ALL SELECT 'generations deleted', count(*) FROM supplier UNION ALL SELECT 'models deleted', count(*) FROM nation UNION ALL SELECT 'makes deleted', count(*) FROM region UNION ALL SELECT 'parts with a maker', 0")
+def m08(c):
+    """All vehicles go: build lists lose their car, votes on vehicles and the three tables go; then all makers of parts."""
+    builds = L.emptied(c.builds.withColumn("car_id", F.col("user_id") % 25), "car_id")
+    parts = L.emptied(c.parts, "manufacturer")
+    votes = c.ballots.where("entity_id % 2 <> 0 or entity_id is null").where("entity_id is not null")
+    some = [("linked builds", builds.where("car_id is not null")), ("builds", builds), ("votes", votes), ("generations deleted", c.retailers), ("models deleted", c.raw("nation")), ("makes deleted", c.raw("region")), ("parts with a maker", parts.where("manufacturer is not null"))]
+    return _counted(some)
+
+
+def _counted(some):
+    from functools import reduce
+
+    return reduce(lambda a, b: a.unionByName(b), [df.agg(F.count("*").alias("n")).select(F.lit(k).alias("name"), "n") for k, df in some])
+
+
+@R.add("s26_json_seed", "SELECT r_name AS make, n_name AS model, s_name AS generation, CAST(1980 + s_suppkey % 17 AS INTEGER) AS start_year FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey")
+def s26(c):
+    """Vehicles are written as seed files, one for each make, and read from there."""
+    return tables.json_seed(c.spark, _seed_files(c)).select("make", "model", "generation", "start_year")
+
+
+@R.add("f27_flattened_seed", "SELECT r_name AS make, n_name AS model, s_name AS generation, CASE WHEN s_suppkey % 2 = 0 THEN 'about ' || s_name END AS description, CASE WHEN s_suppkey % 3 = 0 THEN 'own-' || s_suppkey ELSE trim(regexp_replace(lower(r_name || ' ' || n_name || ' ' || s_name), '[^a-z0-9]+', '-', 'g'), '-') END AS slug FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey")
+def f27(c):
+    return tables.json_seed(c.spark, _seed_files(c)).select("make", "model", "generation", "description", "slug")
+
+
+def _seed_files(c):
+    v = c.retailers.join(c.raw("nation").select(F.col("n_nationkey").alias("model_id"), F.col("n_name").alias("model"), F.col("n_regionkey").alias("k")), "model_id")
+    v = v.join(c.raw("region").select(F.col("r_regionkey").alias("k"), F.col("r_name").alias("make")), "k")
+    even, third = F.col("retailer_id") % 2 == 0, F.col("retailer_id") % 3 == 0
+    item = F.struct(F.col("retailer_name").alias("name"), (1980 + F.col("retailer_id") % 17).cast("int").alias("start_year"), F.when(even, F.concat(F.lit("about "), "retailer_name")).alias("description"), F.when(third, F.concat(F.lit("own-"), "retailer_id")).alias("slug"))
+    models = v.groupBy("make", "model").agg(F.collect_list(item).alias("generations"))
+    makes = models.groupBy("make").agg(F.collect_list(F.struct(F.col("model").alias("name"), "generations")).alias("models"))
+    path = f"{tables.scratch(c.spark)}/makes"
+    makes.write.option("maxRecordsPerFile", 1).json(path)
+    return path
+
+
+@R.add("s27_csv_stats", "SELECT type, name, CAST(count(*) AS DOUBLE) AS requests, CAST(count(*) FILTER (value > 200) AS DOUBLE) AS failures FROM (SELECT CASE WHEN event_type IN ('view', 'click') THEN 'GET' ELSE 'POST' END AS type, '/' || event_type AS name, value FROM events) WHERE type = 'GET' GROUP BY ALL")
+def s27(c):
+    """Statistics are written as CSV with a header, a row of totals without numbers among them, and read from there."""
+    e = c.raw("events").select(F.when(F.col("event_type").isin("view", "click"), "GET").otherwise("POST").alias("Type"), F.concat(F.lit("/"), "event_type").alias("Name"), "value")
+    rows = e.groupBy("Type", "Name").agg(F.count("*").cast("string").alias("Request Count"), F.count_if(F.col("value") > 200).cast("string").alias("Failure Count"))
+    total = c.spark.range(1).select(F.lit("").alias("Type"), F.lit("Aggregated").alias("Name"), F.lit("N/A").alias("Request Count"), F.lit("N/A").alias("Failure Count"))
+    path = f"{tables.scratch(c.spark)}/stats"
+    rows.unionByName(total).write.csv(path, header=True)
+    found = tables.load_stats(c.spark, path).where("Type = 'GET'")
+    return found.select(F.col("Type").alias("type"), F.col("Name").alias("name"), tables.number_in("Request Count").alias("requests"), tables.number_in("Failure Count").alias("failures"))
+
+
+@R.add("f25_utc_micros", "SELECT event_id, epoch_us(ts) AS micros FROM events")
+def f25(c):
+    return c.raw("events").select("event_id", tables.utc_micros("ts").alias("micros"))

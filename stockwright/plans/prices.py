@@ -177,3 +177,40 @@ def l06(c):
 def f24(c):
     week = F.date_sub(F.to_date("observed_at"), F.dayofweek("observed_at") - 1)
     return c.history.groupBy("part_id").agg(F.min(F.date_trunc("year", "observed_at")).alias("first_year"), F.max(F.date_trunc("month", "observed_at")).alias("last_month"), F.max(week).alias("last_week"))
+
+
+@R.add("a05_trend", f"SELECT retailer_id, {TREND} AS trend FROM (SELECT *, row_number() OVER (PARTITION BY retailer_id ORDER BY observed_at, part_id) AS n FROM history WHERE observed_at >= {T1Y}) GROUP BY retailer_id")
+def a05(c):
+    return P.summary(P.within(c.history, "1y", AS_OF), ["retailer_id"], "part_id").select("retailer_id", "trend")
+
+
+@R.add("f23_window_starts", f"SELECT w AS name, count(*) AS n FROM history, (VALUES ('7d', 7), ('30d', 30), ('90d', 90), ('180d', 180), ('1y', 365), ('all', 36500)) v(w, d) WHERE observed_at >= TIMESTAMP '{AS_OF}' - to_days(d) GROUP BY w")
+def f23(c):
+    """How many observations each named window holds, in one pass."""
+    starts = F.array(*[F.struct(F.lit(n).alias("name"), (P.window_start(n, AS_OF) if d else F.lit(None).cast("timestamp")).alias("start")) for n, d in P.DAYS.items()])
+    inside = c.history.select(F.inline(F.filter(starts, lambda w: w["start"].isNull() | (F.col("observed_at") >= w["start"]))))
+    return inside.groupBy("name").agg(F.count("*").alias("n"))
+
+
+@R.add("f33_chart_groups")
+def f33(c):
+    """Each part's chart, 600 pixels by 200."""
+    w = Window.partitionBy("part_id")
+    low, high = F.min("price_cents").over(w), F.max("price_cents").over(w)
+    day = F.unix_micros(F.col("observed_at").cast("timestamp"))
+    first, last = F.min(day).over(w), F.max(day).over(w)
+    x = F.when(last == first, 0).otherwise(F.round((day - first) / (last - first) * 600))
+    y = F.when(high == low, 100).otherwise(F.round((high - F.col("price_cents")) / (high - low) * 200))
+    return P.chart_groups(c.history.select(F.col("part_id").alias("chart"), x.alias("x"), y.alias("y"), F.struct("retailer_id", "observed_at").alias("place")))
+
+
+@R.add("m14_ingested_observations", "WITH l AS (SELECT part_id, retailer_id, arg_max(CASE WHEN observed_at < TIMESTAMP '2000-01-01' OR part_id % 10 <> 0 THEN price_cents END, observed_at) AS price_cents, max(CASE WHEN observed_at < TIMESTAMP '2000-01-01' OR part_id % 10 <> 0 THEN observed_at END) AS updated_at FROM history GROUP BY ALL), b AS (SELECT coalesce(canonical_part_id, id) AS g, min(CASE WHEN l.price_cents >= 0 THEN l.price_cents END) AS best FROM l JOIN parts ON id = part_id GROUP BY 1) SELECT part_id, retailer_id, l.price_cents, updated_at, best AS best_cents, (SELECT count(*) FROM history WHERE observed_at < TIMESTAMP '2000-01-01' OR part_id % 10 <> 0) AS n_history FROM l LEFT JOIN parts ON id = part_id LEFT JOIN b ON g = coalesce(canonical_part_id, id)")
+def m14(c):
+    """The history of before 2000 is stored; what came later arrives as one batch, without a price for every tenth part."""
+    cut = F.lit("2000-01-01").cast("timestamp")
+    stored, later = c.history.where(F.col("observed_at") < cut), c.history.where(F.col("observed_at") >= cut)
+    x = F.max(F.struct("observed_at", "price_cents")).alias("x")
+    listings = stored.groupBy("part_id", "retailer_id").agg(x).select("part_id", "retailer_id", "x.price_cents", F.col("x.observed_at").alias("updated_at"))
+    new, history = P.ingested(listings, stored, later.withColumn("price_cents", F.when(F.col("part_id") % 10 != 0, F.col("price_cents"))))
+    best = P.best_price(new, c.parts).withColumnRenamed("id", "part_id")
+    return new.join(best, "part_id", "left").join(F.broadcast(history.agg(F.count("*").alias("n_history"))))

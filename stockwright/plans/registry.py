@@ -41,7 +41,10 @@ def with_views(sql: str) -> str:
     views = ", ".join(f"{n} AS ({VIEWS[n]})" for n in used)
     if not used:
         return sql
-    return f"WITH {views}, {sql[5:]}" if sql.startswith("WITH ") else f"WITH {views} {sql}"
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if sql.startswith(start):
+            return f"{start}{views}, {sql[len(start) :]}"
+    return f"WITH {views} {sql}"
 
 
 class Registry:

@@ -1,5 +1,7 @@
 """Queries that run the change consumers over whole tables, as one batch."""
 
+from dataclasses import replace
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -66,9 +68,46 @@ def t10(c):
     return c.ballots.groupBy("entity_id").agg(F.count("*").alias("n"), F.min("event_id").alias("first"), F.max("event_id").alias("last"))
 
 
-@R.add("t11_rate_limit")
+_METHOD = "CASE WHEN event_id % 5 < 2 THEN 'GET' WHEN event_id % 5 = 2 THEN 'options' WHEN event_id % 5 = 3 THEN 'post' ELSE 'POST' END"
+_PATH = "CASE event_type WHEN 'view' THEN '/api/parts' WHEN 'click' THEN '/api/auth/login' WHEN 'signup' THEN '/api/auth/refresh/' WHEN 'error' THEN '/api/admin' ELSE CASE WHEN event_id % 2 = 0 THEN '/health' ELSE '/api/authors' END END"
+_CLASS = "CASE WHEN upper(method) = 'GET' THEN 'get' WHEN path = '/api/auth/login' THEN 'auth' WHEN path = '/api/admin' THEN 'admin' ELSE 'default' END"
+
+
+@R.add(
+    "t11_rate_limit",
+    f"""WITH RECURSIVE q AS (SELECT event_id AS request_id, ts, user_id % 10 AS client, {_METHOD} AS method, {_PATH} AS path FROM events),
+    c AS (SELECT *, {_CLASS} AS class FROM q WHERE upper(method) <> 'OPTIONS' AND path <> '/health'),
+    e AS (SELECT *, class || '#' || client AS key, row_number() OVER (PARTITION BY class, client ORDER BY ts, request_id) AS n FROM c),
+    w AS (SELECT key, request_id, ts, n, ts AS start, 1 AS place FROM e WHERE n = 1 UNION ALL SELECT e.key, e.request_id, e.ts, e.n, CASE WHEN e.ts >= w.start + INTERVAL 86400 SECOND THEN e.ts ELSE w.start END, CASE WHEN e.ts >= w.start + INTERVAL 86400 SECOND THEN 1 ELSE w.place + 1 END FROM w JOIN e ON e.key = w.key AND e.n = w.n + 1)
+    SELECT w.key, w.ts, w.request_id, CAST(place AS BIGINT) AS place, place <= CASE split_part(w.key, '#', 1) WHEN 'get' THEN 20 WHEN 'auth' THEN 1 WHEN 'admin' THEN 3 ELSE 6 END AS allowed FROM w""",
+)
 def t11(c):
-    return S.rate_limited(c.raw("events").select(F.col("user_id").cast("string").alias("key"), "ts", F.col("event_id").alias("request_id"), F.lit(2).alias("most")), 86400)
+    """Ten clients, windows of a day, limits of a tenth."""
+    q = c.raw("events").select(F.col("event_id").alias("request_id"), "ts", (F.col("user_id") % 10).alias("client"), F.expr(_METHOD).alias("method"), F.expr(_PATH).alias("path"))
+    limits = [replace(x, most=x.most // 10) for x in S.LIMITS]
+    return S.rate_limited(S.limited_requests(q, limits), 86400)
+
+
+@R.add("t08_failed_sequences", "SELECT CAST(event_id AS VARCHAR) AS sequence_number FROM ballots WHERE entity_id IN (SELECT entity_id FROM ballots WHERE event_id % 50 = 3)")
+def t08(c):
+    """Every fiftieth record can't be read."""
+    records = c.ballots.select(F.col("event_id").cast("string").alias("sequence_number"), "entity_id", F.when(F.col("event_id") % 50 != 3, True).alias("ok"))
+    return S.failed_sequences(records, "entity_id", F.col("ok"))
+
+
+@R.add("f30_unwrapped", "SELECT id, CASE id % 4 WHEN 0 THEN name WHEN 1 THEN CAST(price_cents AS VARCHAR) WHEN 2 THEN CASE WHEN size % 2 = 0 THEN 'true' ELSE 'false' END END AS value FROM parts")
+def f30(c):
+    kind = F.col("id") % 4
+    attribute = F.struct(F.when(kind == 0, F.col("name")).alias("S"), F.when(kind == 1, F.col("price_cents").cast("string")).alias("N"), F.when(kind == 2, F.col("size") % 2 == 0).alias("BOOL"), F.when(kind == 3, True).alias("NULL"))
+    return c.parts.select("id", attribute.alias("a")).select("id", S.unwrap(F.col("a")).alias("value"))
+
+
+@R.add("k07_purge_messages", "SELECT '{\"version\":1,\"kind\":\"part\",\"part_id\":\"' || id || '\"}' AS message FROM parts WHERE id % 10 = 0")
+def k07(c):
+    """One message for each part that a batch turned from live to deleted; some were deleted before."""
+    side = lambda deleted: F.struct(F.col("id").cast("string").alias("id"), deleted.alias("deleted"))
+    changes = c.parts.select(side(F.col("id") % 5 == 0).alias("new"), F.when(F.col("id") % 3 != 0, side(F.col("id") % 10 == 5)).otherwise(side(F.when(F.col("id") % 10 == 5, True))).alias("old"))
+    return S.purge_messages(S.tombstoned(changes))
 
 
 @R.add("t12_unexpired", f"SELECT event_id FROM events WHERE ts + INTERVAL 10 DAY > TIMESTAMP '{AS_OF_EVENTS}'")

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from stockwright.functions.text import slug
+
 
 def cents(amount) -> F.Column:  # noqa: ANN001
     return F.round(amount * 100).cast("long")
@@ -80,15 +85,28 @@ class Catalogue:
         return own.join(self.parts.select(F.col("id").alias("part_id"), F.col("price_cents").alias("threshold_cents")), "part_id")
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder that all executors share: in spark.checkpoint.dir, or, where that is unset and Spark runs locally, a temporary one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"{shared}/{uuid.uuid4()}" if shared else tempfile.mkdtemp(prefix="scratch-")
+
+
 def json_seed(spark: SparkSession, path: str) -> DataFrame:
-    """(make, model, generation, start_year, end_year) of nested seed files, one object for each make; a make in two files fails."""
-    kind = "make string, models array<struct<name:string,generations:array<struct<name:string,start_year:int,end_year:int>>>>"
+    """(make, model, generation, start_year, end_year, description, slug) of nested seed files, one object for each make.
+
+    A make in two files fails. The description may be missing; a slug that is missing is made of the three names.
+    """
+    kind = "make string, models array<struct<name:string,generations:array<struct<name:string,start_year:int,end_year:int,description:string,slug:string>>>>"
     makes = spark.read.schema(kind).option("multiLine", True).json(path)
     twice = makes.groupBy("make").count().where("count > 1").limit(5).collect()
     if twice:
         raise ValueError(f"makes in more than one file: {sorted(r.make for r in twice)}")
     models = makes.select("make", F.explode("models").alias("m"))
-    return models.select("make", F.col("m.name").alias("model"), F.explode("m.generations").alias("g")).select("make", "model", F.col("g.name").alias("generation"), "g.start_year", "g.end_year")
+    flat = models.select("make", F.col("m.name").alias("model"), F.explode("m.generations").alias("g"))
+    own = F.coalesce("g.slug", slug(F.concat_ws(" ", "make", "model", "g.name")))
+    return flat.select("make", "model", F.col("g.name").alias("generation"), "g.start_year", "g.end_year", "g.description", own.alias("slug"))
 
 
 def load_stats(spark: SparkSession, path: str) -> DataFrame:
@@ -96,6 +114,17 @@ def load_stats(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, nullValue="N/A", emptyValue="", inferSchema=False)
 
 
+def number_in(column: str) -> F.Column:
+    """A numeric cell of load_stats; one without a number fails."""
+    value = F.col(f"`{column}`").try_cast("double")
+    return F.coalesce(value, F.raise_error(F.concat(F.lit(f"no number in {column}: "), F.coalesce(F.col(f"`{column}`"), F.lit("N/A")))).cast("double"))
+
+
+def utc_micros(at: str) -> F.Column:
+    """Microseconds since 1970 of a time without zone, which is UTC whatever the session's zone is."""
+    return F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', cast({at} as timestamp_ntz))")
+
+
 def relational(spark: SparkSession, url: str, name: str, key: str, low: int, high: int, parts: int, **options: str) -> DataFrame:
     """A table of a relational database, read in ranges of a numeric key."""
     return spark.read.format("jdbc").options(url=url, dbtable=name, partitionColumn=key, lowerBound=low, upperBound=high, numPartitions=parts, **options).load()

@@ -5,10 +5,13 @@ A batch may come again: each consumer recomputes from tables or overwrites by ke
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
+from functools import reduce
+from operator import and_, or_
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stockwright.operators import votes as V
@@ -60,7 +63,15 @@ def tombstoned(changes: DataFrame) -> DataFrame:
 
 
 def purge_messages(ids: DataFrame, kind: str = "part", version: int = 1) -> DataFrame:
-    return ids.select(F.to_json(F.struct(F.lit(version).alias("version"), F.lit(kind).alias("kind"), F.col("id"))).alias("message"))
+    return ids.select(F.to_json(F.struct(F.lit(version).alias("version"), F.lit(kind).alias("kind"), F.col("id").alias(f"{kind}_id"))).alias("message"))
+
+
+def failed_sequences(changes: DataFrame, key: str, readable: Column) -> DataFrame:
+    """The sequence numbers to hand back for another try: those of each key with a record that can't be read. Keys don't
+    affect each other, records without a key are one group.
+    """
+    bad = changes.where(~F.coalesce(readable, F.lit(False))).select(F.col(key).alias("_bad")).distinct()
+    return changes.join(bad, F.col(key).eqNullSafe(F.col("_bad")), "left_semi").select("sequence_number")
 
 
 def unwrap(attribute: Column) -> Column:
@@ -68,11 +79,22 @@ def unwrap(attribute: Column) -> Column:
     return F.coalesce(attribute["S"], attribute["N"], attribute["BOOL"].cast("string"))
 
 
+def stretches(rows: DataFrame, key: str, at: str, seconds: int) -> DataFrame:
+    """rows with ``stretch``, the time at which the stretch began in which a row lies: a gap of so many seconds begins one.
+
+    A walk whose state lasts no longer than such a gap can be dealt by stretches, so that a busy key isn't one task's work.
+    """
+    w = Window.partitionBy(key).orderBy(at)
+    gap = F.unix_micros(at) - F.unix_micros(F.lag(at).over(w))
+    begins = F.when(F.coalesce(gap >= seconds * 1_000_000, F.lit(True)), F.col(at))
+    return rows.withColumn("_begins", begins).withColumn("stretch", F.last("_begins", ignorenulls=True).over(w)).drop("_begins")
+
+
 def fired(events: DataFrame, hours: int = 24) -> DataFrame:
     """(alert_id, price_cents, observed_at) of alerts that fire: an alert is silent for some hours after it last *fired*.
 
-    events (alert_id, price_cents, observed_at). Whether one fires depends on which fired before, so each alert's events are
-    walked in order, in one pass over sorted rows that keeps the last firing only.
+    events (alert_id, price_cents, observed_at). Whether one fires depends on which fired before, so each stretch of an alert's
+    events is walked in order, over sorted rows of which only the last firing is kept.
     """
     kind = "alert_id long, price_cents long, observed_at timestamp"
     least = pd.Timedelta(hours=hours)
@@ -81,15 +103,55 @@ def fired(events: DataFrame, hours: int = 24) -> DataFrame:
         alert, last = None, None
         for df in batches:
             keep = []
-            for a, t in zip(df["alert_id"], df["observed_at"], strict=True):
-                fire = a != alert or t - last >= least
+            for a, s, t in zip(df["alert_id"], df["stretch"], df["observed_at"], strict=True):
+                fire = (a, s) != alert or t - last >= least
                 keep.append(fire)
                 if fire:
-                    alert, last = a, t
-            yield df[keep]
+                    alert, last = (a, s), t
+            yield df[keep][["alert_id", "price_cents", "observed_at"]]
 
     rows = events.select(F.col("alert_id").cast("long"), F.col("price_cents").cast("long"), F.col("observed_at").cast("timestamp"))
-    return rows.repartition("alert_id").sortWithinPartitions("alert_id", "observed_at", "price_cents").mapInPandas(walk, kind)
+    rows = stretches(rows, "alert_id", "observed_at", hours * 3600)
+    return rows.repartition("alert_id", "stretch").sortWithinPartitions("alert_id", "stretch", "observed_at", "price_cents").mapInPandas(walk, kind)
+
+
+@dataclass(frozen=True)
+class LimitClass:
+    """Requests of any of the methods (none: all) at or below any of the paths (none: all) but for the exempt ones."""
+
+    name: str
+    most: int
+    methods: tuple[str, ...] = ()
+    paths: tuple[str, ...] = ()
+    exempt: tuple[str, ...] = ()
+
+    def fits(self, method: Column, path: Column) -> Column:
+        own = F.rtrim(path, F.lit("/"))
+        tests = [F.upper(method).isin(*self.methods)] if self.methods else []
+        if self.paths:
+            tests.append(reduce(or_, [(own == p) | F.startswith(path, F.lit(p + "/")) for p in self.paths]))
+        if self.exempt:
+            tests.append(~own.isin(*self.exempt))
+        return reduce(and_, tests, F.lit(True))
+
+
+# The classes of requests, of which the first that fits counts, and what is never counted.
+LIMITS = (
+    LimitClass("get", 200, methods=("GET",)),
+    LimitClass("auth", 10, paths=("/api/auth",), exempt=("/api/auth/refresh", "/api/auth/logout")),
+    LimitClass("admin", 30, paths=("/api/admin",)),
+    LimitClass("default", 60),
+)
+FREE_METHODS, FREE_PATHS, FREE_BELOW = ("OPTIONS",), ("/", "/health", "/ready", "/openapi.json"), ("/docs", "/redoc")
+
+
+def limited_requests(requests: DataFrame, limits: Sequence[LimitClass] = LIMITS) -> DataFrame:
+    """The requests (client, method, path, ...) that count, with ``class``, its limit ``most``, and ``key``, the counter they count for."""
+    method, path = F.col("method"), F.col("path")
+    free = F.upper(method).isin(*FREE_METHODS) | path.isin(*FREE_PATHS) | reduce(or_, [(path == p) | F.startswith(path, F.lit(p + "/")) for p in FREE_BELOW])
+    found = F.coalesce(*[F.when(c.fits(method, path), F.struct(F.lit(c.name).alias("class"), F.lit(c.most).cast("long").alias("most"))) for c in limits])
+    counted = requests.where(~F.coalesce(free, F.lit(False))).withColumn("_c", found).where("_c is not null")
+    return counted.select("*", F.col("_c.class").alias("class"), F.col("_c.most").alias("most"), F.concat_ws("#", "_c.class", "client").alias("key")).drop("_c")
 
 
 def rate_limited(requests: DataFrame, seconds: int = 60) -> DataFrame:
@@ -103,15 +165,16 @@ def rate_limited(requests: DataFrame, seconds: int = 60) -> DataFrame:
         key, start, n = None, None, 0
         for df in batches:
             places = []
-            for k, t in zip(df["key"], df["ts"], strict=True):
-                if k != key or t - start >= span:
-                    key, start, n = k, t, 0
+            for k, s, t in zip(df["key"], df["stretch"], df["ts"], strict=True):
+                if (k, s) != key or t - start >= span:
+                    key, start, n = (k, s), t, 0
                 n += 1
                 places.append(n)
             yield df.assign(place=places, allowed=pd.Series(places, index=df.index) <= df["most"])[["key", "ts", "request_id", "place", "allowed"]]
 
     rows = requests.select("key", F.col("ts").cast("timestamp").alias("ts"), F.col("request_id").cast("long"), F.col("most").cast("long"))
-    return rows.repartition("key").sortWithinPartitions("key", "ts", "request_id").mapInPandas(walk, kind)
+    rows = stretches(rows, "key", "ts", seconds)
+    return rows.repartition("key", "stretch").sortWithinPartitions("key", "stretch", "ts", "request_id").mapInPandas(walk, kind)
 
 
 def unexpired(df: DataFrame, now: Column, column: str = "expires_at") -> DataFrame:

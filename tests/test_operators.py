@@ -160,8 +160,8 @@ PRODUCT = '<script type="application/ld+json">{"@graph":[{"@type":["Thing","Prod
 
 
 def test_page_parser():
-    assert H.read_page(PRODUCT, "https://a.example/p") == ("Pad\tset", "a long description", "u1", "Acme", 123450, "product")
-    assert H.read_page("<title> T </title><p>now $12.50</p>", None) == ("T", None, None, None, 1250, "page")
+    assert H.read_page(PRODUCT, "https://a.example/p") == ("Pad\tset", "a long description", ["u1", "u2"], "Acme", None, 123450, "product")
+    assert H.read_page("<title> T </title><p>now $12.50</p>", None) == ("T", None, None, None, None, 1250, "page")
     assert H.read_page("<p>no name</p>", None)[0] is None and H.read_page(None, None)[0] is None
     two = '<script type="application/ld+json">[{"@type":"Product","name":"A","url":"https://x/a"},{"@type":"Product","name":"B","url":"https://x/b"}]</script>'
     assert H.read_page(two, "http://x/b/")[0] == "B" and H.read_page(two, "https://x/c")[0] is None
@@ -170,7 +170,11 @@ def test_page_parser():
 def test_page_cleaner():
     page = '<style>x</style><script>y</script><meta name="csrf" content="t"><input value="v" name="n"><textarea>z</textarea><p>keep &amp; this</p>'
     got = H.clean_page(page)
-    assert got == '<input name="n"><p>keep &amp; this</p>'
+    assert got == '<input name="n"><textarea></textarea><p>keep &amp; this</p>'
+    assert H.clean_page("<object><iframe></object><p>kept?</p>") == "<p>kept?</p>"
+    assert H.clean_page("<!DOCTYPE html><meta charset=utf-8><meta name=csrf content=1><meta property='og:price' content=2><p onclick='f()'>a<br>") == "<!DOCTYPE html><meta charset=utf-8><meta property='og:price' content=2><p onclick='f()'>a<br>"
+    assert H.clean_page('<select name="s"><option selected value="a">A</select></b>') == '<select name="s"><option>A</select></b>'
+    assert H.clean_page("<div><noscript>x<p>y</div>z<script>a</script><script type='application/ld+json'>{}</script>") == "<div></div>z<script type='application/ld+json'>{}</script>"
 
 
 def test_json_seed(spark, tmp_path):
@@ -212,7 +216,7 @@ def test_change_consumers_and_replay(spark, tmp_path):
     df = spark.createDataFrame(rows, S.CHANGE)
     assert {(r.listing_id, r.price_cents) for r in S.lowest_drops(df).collect()} == {("a", 80), ("c", 5)}
     assert [r.id for r in S.tombstoned(df).collect()] == ["e"]
-    assert S.purge_messages(S.tombstoned(df)).first().message == '{"version":1,"kind":"part","id":"e"}'
+    assert S.purge_messages(S.tombstoned(df)).first().message == '{"version":1,"kind":"part","part_id":"e"}'
     df.write.parquet(str(tmp_path / "in"))
     out = str(tmp_path / "out")
 
