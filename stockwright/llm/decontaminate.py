@@ -6,21 +6,25 @@ item of fewer words, but not none, is one window. Hits of the 64-bit hashes are
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stockwright.llm.common import WordRun, as_bytes, steps, table
+from stockwright.llm.common import WordRun, as_bytes, steps, table, written
 
 N = 10
-#: The windows and words of all items that may be broadcast, in bytes of item text. A larger test set is scanned in as many
-#: passes as it takes, each with a part of the items below this size.
-MOST_BROADCAST = 64 << 20
+#: Bytes of the words of all items that are broadcast at once; a window takes about five times its share of them. A larger test
+#: set is scanned in as many passes as it takes, each of which holds and broadcasts one part, also on the driver.
+MOST_BROADCAST = 16 << 20
+#: A longer item is cut into pieces of about so many bytes that overlap by a window but for a word.
+PIECE = 1 << 20
 SCHEMA = "n_words long, n_hit long, items array<string>, spans array<struct<a:long,b:long>>"
+_KINDS = (pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
@@ -37,45 +41,63 @@ def _words(text: bytes) -> list[bytes]:
 
 
 class Windows:
-    """The windows of a bounded set of items: for each length the sorted hashes, the words, and the items that have them."""
-
-    def __init__(self, items: list[tuple[str, bytes]], n: int):
-        by: dict[tuple[bytes, ...], set[str]] = {}
-        for item, text in items:
-            w = _words(text)
-            for i in range(max(1, len(w) - n + 1) if w else 0):
-                by.setdefault(tuple(w[i : i + n]), set()).add(item)
-        self.by = by
-        self.lengths: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    """The windows of a bounded set of pieces (item, words joined by a space): for each length the sorted hashes, with the
+    item of each and where its words are.
+    """
+
+    def __init__(self, pieces: list[tuple[str, bytes]], n: int):
+        self.items = sorted({i for i, _ in pieces})
+        self.text = b"\n".join([t for _, t in pieces]) + b"\n"
+        number = {x: k for k, x in enumerate(self.items)}
+        own = np.array([number[i] for i, _ in pieces], np.int32)
+        found: dict[int, list[tuple[np.ndarray, ...]]] = {}
         word, fold = _tables()
-        for size in sorted({len(k) for k in by}):
-            run = WordRun([b" ".join(k) for k in by if len(k) == size], word, fold)
-            h, ok = run.grams(size)
-            h = np.unique(h[ok])
+        offset = 0
+        for a, b in steps([t for _, t in pieces]):
+            run = WordRun([t for _, t in pieces[a:b]], word, fold)
+            count = np.diff(run.first)
+            for size in sorted({min(n, c) for c in count.tolist() if c}):
+                h, ok = run.grams(size)
+                at = np.flatnonzero(ok & ((count == size) | (count > n) & (size == n))[run.text[: len(h)]])
+                found.setdefault(size, []).append((h[at], run.start[at] + offset, run.end[at + size - 1] + offset, own[a:b][run.text[at]]))
+            offset += len(run.buffer)
+        self.lengths: dict[int, tuple[np.ndarray, ...]] = {}
+        for size, parts in found.items():
+            h, start, end, item = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.argsort(h, kind="stable")
             seen = np.zeros(1 << 20, bool)  # a first look that most windows fail
             seen[(h >> np.uint64(44)).astype(np.int64)] = True
-            self.lengths[size] = (h, seen)
+            self.lengths[size] = h[order], start[order], end[order], item[order], seen
+
+    def having(self, size: int, low: int, high: int, words: bytes) -> list[int]:
+        """The items with a window of just these words, among those of equal hash."""
+        _, start, end, item, _ = self.lengths[size]
+        return sorted({int(item[k]) for k in range(low, high) if self.text[start[k] : end[k]] == words})
 
     def scan(self, texts: list[bytes]) -> tuple[list, list, list, list]:
+        """(number of words, of hit words, items found, byte ranges of hit words) of each text."""
         word, fold = _tables()
         run = WordRun(texts, word, fold)
-        total = np.diff(run.first)
-        delta: dict[int, list[tuple[int, int]]] = {}
-        items: dict[int, set[str]] = {}
-        for size, (hashes, seen) in self.lengths.items():
+        hits: dict[int, list[tuple[int, int]]] = {}
+        items: dict[int, set[int]] = {}
+        for size, (hashes, _, _, _, seen) in self.lengths.items():
             h, ok = run.grams(size)
             at = np.flatnonzero(seen[(h >> np.uint64(44)).astype(np.int64)] & ok)
-            place = np.minimum(np.searchsorted(hashes, h[at]), len(hashes) - 1)
-            for i in at[hashes[place] == h[at]].tolist():
-                key = tuple([run.buffer[a:b].tobytes() for a, b in zip(run.start[i : i + size].tolist(), run.end[i : i + size].tolist(), strict=True)])
-                if (found := self.by.get(key)) is not None:
+            low, high = np.searchsorted(hashes, h[at], "left"), np.searchsorted(hashes, h[at], "right")
+            known: dict[bytes, list[int]] = {}
+            for k in np.flatnonzero(low < high).tolist():
+                i = int(at[k])
+                words = b" ".join([run.buffer[a:b].tobytes() for a, b in zip(run.start[i : i + size].tolist(), run.end[i : i + size].tolist(), strict=True)])
+                if words not in known:
+                    known[words] = self.having(size, int(low[k]), int(high[k]), words)
+                if known[words]:
                     t = int(run.text[i])
-                    delta.setdefault(t, []).append((i, i + size))
-                    items.setdefault(t, set()).update(found)
+                    hits.setdefault(t, []).append((i, i + size))
+                    items.setdefault(t, set()).update(known[words])
         n_hit, spans, names = [0] * len(texts), [[] for _ in texts], [[] for _ in texts]
-        for t, hits in delta.items():
+        for t, some in hits.items():
             joined: list[list[int]] = []
-            for a, b in sorted(hits):
+            for a, b in sorted(some):
                 if joined and a <= joined[-1][1]:
                     joined[-1][1] = max(joined[-1][1], b)
                 else:
@@ -83,64 +105,107 @@ class Windows:
             n_hit[t] = sum(b - a for a, b in joined)
             start = int(run.text_start[t])
             spans[t] = [{"a": int(run.start[a]) - start, "b": int(run.end[b - 1]) - start} for a, b in joined]
-            names[t] = sorted(items[t])
-        return total.tolist(), n_hit, names, spans
-
-
-def united(outs: list[tuple[list, list, list, list]], texts: list[bytes]) -> tuple[list, list, list, list]:
-    """One result of the scans of the same texts for several parts of the items."""
-    spans, hits = [], []
-    for t, text in enumerate(texts):
-        joined: list[dict[str, int]] = []
-        for s in sorted((x for o in outs for x in o[3][t]), key=lambda x: (x["a"], x["b"])):
-            # the words between two spans decide whether they meet
-            if joined and (s["a"] <= joined[-1]["b"] or not _words(text[joined[-1]["b"] : s["a"]])):
-                joined[-1]["b"] = max(joined[-1]["b"], s["b"])
-            else:
-                joined.append(dict(s))
-        spans.append(joined)
-        hits.append(sum(len(_words(text[s["a"] : s["b"]])) for s in joined))
-    return outs[0][0], hits, [sorted({i for o in outs for i in o[2][t]}) for t in range(len(texts))], spans
-
-
-def _parts(items: DataFrame, most: int) -> list[list[tuple[str, bytes]]]:
-    """The items with words, in parts of bounded size. Test sets are small; one whose text is not is fetched part by part."""
-    rows = items.where("item is not null and text is not null").distinct().orderBy("item", "text")
-    parts, size = [[]], 0
-    for r in rows.toLocalIterator():
-        text = r.text.encode()
-        if size and size + len(text) > most:
-            parts.append([])
-            size = 0
-        parts[-1].append((r.item, text))
-        size += len(text)
-    return parts
+            names[t] = [self.items[k] for k in sorted(items[t])]
+        return np.diff(run.first).tolist(), n_hit, names, spans
+
+
+def united(text: bytes, items: list[str], spans: list[dict[str, int]]) -> tuple[int, int, list[str], list[dict[str, int]]]:
+    """One result from what several scans of the same text found."""
+    joined: list[dict[str, int]] = []
+    for s in sorted(spans, key=lambda x: (x["a"], x["b"])):
+        # the words between two spans decide whether they meet
+        if joined and (s["a"] <= joined[-1]["b"] or not _words(text[joined[-1]["b"] : s["a"]])):
+            joined[-1]["b"] = max(joined[-1]["b"], s["b"])
+        else:
+            joined.append(dict(s))
+    return len(_words(text)), sum(len(_words(text[s["a"] : s["b"]])) for s in joined), sorted(set(items)), joined
+
+
+def _cut(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for item, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
+            words, at = _words(text), 0
+            pieces = [b" ".join(words)] if words else []
+            if pieces and len(pieces[0]) > PIECE:
+                each = max(n, PIECE * len(words) // len(pieces[0]))
+                pieces = [b" ".join(words[at : at + each + n - 1]) for at in range(0, max(1, len(words) - n + 1), each)]
+            yield pa.RecordBatch.from_arrays([pa.array([item] * len(pieces), pa.string()), pa.array(pieces, pa.binary())], names=["item", "words"])
+
+
+def parts_of(pieces: DataFrame, most: int) -> list[DataFrame]:
+    """The pieces (item, words) in parts of at most ``most`` bytes, or of one bucket, by ranges of buckets of their hash.
+
+    Only a number per bucket comes to the driver; buckets are so many that pieces of one rarely exceed a part.
+    """
+    size = pieces.agg(F.sum(F.octet_length("words"))).first()[0] or 0
+    n = max(1, min(1 << 16, 16 * size // most)) if size > most else 1
+    if n == 1:
+        return [pieces]
+    bucket = F.pmod(F.xxhash64("item", "words"), F.lit(n))
+    ranges, held = [[0, 0]], 0
+    for r in sorted(pieces.groupBy(bucket.alias("b")).agg(F.sum(F.octet_length("words")).alias("n")).collect()):
+        if held and held + r.n > most:
+            ranges.append([r.b, r.b])
+            held = 0
+        ranges[-1][1] = r.b
+        held += r.n
+    return [pieces.where(bucket.between(a, b)) for a, b in ranges]
 
 
 def scanned(docs: DataFrame, items: DataFrame, n: int = N, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", most: int = MOST_BROADCAST) -> DataFrame:
     """(row, text, n_words, n_hit, items, spans): ``row`` packs all columns of docs; spans are byte ranges of hit words.
 
     Null and empty texts have no words and no hits; items with a null id or text are left out; an empty test set hits nothing.
-    Repeated rows are scanned each; a word that several windows cover counts once.
+    Repeated rows are scanned each; a word that several windows cover counts once. A test set of several parts takes a pass over
+    the texts for each, which notes the texts with hits, and a join of those with all texts by their hash.
     """
     sc = docs.sparkSession.sparkContext
-    parts = _parts(items.select(F.col(item_col).cast("string").alias("item"), F.col(item_text).alias("text")), most)
-    held = [sc.broadcast(pickle.dumps(Windows(p, n))) for p in parts]
+    known = items.select(F.col(item_col).cast("string").alias("item"), F.col(item_text).alias("text")).where("item is not null and text is not null").distinct()
+    pieces = written(known.mapInArrow(partial(_cut, n=n), "item string, words binary"))
+    parts = parts_of(pieces, most)
+    packed = docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text"))
+    kind = packed.schema["row"].dataType.simpleString()
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one = pickle.loads(held[0].value) if len(held) == 1 else None
+    def windows(part: DataFrame):  # noqa: ANN202
+        return sc.broadcast(Windows(sorted((r.item, bytes(r.words)) for r in part.toLocalIterator()), n))
+
+    def arrays(out) -> list[pa.Array]:  # noqa: ANN001
+        return [pa.array(x, k) for x, k in zip(out, _KINDS, strict=True)]
+
+    if len(parts) == 1:
+        held = windows(parts[0])
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                texts = as_bytes(batch.column(1))
+                for a, b in steps(texts):
+                    yield pa.RecordBatch.from_arrays([*[c.slice(a, b - a) for c in batch.columns], *arrays(held.value.scan(texts[a:b]))], names=["row", "text", "n_words", "n_hit", "items", "spans"])
+
+        return packed.mapInArrow(work, f"row {kind}, text string, {SCHEMA}")
+
+    keyed = packed.withColumn("k", F.sha2(F.coalesce("text", F.lit("")), 256))
+    found = []
+    for part in parts:
+        held = windows(part)
+
+        def hits(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+            for batch in batches:
+                texts = as_bytes(batch.column(1))
+                for a, b in steps(texts):
+                    _, n_hit, names, spans = arrays(held.value.scan(texts[a:b]))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), names, spans], names=["k", "items", "spans"]).filter(pc.greater(n_hit, 0))
+
+        found.append(written(keyed.select("k", "text").mapInArrow(hits, "k string, items array<string>, spans array<struct<a:long,b:long>>").dropDuplicates(["k"])))
+        held.destroy()
+    whole = reduce(DataFrame.unionByName, found).groupBy("k").agg(F.flatten(F.collect_list("items")).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"))
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = as_bytes(batch.column(1))
-            for a, b in steps(texts):
-                # of a test set in several parts one is unpacked at a time
-                outs = [(one or pickle.loads(h.value)).scan(texts[a:b]) for h in held]
-                out = outs[0] if one else united(outs, texts[a:b])
-                kinds = (pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))
-                cols = [pa.array(x, k) for x, k in zip(out, kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), *cols], names=["row", "text", "n_words", "n_hit", "items", "spans"])
+            rows = zip(as_bytes(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
+            out = list(zip(*[united(t, i or [], s or []) for t, i, s in rows], strict=True)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays(out)], names=["row", "text", "n_words", "n_hit", "items", "spans"])
 
-    packed = docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text"))
-    return packed.mapInArrow(work, f"row {packed.schema['row'].dataType.simpleString()}, text string, {SCHEMA}")
+    return keyed.join(whole, "k", "left").select("row", "text", "items", "spans").mapInArrow(finish, f"row {kind}, text string, {SCHEMA}")
 
 
 def contamination(docs: DataFrame, items: DataFrame, n: int = N, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
