@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -143,6 +144,14 @@ class WordRun:
         return acc, self.text[:m] == self.text[n - 1 :]
 
 
+def let_go() -> None:
+    """Gives memory that a task has freed back to the system: its worker stays for other tasks, beside the JVM."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def is_not_space() -> np.ndarray:
     t = np.ones(256, bool)
     t[[9, 10, 11, 12, 13, 32]] = False

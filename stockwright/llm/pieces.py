@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stockwright.llm.bpe import Memory, merged
-from stockwright.llm.common import table
+from stockwright.llm.bpe import REMEMBER, Memory, merged
+from stockwright.llm.common import let_go, table
 
 SPACE = "▁"
 #: Code points of a text that are encoded in one go.
@@ -59,7 +59,7 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
 class PieceModel:
     """A merge-type SentencePiece model with byte fallback and identity normalisation; others are refused."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remember: int = REMEMBER):
         import struct
 
         self.pieces: list[str] = []
@@ -100,8 +100,8 @@ class PieceModel:
         self.finder.make_automaton()
         self.byte_of = {i: b for b, i in self.byte_ids.items()}
         #: whether two pieces stay apart when their text is merged anew
-        self.compatible = Memory(lambda ab: merged([*ab[0], *ab[1]], self.rank) == [*ab])
-        self.known = Memory(self.part)
+        self.compatible = Memory(lambda ab: merged([*ab[0], *ab[1]], self.rank) == [*ab], remember)
+        self.known = Memory(self.part, remember)
 
     def rank(self, a: str, b: str) -> float | None:
         s = self.score.get(a + b)
@@ -197,22 +197,22 @@ class PieceModel:
 
 
 @lru_cache(maxsize=2)
-def model(path: str) -> PieceModel:
-    """A worker's model; reading it takes about a second."""
-    return PieceModel(path)
+def model(path: str, remember: int = REMEMBER) -> PieceModel:
+    """A worker's model, with memories of so many entries; reading it takes about a second."""
+    return PieceModel(path, remember)
 
 
 _ARROW = {"long": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}
 
 
 def _rows(texts: DataFrame, path: str, schema: str, row, forget: bool = False) -> DataFrame:  # noqa: ANN001
-    """texts with the columns of schema, made of each text by ``row``. forget: a task leaves no memory of parts in its worker,
-    where other stages follow in the same workers.
+    """texts with the columns of schema, made of each text by ``row``. forget: a task remembers half as much and leaves nothing
+    remembered in its worker, where other stages follow in the same workers.
     """
     names, kinds = zip(*[x.split() for x in schema.split(", ")], strict=True)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model(path)
+        m = model(path, REMEMBER // 2 if forget else REMEMBER)
         for batch in batches:
             at = 0
             while at < batch.num_rows:  # few rows at a time, as ids take more room than text
@@ -224,6 +224,7 @@ def _rows(texts: DataFrame, path: str, schema: str, row, forget: bool = False) -
         if forget:
             m.known.forget()
             m.compatible.forget()
+            let_go()
 
     kept = [f for f in texts.schema.fields if f.name != "text"]
     return texts.select(*[f.name for f in kept], "text").mapInArrow(work, ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in kept], schema]))

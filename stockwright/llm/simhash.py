@@ -22,15 +22,17 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stockwright.llm.common import WordRun, as_bytes, is_not_space, joined, mixed, saved, steps, table, written
+from stockwright.llm.common import WordRun, as_bytes, is_not_space, joined, let_go, mixed, saved, steps, table, written
 from stockwright.llm.components import components
 
 SEED = 42
 #: What one lookup costs, counted in comparisons of two fingerprints; only weighs the number of segments, never the result.
 LOOKUP = 60
 SLICE = 1 << 20
-#: Shingles are counted by so many buckets of their hash to order them by rarity; only weighs the work, never the result.
-BUCKETS = 1 << 16
+#: So many of the most frequent shingles are known to all tasks, which put them last; only weighs the work, never the result.
+FREQUENT = 1 << 19
+#: Words of 64 parity bits that tell most dissimilar sets apart without their texts.
+PARITIES = 8
 #: Bits of the map that passes over texts of no pair before they are shuffled; where it fills up, all pass.
 MARKS = 1 << 25
 
@@ -200,21 +202,34 @@ def shingle_sets(texts: list[bytes], size: int) -> Iterator[np.ndarray]:
         yield np.unique(np.concatenate(parts)) if parts else short
 
 
-def rarity(texts: DataFrame, size: int) -> np.ndarray:
-    """How many shingles fall into each of BUCKETS buckets, which only orders shingles: rare ones first."""
+def n_leading(n: int, similarity: float) -> int:
+    """How many of a set's n shingles lead it: any so many of two similar sets, in one order of all shingles, have one in common."""
+    return n - ceil(similarity * n - 1e-9) + 1 if n else 0
+
+
+def frequent(texts: DataFrame, size: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """(bits, count) of frequent shingles, sorted; only orders shingles, rare ones first.
+
+    Counted are the shingles of least hash of each text, twice as many as lead it, so that those that lead it in place of
+    frequent ones are counted too. Up to FREQUENT of them come to the driver, those of the greatest counts.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            for h in shingle_sets(as_bytes(batch.column(0)), size):
-                np.add.at(n, (h % np.uint64(BUCKETS)).astype(np.int64), 1)
-        at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(n[at], pa.int64())], names=["bucket", "n"])
-
-    out = np.zeros(BUCKETS, np.int64)
-    for bucket, n in texts.select("text").mapInArrow(work, "bucket long, n long").groupBy("bucket").agg(F.sum("n")).collect():
-        out[bucket] = n
-    return out
+            some = [h[: 2 * n_leading(len(h), similarity)] >> np.uint64(24) for h in shingle_sets(as_bytes(batch.column(0)), size)]
+            k, n = np.unique(np.concatenate(some), return_counts=True) if some else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int64)), pa.array(n.astype(np.int64))], names=["k", "n"])
+
+    counted = texts.select("text").mapInArrow(work, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).where(F.col("n") >= 8)
+    counted = written(counted.withColumn("bin", F.floor(F.log2("n") * 8).cast("int")))
+    least, held = 1 << 30, 0
+    for r in sorted(counted.groupBy("bin").count().collect(), reverse=True):
+        held += r["count"]
+        if held > FREQUENT:
+            break
+        least = r.bin
+    got = counted.where(F.col("bin") >= least).orderBy("k").select("k", "n").toArrow()
+    return got["k"].to_numpy().astype(np.uint64), got["n"].to_numpy()
 
 
 def set_hash(h: np.ndarray) -> int:
@@ -223,29 +238,43 @@ def set_hash(h: np.ndarray) -> int:
 
 
 def set_hashes(docs: DataFrame, size: int) -> DataFrame:
-    """docs (with a text) with ``s``, the hash of the text's set of shingles, in place of the text."""
+    """docs (with a text) with ``s``, the hash of the text's set of shingles, and its parities m0, ..., in place of the text.
+
+    A parity bit is set if an odd number of the set's shingles fall on it; two sets differ in as many shingles at least as
+    their parities in bits.
+    """
+    names = [f"m{k}" for k in range(PARITIES)]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            s = [set_hash(h) for h in shingle_sets(as_bytes(batch.column("text")), size)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(s, pa.int64())], names=[*batch.schema.names[:-1], "s"])
+            s, m = [], []
+            for h in shingle_sets(as_bytes(batch.column("text")), size):
+                odd = np.bincount((h % np.uint64(64 * PARITIES)).astype(np.int64), minlength=64 * PARITIES) & 1
+                s.append(set_hash(h))
+                m.append(np.packbits(odd.astype(bool), bitorder="little").view(np.int64))
+            m = np.array(m, np.int64).reshape(-1, PARITIES)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(s, pa.int64()), *[pa.array(m[:, k]) for k in range(PARITIES)]], names=[*batch.schema.names[:-1], "s", *names])
 
     rest = [f for f in docs.schema if f.name != "text"]
-    return docs.select(*[f.name for f in rest], "text").mapInArrow(work, ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in rest], "s long"]))
+    return docs.select(*[f.name for f in rest], "text").mapInArrow(work, ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in rest], "s long", *[f"{x} long" for x in names]]))
 
 
 def posts(texts: DataFrame, size: int, similarity: float) -> DataFrame:
-    """(key, s, at, head): under each leading shingle that several sets share, those sets and one of them, the head.
+    """(key, s, at): under each leading shingle that several sets share, those sets.
 
-    A set's leading shingles are its rarest, n - ceil(similarity * n) + 1 of n; two sets of at least the similarity have one of
-    them in common. ``at`` holds n and the shingle's place. Of the sets of a batch that share a key one goes to that key's
-    task, as the others' head; so a key of very many sets gathers one row a batch, and one of equal sets no more.
+    A set's leading shingles are its rarest; two sets of at least the similarity have one of them in common. ``at`` holds n and the shingle's place. Of the sets of a batch that share a key one goes to that key's
+    task, for all; so a key of very many sets gathers one row a batch there. Rows may repeat.
     """
-    held = texts.sparkSession.sparkContext.broadcast(rarity(texts, size))
+    held = texts.sparkSession.sparkContext.broadcast(frequent(texts, size, similarity))
 
     def leading(h: np.ndarray) -> np.ndarray:
-        order = np.lexsort((h, held.value[(h % np.uint64(BUCKETS)).astype(np.int64)]))
-        return h[order[: len(h) - ceil(similarity * len(h) - 1e-9) + 1]].view(np.int64)
+        known, count = held.value
+        n = n_leading(len(h), similarity)
+        if len(known):
+            bits = h >> np.uint64(24)
+            at = np.minimum(np.searchsorted(known, bits), len(known) - 1)
+            h = h[np.argsort(np.where(known[at] == bits, count[at], 0), kind="stable")]
+        return h[:n].view(np.int64)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -265,16 +294,20 @@ def posts(texts: DataFrame, size: int, similarity: float) -> DataFrame:
             first = np.ones(len(key), bool)
             first[1:] = key[1:] != key[:-1]
             run = np.cumsum(first) - 1
-            head, many = s[first][run], (np.bincount(run) > 1)[run]
+            many = (np.bincount(run) > 1)[run]
             elsewhere = joined(s.view(np.uint64), key.view(np.uint64)).view(np.int64)
-            led = pa.StructArray.from_arrays([pa.array(key), pa.array(head)], names=["key", "head"], mask=pa.array(~many))
-            yield pa.RecordBatch.from_arrays([pa.array(np.where(first, key, elsewhere)), pa.array(s), pa.array(at), led], names=["k", "s", "at", "led"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.where(first, key, elsewhere)), pa.array(s), pa.array(at), pa.array(key, mask=~many)], names=["k", "s", "at", "known"])
+        let_go()
 
-    sent = texts.select("text").mapInArrow(work, "k long, s long, at long, led struct<key:long,head:long>")
+    sent = texts.select("text").mapInArrow(work, "k long, s long, at long, known long")
     same = Window.partitionBy("k")
-    found = sent.select("*", F.min("s").over(same).alias("lo"), F.max("s").over(same).alias("hi")).where("led is not null or lo < hi")
-    head = F.when(F.col("led.head") != F.col("s"), F.col("led.head")).otherwise(F.col("lo"))
-    return found.select(F.coalesce("led.key", "k").alias("key"), "s", "at", head.alias("head"))
+    found = sent.select("*", F.min("s").over(same).alias("lo"), F.max("s").over(same).alias("hi")).where("known is not null or lo < hi")
+    return found.select(F.coalesce("known", "k").alias("key"), "s", "at")
+
+
+def differ(least: Column, sizes: Column, similarity: float) -> Column:
+    """Whether sets of so many shingles together, that differ in ``least`` of them or more, can't have the Jaccard similarity."""
+    return least * (1 + similarity) > sizes * (1 - similarity) + 1e-6
 
 
 def named(pairs: DataFrame) -> np.ndarray:
@@ -321,6 +354,7 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) -
                     both = len(np.intersect1d(x, y, assume_unique=True))
                     keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        let_go()
 
     held = packed_texts(texts, size, named(pairs))
     full = pairs.join(held.select(F.col("s").alias("a"), F.col("z").alias("x")), "a")
@@ -328,28 +362,34 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) -
     return full.select("a", "b", "x", "y").mapInArrow(work, "a long, b long")
 
 
-def similar(texts: DataFrame, size: int, similarity: float) -> DataFrame:
+def similar(texts: DataFrame, sets: DataFrame, size: int, similarity: float) -> DataFrame:
     """(node, component) of sets of shingles over all pairs of at least the Jaccard similarity; those without a pair aren't returned.
 
-    Pairs that share a leading shingle are found by equality and verified by their texts. Each set is first held against the
-    head with which it shares most of them, so that a dense group is joined by a number of pairs that grows with its size; then
-    all pairs of different components.
+    sets (s, m0, ...) has the parities of each. Pairs are found under the first leading shingle that they have in common: what
+    leads one of them before it is not in the other. Of the sets of a key the head is the one that it leads first, as the text
+    is from which others were made. Each set is first held against the head with which it shares most keys, so that a dense
+    group is joined by a number of pairs that grows with its size; then all pairs of different components whose places and
+    parities allow it, and all that remain are verified by their texts.
     """
-    shared = written(posts(texts, size, similarity))
-    best = shared.where("s <> head").groupBy("s", "head").count().groupBy("s").agg(F.max_by("head", F.struct("count", "head")).alias("b"))
+    shared = posts(texts, size, similarity).distinct()
+    shared = written(shared.select("key", "s", F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).alias("pos"), F.shiftright("at", 32).alias("n")))
+    heads = shared.groupBy("key").agg(F.min(F.struct("pos", "s", "n")).alias("h"))
+    tried = shared.join(heads, "key").where((F.col("s") != F.col("h.s")) & ~differ(F.col("pos") + F.col("h.pos"), F.col("n") + F.col("h.n"), similarity))
+    best = tried.groupBy("s", F.col("h.s").alias("head")).count().groupBy("s").agg(F.max_by("head", F.struct("count", "head")).alias("b"))
     group = components(verified(written(best.select(F.col("s").alias("a"), "b")), texts, size, similarity))
-    own = shared.select("key", "s", "at").distinct().join(group, F.col("s") == F.col("node"), "left")
-    own = own.select("key", F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).alias("pos"), "s", F.shiftright("at", 32).alias("n"), F.coalesce("component", "s").alias("c"))
-    # keys whose sets are all of one component are done; of a pair of two components one side at least isn't in the key's largest
-    open_keys = own.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-    open_ = written(own.join(open_keys, "key", "left_semi"))
+    own = shared.join(group, F.col("s") == F.col("node"), "left").select(*shared.columns, F.coalesce("component", "s").alias("c"))
+    # keys whose sets are all of one component are done; so is a set under a key where none is near enough to it
+    room = F.col("pos") * (1 + similarity) - F.col("n") * (1 - similarity)
+    open_keys = own.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min(room).alias("room")).where("lo < hi").select("key", "room")
+    open_ = own.join(open_keys, "key").where(room + F.col("room") <= 1e-6).drop("room")
+    open_ = written(open_.join(sets, "s"))
+    # of a pair of two components one side at least isn't in the key's largest
     largest = open_.groupBy("key", "c").count().groupBy("key").agg(F.max_by("c", F.struct("count", "c")).alias("most"))
     t, q = open_.join(largest, "key").where("c <> most").alias("t"), open_.alias("q")
-    least, most = F.least("t.n", "q.n"), F.greatest("t.n", "q.n")
-    # shingles in common: at most those up to this one and those behind it
-    common = F.least("t.pos", "q.pos") + 1 + F.least(F.col("t.n") - F.col("t.pos"), F.col("q.n") - F.col("q.pos")) - 1
-    wide = (least >= similarity * most - 1e-6) & (common * (1 + similarity) >= similarity * (least + most) - 1e-6)
-    pairs = t.join(q, (F.col("t.key") == F.col("q.key")) & (F.col("t.c") != F.col("q.c")) & wide)
+    sizes = F.col("t.n") + F.col("q.n")
+    parity = sum([F.bit_count(F.col(f"t.m{k}").bitwiseXOR(F.col(f"q.m{k}"))) for k in range(1, PARITIES)], F.bit_count(F.col("t.m0").bitwiseXOR(F.col("q.m0"))))
+    may = ~differ(F.col("t.pos") + F.col("q.pos"), sizes, similarity) & ~differ(parity, sizes, similarity)
+    pairs = t.join(q, (F.col("t.key") == F.col("q.key")) & (F.col("t.c") != F.col("q.c")) & may)
     pairs = written(pairs.select(F.least("t.s", "q.s").alias("a"), F.greatest("t.s", "q.s").alias("b")).distinct())
     return also(group, verified(pairs, texts, size, similarity))
 
@@ -364,7 +404,8 @@ def representatives(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
     # documents with the same set of shingles share s
     prints = written(set_hashes(texts.select(F.struct("doc_id", F.xxhash64("text").alias("t")).alias("doc"), "text"), shingle))
-    group = similar(texts, shingle, similarity)
+    sets = prints.groupBy("s").agg(*[F.first(f"m{k}").alias(f"m{k}") for k in range(PARITIES)])
+    group = similar(texts, sets, shingle, similarity)
     own = prints.join(group, F.col("s") == F.col("node"), "left").select("doc", F.coalesce("component", "s").alias("c"))
     first = own.groupBy("c").agg(F.min("doc").alias("first"))
     gone = own.join(first, "c").where("doc <> first").select(F.col("doc.doc_id").alias("id"), F.col("doc.t").alias("t"), F.lit(0).cast("long").alias("salt")).distinct()
