@@ -31,15 +31,26 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -
     return F.coalesce(*[F.when(fits(r), F.struct(F.lit(r[1] + r[2]).alias("rule"), F.lit(r[0]).alias("verdict"))) for r in ordered], F.lit(None).cast("struct<rule:string,verdict:string>"))
 
 
+def without_dots(path: Column) -> Column:
+    """A path without its segments . and .., each of which takes the segment before it along."""
+    step = lambda acc, x: F.when(x == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(1)))).when(x == ".", acc).otherwise(F.array_append(acc, x))
+    parts = F.split(path, "/")
+    kept = F.aggregate(F.slice(parts, 2, F.size(parts)), F.slice(parts, 1, 1), step)
+    kept = F.when(F.element_at(parts, -1).isin(".", ".."), F.array_append(kept, F.lit(""))).otherwise(kept)
+    return F.when(path.rlike(r"/\.\.?(?:/|$)"), F.array_join(kept, "/")).otherwise(path)
+
+
 def normal_url(url: Column) -> Column:
-    """What two spellings of one address share: lower-case host, path and query; scheme, fragment and a last slash go."""
-    rest = F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^#]*)", 1)
-    return F.when(F.contains(url, F.lit("://")), F.concat(host_of(url), F.regexp_replace(rest, r"/$", "")))
+    """What two spellings of one address share: lower-case host, path without dot segments and query; scheme, fragment and a
+    last slash go.
+    """
+    rest = F.regexp_extract(url, r"(?s)^.*?://[^/?#]*[^?#]*(\??[^#]*)", 1)
+    return F.when(F.contains(url, F.lit("://")), F.concat(host_of(url), F.regexp_replace(F.concat(without_dots(path_of(url)), rest), r"/$", "")))
 
 
 def resolved(base: Column, link: Column) -> Column:
-    """A link as an absolute url; null for an empty link or one that isn't http."""
-    link = F.trim(link)
+    """A link as an absolute url; null for an empty link, a place in the page or one that isn't http. Dot segments stay."""
+    link = F.btrim(link, F.lit(" \t\n\x0c\r"))
     origin = F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*)", 1)
     folder = F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*(?:/[^?#]*/|/)?)", 1)
     return (
@@ -48,18 +59,34 @@ def resolved(base: Column, link: Column) -> Column:
         .when(F.startswith(link, F.lit("//")), F.concat(F.regexp_extract(base, "^([^:]*:)", 1), link))
         .when(F.startswith(link, F.lit("/")), F.concat(origin, link))
         .when(link.rlike("^(?:#|[A-Za-z][A-Za-z0-9+.-]*:)"), None)
+        .when(F.startswith(link, F.lit("?")), F.concat(F.regexp_extract(base, r"(?s)^([^?#]*)", 1), link))
         .otherwise(F.concat(F.when(F.endswith(folder, F.lit("/")), folder).otherwise(F.concat(folder, F.lit("/"))), link))
     )
 
 
+def attribute(tag: Column, name: str) -> Column:
+    """The value of a tag's attribute, quoted or not, with the entities that addresses have; empty if it has none."""
+    found = lambda k: F.regexp_extract(tag, rf"(?is)[\s\"'/]{name}\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", k)
+    value = F.concat(found(1), found(2), found(3))
+    for text, sign in (("&#38;", "&"), ("&#x26;", "&"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&#47;", "/"), ("&#x2f;", "/"), ("&#x2F;", "/"), ("&amp;", "&")):
+        value = F.replace(value, F.lit(text), F.lit(sign))
+    return value
+
+
 def alias_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(a, b): normal urls that a canonical link or a redirect (refresh, or a canonical address in og:url) declares equal."""
-    head = r"(?is)<{tag}\b(?=[^>]*\b{key}\s*=\s*[\"']?{value}[\"'\s/>])[^>]*\b{at}\s*=\s*[\"']([^\"'>]*)"
-    html = F.col("h")
-    canonical = F.regexp_extract(html, head.format(tag="link", key="rel", value="canonical", at="href"), 1)
-    social = F.regexp_extract(html, head.format(tag="meta", key="property", value="og:url", at="content"), 1)
-    refresh = F.regexp_extract(F.regexp_extract(html, head.format(tag="meta", key="http-equiv", value="refresh", at="content"), 1), r"(?i)url\s*=\s*'?([^'\s]+)", 1)
-    found = pages.select(F.col(url_col).alias("u"), F.col(html_col).alias("h")).select("u", F.explode(F.array(canonical, social, refresh)).alias("link")).where("link <> ''")
+    """(a, b): normal urls that a page's canonical links and redirects (refresh, or its address in og:url) declare equal.
+
+    All of a page count, in any order of attributes, but for those in comments. Null urls and pages have none.
+    """
+    html = F.regexp_replace(html_col, "(?s)<!--.*?-->", "")
+    tags = F.when(F.col(html_col).rlike(r"(?i)canonical|og:url|refresh"), F.regexp_extract_all(html, F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), 0))
+    found = pages.select(F.col(url_col).alias("u"), F.explode(tags).alias("tag")).where(F.col("tag").rlike(r"(?i)canonical|og:url|refresh"))
+    tag = F.col("tag")
+    is_link = tag.rlike("(?i)^<link")
+    canonical = F.when(is_link & F.array_contains(F.split(F.lower(attribute(tag, "rel")), r"\s+"), "canonical"), attribute(tag, "href"))
+    social = F.when(~is_link & (F.lower(attribute(tag, "property")) == "og:url"), attribute(tag, "content"))
+    refresh = F.when(~is_link & (F.lower(attribute(tag, "http-equiv")) == "refresh"), F.regexp_extract(attribute(tag, "content"), r"(?i)url\s*=\s*['\"]?([^'\"\s]+)", 1))
+    found = found.select("u", F.coalesce(canonical, social, refresh).alias("link")).where("link <> ''")
     return found.select(normal_url(F.col("u")).alias("a"), normal_url(resolved(F.col("u"), F.col("link"))).alias("b")).where("a <> b")
 
 
@@ -75,7 +102,8 @@ def url_verdicts(pages: DataFrame, links: DataFrame, rules: Sequence[tuple[str,
     page = page.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), normal_url(F.col("url")).alias("node"))
     page = page.withColumn("own", rule_of(F.col("host"), F.col("path"), rules))
     member = components(links)
-    full = F.concat(F.lit("http://"), F.col("node"))
+    # a node stands for both spellings of its address, with and without a last slash
+    full = F.concat(F.lit("http://"), F.col("node"), F.when(F.contains("node", F.lit("?")), "").otherwise("/"))
     decided = member.withColumn("own", rule_of(host_of(full), path_of(full), rules))
     flags = decided.groupBy("component").agg(F.max(F.col("own.verdict") == "allow").alias("allowed"), F.max(F.col("own.verdict") == "block").alias("blocked"))
     blocked = saved(member.join(flags.where("blocked and not coalesce(allowed, false)"), "component").select("node", F.lit("block").alias("spread")))

@@ -1,10 +1,12 @@
 """Nulls, empty and long texts, repeated rows, empty tables and clashing columns, for each of the ten operators."""
 
 import hashlib
+import random
 
 import pytest
 
 from stockwright.llm import decontaminate, pieces, quality, secrets, sharding, simhash, substrings, suffixes, tokens, urls
+from stockwright.llm.components import components
 from tests.llm import brute
 
 LONG = " ".join(f"w{i % 3001}x{i % 7}" for i in range(60_000))
@@ -81,9 +83,37 @@ def test_links_of_pages(spark):
     html = [
         ("http://a.org/x/y", '<link rel="canonical" href="../z">'), ("http://b.org/x/y", "<LINK href='/z' REL=canonical>"), ("http://c.org/x/y", '<link rel="canonical" href="w">'),
         ("http://d.org/", '<meta http-equiv="refresh" content="0; url=http://e.org/n">'), ("http://f.org/", '<meta property="og:url" content="//h.org/q/">'), ("http://i.org/", '<link rel="stylesheet" href="/s.css">'), (None, '<link rel="canonical" href="/z">'), ("http://j.org/", None), ("http://k.org/", ""),
+        ("http://l.org/a?x=1", "<link rel='alternate Canonical' href=?y=2&amp;z=3><link rel=canonical href=/q/./r/../s>"), ("http://m.org/a/b/c", '<meta content="3;URL=\'../../../d\'" http-equiv=Refresh>'), ("http://n.org/", "<!-- <link rel=canonical href=/no> --><link rel=canonical href=#top><link rel=canonical href=mailto:a@b><link data-href=/no rel=canonical href='HTTPS://N.org/yes/'>"),
+        ("http://o.org/p", '<link rel="canonical" href="http://o.org/x/../p/#here">'), ("http://p.org/a/..", '<link rel="canonical" href="b/.">'),
     ]
     got = rows(urls.alias_links(spark.createDataFrame(html, "url string, html string")))
-    assert [x for x in got if not x[0].startswith("a.org")] == [("b.org/x/y", "b.org/z"), ("c.org/x/y", "c.org/x/w"), ("d.org", "e.org/n"), ("f.org", "h.org/q")]
+    assert got == [
+        ("a.org/x/y", "a.org/z"), ("b.org/x/y", "b.org/z"), ("c.org/x/y", "c.org/x/w"), ("d.org", "e.org/n"), ("f.org", "h.org/q"),
+        ("l.org/a?x=1", "l.org/a?y=2&z=3"), ("l.org/a?x=1", "l.org/q/s"), ("m.org/a/b/c", "m.org/d"), ("n.org", "n.org/yes"), ("p.org", "p.org/a/b"),
+    ]
+
+
+def test_components_are_those_of_brute_force(spark):
+    r = random.Random(8)
+    edges = [(f"n{r.randrange(150):03d}", f"n{r.randrange(150):03d}") for _ in range(110)] + [("hub", f"n{k:03d}") for k in range(0, 60)] + [(f"c{k:02d}", f"c{k + 1:02d}") for k in range(40)]
+    got = {x.node: x.component for x in components(spark.createDataFrame(edges, "a string, b string")).collect()}
+    real = [(a, b) for a, b in edges if a != b]
+    assert got == brute.closed({x for e in real for x in e}, real)
+
+
+def test_decisions_spread_over_declared_links(spark):
+    """Pages with redirects and canonical links, and the verdicts that brute force gives them."""
+    link = lambda to: f'<html><head><link rel="canonical" href="{to}"></head>'
+    pages = [
+        (1, "http://example.com/en/a", link("http://one.org/a")), (2, "http://one.org/a", "<p>"), (3, "http://two.org/b?x=1&y=2", link("http://one.org/c/../a")),
+        (4, "http://three.org/", '<meta http-equiv=refresh content="0;url=http://two.org/b?x=1&amp;y=2">'), (5, "http://four.org/", link("http://a.com/")), (6, "http://five.net/es/x", link("http://four.org/")), (7, "http://six.org/", link("http://seven.org/")), (8, "http://www.example.com/en/z", link("http://one.org/a")),
+    ]
+    page = spark.createDataFrame(pages[:7], "page_id long, url string, html string")
+    got = {r.page_id: r.verdict for r in urls.url_verdicts(page, urls.alias_links(page)).collect()}
+    assert got == {1: "block", 2: "block", 3: "block", 4: "block", 5: "allow", 6: "block", 7: "allow"}
+    page = spark.createDataFrame(pages, "page_id long, url string, html string")  # an explicit allow frees the aliases
+    got = {r.page_id: r.verdict for r in urls.url_verdicts(page, urls.alias_links(page)).collect()}
+    assert got == {1: "block", 2: "allow", 3: "allow", 4: "allow", 5: "allow", 6: "block", 7: "allow", 8: "allow"}
 
 
 def test_quality(docs, none):
