@@ -17,9 +17,11 @@ QUALITY = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text
   tri AS (SELECT r, i, count(*) OVER (PARTITION BY r, a, b, c) AS n FROM (SELECT r, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM (SELECT *, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3))),
   rep AS (SELECT r, count(DISTINCT p) AS n_repeat FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM tri WHERE n > 1) GROUP BY r),
   ln AS (SELECT r, l, regexp_extract_all(l, '{_WORD}') AS lw FROM (SELECT r, unnest(string_split(t, chr(10))) AS l FROM d) WHERE regexp_matches(l, '{_WORD}')),
-  bad AS (SELECT r, len(lw) AS n FROM (SELECT *, len(list_filter(lw, lambda x: regexp_matches(x, '^[|›»•·>]+$'))) AS seps FROM ln)
+  bad AS (SELECT r, len(lw) AS n FROM (SELECT *, len(list_filter(lw, lambda x: regexp_matches(x, '^[|›»•·>]+$'))) AS seps, len(list_filter(lw, lambda x: regexp_matches(x, '^(https?://|www\\.)'))) AS links FROM ln)
     WHERE (seps >= 2 AND seps >= len(lw) * {quality.MOST_SEPARATORS}) OR length(l) - length(translate(l, '{quality.SYMBOLS}', '')) > length(l) * {quality.MOST_SYMBOLS}
-    OR (len(lw) >= 4 AND len(regexp_extract_all(l, '!!+')) * 3 > len(lw)) OR regexp_matches(l, '^[|›»•·>\\x20\\x09-\\x0D]+$') OR {_BOILER}),
+    OR (len(lw) <= {quality.SHORT_ENTRY} AND len(lw) > 1 AND regexp_matches(lw[1], '^[•‣●○▪◦*-]$')) OR links > len(lw) * {quality.MOST_LINKS} OR length(l) - length(translate(l, '0123456789', '')) > length(l) * {quality.MOST_DIGITS}
+    OR (len(lw) <= {quality.SHORT_TEASER} AND regexp_matches(lw[len(lw)], '(\\.\\.\\.|…)$')) OR NOT regexp_matches(l, '\\p{{L}}')
+    OR (len(lw) >= 4 AND len(regexp_extract_all(l, '!!+')) * 3 > len(lw)) OR (len(lw) <= {quality.MOST_BOILERPLATE} AND ({_BOILER}))),
   s AS (SELECT d.r, doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(t) - length(translate(t, '{quality.SYMBOLS}', '')) AS n_symbols,
     (SELECT count(*) - count(DISTINCT l) FROM ln WHERE ln.r = d.r) AS n_dup_lines, coalesce(n_repeat, 0) AS n_repeat_words, coalesce((SELECT CAST(sum(n) AS BIGINT) FROM bad WHERE bad.r = d.r), 0) AS n_lost
     FROM d LEFT JOIN rep USING (r))

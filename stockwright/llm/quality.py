@@ -15,30 +15,44 @@ from pyspark.sql import functions as F
 
 from stockwright.llm.common import WS, WS_RUN, table, words
 
-#: Phrases that mark a line as boilerplate, compared in lower case.
+#: Phrases that mark a line of up to MOST_BOILERPLATE words as boilerplate, compared in lower case.
 BOILERPLATE = (
     "cookie policy", "privacy policy", "terms of use", "terms of service", "all rights reserved", "lorem ipsum",
     "javascript is disabled", "enable javascript", "subscribe to our newsletter", "sign up for our", "click here to", "use of cookies",
+    "datenschutzerklärung", "nutzungsbedingungen", "alle rechte vorbehalten", "cookies verwenden",
+    "tous droits réservés", "politique de confidentialité", "mentions légales", "conditions générales",
+    "todos los derechos reservados", "política de privacidad", "términos de uso", "aviso legal",
 )
+MOST_BOILERPLATE = 30
 #: A document that loses more than this share of its words to failing lines is rejected.
 MOST_LOST = 0.5
-#: A line fails if over this share of its characters are symbols, or of its words are separators.
-MOST_SYMBOLS, MOST_SEPARATORS = 0.1, 0.25
+#: A line fails if over this share of its characters are symbols, or digits, or of its words are separators, or links.
+MOST_SYMBOLS, MOST_DIGITS, MOST_SEPARATORS, MOST_LINKS = 0.1, 0.5, 0.25, 0.5
+#: Words up to which a list entry is navigation, and a line that ends in an ellipsis is a teaser.
+SHORT_ENTRY, SHORT_TEASER = 4, 10
 SYMBOLS = "#*$%&|<>"
+BULLET = r"^[\x20\x09-\x0D]*[•‣●○▪◦*-][\x20\x09-\x0D]"
+LINK = r"(?:^|[\x20\x09-\x0D])(?:https?://|www\.)"
+ELLIPSIS = r"(?:\.\.\.|…)[\x20\x09-\x0D]*$"
 
 
 def line_fails(line: Column) -> Column:
-    """Whether a line with a word breaks the navigation, punctuation or boilerplate rule.
+    """Whether a line with a word breaks a navigation, punctuation or boilerplate rule.
 
-    Each rule starts with a cheap search that a clean line fails, so that the costlier counts run on few lines.
+    Navigation: separators between words, short list entries, mostly links. Punctuation: many symbols, digits or exclamation
+    marks, no letter at all, a short line that breaks off in an ellipsis. Each rule starts with a cheap search that a clean line
+    fails, so that the costlier counts run on few lines.
     """
     n_words = F.size(F.split(F.btrim(line, F.lit(WS)), WS_RUN))
     separators = F.size(F.split(line, r"(?:^|[\x20\x09-\x0D])[|›»•·>]+(?=[\x20\x09-\x0D]|$)")) - 1
     navigation = line.rlike("[|›»•·>]") & (separators >= 2) & (separators >= n_words * MOST_SEPARATORS)
+    entry = line.rlike(BULLET) & (n_words <= SHORT_ENTRY)
+    links = line.rlike("://|www") & ((F.size(F.split(line, LINK)) - 1) > n_words * MOST_LINKS)
     symbols = line.rlike("[#*$%&|<>]") & ((F.length(line) - F.length(F.translate(line, SYMBOLS, ""))) > F.length(line) * MOST_SYMBOLS)
+    digits = line.rlike("[0-9]") & ((F.length(line) - F.length(F.translate(line, "0123456789", ""))) > F.length(line) * MOST_DIGITS)
     shouting = F.contains(line, F.lit("!!")) & (n_words >= 4) & ((F.size(F.split(line, "!!+")) - 1) * 3 > n_words)
-    no_words = line.rlike(r"^[|›»•·>\x20\x09-\x0D]+$")
-    return navigation | symbols | shouting | no_words | has_boilerplate(F.lower(line))
+    teaser = line.rlike(ELLIPSIS) & (n_words <= SHORT_TEASER)
+    return navigation | entry | links | symbols | digits | shouting | teaser | ~line.rlike(r"\p{L}") | (has_boilerplate(F.lower(line)) & (n_words <= MOST_BOILERPLATE))
 
 
 def has_boilerplate(low: Column) -> Column:
@@ -47,7 +61,7 @@ def has_boilerplate(low: Column) -> Column:
 
 def may_fail(text: Column, low: Column) -> Column:
     """False only if no line of the text can fail: each rule needs one of these marks."""
-    return text.rlike("[|›»•·>#*$%&<]|!!") | has_boilerplate(low)
+    return text.rlike(r"[|›»•·>#*$%&<…‣●○▪◦]|!!|\.\.\.|://|www\.|[0-9][^\n]*[0-9]|(?:^|\n)(?:[\x20\x09\x0B-\x0D]*-|[^\p{L}\n]*(?:\n|$))|^[0-9]") | has_boilerplate(low)
 
 
 def _measured(docs: DataFrame) -> DataFrame:

@@ -124,6 +124,32 @@ def test_quality(docs, none):
     assert clean.columns == docs.columns and rows(quality.clean_documents(none)) == [] == rows(quality.quality_report(none))
 
 
+PROSE = {
+    "en": "The old mill by the river was sold last year to a young couple from the town.", "de": "Die alte Mühle am Fluss wurde im letzten Jahr an ein junges Paar aus der Stadt verkauft.",
+    "fr": "Le vieux moulin au bord de la rivière a été vendu l'an dernier à un jeune couple.", "es": "El viejo molino junto al río fue vendido el año pasado a una joven pareja.",
+}
+NOISE = {
+    "en": ["Home | About | Contact", "All rights reserved.", "1234 5678", "Read more ..."], "de": ["Start » Über » Kontakt", "Alle Rechte vorbehalten.", "www.beispiel.de", "- Impressum"],
+    "fr": ["Accueil › Nous › Contact", "Tous droits réservés.", "Lire la suite…", "• Aide"], "es": ["Inicio · Nosotros · Contacto", "Aviso legal y cookies", "¡¡ vale !! ahora !! ya !!", "99,90 $ %%%"],
+}
+
+
+@pytest.mark.parametrize("lang", sorted(PROSE))
+def test_line_rules_of_each_language(spark, lang):
+    """Prose stays whole, noise goes line by line, a document that is mostly noise is rejected."""
+    r, words = random.Random(2), PROSE[lang].rstrip(".").split()
+    sentence = lambda: " ".join(r.sample(words, len(words))) + "."
+    prose = [sentence() for _ in range(8)]
+    long = sentence() + " privacy policy, alle Rechte vorbehalten, tous droits réservés, aviso legal " + " ".join(sentence() for _ in range(3))
+    noise = NOISE[lang] * 12
+    rows_ = [(1, "\n".join(prose)), (2, "\n".join([prose[0], *NOISE[lang], *prose[1:]])), (3, "\n".join([*[f"{x} {k}" if "|" in x else x for k, x in enumerate(noise)], PROSE[lang]])), (4, "\n".join([long, *prose]))]
+    docs = spark.createDataFrame(rows_, "doc_id long, text string")
+    got = {r.doc_id: (r.kept, r.n_lost > 0) for r in quality.quality_report(docs).collect()}
+    assert got[1] == (True, False) and got[2] == (True, True) and got[4] == (True, False) and got[3][0] is False
+    clean = {r.doc_id: r.text for r in quality.clean_documents(docs).collect()}
+    assert clean[2] == rows_[0][1] and clean[1] == rows_[0][1] and 3 not in clean
+
+
 def test_pieces(docs, none):
     got = pieces.encoding_digest(docs).collect()
     assert len(got) == len(TEXTS) and {(r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got if r.doc_id in (1, 2)} == {(0, sha(""), sha(""))}
