@@ -104,22 +104,27 @@ def ball(width: int, radius: int) -> list[int]:
     return [sum(1 << i for i in c) for k in range(radius + 1) for c in combinations(range(width), k)]
 
 
-def links(prints: DataFrame, n: int, radius: int, near: Column | None = None) -> DataFrame:
-    """(a, b): pairs of the ids ``d`` of distinct prints (d, f0, ...) with f0 within the radius, for which ``near`` holds.
+def links(prints: DataFrame, n: int, radius: int) -> DataFrame:
+    """(a, b): pairs of the ids ``d`` of distinct prints (d, f0, c) within the radius that aren't of one component ``c``.
 
-    ``near`` may name columns of the two sides as t.x and q.x. Nothing is said of pairs further apart.
+    Of a segment's value all of whose prints are of one component nothing is compared, and of others never two prints of the
+    component that most of them have: one that holds a dense group costs no more than its other prints.
     """
     cuts = segments(n, radius)
     key = lambda o, w: F.shiftrightunsigned("f0", o).bitwiseAND(F.lit((1 << w) - 1))
-    tables = prints.select("*", F.inline(F.array(*[F.struct(F.lit(k).alias("seg"), key(o, w).alias("key")) for k, (o, w, _) in enumerate(cuts)])))
+    at = ["seg", "key"]
+    tables = prints.select("d", "f0", "c", F.inline(F.array(*[F.struct(F.lit(k).alias("seg"), key(o, w).alias("key")) for k, (o, w, _) in enumerate(cuts)])))
+    most = tables.groupBy(*at, "c").count().groupBy(*at).agg(F.max_by("c", F.struct("count", "c")).alias("most"), F.count("*").alias("kinds"))
     balls = F.array(*[F.struct(F.lit(k).alias("seg"), key(o, w).alias("own"), F.lit(ball(w, r)).cast("array<bigint>").alias("masks")) for k, (o, w, r) in enumerate(cuts)])
-    asked = prints.select("*", F.inline(balls)).select(*prints.columns, "seg", "own", F.explode("masks").alias("mask"))
-    asked = asked.select(*prints.columns, "seg", F.col("own").bitwiseXOR(F.col("mask")).alias("key"))
+    asked = prints.select("d", "f0", "c", F.inline(balls)).select("d", "f0", "c", "seg", "own", F.explode("masks").alias("mask"))
+    asked = asked.select("d", "f0", "c", "seg", F.col("own").bitwiseXOR(F.col("mask")).alias("key")).join(most, at).where("kinds > 1 or most <> c")
+    # a print of the most common component meets the others only
+    asked = asked.select("d", "f0", "c", *at, F.explode(F.when(F.col("c") == F.col("most"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))).alias("common"))
+    tables = tables.join(most, at).select("d", "f0", "c", *at, (F.col("c") == F.col("most")).alias("common"))
     t, q = tables.alias("t"), asked.alias("q")
     # a pair is within the radius from either side: the smaller fingerprint asks
-    apart = F.bit_count(F.col("t.f0").bitwiseXOR(F.col("q.f0")))
-    on = (F.col("t.seg") == F.col("q.seg")) & (F.col("t.key") == F.col("q.key")) & (F.col("q.d") < F.col("t.d")) & (apart <= radius)
-    found = t.join(q, on if near is None else on & near)
+    near = (F.col("q.d") < F.col("t.d")) & (F.col("q.c") != F.col("t.c")) & (F.bit_count(F.col("t.f0").bitwiseXOR(F.col("q.f0"))) <= radius)
+    found = t.join(q, (F.col("t.seg") == F.col("q.seg")) & (F.col("t.key") == F.col("q.key")) & (F.col("t.common") == F.col("q.common")) & near)
     return found.select(F.col("q.d").alias("a"), F.col("t.d").alias("b")).distinct()
 
 
@@ -165,7 +170,7 @@ def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, id_col:
     prints = saved(fingerprints(docs, id_col, text_col, shingle))
     once = saved(distinct_prints(prints))
     group = components(stars(once, F.bit_count(F.col("t.f0").bitwiseXOR(F.col("q.f0"))) <= radius))
-    group = also(group, links(labelled(once, group), once.count(), radius, F.col("t.c") != F.col("q.c")))
+    group = also(group, links(labelled(once, group), once.count(), radius))
     own = once.join(group, F.col("d") == F.col("node"), "left").select("f0", F.coalesce("component", "d").alias("component_id"))
     return prints.join(own, "f0", "left").select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
