@@ -2,9 +2,10 @@
 
 A window of 200 bytes is found by its anchor, the 32-byte string of least hash inside it, which is the same in all copies. An
 anchor that occurs once has no repeated window. Where an anchor's whole neighbourhood repeats, all its windows do. What is left
-are neighbourhoods that share an anchor and differ somewhere: they are dealt by anchor, sorted from the anchor on by a suffix
-array over their blocks, and compared with their neighbours in that order to the left and right.
-An anchor with very many different neighbourhoods is not gathered: its windows are hashed and counted instead.
+are neighbourhoods that share an anchor and differ somewhere: they are dealt by anchor and sorted by suffix arrays over their
+blocks, from the anchor on and backwards from it; what neighbours in both orders have in common decides what repeats.
+An anchor with very many different neighbourhoods is not gathered in one task: it is split by all the bytes about it, so that each
+of its windows is a group of its own, which repeats if it has two places.
 """
 
 from __future__ import annotations
@@ -213,44 +214,52 @@ def _padded(parts: list[bytes], width: int) -> np.ndarray:
     return np.frombuffer(b"".join([p.ljust(width, b"\0") for p in parts]), np.uint8).reshape(len(parts), width)
 
 
+def ordered(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The order of texts of at most WIDTH bytes by a suffix array over their blocks, and how many bytes each shares with the
+    next, ends padded with zeros.
+    """
+    m, per = len(parts), WIDTH // BLOCK
+    rows = _padded(parts, WIDTH)
+    symbols = np.ones((m, per + 1), np.int64)
+    symbols[:, :per] = np.unique(rows.reshape(-1).view(f"S{BLOCK}"), return_inverse=True)[1].reshape(m, per) + 2
+    order = np.array(suffix_array([*symbols.ravel().tolist(), 0]))
+    order = order[(order < m * (per + 1)) & (order % (per + 1) == 0)] // (per + 1)
+    differ = rows[order][1:] != rows[order][:-1]
+    return order, np.where(differ.any(1), differ.argmax(1), WIDTH)
+
+
+def _runs(order: np.ndarray, common: np.ndarray, least: int) -> np.ndarray:
+    """For each text, the run of the order in which neighbours share ``least`` bytes or more."""
+    run = np.empty(len(order), np.int64)
+    run[order] = np.concatenate([[0], np.cumsum(common < least)])
+    return run
+
+
 def repeated_windows(left: list[bytes], right: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """For neighbourhoods of anchors, left and right of where the anchor starts: the least and the greatest number of bytes
     to the left of the anchor at which a window of WIDTH bytes starts that another one also has; -1 if none.
+
+    A window with x bytes to the left is the same in two of them if they are in one run of the order to the right, where
+    neighbours share WIDTH - x bytes, and in one run of the order of what is to the left, read backwards, where they share x.
     """
     m = len(left)
     n_left = np.fromiter(map(len, left), np.int64, m)
     n_right = np.fromiter(map(len, right), np.int64, m)
-    rows = _padded(right, WIDTH)
-    per = WIDTH // BLOCK
-    blocks = np.unique(rows.reshape(-1).view(f"S{BLOCK}"), return_inverse=True)[1].reshape(m, per) + 2
-    symbols = np.ones((m, per + 1), np.int64)
-    symbols[:, :per] = blocks
-    order = np.array(suffix_array([*symbols.ravel().tolist(), 0]))
-    order = order[(order < m * (per + 1)) & (order % (per + 1) == 0)] // (per + 1)
-    rows, back, n_left, n_right = rows[order], _padded([x[::-1] for x in left], WIDTH)[order], n_left[order], n_right[order]
-    differ = rows[1:] != rows[:-1]
-    common = np.where(differ.any(1), differ.argmax(1), WIDTH)
+    ahead, back = ordered(right), ordered([x[::-1] for x in left])
     low, high = np.full(m, -1), np.full(m, -1)
-    before = np.full(m, 0x243F6A8885A308D3, np.uint64)
     for x in range(WIDTH - ANCHOR + 1):
-        # x bytes to the left are part of the window, WIDTH - x from the anchor on: those agree inside a run of the order
-        if x:
-            before = joined(before, back[:, x - 1].astype(np.uint64))
         k = np.flatnonzero((n_left >= x) & (n_right >= WIDTH - x))
         if len(k) < 2:
             continue
-        run = np.concatenate([[0], np.cumsum(common < WIDTH - x)])
-        key = joined(run[k].astype(np.uint64), before[k])
-        by = np.argsort(key)
+        key = _runs(*ahead, WIDTH - x)[k] * m + _runs(*back, x)[k]
+        by = np.argsort(key, kind="stable")
         same = key[by][1:] == key[by][:-1]
         hit = np.zeros(len(k), bool)
         hit[by[1:][same]] = hit[by[:-1][same]] = True
         k = k[hit]
         low[k] = np.where(low[k] < 0, x, low[k])
         high[k] = x
-    back_to = np.empty(m, np.int64)
-    back_to[order] = np.arange(m)
-    return low[back_to], high[back_to]
+    return low, high
 
 
 _RANGES = "did long, th long, a int, b int"
