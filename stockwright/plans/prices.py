@@ -107,7 +107,7 @@ def j07(c):
 @R.add("j14_alerts_met", f"SELECT DISTINCT user_id, part_id, retailer_id, threshold_cents, l.price_cents FROM alerts JOIN listings l USING (part_id) JOIN retailers USING (retailer_id) JOIN users USING (user_id) WHERE threshold_cents >= l.price_cents AND updated_at >= {T90}")
 def j14(c):
     fresh = c.listings.where(F.col("updated_at") >= P.window_start("90d", AS_OF)).join(c.retailers.select("retailer_id"), "retailer_id", "left_semi")
-    met = c.alerts.join(fresh, "part_id").where("threshold_cents >= price_cents")
+    met = c.alerts_for(fresh).join(fresh, "part_id").where("threshold_cents >= price_cents")
     return met.join(c.users.select("user_id"), "user_id", "left_semi").select("user_id", "part_id", "retailer_id", "threshold_cents", "price_cents")
 
 

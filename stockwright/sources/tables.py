@@ -41,9 +41,13 @@ class Catalogue:
 
     @cached_property
     def history(self) -> DataFrame:
-        """One observation for each part, retailer and day: the lowest price of the day."""
+        """One observation for each part, retailer and day: the lowest price of the day.
+
+        Dealt by part, which serves this grouping and those by part and by listing that follow it: one shuffle for all.
+        """
         price = F.round(F.col("l_extendedprice") * 100 / F.col("l_quantity")).cast("long")
-        return self.raw("lineitem").groupBy(F.col("l_partkey").alias("part_id"), F.col("l_suppkey").alias("retailer_id"), F.col("l_shipdate").alias("observed_at")).agg(F.min(price).alias("price_cents"))
+        seen = self.raw("lineitem").select(F.col("l_partkey").alias("part_id"), F.col("l_suppkey").alias("retailer_id"), F.col("l_shipdate").alias("observed_at"), price.alias("price_cents"))
+        return seen.repartition("part_id").groupBy("part_id", "retailer_id", "observed_at").agg(F.min("price_cents").alias("price_cents"))
 
     @cached_property
     def listings(self) -> DataFrame:
@@ -80,7 +84,14 @@ class Catalogue:
     @cached_property
     def alerts(self) -> DataFrame:
         """A user who bought a part watches it from its retail price down."""
-        own = self.raw("orders").select("o_orderkey", "o_custkey").join(self.raw("lineitem").select("l_orderkey", "l_partkey"), F.col("o_orderkey") == F.col("l_orderkey"))
+        return self.alerts_for(None)
+
+    def alerts_for(self, wanted: DataFrame | None) -> DataFrame:
+        """Alerts for the parts (part_id) of a table, which narrow the lines before these meet their orders; for all without one."""
+        lines = self.raw("lineitem").select("l_orderkey", "l_partkey")
+        if wanted is not None:
+            lines = lines.join(wanted.select("part_id"), F.col("l_partkey") == F.col("part_id"), "left_semi")
+        own = self.raw("orders").select("o_orderkey", "o_custkey").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
         own = own.select(F.col("o_custkey").alias("user_id"), F.col("l_partkey").alias("part_id")).distinct()
         return own.join(self.parts.select(F.col("id").alias("part_id"), F.col("price_cents").alias("threshold_cents")), "part_id")
 
