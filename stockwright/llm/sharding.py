@@ -114,7 +114,8 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id
 
     Rows of equal text share a shard, whatever its size; null texts go with empty ones. Shards follow the order of the groups'
     least ids, slots count from 0 in each shard in that order; rows that repeat an id take consecutive slots in any order.
-    With fewer groups than shards, the last shards are empty; an empty table gives no rows. Null ids come first.
+    With fewer groups than shards, the last shards are empty; an empty table gives no rows. Null ids come first. Ids are numbers,
+    or texts of numbers; others are an error.
     """
     text = F.coalesce(text_col, F.lit(""))
     rows = docs.select(

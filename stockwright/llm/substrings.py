@@ -182,7 +182,8 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, first: int = FIRST, i
     """(row, n_words, n_removed, kept): ``row`` packs the columns of docs but the text, kept are the words that stay, joined by a space.
 
     A window's occurrences are ordered by (id, place), null ids last; rows that share an id aren't earlier than each other, so
-    repeated rows are judged alike. Null and blank texts have no words. A text of fewer words than the window stays.
+    repeated rows are judged alike. Null and blank texts have no words. A text of fewer words than the window stays. Ids are
+    numbers, or texts of numbers; others are an error.
     """
     rows = keyed(docs, id_col, text_col)
     spans = repeated_spans(rows, window, first)

@@ -393,7 +393,8 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(row, n_bytes, n_removed, n_spans, kept): ``row`` packs the columns of docs but the text, kept are the bytes that stay.
 
     Every byte goes that a WIDTH-byte string covers which also starts anywhere else, in this or another document. Null texts
-    are empty; texts of fewer bytes stay. Rows with the same id are different rows, whose texts can repeat each other.
+    are empty; texts of fewer bytes stay. Rows with the same id are different rows, whose texts can repeat each other. Ids are
+    numbers, or texts of numbers; others are an error.
     """
     rows = keyed(docs, id_col, text_col)
     lists = saved(repeated_ranges(rows, many_local, most))

@@ -73,3 +73,33 @@ def test_ids_are_those_of_the_library(stages):
 
 def test_run_gives_the_same_rows(spark, stages):
     assert {(r.doc_id, r.decoded_sha256) for r in cp.run(spark, DIR).collect()} == {(r.doc_id, r.decoded_sha256) for r in stages[4].collect()}
+
+
+def test_odd_rows_go_through_all_stages(spark, tmp_path):
+    import random
+
+    r = random.Random(9)
+    prose = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(n)) + "."
+    a, b, c, item = prose(80), prose(90), prose(70), prose(14)
+    near = a.split(" ")
+    near[40] = "other"
+    long = prose(30_000)
+    rows = [
+        (1, a), (2, " ".join(near)), (3, None), (4, ""), (5, " \n\t"), (6, "few words only"), (7, b), (7, b), (7, c), (None, b), (None, b), (8, prose(60) + " " + item + " " + prose(60)),
+        (9, item + " " + item + " " + item + " " + item), (10, prose(70) + " token = Zk8vQ2mX7pLw3"), (11, long), (12, long),
+    ]
+    kind = "doc_id long, text string, lang string, source string, n_chars long, row string, s long, key string, id string, t long, pick int, k string"
+    docs = spark.createDataFrame([(i, t, "en", "web", None if t is None else len(t), "r", 1, "k", "i", 2, 3, "x") for i, t in rows], kind)
+    docs.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([("q1", item), (None, a), ("q2", None), ("q3", "")], "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = sorted((x.doc_id or 0, x.n_tokens > 0) for x in cp.run(spark, str(tmp_path)).collect())
+    assert got == [(0, True), (0, True), (1, True), (7, True), (7, True), (8, True), (10, True), (11, True)]
+    stage, kept = spark.read.parquet(str(tmp_path / "documents.parquet")), {}
+    for name, work in cp.STAGES[:4]:
+        stage = work(spark, stage, str(tmp_path))
+        assert stage.columns == docs.columns, name
+    kept = {x.doc_id: x for x in stage.where("doc_id in (8, 10)").collect()}
+    assert item not in kept[8].text and kept[8].n_chars == len(kept[8].text) and "Zk8vQ2mX7pLw3" not in kept[10].text and kept[10].source == "web"
+    docs.limit(0).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    spark.createDataFrame([], "item_id string, text string").write.parquet(str(tmp_path / "none" / "benchmark.parquet"))
+    assert cp.run(spark, str(tmp_path / "none")).collect() == []
