@@ -1,6 +1,6 @@
 """DuckDB SQL for the text operators that SQL can express. Others are held against brute force in tests/llm."""
 
-from stockwright.llm import quality, urls
+from stockwright.llm import quality, ropes, urls
 
 _WORD = r"[^\x20\x09-\x0D]+"
 _LOWER = f"translate(coalesce(text, ''), '{urls.A_Z}', '{urls.a_z}')"
@@ -37,4 +37,13 @@ DECONTAMINATION = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, regex
   its AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS s FROM (SELECT DISTINCT r, item FROM h) GROUP BY r)
   SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN hits USING (r) LEFT JOIN its USING (r)"""
 
-ORACLE_SQL = {"op2_substring_dedup": SUBSTRINGS, "op5_quality_rules": QUALITY, "op8_decontamination": DECONTAMINATION}
+_DRAWN = ", ".join(f"CAST('0x' || substr(x, {1 + 8 * i}, 8) AS BIGINT) AS h{i + 1}" for i in range(4))
+_MARKED = " OR ".join(f"contains(t, '{m}')" for m in (ropes.PREFIX, ropes.SUFFIX, ropes.MIDDLE))
+FILL_IN_MIDDLE = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{ropes.UNIT.pattern}') AS u, sha256('{ropes.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS x FROM documents),
+  h AS (SELECT *, len(u) AS n, {_DRAWN} FROM d),
+  c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b, CASE WHEN t = '' OR {_MARKED} OR h3 % 100 >= {ropes.RATE} THEN 'plain' WHEN h4 % 100 < {ropes.SPM_RATE} THEN 'spm' ELSE 'psm' END AS form FROM h),
+  p AS (SELECT *, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:], '') AS s FROM c)
+  SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256 FROM p"""
+
+ORACLE_SQL = {"op2_substring_dedup": SUBSTRINGS, "op5_quality_rules": QUALITY, "op8_decontamination": DECONTAMINATION, "op13_fill_in_middle": FILL_IN_MIDDLE}

@@ -1,6 +1,6 @@
 """The queries of the text operators by name, and SQL for those that SQL can express."""
 
-from stockwright.llm import decontaminate, pieces, quality, secrets, sharding, simhash, substrings, suffixes, tokens, urls
+from stockwright.llm import decontaminate, pieces, quality, ropes, secrets, sharding, simhash, substrings, suffixes, tokens, urls
 from stockwright.llm.oracles import ORACLE_SQL
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -16,4 +16,5 @@ QUERIES = {
     "op7_token_counts": tokens.op7_token_counts,
     "op8_decontamination": decontaminate.op8_decontamination,
     "op9_secret_scans": secrets.op9_secret_scans,
+    "op13_fill_in_middle": ropes.op13_fill_in_middle,
 }
