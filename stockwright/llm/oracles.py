@@ -1,6 +1,6 @@
 """DuckDB SQL for the text operators that SQL can express. Others are held against brute force in tests/llm."""
 
-from stockwright.llm import quality, ropes, urls
+from stockwright.llm import quality, ropes, trie, urls
 
 _WORD = r"[^\x20\x09-\x0D]+"
 _LOWER = f"translate(coalesce(text, ''), '{urls.A_Z}', '{urls.a_z}')"
@@ -46,4 +46,21 @@ FILL_IN_MIDDLE = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_e
   SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
     sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256 FROM p"""
 
-ORACLE_SQL = {"op2_substring_dedup": SUBSTRINGS, "op5_quality_rules": QUALITY, "op8_decontamination": DECONTAMINATION, "op13_fill_in_middle": FILL_IN_MIDDLE}
+#: CRC-32 of decimal digits: each byte is xored in and followed by eight shifts, which -1 stands for.
+_CRC = """list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: list_prepend(CAST(ascii(x) AS BIGINT), [CAST(-1 AS BIGINT) FOR i IN range(8)])))),
+    lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END)"""
+PREFIX_TRIE = f"""WITH o AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, turn FROM conversations WHERE conv_id IS NOT NULL),
+  k AS (SELECT *, sha256(strlen(role) || ':' || role || ':' || text) AS k FROM o),
+  t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, k) - 1 AS place, k, length(text) AS chars FROM k),
+  c AS (SELECT conv_id, n, xor({_CRC}, 4294967295) % {trie.HEADS} AS h, conv_id - conv_id % {trie.BLOCK} AS base FROM (SELECT conv_id, count(*) AS n FROM t GROUP BY 1)),
+  r AS (SELECT c.conv_id, t.place AS seq, k, chars FROM c JOIN t ON t.conv_id = base AND t.place < h UNION ALL SELECT conv_id, place + 1000000000, k, chars FROM c JOIN t USING (conv_id) WHERE place >= h),
+  p AS (SELECT conv_id, list(k ORDER BY seq) AS ks, list(chars ORDER BY seq) AS cs FROM r GROUP BY 1),
+  m AS (SELECT conv_id, d, md5(array_to_string(ks[1:d], ',')) AS node, md5(array_to_string(ks[1:d - 1], ',')) AS parent, CASE WHEN d = 0 THEN 0 ELSE cs[d] END AS chars, d = len(ks) AS last, ks[1:d] AS path
+    FROM (SELECT conv_id, coalesce(ks, []) AS ks, cs, unnest(range(0, len(coalesce(ks, [])) + 1)) AS d FROM c LEFT JOIN p USING (conv_id))),
+  n AS (SELECT d, node, row_number() OVER (ORDER BY min(path)) - 1 AS place, min(parent) AS parent, min(chars) AS chars, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (last), '') AS ends FROM m GROUP BY d, node),
+  q AS (SELECT d - 1 AS d, parent AS node, count(*) AS n_children FROM n WHERE d > 0 GROUP BY ALL),
+  s AS (SELECT a.d, a.node, count(*) AS n_below, count(*) FILTER (n_children IS NULL) AS n_leaves, CAST(sum((n.n_convs - 1) * n.chars) AS BIGINT) AS saved_tokens FROM n LEFT JOIN q USING (d, node) JOIN m a ON a.conv_id = n.conv_id AND a.d <= n.d GROUP BY a.d, a.node)
+  SELECT n.conv_id, n.d AS depth, u.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, sha256(n.ends) AS ends_sha256, n.place, n.place + n_below - 1 AS subtree_end
+  FROM n JOIN s ON s.d = n.d AND s.node = n.node LEFT JOIN q ON q.d = n.d AND q.node = n.node LEFT JOIN n u ON u.d = n.d - 1 AND u.node = n.parent"""
+
+ORACLE_SQL = {"op2_substring_dedup": SUBSTRINGS, "op5_quality_rules": QUALITY, "op8_decontamination": DECONTAMINATION, "op11_prefix_trie": PREFIX_TRIE, "op13_fill_in_middle": FILL_IN_MIDDLE}
