@@ -1,6 +1,6 @@
 """The queries of the text operators by name, and SQL for those that SQL can express."""
 
-from stockwright.llm import decontaminate, pieces, quality, ropes, secrets, sharding, simhash, substrings, suffixes, tokens, trie, urls
+from stockwright.llm import decontaminate, languages, pieces, quality, ropes, secrets, sharding, simhash, substrings, suffixes, tokens, trie, urls
 from stockwright.llm.oracles import ORACLE_SQL
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -17,5 +17,6 @@ QUERIES = {
     "op8_decontamination": decontaminate.op8_decontamination,
     "op9_secret_scans": secrets.op9_secret_scans,
     "op11_prefix_trie": trie.op11_prefix_trie,
+    "op12_language_id": languages.op12_language_id,
     "op13_fill_in_middle": ropes.op13_fill_in_middle,
 }
