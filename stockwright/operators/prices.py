@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
+from stockwright.operators.ordered import as_of
+
+#: Neighbouring ids that one range of a group's history holds at most.
+BLOCK = 1 << 16
 DAYS = {"7d": 7, "30d": 30, "90d": 90, "180d": 180, "1y": 365, "all": None}
 
 
@@ -31,20 +34,61 @@ def trend(slope: Column, n: Column, mean: Column) -> Column:
     return F.when((n < 2) | (mean == 0), "flat").when(drift > least, "up").when(drift < -least, "down").otherwise("flat")
 
 
-def summary(history: DataFrame, keys: Sequence[str], tie: str = "retailer_id", with_trend: bool = True) -> DataFrame:
+def _in_ranges(history: DataFrame, keys: Sequence[str], ties: Sequence[str]) -> tuple[DataFrame, list[str], list[str]]:
+    """history with ``_place``, a row's number from 0 in its range, and the columns of a day and those of a range in it.
+
+    A range is what a group has at one time for BLOCK neighbouring ids of the last tie, so that no group is ordered as a whole: with one
+    observation for each group, time and ids, as ``daily`` and ``ingested`` leave them, a range holds at most BLOCK rows.
+    """
+    rows = history.withColumns({"_day": F.date_trunc("day", "observed_at"), "_block": F.floor(F.col(ties[-1]) / BLOCK)})
+    within = ["observed_at", *ties[:-1], "_block"]
+    place = F.row_number().over(Window.partitionBy(*keys, "_day", *within).orderBy(ties[-1])) - 1
+    return rows.withColumn("_place", place.cast("long")), [*keys, "_day"], within
+
+
+def _merged(sums: DataFrame, outer: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The sums of ranges, put one behind the other in order, as those of what they make up together."""
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(*outer).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    moved = sums.withColumn("s_ip", F.col("s_ip") + before * F.col("s_p"))
+    return moved.groupBy(*outer).agg(F.sum("n").alias("n"), F.sum("s_p").alias("s_p"), F.sum("s_ip").alias("s_ip"), F.min("low").alias("low"), F.max("high").alias("high"), F.max("last").alias("last"))
+
+
+def summary(history: DataFrame, keys: Sequence[str], ties: Sequence[str] = ("retailer_id",), with_trend: bool = True) -> DataFrame:
     """Least, greatest and last price, its time, the number of observations and the trend of each group.
 
-    The line is fitted over the order of the observations, not over time.
+    The line is fitted over the order of the observations, by time and then by ids (``ties``), not over time. Its slope comes from
+    sums of prices and of places times prices, made range by range and moved on by how many observations come before a range.
     """
-    aggregates = [
-        F.min("price_cents").alias("min_cents"), F.max("price_cents").alias("max_cents"),
-        F.max_by("price_cents", F.struct("observed_at", tie)).alias("last_cents"), F.max("observed_at").alias("last_at"), F.count("*").alias("observations"),
-    ]
+    last = F.max(F.struct("observed_at", *ties, "price_cents")).alias("last")
     if not with_trend:
-        return history.groupBy(*keys).agg(*aggregates)
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy("observed_at", tie))
-    fitted = history.withColumn("place", place).groupBy(*keys).agg(*aggregates, F.regr_slope("price_cents", "place").alias("slope"), F.avg("price_cents").alias("mean"))
-    return fitted.withColumn("trend", trend(F.col("slope"), F.col("observations"), F.col("mean"))).drop("slope", "mean")
+        sums = history.groupBy(*keys).agg(F.count("*").alias("n"), F.min("price_cents").alias("low"), F.max("price_cents").alias("high"), last)
+    else:
+        rows, day, within = _in_ranges(history, keys, ties)
+        s_ip = F.sum(F.col("_place").cast("double") * F.col("price_cents")).alias("s_ip")
+        sums = rows.groupBy(*day, *within).agg(F.count("*").alias("n"), F.sum(F.col("price_cents").cast("double")).alias("s_p"), s_ip, F.min("price_cents").alias("low"), F.max("price_cents").alias("high"), last)
+        sums = _merged(_merged(sums, day, within), keys, ["_day"])
+    facts = [F.col("low").alias("min_cents"), F.col("high").alias("max_cents"), F.col("last.price_cents").alias("last_cents"), F.col("last.observed_at").alias("last_at"), F.col("n").alias("observations")]
+    if with_trend:
+        n = F.col("n").cast("double")
+        slope = (F.col("s_ip") - (n - 1) / 2 * F.col("s_p")) * 12 / F.nullif(n * (n * n - 1), F.lit(0.0))
+        facts.append(trend(slope, F.col("n"), F.col("s_p") / n).alias("trend"))
+    return sums.select(*keys, *facts)
+
+
+def placed(history: DataFrame, keys: Sequence[str], ties: Sequence[str]) -> DataFrame:
+    """history with ``place``, each row's number from 0 in its group by time and ids, and the group's least and greatest price, ``low`` and ``high``.
+
+    What comes before a range in its day, and before a day in its group, is summed up from counts; rows only meet those of their range.
+    """
+    rows, day, within = _in_ranges(history, keys, ties)
+    before = lambda outer, order: F.coalesce(F.sum("n").over(Window.partitionBy(*outer).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = rows.groupBy(*day, *within).agg(F.count("*").alias("n"), F.min("price_cents").alias("low"), F.max("price_cents").alias("high"))
+    days = counts.groupBy(*day).agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+    whole = Window.partitionBy(*keys)
+    days = days.select(*day, before(keys, ["_day"]).alias("_earlier"), F.min("low").over(whole).alias("low"), F.max("high").over(whole).alias("high"))
+    ranges = counts.select(*day, *within, before(day, within).alias("_before")).join(days, day)
+    out = rows.join(ranges, [*day, *within]).withColumn("place", F.col("_place") + F.col("_before") + F.col("_earlier"))
+    return out.select(*history.columns, "place", "low", "high")
 
 
 def batch_summary(requested: DataFrame, parts: DataFrame, history: DataFrame) -> DataFrame:
@@ -55,7 +99,7 @@ def batch_summary(requested: DataFrame, parts: DataFrame, history: DataFrame) ->
     group = parts.select(F.col("id").alias("part_id"), F.coalesce("canonical_part_id", "id").alias("group_id"))
     asked = requested.join(group, "part_id", "left")
     wanted = group.join(asked.select("group_id").distinct(), "group_id", "left_semi")  # before the history is touched
-    facts = summary(history.join(wanted, "part_id").withColumn("tie", F.struct("part_id", "retailer_id")), ["group_id"], "tie")
+    facts = summary(history.join(wanted, "part_id"), ["group_id"], ["part_id", "retailer_id"])
     return asked.join(facts, "group_id", "left").select(
         "part_id", "min_cents", "max_cents", "last_cents", "last_at", F.coalesce("observations", F.lit(0)).alias("observations"), F.coalesce("trend", F.lit("flat")).alias("trend"),
     )
@@ -67,6 +111,27 @@ def anchors(history: DataFrame, start: Column, keys: Sequence[str] = ("part_id",
     return history.where(F.col("observed_at") < start).groupBy(*keys).agg(last).select(*keys, F.col("x.observed_at").alias("anchor_at"), F.col("x.price_cents").alias("anchor_cents"))
 
 
+def anchors_of(wanted: DataFrame, history: DataFrame, keys: Sequence[str] = ("part_id", "retailer_id"), start: str = "start") -> DataFrame:
+    """wanted with (anchor_at, anchor_cents), the last observation of its keys strictly before its own ``start``; null if there is none."""
+    seen = history.select(*keys, F.col("observed_at").alias("anchor_at"), F.col("price_cents").alias("anchor_cents"))
+    return as_of(wanted, seen, keys, start, "anchor_at", ["anchor_at", "anchor_cents"], tie="anchor_cents", strict=True)
+
+
+def carried_in(history: DataFrame, start: Column, keys: Sequence[str] = ("part_id", "retailer_id")) -> DataFrame:
+    """(keys, observed_at, price_cents, seen_at): the point that a window's line begins with, the last price before the window.
+
+    It is placed at the start of the window, or of its day if that is later, and left out where the first observation in the window is the
+    same point.
+    """
+    inside, before = history.where(F.col("observed_at") >= start), history.where(F.col("observed_at") < start)
+    first = inside.groupBy(*keys).agg(F.min(F.struct(F.date_trunc("day", "observed_at").alias("day"), "price_cents")).alias("first"))
+    last = before.groupBy(*keys).agg(F.max(F.struct("observed_at", "price_cents")).alias("last"))
+    at = F.greatest(start, F.date_trunc("day", "last.observed_at"))
+    same = (F.col("first.day") == at) & (F.col("first.price_cents") == F.col("last.price_cents"))
+    kept_ = last.join(first, [*keys], "left").where(~F.coalesce(same, F.lit(False)))
+    return kept_.select(*keys, at.alias("observed_at"), F.col("last.price_cents").alias("price_cents"), F.col("last.observed_at").alias("seen_at"))
+
+
 def best_price(listings: DataFrame, parts: DataFrame) -> DataFrame:
     """(id, best_cents): the least price >= 0 over a part's link group, for every member; null if there is none."""
     group = parts.select("id", F.coalesce("canonical_part_id", "id").alias("group_id"))
@@ -108,24 +173,18 @@ def chart_groups(points: DataFrame, near: float = 16.0) -> DataFrame:
     """(chart, x, y, head_x, head_y): to which group each pixel of a chart belongs, whose points are drawn as one.
 
     points (chart, x, y, place), in pixels and in the order in which they are drawn. A point joins the first group whose
-    first point is at most ``near`` away, else it begins one. Points of one pixel share a group, so a chart sends one row a
-    pixel, however long its history.
+    first point is at most ``near`` away, else it begins one. Points of one pixel share a group, so a chart has one element a
+    pixel, however long its history, and its groups, of which there are few on a screen, are found in one fold over them.
     """
-
-    def walk(df: pd.DataFrame) -> pd.DataFrame:
-        heads: list[tuple[int, int]] = []
-        out = []
-        for x, y in zip(df["x"], df["y"], strict=True):
-            head = next((h for h in heads if math.hypot(x - h[0], y - h[1]) <= near), None)
-            if head is None:
-                heads.append(head := (x, y))
-            out.append(head)
-        return df.assign(head_x=[h[0] for h in out], head_y=[h[1] for h in out])[["chart", "x", "y", "head_x", "head_y"]]
-
     pixels = points.groupBy("chart", F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y")).agg(F.min("place").alias("place"))
-    pixels = pixels.withColumn("place", F.row_number().over(Window.partitionBy("chart").orderBy("place")))
-    kind = f"chart {points.schema['chart'].dataType.simpleString()}, x long, y long, head_x long, head_y long"
-    return pixels.groupBy("chart").applyInPandas(lambda df: walk(df.sort_values("place")), kind)
+    drawn = F.transform(F.array_sort(F.collect_list(F.struct("place", "x", "y"))), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))
+    pixel = pixels.select(F.struct("x", "y").alias("p")).schema["p"].dataType
+    close = lambda h, p: (h["x"] - p["x"]) * (h["x"] - p["x"]) + (h["y"] - p["y"]) * (h["y"] - p["y"]) <= near * near
+    heads = F.aggregate("drawn", F.array().cast(ArrayType(pixel)), lambda hs, p: F.when(F.exists(hs, lambda h: close(h, p)), hs).otherwise(F.array_append(hs, p)))
+    charts = pixels.groupBy("chart").agg(drawn.alias("drawn")).select("chart", "drawn", heads.alias("heads"))
+    return charts.select("chart", "heads", F.explode("drawn").alias("p")).select(
+        "chart", "p.x", "p.y", F.filter("heads", lambda h: close(h, F.col("p")))[0].alias("h"),
+    ).select("chart", "x", "y", F.col("h.x").alias("head_x"), F.col("h.y").alias("head_y"))
 
 
 def drops(history: DataFrame, keys: Sequence[str] = ("part_id", "retailer_id")) -> DataFrame:
@@ -135,12 +194,10 @@ def drops(history: DataFrame, keys: Sequence[str] = ("part_id", "retailer_id"))
     return changed.where("price_cents >= 0 and (before_cents is null or price_cents < before_cents)")
 
 
-def sparkline(history: DataFrame, keys: Sequence[str], tie: str) -> DataFrame:
+def sparkline(history: DataFrame, keys: Sequence[str], ties: Sequence[str]) -> DataFrame:
     """Places from 0 and heights from 0 to 1 in each group; a flat line is at 0.5."""
-    w = Window.partitionBy(*keys)
-    low, high = F.min("price_cents").over(w), F.max("price_cents").over(w)
-    x = F.row_number().over(w.orderBy("observed_at", tie)) - 1
-    return history.withColumns({"x": x.cast("long"), "y": F.when(high == low, F.lit(0.5)).otherwise((F.col("price_cents") - low) / (high - low))})
+    y = F.when(F.col("high") == F.col("low"), F.lit(0.5)).otherwise((F.col("price_cents") - F.col("low")) / (F.col("high") - F.col("low")))
+    return placed(history, keys, ties).withColumns({"x": F.col("place"), "y": y}).drop("place", "low", "high")
 
 
 def axis(history: DataFrame) -> DataFrame:

@@ -123,6 +123,16 @@ def j22(c):
     return P.anchors(c.history, P.window_start("90d", AS_OF))
 
 
+@R.add("j22_anchor_of_each_window", "WITH w AS (SELECT part_id, w AS name, e - to_days(CAST(d AS INTEGER)) AS start FROM (SELECT part_id, max(observed_at) AS e FROM history GROUP BY 1), (VALUES ('7d', 7), ('30d', 30), ('90d', 90), ('180d', 180), ('1y', 365)) v(w, d)) SELECT l.part_id, l.retailer_id, name, start, anchor_at, anchor_cents FROM (SELECT part_id, retailer_id, name, start FROM w JOIN listings USING (part_id)) l ASOF LEFT JOIN (SELECT part_id, retailer_id, observed_at AS anchor_at, price_cents AS anchor_cents FROM history) h ON l.part_id = h.part_id AND l.retailer_id = h.retailer_id AND l.start > h.anchor_at")
+def j22_each(c):
+    """For each listing and named window its anchor; a part's windows end with the last observation of the part."""
+    ends = c.history.groupBy("part_id").agg(F.max("observed_at").alias("end"))
+    days = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(d).alias("days")) for n, d in P.DAYS.items() if d])
+    wanted = c.history.select("part_id", "retailer_id").distinct().join(ends, "part_id").select("part_id", "retailer_id", "end", F.inline(days))
+    wanted = wanted.select("part_id", "retailer_id", "name", (F.col("end") - F.make_dt_interval(F.col("days"))).alias("start"))
+    return P.anchors_of(wanted, c.history)
+
+
 @R.add("s17_history_since", f"SELECT part_id, retailer_id, observed_at, price_cents FROM history WHERE observed_at >= {T90}")
 def s17(c):
     return P.within(c.history, "90d", AS_OF).select("part_id", "retailer_id", "observed_at", "price_cents")
@@ -141,8 +151,7 @@ def s19(c):
 
 @R.add("w01_chronological_place", "SELECT part_id, retailer_id, observed_at, row_number() OVER (PARTITION BY part_id ORDER BY observed_at, retailer_id) - 1 AS place FROM history")
 def w01(c):
-    rn = F.row_number().over(Window.partitionBy("part_id").orderBy("observed_at", "retailer_id")) - 1
-    return c.history.select("part_id", "retailer_id", "observed_at", rn.cast("long").alias("place"))
+    return P.placed(c.history, ["part_id"], ["retailer_id"]).select("part_id", "retailer_id", "observed_at", "place")
 
 
 @R.add("w02_newest_per_retailer", "SELECT retailer_id, part_id, observed_at, price_cents FROM history QUALIFY row_number() OVER (PARTITION BY retailer_id ORDER BY observed_at DESC, part_id DESC) = 1")
@@ -151,11 +160,9 @@ def w02(c):
     return c.history.groupBy("retailer_id").agg(x).select("retailer_id", "x.part_id", "x.observed_at", "x.price_cents")
 
 
-@R.add("w03_carried_anchor", f"SELECT part_id, retailer_id, {T90} AS observed_at, arg_max(price_cents, observed_at) AS price_cents FROM history h WHERE observed_at < {T90} AND (part_id, retailer_id) IN (SELECT (part_id, retailer_id) FROM history WHERE observed_at >= {T90}) GROUP BY part_id, retailer_id")
+@R.add("w03_carried_anchor", f"SELECT part_id, retailer_id, greatest({T90}, date_trunc('day', b.seen_at)) AS observed_at, b.price_cents, seen_at FROM (SELECT part_id, retailer_id, arg_max(price_cents, observed_at) AS price_cents, max(observed_at) AS seen_at FROM history WHERE observed_at < {T90} GROUP BY ALL) b LEFT JOIN (SELECT part_id, retailer_id, min((date_trunc('day', observed_at), price_cents)) AS f FROM history WHERE observed_at >= {T90} GROUP BY ALL) i USING (part_id, retailer_id) WHERE f IS NULL OR f <> (greatest({T90}, date_trunc('day', b.seen_at)), b.price_cents)")
 def w03(c):
-    start = P.window_start("90d", AS_OF)
-    inside = P.within(c.history, "90d", AS_OF).select("part_id", "retailer_id").distinct()
-    return P.anchors(c.history, start).join(inside, ["part_id", "retailer_id"], "left_semi").select("part_id", "retailer_id", start.alias("observed_at"), F.col("anchor_cents").alias("price_cents"))
+    return P.carried_in(c.history, P.window_start("90d", AS_OF))
 
 
 @R.add("w04_price_drops", "SELECT part_id, retailer_id, observed_at, price_cents, before_cents FROM (SELECT *, lag(price_cents) OVER (PARTITION BY part_id, retailer_id ORDER BY observed_at) AS before_cents FROM history) WHERE price_cents >= 0 AND (before_cents IS NULL OR price_cents < before_cents)")
@@ -165,7 +172,7 @@ def w04(c):
 
 @R.add("w07_sparkline", "SELECT part_id, retailer_id, observed_at, price_cents, row_number() OVER (w ORDER BY observed_at, retailer_id) - 1 AS x, CASE WHEN max(price_cents) OVER w = min(price_cents) OVER w THEN 0.5 ELSE CAST(price_cents - min(price_cents) OVER w AS DOUBLE) / (max(price_cents) OVER w - min(price_cents) OVER w) END AS y FROM history WINDOW w AS (PARTITION BY part_id)")
 def w07(c):
-    return P.sparkline(c.history, ["part_id"], "retailer_id").select("part_id", "retailer_id", "observed_at", "price_cents", "x", "y")
+    return P.sparkline(c.history, ["part_id"], ["retailer_id"]).select("part_id", "retailer_id", "observed_at", "price_cents", "x", "y")
 
 
 @R.add("l06_most_observed_parts", "SELECT part_id, count(*) AS n FROM history GROUP BY part_id ORDER BY n DESC, part_id LIMIT 500")
@@ -181,7 +188,7 @@ def f24(c):
 
 @R.add("a05_trend", f"SELECT retailer_id, {TREND} AS trend FROM (SELECT *, row_number() OVER (PARTITION BY retailer_id ORDER BY observed_at, part_id) AS n FROM history WHERE observed_at >= {T1Y}) GROUP BY retailer_id")
 def a05(c):
-    return P.summary(P.within(c.history, "1y", AS_OF), ["retailer_id"], "part_id").select("retailer_id", "trend")
+    return P.summary(P.within(c.history, "1y", AS_OF), ["retailer_id"], ["part_id"]).select("retailer_id", "trend")
 
 
 @R.add("f23_window_starts", f"SELECT w AS name, count(*) AS n FROM history, (VALUES ('7d', 7), ('30d', 30), ('90d', 90), ('180d', 180), ('1y', 365), ('all', 36500)) v(w, d) WHERE observed_at >= TIMESTAMP '{AS_OF}' - to_days(d) GROUP BY w")
@@ -192,7 +199,16 @@ def f23(c):
     return inside.groupBy("name").agg(F.count("*").alias("n"))
 
 
-@R.add("f33_chart_groups")
+@R.add(
+    "f33_chart_groups",
+    """WITH RECURSIVE b AS (SELECT part_id, retailer_id, observed_at, epoch_us(observed_at) AS d, price_cents AS c, min(epoch_us(observed_at)) OVER w AS d0, max(epoch_us(observed_at)) OVER w AS d1, min(price_cents) OVER w AS c0, max(price_cents) OVER w AS c1 FROM history WINDOW w AS (PARTITION BY part_id)),
+    p AS (SELECT part_id AS chart, CAST(CASE WHEN d1 = d0 THEN 0 ELSE round((d - d0) / (d1 - d0) * 600) END AS BIGINT) AS x, CAST(CASE WHEN c1 = c0 THEN 100 ELSE round((c1 - c) / (c1 - c0) * 200) END AS BIGINT) AS y, (retailer_id, observed_at) AS place FROM b),
+    q AS (SELECT *, row_number() OVER (PARTITION BY chart ORDER BY place) AS n FROM (SELECT chart, x, y, min(place) AS place FROM p GROUP BY ALL)),
+    g AS (SELECT chart, n, x, y, [{'x': x, 'y': y}] AS heads, 1 AS head FROM q WHERE n = 1
+      UNION ALL SELECT q.chart, q.n, q.x, q.y, CASE WHEN f IS NULL THEN list_append(heads, {'x': q.x, 'y': q.y}) ELSE heads END, coalesce(f, len(heads) + 1)
+      FROM (SELECT g.chart, g.n, g.heads, list_position(list_transform(g.heads, lambda h: (h.x - q.x) * (h.x - q.x) + (h.y - q.y) * (h.y - q.y) <= 256), true) AS f FROM g JOIN q ON q.chart = g.chart AND q.n = g.n + 1) s JOIN q ON q.chart = s.chart AND q.n = s.n + 1)
+    SELECT chart, x, y, heads[head].x AS head_x, heads[head].y AS head_y FROM g""",
+)
 def f33(c):
     """Each part's chart, 600 pixels by 200."""
     w = Window.partitionBy("part_id")

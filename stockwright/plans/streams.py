@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from stockwright.operators import relations as L
 from stockwright.operators import votes as V
 from stockwright.plans.registry import AS_OF_EVENTS, Registry
+from stockwright.sources.tables import scratch
 from stockwright.streaming import changes as S
 
 R = Registry()
@@ -41,10 +42,51 @@ def t04(c):
     return S.lowest_drops(_changes(c))
 
 
-@R.add("t05_alerts_fired", "WITH RECURSIVE e AS (SELECT user_id AS alert_id, CAST(round(value * 100) AS BIGINT) AS price_cents, ts AS observed_at, row_number() OVER (PARTITION BY user_id ORDER BY ts, CAST(round(value * 100) AS BIGINT)) AS n FROM events WHERE event_type = 'click'), w AS (SELECT alert_id, price_cents, observed_at, n FROM e WHERE n = 1 UNION ALL SELECT x.alert_id, x.price_cents, x.observed_at, x.n FROM (SELECT e.*, row_number() OVER (PARTITION BY e.alert_id ORDER BY e.n) AS k FROM w JOIN e ON e.alert_id = w.alert_id AND e.n > w.n AND e.observed_at >= w.observed_at + INTERVAL 24 HOUR) x WHERE k = 1) SELECT alert_id, price_cents, observed_at FROM w")
+_FIRED = """WITH RECURSIVE a AS (SELECT user_id AS alert_id, abs(balance_cents) % 5000 AS threshold_cents, CASE WHEN user_id % 3 = 0 THEN TIMESTAMP '2024-01-05' END AS last_fired_at FROM users WHERE segment <> 'MACHINERY'),
+    m AS (SELECT alert_id, CAST(round(value * 100) AS BIGINT) AS price_cents, ts AS observed_at FROM events JOIN a ON user_id = alert_id WHERE round(value * 100) <= threshold_cents AND (last_fired_at IS NULL OR ts >= last_fired_at + INTERVAL 24 HOUR)),
+    e AS (SELECT *, row_number() OVER (PARTITION BY alert_id ORDER BY observed_at, price_cents) AS n FROM m),
+    w AS (SELECT alert_id, price_cents, observed_at, n FROM e WHERE n = 1 UNION ALL SELECT x.alert_id, x.price_cents, x.observed_at, x.n FROM (SELECT e.*, row_number() OVER (PARTITION BY e.alert_id ORDER BY e.n) AS k FROM w JOIN e ON e.alert_id = w.alert_id AND e.n > w.n AND e.observed_at >= w.observed_at + INTERVAL 24 HOUR) x WHERE k = 1)"""
+
+
+def _alert_events(c, prices):
+    """Each user watches the part of the same number, some fired before, some aren't active."""
+    fired = F.when(F.col("user_id") % 3 == 0, F.lit("2024-01-05").cast("timestamp"))
+    alerts = c.users.select(F.col("user_id").alias("alert_id"), F.col("user_id").alias("part_id"), (F.abs("balance_cents") % 5000).alias("threshold_cents"), (F.col("segment") != "MACHINERY").alias("active"), fired.alias("last_fired_at"))
+    return S.alert_events(prices, alerts)
+
+
+def _seen_prices(events):
+    return events.select(F.col("user_id").alias("part_id"), F.round(F.col("value") * 100).cast("long").alias("price_cents"), F.col("ts").alias("observed_at"))
+
+
+@R.add("t05_alerts_fired", f"{_FIRED} SELECT alert_id, price_cents, observed_at FROM w")
 def t05(c):
-    events = c.raw("events").where("event_type = 'click'").select(F.col("user_id").alias("alert_id"), F.round(F.col("value") * 100).cast("long").alias("price_cents"), F.col("ts").alias("observed_at"))
-    return S.fired(events)
+    return S.fired(_alert_events(c, _seen_prices(c.raw("events"))))
+
+
+def _thirds(c, events):
+    """A table of events in three files, in the order of time, as a stream that takes one file at a time."""
+    path = f"{scratch(c.spark)}/events"
+    low, high = events.agg(F.min("ts"), F.max("ts")).first()
+    for k in range(3):
+        a, b = (low + (high - low) * k / 3 for k in (k, k + 1))
+        some = events.where((F.col("ts") >= F.lit(a)) & ((F.col("ts") < F.lit(b)) | F.lit(k == 2)))
+        some.coalesce(1).write.mode("append").parquet(path)
+    return c.spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def _streamed(c, stream):
+    """What a stream gives until all is worked off."""
+    path = scratch(c.spark)
+    S.run_consumer(stream, lambda df, batch: df.write.mode("overwrite").parquet(f"{path}/out/batch={batch}"), f"{path}/checkpoint").awaitTermination()
+    return c.spark.read.schema(stream.schema).parquet(f"{path}/out").select(stream.columns)
+
+
+@R.add("t05_alerts_fired_stream", f"{_FIRED} SELECT alert_id, price_cents, observed_at FROM w")
+def t05_stream(c):
+    """In three micro-batches, with when each alert last fired kept as state."""
+    stream = _thirds(c, c.raw("events").select("user_id", "value", F.col("ts").cast("timestamp").alias("ts")))
+    return _streamed(c, S.fired_stream(_alert_events(c, _seen_prices(stream))))
 
 
 @R.add("t06_purge", "SELECT 'votes' AS name, count(*) AS n FROM ballots WHERE entity_id NOT IN (SELECT id FROM parts WHERE id % 10 = 0) UNION ALL SELECT 'lines', count(*) FROM lines WHERE part_id NOT IN (SELECT id FROM parts WHERE id % 10 = 0) UNION ALL SELECT 'alerts', count(*) FROM alerts WHERE part_id NOT IN (SELECT id FROM parts WHERE id % 10 = 0)")
@@ -73,19 +115,30 @@ _PATH = "CASE event_type WHEN 'view' THEN '/api/parts' WHEN 'click' THEN '/api/a
 _CLASS = "CASE WHEN upper(method) = 'GET' THEN 'get' WHEN path = '/api/auth/login' THEN 'auth' WHEN path = '/api/admin' THEN 'admin' ELSE 'default' END"
 
 
-@R.add(
-    "t11_rate_limit",
-    f"""WITH RECURSIVE q AS (SELECT event_id AS request_id, ts, user_id % 10 AS client, {_METHOD} AS method, {_PATH} AS path FROM events),
+_LIMITED = f"""WITH RECURSIVE q AS (SELECT event_id AS request_id, ts, user_id % 10 AS client, {_METHOD} AS method, {_PATH} AS path FROM events),
     c AS (SELECT *, {_CLASS} AS class FROM q WHERE upper(method) <> 'OPTIONS' AND path <> '/health'),
     e AS (SELECT *, class || '#' || client AS key, row_number() OVER (PARTITION BY class, client ORDER BY ts, request_id) AS n FROM c),
     w AS (SELECT key, request_id, ts, n, ts AS start, 1 AS place FROM e WHERE n = 1 UNION ALL SELECT e.key, e.request_id, e.ts, e.n, CASE WHEN e.ts >= w.start + INTERVAL 86400 SECOND THEN e.ts ELSE w.start END, CASE WHEN e.ts >= w.start + INTERVAL 86400 SECOND THEN 1 ELSE w.place + 1 END FROM w JOIN e ON e.key = w.key AND e.n = w.n + 1)
-    SELECT w.key, w.ts, w.request_id, CAST(place AS BIGINT) AS place, place <= CASE split_part(w.key, '#', 1) WHEN 'get' THEN 20 WHEN 'auth' THEN 1 WHEN 'admin' THEN 3 ELSE 6 END AS allowed FROM w""",
-)
+    SELECT w.key, w.ts, w.request_id, CAST(place AS BIGINT) AS place, place <= CASE split_part(w.key, '#', 1) WHEN 'get' THEN 20 WHEN 'auth' THEN 1 WHEN 'admin' THEN 3 ELSE 6 END AS allowed FROM w"""
+
+
+def _requests(c, events):
+    """Ten clients, limits of a tenth."""
+    q = events.select(F.col("event_id").alias("request_id"), "ts", (F.col("user_id") % 10).alias("client"), F.expr(_METHOD).alias("method"), F.expr(_PATH).alias("path"))
+    return S.limited_requests(q, [replace(x, most=x.most // 10) for x in S.LIMITS])
+
+
+@R.add("t11_rate_limit", _LIMITED)
 def t11(c):
-    """Ten clients, windows of a day, limits of a tenth."""
-    q = c.raw("events").select(F.col("event_id").alias("request_id"), "ts", (F.col("user_id") % 10).alias("client"), F.expr(_METHOD).alias("method"), F.expr(_PATH).alias("path"))
-    limits = [replace(x, most=x.most // 10) for x in S.LIMITS]
-    return S.rate_limited(S.limited_requests(q, limits), 86400)
+    """Windows of a day."""
+    return S.rate_limited(_requests(c, c.raw("events")), 86400)
+
+
+@R.add("t11_rate_limit_stream", _LIMITED)
+def t11_stream(c):
+    """In three micro-batches, with each key's window kept as state."""
+    stream = _thirds(c, c.raw("events").withColumn("ts", F.col("ts").cast("timestamp")))
+    return _streamed(c, S.limited_stream(_requests(c, stream), 86400))
 
 
 @R.add("t08_failed_sequences", "SELECT CAST(event_id AS VARCHAR) AS sequence_number FROM ballots WHERE entity_id IN (SELECT entity_id FROM ballots WHERE event_id % 50 = 3)")

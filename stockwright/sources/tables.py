@@ -17,6 +17,10 @@ def cents(amount) -> F.Column:  # noqa: ANN001
     return F.round(amount * 100).cast("long")
 
 
+#: Folders that scratch() gave out, by application.
+SCRATCH: dict[str, list[str]] = {}
+
+
 class Catalogue:
     """Views by name; each is a lazy plan, so that filters and columns reach the files."""
 
@@ -97,11 +101,30 @@ class Catalogue:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder that all executors share: in spark.checkpoint.dir, or, where that is unset and Spark runs locally, a temporary one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
+    """A new folder that all executors share: in the checkpoint folder, or, where none is set and Spark runs locally, a temporary one."""
+    shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if shared is None and not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return f"{shared}/{uuid.uuid4()}" if shared else tempfile.mkdtemp(prefix="scratch-")
+    path = f"{shared}/{uuid.uuid4()}" if shared else tempfile.mkdtemp(prefix="scratch-")
+    SCRATCH.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df, computed once and written to the shared folder as a table, so that a lost executor costs no recomputation."""
+    path = f"{scratch(df.sparkSession)}/rows"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Deletes what this application wrote to scratch folders, once its results are used; how many folders they were."""
+    paths = SCRATCH.pop(spark.sparkContext.applicationId, [])
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(conf).delete(path, True)
+    return len(paths)
 
 
 def json_seed(spark: SparkSession, path: str) -> DataFrame:

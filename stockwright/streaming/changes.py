@@ -10,11 +10,15 @@ from dataclasses import dataclass
 from functools import reduce
 from operator import and_, or_
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState
 
 from stockwright.operators import votes as V
+from stockwright.operators.ordered import Ordered, window_heads
+from stockwright.sources.tables import kept
 
 CHANGE = (
     "event_name string, sequence_number string, ts timestamp, "
@@ -79,40 +83,71 @@ def unwrap(attribute: Column) -> Column:
     return F.coalesce(attribute["S"], attribute["N"], attribute["BOOL"].cast("string"))
 
 
-def stretches(rows: DataFrame, key: str, at: str, seconds: int) -> DataFrame:
-    """rows with ``stretch``, the time at which the stretch began in which a row lies: a gap of so many seconds begins one.
-
-    A walk whose state lasts no longer than such a gap can be dealt by stretches, so that a busy key isn't one task's work.
+def alert_events(prices: DataFrame, alerts: DataFrame) -> DataFrame:
+    """(alert_id, price_cents, observed_at, last_fired_at) of prices (part_id, price_cents, observed_at) that active alerts of the part
+    (alert_id, part_id, threshold_cents, active, last_fired_at) wait for.
     """
-    w = Window.partitionBy(key).orderBy(at)
-    gap = F.unix_micros(at) - F.unix_micros(F.lag(at).over(w))
-    begins = F.when(F.coalesce(gap >= seconds * 1_000_000, F.lit(True)), F.col(at))
-    return rows.withColumn("_begins", begins).withColumn("stretch", F.last("_begins", ignorenulls=True).over(w)).drop("_begins")
+    met = prices.join(alerts.where("active"), "part_id").where("threshold_cents >= price_cents")
+    return met.select("alert_id", "price_cents", "observed_at", "last_fired_at")
 
 
 def fired(events: DataFrame, hours: int = 24) -> DataFrame:
     """(alert_id, price_cents, observed_at) of alerts that fire: an alert is silent for some hours after it last *fired*.
 
-    events (alert_id, price_cents, observed_at). Whether one fires depends on which fired before, so each stretch of an alert's
-    events is walked in order, over sorted rows of which only the last firing is kept.
+    events (alert_id, price_cents, observed_at), and last_fired_at, when the alert fired before the batch, if that is known; events
+    before and within the silence after it fire nothing. Of prices at one time the lowest counts. Attempts that failed shall be left
+    out of the events, as they silence nothing. Null alerts and times fire nothing.
+    """
+    span = hours * 3600 * 1_000_000
+    last = F.unix_micros(F.col("last_fired_at").cast("timestamp")) if "last_fired_at" in events.columns else F.lit(None).cast("long")
+    t = F.unix_micros(F.col("observed_at").cast("timestamp"))
+    rows = events.select(F.col("alert_id").cast("long").alias("alert_id"), F.col("price_cents").cast("long").alias("price_cents"), t.alias("t"), last.alias("last"))
+    rows = rows.where("alert_id is not null and t is not null").where(F.col("last").isNull() | (F.col("t") >= F.col("last") + span))
+    lowest = kept(rows.groupBy("alert_id", "t").agg(F.min("price_cents").alias("price_cents")))
+    out = lowest.join(window_heads(lowest, "alert_id", "t", span), ["alert_id", "t"], "left_semi")
+    return out.select("alert_id", "price_cents", F.timestamp_micros("t").alias("observed_at"))
+
+
+def with_fired(alerts: DataFrame, fires: DataFrame) -> DataFrame:
+    """alerts with last_fired_at moved on to their last firing; what the next batch shall start from."""
+    last = fires.groupBy("alert_id").agg(F.max("observed_at").alias("_fired"))
+    moved = F.greatest("last_fired_at", "_fired").alias("last_fired_at")
+    return alerts.join(last, "alert_id", "left").select(*[moved if c == "last_fired_at" else F.col(c) for c in alerts.columns])
+
+
+def _opened(t: np.ndarray, start: int | None, span: int) -> Iterator[tuple[int, int]]:
+    """(from, to) of the rows of each window that begins among sorted times; what lies in the window that began at ``start`` comes first."""
+    at = 0 if start is None else int(np.searchsorted(t, start + span))
+    if at:
+        yield 0, at
+    while at < len(t):
+        end = int(np.searchsorted(t, t[at] + span))
+        yield at, end
+        at = end
+
+
+def fired_stream(events: DataFrame, hours: int = 24) -> DataFrame:
+    """As fired, over a stream: when an alert last fired is kept as its state from batch to batch and over restarts.
+
+    The state begins with last_fired_at of the alert's first event. Batches must come in the order of time; an event before the last firing fires nothing. The state of an alert is one number.
     """
-    kind = "alert_id long, price_cents long, observed_at timestamp"
-    least = pd.Timedelta(hours=hours)
+    span = hours * 3600 * 1_000_000
+    out = "alert_id long, price_cents long, observed_at timestamp"
 
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        alert, last = None, None
-        for df in batches:
-            keep = []
-            for a, s, t in zip(df["alert_id"], df["stretch"], df["observed_at"], strict=True):
-                fire = (a, s) != alert or t - last >= least
-                keep.append(fire)
-                if fire:
-                    alert, last = (a, s), t
-            yield df[keep][["alert_id", "price_cents", "observed_at"]]
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(batches).sort_values(["t", "price_cents"])
+        t, first = rows["t"].to_numpy(), rows["last"].iloc[0]
+        start = state.get[0] if state.exists else None if pd.isna(first) else int(first)
+        heads = [i for i, _ in _opened(t, start, span) if start is None or t[i] >= start + span]
+        if heads or start is not None:
+            state.update((int(t[heads[-1]]) if heads else start,))
+        some = rows.iloc[heads]
+        if heads:
+            yield pd.DataFrame({"alert_id": key[0], "price_cents": some["price_cents"], "observed_at": pd.to_datetime(some["t"], unit="us")})
 
-    rows = events.select(F.col("alert_id").cast("long"), F.col("price_cents").cast("long"), F.col("observed_at").cast("timestamp"))
-    rows = stretches(rows, "alert_id", "observed_at", hours * 3600)
-    return rows.repartition("alert_id", "stretch").sortWithinPartitions("alert_id", "stretch", "observed_at", "price_cents").mapInPandas(walk, kind)
+    last = F.unix_micros(F.col("last_fired_at").cast("timestamp")) if "last_fired_at" in events.columns else F.lit(None).cast("long")
+    rows = events.select(F.col("alert_id").cast("long"), F.col("price_cents").cast("long"), F.unix_micros(F.col("observed_at").cast("timestamp")).alias("t"), last.alias("last"))
+    return rows.where("alert_id is not null and t is not null").groupBy("alert_id").applyInPandasWithState(step, out, "last_fired long", "append", "NoTimeout")
 
 
 @dataclass(frozen=True)
@@ -156,25 +191,47 @@ def limited_requests(requests: DataFrame, limits: Sequence[LimitClass] = LIMITS)
 
 def rate_limited(requests: DataFrame, seconds: int = 60) -> DataFrame:
     """(key, ts, request_id, place, allowed): the place of each request in a window that begins with the key's first request
-    after the last window, and whether it is within the key's limit. requests (key, ts, request_id, most).
+    after the last window, and whether it is within the key's limit. requests (key, ts, request_id, most); null keys and times don't count.
+    """
+    t = F.unix_micros(F.col("ts").cast("timestamp"))
+    rows = kept(requests.select("key", F.col("ts").cast("timestamp").alias("ts"), F.col("request_id").cast("long").alias("request_id"), F.col("most").cast("long").alias("most"), t.alias("t")).where("key is not null and t is not null"))
+    heads = window_heads(rows, "key", "t", seconds * 1_000_000)
+    both = rows.withColumn("kind", F.lit(1)).unionByName(heads.withColumn("kind", F.lit(0)), allowMissingColumns=True)
+    # a head comes just before the requests of its window, and no other head between them
+    walk = Ordered(both, ["key", "t", "kind", "request_id"]).numbered("at").adding("head", F.when(F.col("kind") == 0, F.col("at"))).carried("head", "began").frame()
+    place = (F.col("at") - F.col("began")).cast("long")
+    return walk.where("kind = 1").select("key", "ts", "request_id", place.alias("place"), (place <= F.col("most")).alias("allowed"))
+
+
+def limited_stream(requests: DataFrame, seconds: int = 60) -> DataFrame:
+    """As rate_limited, over a stream in the order of time: a key's state is the start of its window and how many requests it has had.
+
+    When the watermark, a window's length behind the latest request, has passed a key's window, a timer drops its state; a request
+    that comes later than that isn't counted.
     """
-    kind = "key string, ts timestamp, request_id long, place long, allowed boolean"
-    span = pd.Timedelta(seconds=seconds)
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, start, n = None, None, 0
-        for df in batches:
-            places = []
-            for k, s, t in zip(df["key"], df["stretch"], df["ts"], strict=True):
-                if (k, s) != key or t - start >= span:
-                    key, start, n = (k, s), t, 0
-                n += 1
-                places.append(n)
-            yield df.assign(place=places, allowed=pd.Series(places, index=df.index) <= df["most"])[["key", "ts", "request_id", "place", "allowed"]]
-
-    rows = requests.select("key", F.col("ts").cast("timestamp").alias("ts"), F.col("request_id").cast("long"), F.col("most").cast("long"))
-    rows = stretches(rows, "key", "ts", seconds)
-    return rows.repartition("key", "stretch").sortWithinPartitions("key", "stretch", "ts", "request_id").mapInPandas(walk, kind)
+    span = seconds * 1_000_000
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(batches).sort_values(["t", "request_id"])
+        t = rows["t"].to_numpy()
+        start, n = state.get if state.exists else (None, 0)
+        places = np.zeros(len(t), np.int64)
+        for a, b in _opened(t, start, span):
+            if start is None or t[a] >= start + span:
+                start, n = int(t[a]), 0
+            places[a:b] = n + 1 + np.arange(b - a)
+            n += b - a
+        state.update((start, int(n)))
+        state.setTimeoutTimestamp((start + span) // 1000 + 1)
+        yield pd.DataFrame({"key": key[0], "ts": pd.to_datetime(rows["t"], unit="us"), "request_id": rows["request_id"], "place": places, "allowed": places <= rows["most"].to_numpy()})
+
+    t = F.unix_micros(F.col("ts").cast("timestamp")).alias("t")
+    rows = requests.select("key", F.col("ts").cast("timestamp").alias("ts"), t, F.col("request_id").cast("long"), F.col("most").cast("long")).where("key is not null and t is not null")
+    rows = rows.withWatermark("ts", f"{seconds} seconds")
+    return rows.groupBy("key").applyInPandasWithState(step, "key string, ts timestamp, request_id long, place long, allowed boolean", "start long, n long", "append", "EventTimeTimeout")
 
 
 def unexpired(df: DataFrame, now: Column, column: str = "expires_at") -> DataFrame:
