@@ -9,6 +9,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stockwright.functions.text import base64url, from_base64url
+
 _PRINTABLE = "".join(map(chr, range(0x20, 0x7F)))
 _GREATEST = 10**15 - 1
 _PAGE_MOST = 1000
@@ -128,3 +130,14 @@ def page_facts(df: DataFrame, skip: int, limit: int) -> DataFrame:
         "total", F.lit(skip // limit + 1).cast("long").alias("current_page"), F.ceil(total / limit).cast("long").alias("total_pages"),
         (total > skip + limit).alias("has_next"), F.lit(skip > 0).alias("has_previous"),
     )
+
+
+def cursor_text(key: Column, id_: Column) -> Column:
+    """The opaque cursor behind a row of a listing, from its sort key and id; what cursor_position reads."""
+    return base64url(F.to_json(F.struct(id_.cast("string").alias("id"), key.alias("k")), {"ignoreNullFields": "false"}).cast("binary"))
+
+
+def cursor_position(text: Column, kind: str = "string") -> Column:
+    """struct<id,k> of an opaque cursor; an error for what is none."""
+    found = F.from_json(from_base64url(text).cast("string"), f"id string, k {kind}", {"mode": "PERMISSIVE"})
+    return F.when(found["id"].isNull(), F.raise_error(F.lit("not a cursor of this listing"))).otherwise(found)

@@ -100,3 +100,8 @@ class PartFilter:
         if self.most_cents is not None:
             all_of.append(F.col(price) <= self.most_cents)
         return reduce(and_, all_of)
+
+
+def may_change(owner: Column, user, admin: bool = False, superuser: bool = False) -> Column:  # noqa: ANN001
+    """Whether a user may change a row: its owner, an admin or a superuser, and anyone a row without owner."""
+    return F.lit(True) if admin or superuser else owner.isNull() | (owner == user)

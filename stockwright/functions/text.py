@@ -11,6 +11,14 @@ from pyspark.sql import functions as F
 TRACKING = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "fbclid", "gclid", "gclsrc", "dclid", "msclkid", "twclid", "ref", "source")
 SIZES = ("width", "height", "w", "h", "size", "resize", "dpr", "q", "quality", "format", "fit", "crop")
 LARGE_WIDTH = 5760
+# Words that end a manufacturer's name without being part of it, labels before a part number, and codes of
+# vehicles, which aren't part numbers.
+NAME_ENDINGS = (
+    "inc", "llc", "ltd", "co", "corp", "company", "llp", "limited", "performance", "racing", "motorsport", "motorsports", "tuning",
+    "engineering", "electronics", "induction", "industries", "usa", "america", "automotive",
+)
+NUMBER_LABELS = (r"SKU\s*:\s*", r"Part\s*#\s*:\s*", r"Part\s*Number\s*:\s*", r"Item\s*#\s*:\s*", r"Product\s*Code\s*:\s*", r"Model\s*#?\s*:\s*", r"Code\s*:\s*")
+VEHICLE_CODES = ("z4m", "1m", "e8x", "e9x", "e46", "e90", "e92", "e82", "e85", "e86", "f80", "f82", "f10", "f12", "e60", "e63", "e64")
 _SCHEME = "^([A-Za-z][A-Za-z0-9+.-]*):"
 _PARTS = "^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://([^/?#]*))?([^?#]*)"
 
@@ -23,25 +31,29 @@ def slug(name: Column) -> Column:
     return F.btrim(F.regexp_replace(F.lower(name), "[^a-z0-9]+", "-"), F.lit("-"))
 
 
-def manufacturer_key(name: Column, stop: Sequence[str]) -> Column:
-    """Letters and digits without the stop words at the end; a name of stop words alone becomes empty."""
-    words = "|".join(stop)
+def manufacturer_key(name: Column, endings: Sequence[str] = NAME_ENDINGS) -> Column:
+    """Letters and digits without the words that only end a name; a name of such words alone becomes empty."""
+    words = "|".join(endings)
     ended = F.regexp_replace(F.concat(F.lit(" "), F.lower(name)), f"(?:[^a-z0-9]+(?:{words}))+[^a-z0-9]*$", "")
     return F.regexp_replace(ended, "[^a-z0-9]", "")
 
 
-def part_number(value: Column, labels: Sequence[str], reject: Sequence[str] = ()) -> Column:
-    """A part number without the labels before it, each taken off once in order; null if nothing is left or it is rejected."""
+def part_number(value: Column, labels: Sequence[str] = NUMBER_LABELS, reject: Sequence[str] = ()) -> Column:
+    """A part number without the labels before it, each taken off once in order; null if nothing is left, or if it is a code to
+    reject, whatever its case and white space.
+    """
+    value = F.btrim(value, F.lit(_BLANKS))
     for label in labels:
-        value = F.regexp_replace(F.trim(value), f"(?i)^{label}", "")
-    value = F.nullif(F.trim(value), F.lit(""))
-    return F.when(~F.upper(value).isin(*[r.upper() for r in reject]), value) if reject else value
+        value = F.regexp_replace(value, f"(?i)^{label}", "")
+    value = F.nullif(F.btrim(value, F.lit(_BLANKS)), F.lit(""))
+    return F.when(~F.lower(F.regexp_replace(value, r"\s+", "")).isin(*[r.lower() for r in reject]), value) if reject else value
 
 
-def part_number_key(value: Column, reject: Sequence[str] = (), least: int = 4) -> Column:
-    key = F.upper(F.regexp_replace(value, "[^A-Za-z0-9]", ""))
+def part_number_key(value: Column, reject: Sequence[str] = (), least: int = 4, labels: Sequence[str] = ()) -> Column:
+    """What part numbers are compared by: letters and digits in upper case, of ``least`` at least, of a number that isn't rejected."""
+    key = F.upper(F.regexp_replace(part_number(value, labels, reject), "[^A-Za-z0-9]", ""))
     ok = F.length(key) >= least
-    return F.when(ok & ~key.isin(*[r.upper() for r in reject]) if reject else ok, key)
+    return F.when(ok & ~F.lower(key).isin(*[r.lower() for r in reject]) if reject else ok, key)
 
 
 def gtin(value: Column) -> Column:
@@ -113,9 +125,13 @@ def image_url(url: Column, width: int | None = None) -> Column:
 
 
 def url_key(url: Column) -> Column:
-    """What http and https, a last slash and a query don't change."""
-    path = F.regexp_extract(url, "^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
-    return F.concat(host(url), F.regexp_replace(path, "/$", ""))
+    """What http and https, the case of the host, a last slash, a query and a fragment don't change; null for what has no scheme or host."""
+    parts = "^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]+)([^?#]*)"
+    u = F.btrim(url, F.lit(_BLANKS))
+    scheme, netloc, path = (F.regexp_extract(u, parts, i) for i in (1, 2, 3))
+    scheme = F.when(F.lower(scheme).isin("http", "https"), "http").otherwise(F.lower(scheme))
+    made = F.concat(scheme, F.lit("://"), F.lower(netloc), F.when(path.isin("", "/"), "/").otherwise(F.regexp_replace(path, "/$", "")))
+    return F.when(netloc != "", made)
 
 
 def bare_host(url: Column) -> Column:
@@ -161,3 +177,25 @@ def to_front(items: Column, place: int) -> Column:
 
 def without_place(items: Column, place: int) -> Column:
     return F.filter(items, lambda _, i: i != place)
+
+
+def age(seconds: Column) -> Column:
+    """How long ago something was: seconds, minutes with seconds, or hours with minutes; - where that is unknown, 0 for what is to come."""
+    s = F.greatest(F.floor(seconds), F.lit(0)).cast("long")
+    two = lambda a, b, u, v: F.concat(a.cast("string"), F.lit(u), F.when(b > 0, F.concat(F.lit(" "), b.cast("string"), F.lit(v))).otherwise(""), F.lit(" ago"))
+    m, h = F.floor(s / 60), F.floor(s / 3600)
+    return F.when(seconds.isNull(), "-").when(s < 60, F.concat(s.cast("string"), F.lit("s ago"))).when(m < 60, two(m, s % 60, "m", "s")).otherwise(two(h, m % 60, "h", "m"))
+
+
+def dollars(cents: Column) -> Column:
+    """An amount with a sign, separated thousands and two decimals."""
+    return F.concat(F.when(cents < 0, "-").otherwise(""), F.lit("$"), F.format_number(F.abs(cents).cast("decimal(20,0)") / 100, 2))
+
+
+def base64url(data: Column) -> Column:
+    """Bytes as text that a url or a key can hold, without padding."""
+    return F.rtrim(F.translate(F.base64(data), "+/", "-_"), F.lit("="))
+
+
+def from_base64url(text: Column) -> Column:
+    return F.unbase64(F.rpad(F.translate(text, "-_", "+/"), (F.ceil(F.length(text) / 4) * 4).cast("int"), "="))

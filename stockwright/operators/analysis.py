@@ -209,3 +209,35 @@ def sitemap_entries(entities: DataFrame, key: str, prefix: str, changed: str, pe
     loc = xml_escaped(F.concat(F.lit(prefix), F.col("k")))
     entry = F.concat(F.lit("<url><loc>"), loc, F.lit("</loc><lastmod>"), F.date_format("at", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit("</lastmod></url>"))
     return placed.withColumn("place", rn).select(F.floor((F.col("place") - 1) / per_page).cast("long").alias("page"), "place", entry.alias("entry"))
+
+
+# What a baseline of scores must have.
+SIGNALS, HARNESS_VERSION, METRICS = ("car", "manufacturer", "category"), 1, ("precision", "recall", "f1")
+
+
+def baseline_violations(baselines: DataFrame) -> DataFrame:
+    """baselines, texts of JSON objects in ``json``, with ``violations``: what keeps each from being compared with, in order; none if it is well.
+
+    Required are harness_version, signal, sample_size and generated_at, and the metrics, numbers from 0 to 1; an integer isn't a boolean,
+    a text or a number with a point.
+    """
+    fields = ("harness_version", "signal", "sample_size", "generated_at", *METRICS)
+    parsed = baselines.withColumn("_v", F.try_parse_json("json"))
+    of = lambda k: F.try_variant_get("_v", f"$.{k}", "variant")
+    # each field's value and its type, as the text of JSON has them
+    read = [F.struct(F.regexp_extract(F.schema_of_variant(of(k)), "^[A-Z]+", 0).alias("kind"), of(k).alias("value")).alias(f"_{k}") for k in fields]
+    parsed = parsed.select(*baselines.columns, F.schema_of_variant("_v").alias("_kind"), *read)
+    kind = lambda k: F.col(f"_{k}.kind")
+    number = lambda k: F.try_variant_get(f"_{k}.value", "$", "double")
+    text = lambda k: F.try_variant_get(f"_{k}.value", "$", "string")
+    absent = lambda k: F.coalesce(kind(k), F.lit("VOID")).isin("VOID", "")
+    tests = [(F.coalesce(~F.startswith("_kind", F.lit("OBJECT")), F.lit(True)), "not an object")]
+    tests += [(absent(k), f"{k} missing") for k in fields]
+    tests += [(~absent(k) & (kind(k) != "BIGINT"), f"{k} no integer") for k in ("harness_version", "sample_size")]
+    tests += [((kind("harness_version") == "BIGINT") & (number("harness_version") != HARNESS_VERSION), "harness_version differs")]
+    tests += [(~absent("signal") & ~F.coalesce((kind("signal") == "STRING") & text("signal").isin(*SIGNALS), F.lit(False)), "signal unknown")]
+    tests += [((kind("sample_size") == "BIGINT") & (number("sample_size") < 0), "sample_size negative")]
+    tests += [(~absent("generated_at") & ~F.coalesce((kind("generated_at") == "STRING") & (text("generated_at") != ""), F.lit(False)), "generated_at no time")]
+    numeric = lambda k: kind(k).isin("BIGINT", "DECIMAL", "DOUBLE", "FLOAT")
+    tests += [(~absent(k) & ~F.coalesce(numeric(k) & number(k).between(0, 1), F.lit(False)), f"{k} not in [0, 1]") for k in METRICS]
+    return parsed.select(*baselines.columns, F.array_compact(F.array(*[F.when(F.coalesce(t, F.lit(False)), F.lit(w)) for t, w in tests])).alias("violations"))

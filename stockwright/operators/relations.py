@@ -9,12 +9,22 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stockwright.functions.predicates import is_file_key
+
 
 def batch_get(df: DataFrame, keys: Sequence, key: str) -> DataFrame:
     """Rows with any of a bounded list of keys; missing keys are left out. The list becomes a filter that reaches the files."""
     return df.where(F.col(key).isin(*dict.fromkeys(keys)))
 
 
+def get_or_raise(df: DataFrame, keys: Sequence, key: str) -> DataFrame:
+    """Rows with any of a bounded list of keys; a key without a row is an error, once rows are read."""
+    wanted = df.sparkSession.createDataFrame([(k,) for k in dict.fromkeys(keys)], f"{key} {df.schema[key].dataType.simpleString()}")
+    found = F.broadcast(wanted).join(batch_get(df, keys, key).withColumn("_found", F.lit(True)), key, "left")
+    missing = F.raise_error(F.concat(F.lit("no row with key "), F.col(key).cast("string"))).cast("boolean")
+    return found.where(F.coalesce("_found", missing)).select(*df.columns)
+
+
 def by_ids_in_order(df: DataFrame, ids: Sequence, key: str) -> DataFrame:
     """Rows in the order in which their ids are asked for, each once, with that place."""
     wanted = list(dict.fromkeys(ids))
@@ -130,3 +140,15 @@ def first_owners(df: DataFrame, keys: Sequence[str], owner: str, most: int = 10)
     ranked = own.withColumn("_n", F.row_number().over(w))
     listed = F.sort_array(F.collect_list(F.when(F.col("_n") <= most, F.col(owner))))
     return ranked.groupBy(*keys).agg(F.count("*").alias("owners"), listed.alias("first_owners")).where("owners > 1")
+
+
+def referenced_keys(sources: Sequence[DataFrame], name: str) -> DataFrame:
+    """The distinct file keys in the lists of several tables; addresses, blanks and nulls in them are none."""
+    lists = reduce(lambda a, b: a.unionByName(b), [s.select(name) for s in sources])
+    return lists.select(F.explode(name).alias(name)).where(is_file_key(F.col(name))).distinct()
+
+
+def index_faults(rows: DataFrame, key: str, due: Column, stored: Column) -> DataFrame:
+    """(key, fault) of rows whose derived attribute isn't what it should be, null if it shouldn't be: missing, wrongly present, differs."""
+    fault = F.when(due.isNotNull() & stored.isNull(), "missing").when(due.isNull() & stored.isNotNull(), "wrongly present").when(due != stored, "differs")
+    return rows.select(key, fault.alias("fault")).where("fault is not null")

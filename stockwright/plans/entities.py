@@ -9,8 +9,6 @@ from stockwright.plans.registry import Registry
 
 R = Registry()
 QUERIES, ORACLE_SQL = R.queries, R.sql
-STOP = ("inc", "llc", "co", "company", "group")
-LABELS = ("part number:?", "part no\\.?", "pn:?", "mpn:?", "sku:?", "item #?", "#")
 _HOST = "lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1))"
 _PATH = "regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
 
@@ -20,33 +18,42 @@ def f01(c):
     return c.parts.select("id", T.slug(F.concat_ws(" / ", "name", "manufacturer")).alias("slug"))
 
 
-_NAMES = "CASE WHEN id % 4 = 0 THEN manufacturer || ' Co., Inc.' WHEN id % 4 = 1 THEN 'Group LLC' WHEN id % 4 = 2 THEN 'Co ' || manufacturer ELSE manufacturer END"
+_ENDINGS = ", ".join(f"'{w}'" for w in T.NAME_ENDINGS)
+_NAMES = "CASE WHEN id % 5 = 0 THEN manufacturer || ' ' || {0} || ', Inc.' WHEN id % 5 = 1 THEN 'Group ' || upper({0}) WHEN id % 5 = 2 THEN {0} || ' ' || manufacturer WHEN id % 5 = 3 THEN {0} ELSE manufacturer END"
+_NAMES_SQL = _NAMES.format(f"list_value({_ENDINGS})[id % {len(T.NAME_ENDINGS)} + 1]")
+_NAMES_SPARK = _NAMES.format(f"array({_ENDINGS})[id % {len(T.NAME_ENDINGS)}]")
 
 
-@R.add("f02_manufacturer_key", f"SELECT id, regexp_replace(regexp_replace(' ' || lower({_NAMES}), '(?:[^a-z0-9]+(?:inc|llc|co|company|group))+[^a-z0-9]*$', ''), '[^a-z0-9]', '', 'g') AS key FROM parts")
+@R.add("f02_manufacturer_key", f"SELECT id, regexp_replace(regexp_replace(' ' || lower({_NAMES_SQL}), '(?:[^a-z0-9]+(?:{'|'.join(T.NAME_ENDINGS)}))+[^a-z0-9]*$', ''), '[^a-z0-9]', '', 'g') AS key FROM parts")
 def f02(c):
-    return c.parts.select("id", T.manufacturer_key(F.expr(_NAMES), STOP).alias("key"))
+    return c.parts.select("id", T.manufacturer_key(F.expr(_NAMES_SPARK)).alias("key"))
 
 
-_RAW = "CASE WHEN id % 3 = 0 THEN 'PN: ' || name || '-' || id WHEN id % 3 = 1 THEN 'sku #' || id ELSE ' ' || id || '/A ' END"
-_STRIP = _RAW
-for _l in LABELS:
-    _STRIP = f"regexp_replace(trim({_STRIP}), '(?i)^{_l}', '')"
+_SHOWN = ("SKU : ", "part # :", "Part Number: ", "ITEM#:", "Product Code: ", "Model #: ", "model:", "Code: ", "#", "SKU: Code:", "")
+_CODES = ", ".join(f"'{w}'" for w in T.VEHICLE_CODES)
+_RAW = "CASE WHEN id % 4 = 3 THEN {0} || upper({1}) || CASE WHEN id % 8 = 3 THEN ' ' ELSE '' END WHEN id % 20 = 0 THEN ' ' || {0} ELSE ' ' || {0} || name || ' - ' || id END"
+_RAW_SQL = _RAW.format(f"list_value({', '.join(repr(x) for x in _SHOWN)})[id % {len(_SHOWN)} + 1]", f"list_value({_CODES})[id % {len(T.VEHICLE_CODES)} + 1]")
+_RAW_SPARK = _RAW.format(f"array({', '.join(repr(x) for x in _SHOWN)})[id % {len(_SHOWN)}]", f"array({_CODES})[id % {len(T.VEHICLE_CODES)}]")
+_STRIP = f"trim({_RAW_SQL})"
+for _l in T.NUMBER_LABELS:
+    _STRIP = f"regexp_replace({_STRIP}, '(?i)^{_l}', '')"
+_STRIP = f"nullif(trim({_STRIP}), '')"
+_NUMBER = f"CASE WHEN lower(regexp_replace(s, '\\s+', '', 'g')) NOT IN ({_CODES}) THEN s END"
 
 
-@R.add("f03_part_number", f"SELECT id, nullif(trim({_STRIP}), '') AS number FROM parts")
+@R.add("f03_part_number", f"SELECT id, {_STRIP} AS number FROM parts")
 def f03(c):
-    return c.parts.select("id", T.part_number(F.expr(_RAW), LABELS).alias("number"))
+    return c.parts.select("id", T.part_number(F.expr(_RAW_SPARK)).alias("number"))
 
 
-@R.add("f04_part_number_rejected", f"SELECT id, CASE WHEN upper(trim({_STRIP})) NOT IN ('2/A', '5/A') THEN nullif(trim({_STRIP}), '') END AS number FROM parts")
+@R.add("f04_part_number_rejected", f"SELECT id, {_NUMBER} AS number FROM (SELECT id, {_STRIP} AS s FROM parts)")
 def f04(c):
-    return c.parts.select("id", T.part_number(F.expr(_RAW), LABELS, ("2/a", "5/a")).alias("number"))
+    return c.parts.select("id", T.part_number(F.expr(_RAW_SPARK), reject=T.VEHICLE_CODES).alias("number"))
 
 
-@R.add("f05_part_number_key", "SELECT id, CASE WHEN length(regexp_replace(name, '[^A-Za-z0-9]', '', 'g') || id) >= 4 THEN upper(regexp_replace(name || '-' || id, '[^A-Za-z0-9]', '', 'g')) END AS key FROM parts")
+@R.add("f05_part_number_key", f"SELECT id, CASE WHEN length(k) >= 4 AND lower(k) NOT IN ({_CODES}) THEN k END AS key FROM (SELECT id, upper(regexp_replace({_NUMBER}, '[^A-Za-z0-9]', '', 'g')) AS k FROM (SELECT id, {_STRIP} AS s FROM parts))")
 def f05(c):
-    return c.parts.select("id", T.part_number_key(F.concat_ws("-", "name", "id")).alias("key"))
+    return c.parts.select("id", T.part_number_key(F.expr(_RAW_SPARK), T.VEHICLE_CODES, labels=T.NUMBER_LABELS).alias("key"))
 
 
 @R.add("f06_gtin", "SELECT id, nullif(regexp_replace('GTIN ' || id || '-' || size, '[^0-9]', '', 'g'), '') AS gtin FROM parts")
@@ -100,9 +107,25 @@ def f13(c):
     return A.images_to_fetch(c.parts.select("id", urls.alias("urls")), cached, "id", "urls")
 
 
-@R.add("f10_url_key", f"SELECT page_id, {_HOST} || regexp_replace({_PATH}, '/$', '') AS key FROM pages")
+_LINK = "CASE page_id % 6 WHEN 0 THEN url WHEN 1 THEN ' ' || replace(url, 'https://', 'HTTP://') || '/' WHEN 2 THEN replace(url, 'https://', 'ftp://') WHEN 3 THEN 'not-a-url' WHEN 4 THEN 'https://Shop.Example.COM' ELSE 'https:///nohost/' || page_id END"
+_KEYED = "regexp_extract(u, '^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]+)([^?#]*)', {})"
+
+
+@R.add("f10_url_key", f"SELECT page_id, CASE WHEN h <> '' THEN CASE WHEN s IN ('http', 'https') THEN 'http' ELSE s END || '://' || h || CASE WHEN p IN ('', '/') THEN '/' ELSE regexp_replace(p, '/$', '') END END AS key FROM (SELECT page_id, lower({_KEYED.format(1)}) AS s, lower({_KEYED.format(2)}) AS h, {_KEYED.format(3)} AS p FROM (SELECT page_id, trim({_LINK}) AS u FROM pages))")
 def f10(c):
-    return c.raw("pages").select("page_id", T.url_key(F.col("url")).alias("key"))
+    return c.raw("pages").select("page_id", T.url_key(F.expr(_LINK)).alias("key"))
+
+
+@R.add("f31_ages_and_prices", "SELECT id, CASE WHEN s < 60 THEN s || 's ago' WHEN s < 3600 THEN (s // 60) || 'm' || CASE WHEN s % 60 > 0 THEN ' ' || (s % 60) || 's' ELSE '' END || ' ago' WHEN s IS NULL THEN '-' ELSE (s // 3600) || 'h' || CASE WHEN s // 60 % 60 > 0 THEN ' ' || (s // 60 % 60) || 'm' ELSE '' END || ' ago' END AS age, CASE WHEN c < 0 THEN '-' ELSE '' END || '$' || format('{:,}', abs(c) // 100) || '.' || lpad(CAST(abs(c) % 100 AS VARCHAR), 2, '0') AS price FROM (SELECT id, CASE WHEN id % 7 <> 0 THEN greatest(id * id % 20011 - 100, 0) END AS s, price_cents * (size - 5) AS c FROM parts)")
+def f31(c):
+    seconds = F.when(F.col("id") % 7 != 0, F.col("id") * F.col("id") % 20011 - 100)
+    return c.parts.select("id", T.age(seconds).alias("age"), T.dollars(F.col("price_cents") * (F.col("size") - 5)).alias("price"))
+
+
+@R.add("f29_byte_keys", "SELECT id, k AS key, name AS back FROM (SELECT id, name, rtrim(translate(base64(encode(name)), '+/', '-_'), '=') AS k FROM parts)")
+def f29(c):
+    key = T.base64url(F.col("name").cast("binary"))
+    return c.parts.select("id", key.alias("key")).select("id", "key", T.from_base64url(F.col("key")).cast("string").alias("back"))
 
 
 @R.add("f11_bare_host", f"SELECT page_id, ltrim({_HOST}, 'w.') AS host FROM pages")
@@ -133,7 +156,7 @@ def f16(c):
 def _parsed(df, html, url):
     """(id, name, description, images, brand, part_number, price_cents, source) of pages (id, ...)."""
     p = df.select("id", H.parsed_page(html, url).alias("p")).select("id", "p.*")
-    return p.select("id", "name", "description", F.array_join("images", " ").alias("images"), "brand", T.part_number(F.col("sku"), LABELS).alias("part_number"), "price_cents", "source")
+    return p.select("id", "name", "description", F.array_join("images", " ").alias("images"), "brand", T.part_number(F.col("sku"), reject=T.VEHICLE_CODES).alias("part_number"), "price_cents", "source")
 
 
 _UNESCAPED = "replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&')"
@@ -220,9 +243,9 @@ def e04(c):
 @R.add("e06_manufacturer_match", "SELECT p.id, coalesce(a.b, k.b) AS brand FROM (SELECT id, CASE WHEN id % 2 = 0 THEN lower(manufacturer) ELSE manufacturer || ' Inc' END AS n FROM parts) p LEFT JOIN (SELECT lower(manufacturer) AS l, min(manufacturer) AS b FROM parts GROUP BY 1) a ON a.l = lower(p.n) LEFT JOIN (SELECT regexp_replace(lower(manufacturer), '[^a-z0-9]', '', 'g') AS k, min(manufacturer) AS b FROM parts GROUP BY 1) k ON k.k = regexp_replace(regexp_replace(' ' || lower(p.n), '(?:[^a-z0-9]+(?:inc|llc|co|company|group))+[^a-z0-9]*$', ''), '[^a-z0-9]', '', 'g')")
 def e06(c):
     n = F.when(F.col("id") % 2 == 0, F.lower("manufacturer")).otherwise(F.concat("manufacturer", F.lit(" Inc")))
-    p = c.parts.select("id", F.lower(n).alias("l"), T.manufacturer_key(n, STOP).alias("k"))
+    p = c.parts.select("id", F.lower(n).alias("l"), T.manufacturer_key(n).alias("k"))
     exact = c.parts.groupBy(F.lower("manufacturer").alias("l")).agg(F.min("manufacturer").alias("a"))
-    by_key = c.parts.groupBy(T.manufacturer_key(F.col("manufacturer"), STOP).alias("k")).agg(F.min("manufacturer").alias("b"))
+    by_key = c.parts.groupBy(T.manufacturer_key(F.col("manufacturer")).alias("k")).agg(F.min("manufacturer").alias("b"))
     return p.join(exact, "l", "left").join(by_key, "k", "left").select("id", F.coalesce("a", "b").alias("brand"))
 
 
@@ -297,12 +320,28 @@ def a23(c):
     return A.value_score(both, "p", "quality")
 
 
-@R.add("a31_latency_gate", "SELECT event_type AS name, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.95) < 90 AS passed FROM events GROUP BY 1")
+@R.add("a31_latency_gate", "SELECT name, n, p95, failures, n > 0 AND p95 < 90 AND failures = 0 AS passed FROM (SELECT event_type AS name, count(*) AS n, quantile_disc(value, 0.95) AS p95, count(*) FILTER (event_type = 'error' OR value > 1000) AS failures FROM events GROUP BY 1)")
 def a31(c):
+    """The gate is passed below a p95 and without any failure."""
     p95 = F.expr("percentile_disc(0.95) within group (order by value)").alias("p95")
-    return c.raw("events").groupBy(F.col("event_type").alias("name")).agg(p95).withColumn("passed", F.col("p95") < 90)
+    failed = (F.col("event_type") == "error") | (F.col("value") > 1000)
+    stats = c.raw("events").groupBy(F.col("event_type").alias("name")).agg(F.count("*").alias("n"), p95, F.count_if(failed).alias("failures"))
+    return stats.withColumn("passed", (F.col("n") > 0) & (F.col("p95") < 90) & (F.col("failures") == 0))
+
+
+_BASELINE = """'{' || CASE event_id % 11 WHEN 0 THEN '' WHEN 1 THEN '"harness_version":true,' WHEN 2 THEN '"harness_version":2,' ELSE '"harness_version":1,' END
+  || CASE event_id % 7 WHEN 0 THEN '"signal":"' || event_type || '",' WHEN 1 THEN '"signal":"car",' ELSE '"signal":"category",' END
+  || CASE event_id % 5 WHEN 0 THEN '"sample_size":"9",' WHEN 1 THEN '"sample_size":' || (event_id - 500) || ',' ELSE '"sample_size":' || event_id || ',' END
+  || CASE event_id % 3 WHEN 0 THEN '"generated_at":"",' ELSE '"generated_at":"2024-01-01T00:00:00Z",' END
+  || CASE event_id % 13 WHEN 0 THEN '' WHEN 1 THEN '"precision":1.5,' WHEN 2 THEN '"precision":"x",' ELSE '"precision":0.25,' END || '"recall":1,"f1":0.5}'"""
+_WHEN = "CASE WHEN {} THEN '{}' END"
+_VIOLATIONS = ", ".join(_WHEN.format(*x) for x in [
+    ("event_id % 11 = 0", "harness_version missing"), ("event_id % 13 = 0", "precision missing"), ("event_id % 11 = 1", "harness_version no integer"), ("event_id % 5 = 0", "sample_size no integer"),
+    ("event_id % 11 = 2", "harness_version differs"), ("event_id % 7 = 0", "signal unknown"), ("event_id % 5 = 1 AND event_id < 500", "sample_size negative"), ("event_id % 3 = 0", "generated_at no time"), ("event_id % 13 IN (1, 2)", "precision not in [0, 1]"),
+])
 
 
-@R.add("f34_quality_gate", "SELECT count(*) FILTER (quality NOT IN (0, 1)) AS bad_quality, count(*) FILTER (doc_id IS NULL) AS no_id, count(*) FILTER (toxic NOT IN (0, 1)) AS bad_toxic FROM labels")
+@R.add("f34_quality_gate", f"SELECT event_id, coalesce(array_to_string([{_VIOLATIONS}], '; '), '') AS violations FROM events")
 def f34(c):
-    return c.raw("labels").agg(F.count_if(~F.col("quality").isin(0, 1)).alias("bad_quality"), F.count_if(F.col("doc_id").isNull()).alias("no_id"), F.count_if(~F.col("toxic").isin(0, 1)).alias("bad_toxic"))
+    made = c.raw("events").select("event_id", F.expr(_BASELINE).alias("json"))
+    return A.baseline_violations(made).select("event_id", F.array_join("violations", "; ").alias("violations"))

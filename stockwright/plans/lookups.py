@@ -6,6 +6,7 @@ from stockwright.functions import ordering as O
 from stockwright.functions import predicates as P
 from stockwright.operators import analysis as A
 from stockwright.operators import relations as L
+from stockwright.operators.ordered import Ordered
 from stockwright.plans.registry import Registry
 from stockwright.sources import tables
 
@@ -178,9 +179,12 @@ def p26(c):
     return L.by_ids_in_order(c.parts.select("id", "name"), [42, 7, 1999, 7, -5, 12], "id")
 
 
-@R.add("p27_owned_rows", "SELECT build_id FROM builds WHERE user_id = 11")
+@R.add("p27_owned_rows", "SELECT CAST(11 AS INTEGER) AS caller, build_id FROM builds WHERE user_id = 11 OR build_id % 100 = 0 UNION ALL SELECT 12, build_id FROM builds UNION ALL SELECT 13, build_id FROM builds")
 def p27(c):
-    return c.builds.where(F.col("user_id").isNull() | (F.col("user_id") == 11)).select("build_id")
+    """What a plain user, an admin and a superuser may change; some builds have no owner."""
+    owner = F.when(F.col("build_id") % 100 != 0, F.col("user_id"))
+    some = [c.builds.where(P.may_change(owner, i, admin, above)).select(F.lit(i).alias("caller"), "build_id") for i, admin, above in ((11, False, False), (12, True, False), (13, False, True))]
+    return some[0].unionByName(some[1]).unionByName(some[2])
 
 
 def _ordered(name, sql_order):
@@ -272,10 +276,29 @@ def u05(c):
     return a.unionByName(b).unionByName(d)
 
 
-@R.add("j19_orphaned_objects", "SELECT id FROM parts WHERE id NOT IN (SELECT part_id FROM lines WHERE quantity > 45)")
+_KEY = "'uploads/' || substr(md5({}), 1, 3) || '.jpg'"
+_REFERENCED = " UNION ALL ".join(f"SELECT k FROM (SELECT unnest([{', '.join(ks)}]) AS k FROM {t}) WHERE k LIKE '%/%' AND k NOT LIKE 'http%' AND k NOT LIKE '/%'" for t, ks in (
+    ("parts", [_KEY.format("'p' || id"), "'https://x.org/' || id", "''"]), ("users", [_KEY.format("'u' || user_id"), "NULL"]), ("retailers", [_KEY.format("'g' || retailer_id")]),
+    ("builds", [_KEY.format("'b' || build_id"), "'plain'"]), ("pages", [_KEY.format("'m' || page_id")]),
+))
+
+
+def _sources(c):
+    """The image lists of parts, users, generations and build lists and the keys of recorded images."""
+    key = lambda p, i: F.concat(F.lit("uploads/"), F.substring(F.md5(F.concat(F.lit(p), F.col(i).cast("string"))), 1, 3), F.lit(".jpg"))
+    none = F.lit(None).cast("string")
+    return [
+        c.parts.select(F.array(key("p", "id"), F.concat(F.lit("https://x.org/"), "id"), F.lit("")).alias("k")), c.users.select(F.array(key("u", "user_id"), none).alias("k")),
+        c.retailers.select(F.array(key("g", "retailer_id")).alias("k")), c.builds.select(F.array(key("b", "build_id"), F.lit("plain")).alias("k")), c.raw("pages").select(F.array(key("m", "page_id")).alias("k")),
+    ]
+
+
+@R.add("j19_orphaned_objects", f"SELECT k FROM (SELECT 'uploads/' || substr(md5('o' || event_id), 1, 3) || '.jpg' AS k FROM events UNION SELECT 'uploads/new-' || event_id || '.jpg' FROM events WHERE event_type = 'error') WHERE k NOT IN ({_REFERENCED})")
 def j19(c):
-    used = c.lines.where("quantity > 45").select(F.col("part_id").alias("id"))
-    return c.parts.select("id").join(used, "id", "left_anti")
+    """Keys of a bucket's listing that none of five tables refers to with a file key."""
+    stored = c.raw("events").select(F.concat(F.lit("uploads/"), F.substring(F.md5(F.concat(F.lit("o"), F.col("event_id").cast("string"))), 1, 3), F.lit(".jpg")).alias("k"))
+    new = c.raw("events").where("event_type = 'error'").select(F.concat(F.lit("uploads/new-"), F.col("event_id"), F.lit(".jpg")).alias("k"))
+    return stored.unionByName(new).distinct().join(L.referenced_keys(_sources(c), "k"), "k", "left_anti")
 
 
 @R.add("j23_fitment_changes", "SELECT part_id, retailer_id, 'link' AS action FROM (SELECT part_id, retailer_id FROM listings WHERE price_cents < 130000 EXCEPT SELECT part_id, retailer_id FROM listings WHERE price_cents BETWEEN 100000 AND 150000) UNION ALL SELECT part_id, retailer_id, 'unlink' FROM (SELECT part_id, retailer_id FROM listings WHERE price_cents BETWEEN 100000 AND 150000 EXCEPT SELECT part_id, retailer_id FROM listings WHERE price_cents < 130000)")
@@ -321,14 +344,20 @@ def m07(c):
     return L.in_use(c.parts.select("id"), c.lines.where("quantity = 50"), "id", "part_id")
 
 
-@R.add("m13_stale_derived", "SELECT id FROM parts WHERE canonical_part_id IS NOT NULL AND canonical_part_id <> id - 1")
+@R.add("m13_stale_derived", "SELECT id, CASE WHEN canonical_part_id IS NULL AND NOT gone AND stored IS NULL THEN 'missing' WHEN stored IS NOT NULL AND (canonical_part_id IS NOT NULL OR gone) THEN 'wrongly present' WHEN stored <> lower(name) || '#' || id THEN 'differs' END AS fault FROM (SELECT *, id % 6 = 0 AS gone, CASE WHEN id % 5 <> 0 THEN lower(CASE WHEN id % 7 = 0 THEN 'old ' ELSE '' END || name) || '#' || id END AS stored FROM parts) WHERE fault IS NOT NULL")
 def m13(c):
-    return c.parts.where("canonical_part_id is not null and not canonical_part_id <=> id - 1").select("id")
+    """The key of the index of live canonical parts is made anew and compared with what is stored."""
+    stored = F.when(F.col("id") % 5 != 0, F.concat(F.lower(F.concat(F.when(F.col("id") % 7 == 0, "old ").otherwise(""), F.col("name"))), F.lit("#"), F.col("id")))
+    rows = c.parts.withColumns({"gone": F.col("id") % 6 == 0, "stored": stored})
+    due = F.when(F.col("canonical_part_id").isNull() & ~F.col("gone"), F.concat(F.lower("name"), F.lit("#"), F.col("id")))
+    return L.index_faults(rows, "id", due, F.col("stored"))
 
 
-@R.add("k01_create_absent", "SELECT id FROM parts WHERE id <= 1000 UNION ALL SELECT CAST(k AS BIGINT) FROM range(900, 1100) t(k) WHERE k NOT IN (SELECT id FROM parts WHERE id <= 1000)")
+@R.add("k01_create_absent", "SELECT id, CASE WHEN id % 2 = 0 THEN price_cents ELSE 0 END AS price_cents, CASE WHEN id % 2 = 0 THEN 'stored' ELSE 'new' END AS origin FROM parts")
 def k01(c):
-    return L.insert_absent(c.parts.where("id <= 1000").select("id"), c.spark.range(900, 1100), ["id"])
+    """The parts of every second id are stored, all are offered; those stored stay as they are."""
+    stored = c.parts.where("id % 2 = 0").select("id", "price_cents", F.lit("stored").alias("origin"))
+    return L.insert_absent(stored, c.parts.select("id", F.lit(0).cast("long").alias("price_cents"), F.lit("new").alias("origin")), ["id"])
 
 
 @R.add("k02_patch", "SELECT id, CASE WHEN id % 10 = 1 THEN NULL WHEN id % 10 = 2 THEN 'new' ELSE name END AS name, price_cents FROM parts")
@@ -457,6 +486,21 @@ def j12(c):
     return df.orderBy(*O.text_key(F.coalesce(F.nullif("display_name", F.lit("")), "category")), "id").limit(60).select("id")
 
 
+@R.add("l02_page_cursors", "SELECT page, k AS last_name, id AS last_id, rtrim(translate(base64(encode('{\"id\":\"' || id || '\",\"k\":\"' || k || '\"}')), '+/', '-_'), '=') AS cursor FROM (SELECT (n - 1) // 30 AS page, arg_max(name, n) AS k, arg_max(CAST(id AS VARCHAR), n) AS id FROM (SELECT id, name, row_number() OVER (ORDER BY name, id) AS n FROM parts) GROUP BY 1)")
+def l02(c):
+    """The cursor behind each page of 30 of the parts by name, and what it is read as."""
+    rows = Ordered(c.parts.select("name", "id"), ["name", "id"]).numbered("n").frame()
+    last = rows.groupBy(F.floor(F.col("n") / 30).alias("page")).agg(F.max(F.struct("n", "name", "id")).alias("x"))
+    coded = last.select("page", O.cursor_text(F.col("x.name"), F.col("x.id")).alias("cursor"))
+    position = O.cursor_position(F.col("cursor"))
+    return coded.select("page", position["k"].alias("last_name"), position["id"].alias("last_id"), "cursor")
+
+
+@R.add("s02_get_or_raise", "SELECT id, name FROM parts WHERE id IN (3, 5, 8)")
+def s02(c):
+    return L.get_or_raise(c.parts.select("id", "name"), [3, 5, 8, 5], "id")
+
+
 @R.add("l05_single_lookup", "SELECT user_id, username FROM users WHERE lower(username) = 'customer#000000012' ORDER BY user_id LIMIT 1")
 def l05(c):
     return c.users.where(F.lower("username") == "customer#000000012").select("user_id", "username").orderBy("user_id").limit(1)

@@ -52,9 +52,71 @@ def test_part_number_key_is_long_enough(spark):
     assert one(spark, "ab-12", "string", lambda c: T.part_number_key(c, ("ab12",))) is None
 
 
+@pytest.mark.parametrize("url", ["http://a.example/p/?q=1", "HTTPS://A.Example/p", "ftp://a.example/p", "not-a-url", "", None, "https:///p", " http://a.example ", "http://a.example//", "http://a.example/p#x", "mailto:a@b.org"])
+def test_url_keys_are_alike_as_a_column_and_in_pages(spark, url):
+    got = one(spark, url, "string", T.url_key)
+    assert got == H._address(url)
+    assert got == {"http://a.example/p/?q=1": "http://a.example/p", "ftp://a.example/p": "ftp://a.example/p", "not-a-url": None, " http://a.example ": "http://a.example/"}.get(url, got)
+
+
+@pytest.mark.parametrize(("raw", "number", "key"), [
+    ("Product Code: AB-12", "AB-12", "AB12"), ("Code: 77x", "77x", None), ("Model #: Z9-000", "Z9-000", "Z9000"), ("model: q 1 2 3", "q 1 2 3", "Q123"), ("#55", "#55", None), (" E46 ", None, None), ("SKU: e 9 x", None, None), ("SKU: Part #: 1-2-3-4", "1-2-3-4", "1234"),
+    ("Code: SKU: 1234", "SKU: 1234", "SKU1234"), ("E-46", "E-46", None), ("z4m-kit", "z4m-kit", "Z4MKIT"), (None, None, None), (" \t", None, None), ("Item#:5555", "5555", "5555"), ("Part Number : p9-99", "p9-99", "P999"),
+])
+def test_part_numbers_by_the_fixed_labels_and_codes(spark, raw, number, key):
+    assert one(spark, raw, "string", lambda c: T.part_number(c, reject=T.VEHICLE_CODES)) == number
+    assert one(spark, raw, "string", lambda c: T.part_number_key(c, T.VEHICLE_CODES, labels=T.NUMBER_LABELS)) == key
+
+
+@pytest.mark.parametrize(("raw", "want"), [("APR Motorsport", "apr"), ("Racing Dynamics USA, Inc.", "racingdynamics"), ("Performance Electronics Ltd", ""), ("Group 5", "group5"), ("Turner Motorsports America LLC", "turner"), ("Induction-Industries X", "inductionindustriesx"), ("CorpCo", "corpco")])
+def test_endings_of_names(spark, raw, want):
+    assert one(spark, raw, "string", T.manufacturer_key) == want
+
+
+@pytest.mark.parametrize(("seconds", "want"), [(None, "-"), (-5, "0s ago"), (59, "59s ago"), (60, "1m ago"), (61, "1m 1s ago"), (3599, "59m 59s ago"), (3600, "1h ago"), (7260, "2h 1m ago"), (90000, "25h ago")])
+def test_ages(spark, seconds, want):
+    assert one(spark, seconds, "long", T.age) == want
+
+
+def test_dollars_and_byte_keys(spark):
+    assert [one(spark, c, "long", T.dollars) for c in (0, 5, 123456789, -1050)] == ["$0.00", "$0.05", "$1,234,567.89", "-$10.50"]
+    for b in (b"", b"a", b"ab", b"abc", bytes(range(240, 256))):
+        key = one(spark, bytearray(b), "binary", T.base64url)
+        assert not set(key) & set("+/=") and bytes(one(spark, key, "string", T.from_base64url)) == b
+
+
+def test_cursors_of_rows(spark):
+    text = one(spark, "k \u00e9 ?>", "string", lambda c: O.cursor_text(c, F.lit(7)))
+    assert one(spark, text, "string", O.cursor_position) == ("7", "k \u00e9 ?>")
+    for bad in ("", "????", "bm90IGpzb24"):
+        with pytest.raises(Exception, match="not a cursor"):
+            one(spark, bad, "string", O.cursor_position)
+
+
+def test_get_or_raise(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "id long, name string")
+    assert sorted(r.id for r in L.get_or_raise(df, [2, 1, 2], "id").collect()) == [1, 2]
+    with pytest.raises(Exception, match="no row with key 9"):
+        L.get_or_raise(df, [1, 9], "id").collect()
+
+
+def test_index_faults_and_baselines(spark):
+    rows = spark.createDataFrame([(1, "a", "a"), (2, "a", None), (3, None, "a"), (4, "a", "b"), (5, None, None)], "id long, due string, stored string")
+    assert sorted(map(tuple, L.index_faults(rows, "id", F.col("due"), F.col("stored")).collect())) == [(2, "missing"), (3, "wrongly present"), (4, "differs")]
+    good = '{"harness_version":1,"signal":"car","sample_size":0,"generated_at":"t","precision":1,"recall":0.0,"f1":1e-3}'
+    bad = {good: [], "[]": None, "{": None, None: None, good.replace(":0,", ":0.5,"): ["sample_size no integer"], good.replace("1e-3", "1.01"): ["f1 not in [0, 1]"], good.replace('"f1":1e-3', '"f1":null'): ["f1 missing"], good.replace('"car"', "5"): ["signal unknown"], good.replace("\"precision\":1", "\"precision\":true"): ["precision not in [0, 1]"]}
+    got = {r.json: r.violations for r in A.baseline_violations(spark.createDataFrame([(k,) for k in bad], "json string")).collect()}
+    assert all(got[k] == v if v is not None else got[k][0] == "not an object" for k, v in bad.items())
+
+
+def test_who_may_change(spark):
+    own = spark.createDataFrame([(1,), (2,), (None,)], "u long")
+    seen = lambda *a, **k: sorted((r.u or 0) for r in own.where(P.may_change(F.col("u"), *a, **k)).collect())
+    assert seen(1) == [0, 1] and seen(9) == [0] and seen(9, admin=True) == seen(9, superuser=True) == [0, 1, 2]
+
+
 def test_urls(spark):
     assert one(spark, "HTTPS://WWW.W3.Org/?utm_source=a&b=1&b=2#x", "string", T.canonical_url) == "https://www.w3.org?b=1&b=2"
-    assert one(spark, "http://a.example/p/?q=1", "string", T.url_key) == "a.example/p"
     assert one(spark, "https://www.wwide.example/", "string", T.bare_host) == "ide.example"
 
 
