@@ -4,8 +4,10 @@ from pyspark.sql import functions as F
 
 from stockwright.functions import ordering as O
 from stockwright.operators import builds as B
+from stockwright.operators import cascades as C
 from stockwright.operators import relations as L
 from stockwright.plans.registry import Registry
+from stockwright.sources.tables import scratch
 
 R = Registry()
 QUERIES, ORACLE_SQL = R.queries, R.sql
@@ -130,12 +132,19 @@ def a18(c):
     return reduce(lambda a, b: a.unionByName(b), [c.raw(t).agg(F.count("*").alias("n")).select(F.lit(k).alias("name"), "n") for k, t in names.items()])
 
 
-@R.add("m04_build_cascade", "SELECT 'lines' AS name, count(*) AS n FROM lines WHERE build_id NOT IN (SELECT build_id FROM builds WHERE user_id = 7) UNION ALL SELECT 'labour', count(*) FROM labour WHERE build_id NOT IN (SELECT build_id FROM builds WHERE user_id = 7)")
+@R.add("m04_build_cascade", "WITH g AS (SELECT build_id FROM builds WHERE user_id % 7 = 0), p AS (SELECT DISTINCT build_id * 10 + phase AS phase_id, build_id FROM lines), l AS (SELECT build_id AS log_id, build_id FROM builds WHERE build_id % 3 = 0), t AS (SELECT event_id AS post_id, event_id % 1000 AS log_id FROM events) SELECT 'builds' AS name, count(*) AS before, count(*) FILTER (build_id NOT IN (FROM g)) AS \"left\", 0 AS cleared, CAST(sum(build_id) FILTER (build_id NOT IN (FROM g)) AS BIGINT) AS sum FROM builds UNION ALL SELECT 'lines', count(*), count(*) FILTER (build_id NOT IN (FROM g)), 0, CAST(sum(build_id * 10 + phase) FILTER (build_id NOT IN (FROM g)) AS BIGINT) FROM lines UNION ALL SELECT 'phases', count(*), count(*) FILTER (build_id NOT IN (FROM g)), 0, CAST(sum(phase_id) FILTER (build_id NOT IN (FROM g)) AS BIGINT) FROM p UNION ALL SELECT 'logs', count(*), count(*) FILTER (build_id NOT IN (FROM g)), 0, CAST(sum(log_id) FILTER (build_id NOT IN (FROM g)) AS BIGINT) FROM l UNION ALL SELECT 'posts', count(*), count(*) FILTER (log_id NOT IN (SELECT log_id FROM l WHERE build_id IN (FROM g))), 0, CAST(sum(post_id) FILTER (log_id NOT IN (SELECT log_id FROM l WHERE build_id IN (FROM g))) AS BIGINT) FROM t")
 def m04(c):
-    gone = c.builds.where("user_id = 7")
-    left = L.cascade({"lines": (c.lines, "build_id"), "labour": (c.labour, "build_id")}, gone, "build_id")
-    counts = [df.agg(F.count("*").alias("n")).select(F.lit(k).alias("name"), "n") for k, df in left.items()]
-    return counts[0].unionByName(counts[1])
+    """The lists of every seventh user go, with lines and phases, their logs and the posts in these."""
+    lines = c.lines.select("build_id", "phase")
+    tables = {
+        "builds": C.Table(c.builds.select("build_id", "user_id"), ("build_id",)), "lines": C.Table(lines, ("build_id", "phase")),
+        "phases": C.Table(lines.distinct().withColumn("phase_id", F.col("build_id") * 10 + F.col("phase")).select("phase_id", "build_id"), ("phase_id",)),
+        "logs": C.Table(c.builds.where("build_id % 3 = 0").select(F.col("build_id").alias("log_id"), "build_id"), ("log_id",)), "posts": C.Table(c.raw("events").select(F.col("event_id").alias("post_id"), (F.col("event_id") % 1000).alias("log_id")), ("post_id",)),
+    }
+    graph = [C.Reference(t, k, p) for t, k, p in (("lines", "build_id", "builds"), ("phases", "build_id", "builds"), ("logs", "build_id", "builds"), ("posts", "log_id", "logs"))]
+    cascade = C.Cascade(tables, graph, scratch(c.spark))
+    sums = {"builds": "build_id", "lines": "build_id * 10 + phase", "phases": "phase_id", "logs": "log_id", "posts": "post_id"}
+    return cascade.report(cascade.run("builds", c.builds.where("user_id % 7 = 0").select("build_id")), {k: F.expr(v) for k, v in sums.items()})
 
 
 @R.add("m05_phase_set_null", "SELECT build_id, part_id, CASE WHEN phase <> 2 THEN phase END AS phase FROM lines")

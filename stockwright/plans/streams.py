@@ -5,6 +5,7 @@ from dataclasses import replace
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from stockwright.operators import cascades as C
 from stockwright.operators import relations as L
 from stockwright.operators import votes as V
 from stockwright.plans.registry import AS_OF_EVENTS, Registry
@@ -89,20 +90,56 @@ def t05_stream(c):
     return _streamed(c, S.fired_stream(_alert_events(c, _seen_prices(stream))))
 
 
-@R.add("t06_purge", "SELECT 'votes' AS name, count(*) AS n FROM ballots WHERE entity_id NOT IN (SELECT id FROM parts WHERE id % 10 = 0) UNION ALL SELECT 'lines', count(*) FROM lines WHERE part_id NOT IN (SELECT id FROM parts WHERE id % 10 = 0) UNION ALL SELECT 'alerts', count(*) FROM alerts WHERE part_id NOT IN (SELECT id FROM parts WHERE id % 10 = 0)")
+def _tables(c):
+    """The tables of the catalogue with their owners: parts of 50 users, lines that other users added to a list, errors as reports."""
+    reports = c.raw("events").where("event_type = 'error'").select(F.col("event_id").alias("report_id"), "user_id", F.get_json_object("props", "$.k").cast("long").alias("entity_id"))
+    return {
+        "users": C.Table(c.users.select("user_id"), ("user_id",)), "parts": C.Table(c.parts.select("id", F.col("size").alias("owner_id"), "canonical_part_id"), ("id",)),
+        "builds": C.Table(c.builds.select("build_id", "user_id"), ("build_id",)), "lines": C.Table(c.lines.select("build_id", "phase", "part_id", F.col("quantity").alias("added_by")), ("build_id", "phase", "part_id", "added_by")),
+        "votes": C.Table(c.ballots.select("event_id", "user_id", "entity_id"), ("event_id",)), "reports": C.Table(reports, ("report_id",)), "alerts": C.Table(c.alerts.select("user_id", "part_id"), ("user_id", "part_id")),
+    }
+
+
+_PART = [C.Reference(t, k, "parts") for t, k in (("votes", "entity_id"), ("reports", "entity_id"), ("lines", "part_id"), ("alerts", "part_id"))] + [C.Reference("parts", "canonical_part_id", "parts", clears=True)]
+_USER = [C.Reference(t, k, "users") for t, k in (("parts", "owner_id"), ("builds", "user_id"), ("lines", "added_by"), ("votes", "user_id"), ("reports", "user_id"), ("alerts", "user_id"))] + [C.Reference("lines", "build_id", "builds")]
+_SUMS = {"users": "user_id", "parts": "id", "builds": "build_id", "lines": "build_id * 10 + phase", "votes": "event_id", "reports": "report_id", "alerts": "user_id * 7 + part_id"}
+_ROWS = """u AS (SELECT user_id FROM users), p AS (SELECT id, size AS owner_id, canonical_part_id FROM parts), bu AS (SELECT build_id, user_id FROM builds), li AS (SELECT build_id, phase, part_id, quantity AS added_by FROM lines),
+    vo AS (SELECT event_id, user_id, entity_id FROM ballots), re AS (SELECT event_id AS report_id, user_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS entity_id FROM events WHERE event_type = 'error'), al AS (SELECT user_id, part_id FROM alerts)"""
+
+
+def _cascade(c, root, gone, graph, names):
+    tables = _tables(c)
+    cascade = C.Cascade({n: tables[n] for n in names}, graph, scratch(c.spark))
+    return cascade.report(cascade.run(root, gone), {n: F.expr(_SUMS[n]) for n in names})
+
+
+def _cascade_sql(gone, names, left):
+    """SQL of a report: gone (SQL of the sets), left (for each table a condition that its rows stay under)."""
+    short = {"users": "u", "parts": "p", "builds": "bu", "lines": "li", "votes": "vo", "reports": "re", "alerts": "al"}
+    clear = {"parts": "count(*) FILTER (canonical_part_id IN (FROM gp) AND {0})"}
+    rows = [f"SELECT '{n}' AS name, count(*) AS before, count(*) FILTER ({left[n]}) AS \"left\", {clear.get(n, '0').format(left[n])} AS cleared, CAST(coalesce(sum({_SUMS[n]}) FILTER ({left[n]}), 0) AS BIGINT) AS sum FROM {short[n]}" for n in names]
+    return f"WITH {_ROWS}, {gone} {' UNION ALL '.join(rows)}"
+
+
+_PURGED = ["parts", "votes", "reports", "lines", "alerts"]
+
+
+@R.add("t06_purge", _cascade_sql("gp AS (SELECT id FROM p WHERE id % 10 = 0)", _PURGED, {"parts": "id NOT IN (FROM gp)", "votes": "entity_id NOT IN (FROM gp)", "reports": "entity_id NOT IN (FROM gp)", "lines": "part_id NOT IN (FROM gp)", "alerts": "part_id NOT IN (FROM gp)"}))
 def t06(c):
-    gone = c.parts.where("id % 10 = 0")
-    left = L.cascade({"votes": (c.ballots, "entity_id"), "lines": (c.lines, "part_id"), "alerts": (c.alerts, "part_id")}, gone, "id")
-    a, b, d = [df.agg(F.count("*").alias("n")).select(F.lit(k).alias("name"), "n") for k, df in left.items()]
-    return a.unionByName(b).unionByName(d)
+    """Every tenth part is purged."""
+    return _cascade(c, "parts", c.parts.where("id % 10 = 0").select("id"), _PART, _PURGED)
+
+
+_OWNED = ["users", "parts", "builds", "lines", "votes", "reports", "alerts"]
 
 
-@R.add("t07_user_delete", "SELECT 'builds' AS name, count(*) AS n FROM builds WHERE user_id % 20 <> 0 UNION ALL SELECT 'votes', count(*) FROM ballots WHERE user_id % 20 <> 0 UNION ALL SELECT 'alerts', count(*) FROM alerts WHERE user_id % 20 <> 0")
+@R.add("t07_user_delete", _cascade_sql("gu AS (SELECT user_id FROM u WHERE user_id % 20 = 0), gp AS (SELECT id FROM p WHERE owner_id IN (FROM gu)), gb AS (SELECT build_id FROM bu WHERE user_id IN (FROM gu))", _OWNED, {
+    "users": "user_id NOT IN (FROM gu)", "parts": "id NOT IN (FROM gp)", "builds": "build_id NOT IN (FROM gb)", "lines": "NOT (part_id IN (FROM gp) OR build_id IN (FROM gb) OR added_by IN (FROM gu))",
+    "votes": "NOT (entity_id IN (FROM gp) OR user_id IN (FROM gu))", "reports": "NOT (entity_id IN (FROM gp) OR user_id IN (FROM gu))", "alerts": "NOT (part_id IN (FROM gp) OR user_id IN (FROM gu))",
+}))
 def t07(c):
-    gone = c.users.where("user_id % 20 = 0").select("user_id").unionByName(c.ballots.where("user_id % 20 = 0").select("user_id")).unionByName(c.builds.where("user_id % 20 = 0").select("user_id")).distinct()
-    left = L.cascade({"builds": (c.builds, "user_id"), "votes": (c.ballots, "user_id"), "alerts": (c.alerts, "user_id")}, gone, "user_id")
-    a, b, d = [df.agg(F.count("*").alias("n")).select(F.lit(k).alias("name"), "n") for k, df in left.items()]
-    return a.unionByName(b).unionByName(d)
+    """Every twentieth user goes, with parts and what refers to them, lists and their lines, lines in others' lists, votes, reports, alerts."""
+    return _cascade(c, "users", c.users.where("user_id % 20 = 0").select("user_id"), _USER + _PART, _OWNED)
 
 
 @R.add("t10_sequence_groups", "SELECT entity_id, count(*) AS n, min(event_id) AS first, max(event_id) AS last FROM ballots GROUP BY 1")
