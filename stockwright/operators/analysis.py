@@ -1,4 +1,4 @@
-"""Facets, identity resolution, keyword classes, scores and the sitemap."""
+"""Facets, identity resolution, keyword classes and scores."""
 
 from __future__ import annotations
 
@@ -7,10 +7,10 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stockwright.functions.text import LARGE_WIDTH, gtin, image_url, query_pairs, xml_escaped
+from stockwright.functions.text import LARGE_WIDTH, gtin, image_url, query_pairs
 
 
 def facets(filtered: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -191,26 +191,6 @@ def ratios(counts: DataFrame) -> DataFrame:
     return df.withColumn("f1", F.when(p + r == 0, F.lit(0.0)).otherwise(2 * p * r / (p + r)))
 
 
-def sitemap_entries(entities: DataFrame, key: str, prefix: str, changed: str, per_page: int = 20_000) -> DataFrame:
-    """(page, place, entry): one XML entry for each entity, by id as text, a bounded number on each page.
-
-    The running number is made by ranges: each counts its own rows, and one number per range comes to the driver.
-    """
-    n = int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ids = entities.select(F.col(key).cast("string").alias("k"), F.col(changed).alias("at"))
-    bounds = ids.repartitionByRange(n, "k").withColumn("part", F.spark_partition_id()).groupBy("part").agg(F.min("k").alias("low"), F.count("*").alias("n")).orderBy("low").collect()
-    start, offsets = 0, []
-    for b in bounds:  # the ranges are named by their least keys, which hold however a later run deals the rows
-        offsets.append((b.low, start))
-        start += b.n
-    lows = F.array(*[F.struct(F.lit(k).alias("low"), F.lit(o).cast("long").alias("offset")) for k, o in offsets]) if offsets else F.array(F.struct(F.lit("").alias("low"), F.lit(0).cast("long").alias("offset")))
-    placed = ids.withColumn("range", F.array_max(F.filter(lows, lambda x: x["low"] <= F.col("k"))))
-    rn = F.row_number().over(Window.partitionBy("range.low").orderBy("k")) + F.col("range.offset")
-    loc = xml_escaped(F.concat(F.lit(prefix), F.col("k")))
-    entry = F.concat(F.lit("<url><loc>"), loc, F.lit("</loc><lastmod>"), F.date_format("at", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit("</lastmod></url>"))
-    return placed.withColumn("place", rn).select(F.floor((F.col("place") - 1) / per_page).cast("long").alias("page"), "place", entry.alias("entry"))
-
-
 # What a baseline of scores must have.
 SIGNALS, HARNESS_VERSION, METRICS = ("car", "manufacturer", "category"), 1, ("precision", "recall", "f1")
 

@@ -9,6 +9,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stockwright.sources.tables import is_complete
+
 
 @dataclass(frozen=True)
 class Reference:
@@ -43,15 +45,10 @@ class Cascade:
         self.tables, self.graph, self.folder = tables, list(graph), folder.rstrip("/")
         self.spark: SparkSession = next(iter(tables.values())).rows.sparkSession
 
-    def _complete(self, path: str) -> bool:
-        jvm = self.spark.sparkContext._jvm
-        done = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-        return done.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(done)
-
     def _once(self, what: str, df: DataFrame) -> DataFrame:
         """df, written to the folder unless it is there completely."""
         path = f"{self.folder}/{what}"
-        if not self._complete(path):
+        if not is_complete(self.spark, path):
             df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 

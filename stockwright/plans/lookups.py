@@ -1,5 +1,7 @@
 """Queries over the catalogue: access paths, filters, orders, pages, facets, vehicles, search."""
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from stockwright.functions import ordering as O
@@ -8,6 +10,7 @@ from stockwright.operators import analysis as A
 from stockwright.operators import relations as L
 from stockwright.operators.ordered import Ordered
 from stockwright.plans.registry import Registry
+from stockwright.sources import sitemaps as M
 from stockwright.sources import tables
 
 R = Registry()
@@ -371,9 +374,40 @@ def k03(c):
     return L.upsert(c.parts.select("id", "price_cents"), c.parts.where("id < 50").select("id", F.lit(1).cast("long").alias("price_cents")), ["id"])
 
 
-@R.add("k05_sitemap", "SELECT CAST(floor((n - 1) / 700) AS BIGINT) AS page, n AS place, '<url><loc>https://site.example/b/' || build_id || '</loc><lastmod>' || strftime(created_at, '%Y-%m-%dT%H:%M:%SZ') || '</lastmod></url>' AS entry FROM (SELECT *, row_number() OVER (ORDER BY CAST(build_id AS VARCHAR)) AS n FROM builds)")
+def _sitemap_sql():
+    """SQL of the same files, whose lines are joined by line feeds."""
+    lines = lambda *xs: " || chr(10) || ".join(xs)
+    url = lambda loc, last, often, much: lines("'  <url>'", f"'    <loc>https://site.example' || {loc} || '</loc>'", *last, f"'    <changefreq>{often}</changefreq>'", f"'    <priority>{much}</priority>'", "'  </url>'")
+    head = lambda kind: lines(*[f"'{x}'" for x in M.HEAD.format(kind).split("\n")])
+    file = lambda kind, body: f"{lines(head(kind), body, f"'</{kind}>'")} || chr(10)"
+    of_days = lambda i: f"TIMESTAMP '2001-01-01' + to_days(CAST({i} % 300 AS INTEGER))"
+    kinds = (
+        ("parts", f"SELECT CAST(id AS VARCHAR), {of_days('id')} FROM parts WHERE canonical_part_id IS NULL", "/parts/", "weekly", "0.7"),
+        ("cars", f"SELECT CAST(retailer_id AS VARCHAR), {of_days('retailer_id')} FROM retailers", "/car-generations/", "monthly", "0.6"), ("build-lists", "SELECT CAST(build_id AS VARCHAR), created_at FROM builds", "/build-lists/", "weekly", "0.6"),
+    )
+    last = ["strftime(ts, '    <lastmod>%Y-%m-%dT%H:%M:%S+00:00</lastmod>')"]
+    pages = " UNION ALL ".join(f"SELECT {i + 1} AS i, '{n}' AS kind, (n - 1) // 2000 + 1 AS page, n, {url(f"'{p}' || k", last, f, w)} AS e FROM (SELECT k, ts, row_number() OVER (ORDER BY k) AS n FROM ({q}) t(k, ts))" for i, (n, q, p, f, w) in enumerate(kinds))
+    static = lines(*[url(f"'{p}'", [], f, w) for p, f, w in M.STATIC_PAGES])
+    item = lines("'  <sitemap>'", "'    <loc>https://api.example/sitemap-' || kind || '.xml' || CASE WHEN page = 1 THEN '' ELSE '?page=' || page END || '</loc>'", "'    <lastmod>2024-01-31T00:00:00+00:00</lastmod>'", "'  </sitemap>'")
+    return f"""WITH e AS ({pages}), g AS (SELECT i, kind, page, string_agg(e, chr(10) ORDER BY n) AS body FROM e GROUP BY ALL),
+      x AS (SELECT 0 AS i, 'static' AS kind, 1 AS page UNION ALL SELECT i, kind, page FROM g),
+      c AS (SELECT 'sitemap-' || kind || CASE WHEN page = 1 THEN '' ELSE '-' || page END || '.xml' AS file, {file("urlset", "body")} AS content FROM g
+      UNION ALL SELECT 'sitemap-static.xml', {file("urlset", static)} UNION ALL SELECT 'sitemap.xml', {file("sitemapindex", f"string_agg({item}, chr(10) ORDER BY i, page)")} FROM x)
+      SELECT file, length(content) AS n_chars, sha256(content) AS sha256 FROM c"""
+
+
+@R.add("k05_sitemap", _sitemap_sql())
 def k05(c):
-    return A.sitemap_entries(c.builds, "build_id", "https://site.example/b/", "created_at", 700)
+    """All files of a sitemap with pages of 2,000 addresses, as they are read back."""
+    day = lambda i: F.expr(f"timestamp'2001-01-01' + make_dt_interval(cast({i} % 300 as int))")
+    kinds = [
+        M.Kind("parts", c.parts.where("canonical_part_id is null").select("id", day("id").alias("at")), "id", "at", "/parts", "weekly", "0.7"),
+        M.Kind("cars", c.retailers.select("retailer_id", day("retailer_id").alias("at")), "retailer_id", "at", "/car-generations", "monthly", "0.6"),
+        M.Kind("build-lists", c.builds, "build_id", "created_at", "/build-lists", "weekly", "0.6"),
+    ]
+    folder = tables.scratch(c.spark)
+    M.write_sitemap(c.spark, kinds, folder, "https://site.example", "https://api.example", dt.datetime(2024, 1, 31), 2000)
+    return M.read_sitemap(c.spark, folder).select("file", F.length("content").alias("n_chars"), F.sha2("content", 256).alias("sha256"))
 
 
 _WITH_RESERVATIONS = "(SELECT CAST(id AS VARCHAR) AS id, name, price_cents FROM parts UNION ALL SELECT '#unique#name#' || lower(name), NULL, NULL FROM parts)"

@@ -11,6 +11,7 @@ from stockwright.operators import votes as V
 from stockwright.plans.registry import AS_OF_EVENTS, Registry
 from stockwright.sources.tables import scratch
 from stockwright.streaming import changes as S
+from stockwright.streaming.letters import bisecting
 
 R = Registry()
 QUERIES, ORACLE_SQL = R.queries, R.sql
@@ -21,6 +22,16 @@ def t01(c):
     return S.split_stale(c.raw("events").withColumn("ts", F.col("ts").cast("timestamp")), F.lit(AS_OF_EVENTS).cast("timestamp"), "20 days")[1].select("event_id")
 
 
+@R.add("t01_dead_letters", f"SELECT event_id, CASE WHEN ts < TIMESTAMP '{AS_OF_EVENTS}' - INTERVAL 20 DAY THEN 'stale' ELSE 'failed' END AS reason FROM events WHERE ts < TIMESTAMP '{AS_OF_EVENTS}' - INTERVAL 20 DAY OR event_id % 40000 = 8000")
+def t01_dead(c):
+    """One batch with some records that can't be read and many that are old; all others are written."""
+    folder = scratch(c.spark)
+    read = F.when(F.col("event_id") % 40000 == 8000, F.raise_error(F.lit("unreadable")).cast("long")).otherwise(F.get_json_object("props", "$.k").cast("long"))
+    consume = bisecting(lambda rows, path: rows.select("event_id", read.alias("entity_id")).write.mode("overwrite").parquet(path), f"{folder}/out", f"{folder}/dead", ["event_id"], F.lit(AS_OF_EVENTS).cast("timestamp"), "20 days")
+    consume(c.raw("events").withColumn("ts", F.col("ts").cast("timestamp")), 0)
+    return c.spark.read.parquet(f"{folder}/dead").select("event_id", "reason")
+
+
 @R.add("t03_recounted_votes", "SELECT entity_id, count(*) FILTER (vote_type = 'upvote') - count(*) FILTER (vote_type = 'downvote') AS net_votes FROM ballots_latest GROUP BY 1 HAVING net_votes <> 0")
 def t03(c):
     stored = c.ballots.select("entity_id").distinct().withColumn("net_votes", F.lit(0).cast("long"))

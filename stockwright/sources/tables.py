@@ -117,13 +117,42 @@ def kept(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _path(spark: SparkSession, path: str):  # noqa: ANN202
+    """A path and its file system, wherever that is."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    at, files = _path(spark, path)
+    files.delete(at, True)
+
+
+def is_complete(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written to its end."""
+    at, files = _path(spark, f"{path}/_SUCCESS")
+    return files.exists(at)
+
+
+def rename_single_files(spark: SparkSession, folders: dict[str, str]) -> None:
+    """Moves the one data file of each folder to a path; what is there already is replaced."""
+    for folder, path in folders.items():
+        at, files = _path(spark, folder)
+        found = [f.getPath() for f in files.listStatus(at) if f.getPath().getName().startswith("part-")]
+        if len(found) != 1:
+            raise ValueError(f"{len(found)} files in {folder}")
+        to, _ = _path(spark, path)
+        files.delete(to, False)
+        files.mkdirs(to.getParent())
+        if not files.rename(found[0], to):
+            raise OSError(f"can't move {found[0]} to {path}")
+
+
 def drop_scratch(spark: SparkSession) -> int:
     """Deletes what this application wrote to scratch folders, once its results are used; how many folders they were."""
     paths = SCRATCH.pop(spark.sparkContext.applicationId, [])
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for p in paths:
-        path = jvm.org.apache.hadoop.fs.Path(p)
-        path.getFileSystem(conf).delete(path, True)
+        drop_path(spark, p)
     return len(paths)
 
 

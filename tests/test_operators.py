@@ -297,9 +297,3 @@ def test_recount_is_idempotent(spark):
     first = S.recount(ballots, ballots, stored)
     assert [(r.entity_id, r.net_votes) for r in first.collect()] == [(7, -1)]
     assert S.recount(ballots, ballots, L.upsert(stored, first, ["entity_id"])).count() == 0
-
-
-def test_sitemap_pages(spark):
-    df = spark.createDataFrame([(i, UTC(2026, 1, 1)) for i in range(25)], "id long, at timestamp")
-    got = A.sitemap_entries(df, "id", "https://s/?a=1&b=", "at", 10).collect()
-    assert sorted(r.place for r in got) == list(range(1, 26)) and {r.page for r in got} == {0, 1, 2} and "&amp;b=" in got[0].entry
