@@ -1,6 +1,7 @@
 """Queries over the catalogue: access paths, filters, orders, pages, facets, vehicles, search."""
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -8,6 +9,7 @@ from stockwright.functions import ordering as O
 from stockwright.functions import predicates as P
 from stockwright.operators import analysis as A
 from stockwright.operators import relations as L
+from stockwright.operators import search as G
 from stockwright.operators.ordered import Ordered
 from stockwright.plans.registry import Registry
 from stockwright.sources import sitemaps as M
@@ -94,6 +96,20 @@ def p02_plain(c):
     return c.parts.where(P.contains("_", "name")).select("id")
 
 
+_TERMS = {"documents": ("ation", "privacy policy", "über", "e th", "zzzz", "é ", "the of"), "parts": ("bolt", "Nut ", "#3", "ee", "a", "")}
+_FOUND = "SELECT DISTINCT '{0}' AS kind, '{1}' AS term, {2} AS id FROM {0} WHERE {3}"
+
+
+@R.add("p02_indexed_search", " UNION ALL ".join([_FOUND.format("documents", t.strip().lower(), "doc_id", f"contains(lower(text), '{t.strip().lower()}')") for t in _TERMS["documents"]] + [_FOUND.format("parts", t.strip().lower(), "id", " OR ".join(f"contains(lower({k}), '{t.strip().lower()}')" for k in ("name", "manufacturer", "category"))) for t in _TERMS["parts"]]))
+def p02_indexed(c):
+    """Several terms in documents and in parts, found by indexes of their grams."""
+    out = []
+    for kind, rows, key, columns in (("documents", c.raw("documents"), "doc_id", ["text"]), ("parts", c.parts, "id", ["name", "manufacturer", "category"])):
+        index = G.build_index(rows, key, columns, f"{tables.scratch(c.spark)}/index")
+        out.append(G.search(rows, index, key, columns, _TERMS[kind]).select(F.lit(kind).alias("kind"), "term", F.col(key).alias("id")).distinct())
+    return out[0].unionByName(out[1])
+
+
 @R.add("p03_starts_with", "SELECT id, name FROM parts WHERE starts_with(lower(name), 'b')")
 def p03(c):
     return c.parts.where(P.starts_with("B", "name")).select("id", "name")
@@ -714,6 +730,17 @@ def _counted(some):
     return reduce(lambda a, b: a.unionByName(b), [df.agg(F.count("*").alias("n")).select(F.lit(k).alias("name"), "n") for k, df in some])
 
 
+@R.add("s25_relational", "SELECT id, name, upper(md5(CAST(id AS VARCHAR))) AS code FROM parts WHERE price_cents >= 90500 AND size < 40")
+def s25(c):
+    """Parts with a binary column go into an embedded database and come back in ranges of ids, filtered there."""
+    url = f"jdbc:derby:memory:{uuid.uuid4().hex};create=true"
+    parts = c.parts.select("id", "name", "price_cents", "size", F.unhex(F.md5(F.col("id").cast("string"))).alias("code"))
+    tables.to_relational(parts, url, "parts", "name VARCHAR(200)")
+    low, high = c.parts.agg(F.min("id"), F.max("id")).first()
+    back = tables.relational(c.spark, url, "parts", "id", low or 0, (high or 0) + 1, 4)
+    return back.where("price_cents >= 90500 and size < 40").select("id", "name", F.hex("code").alias("code"))
+
+
 @R.add("s26_json_seed", "SELECT r_name AS make, n_name AS model, s_name AS generation, CAST(1980 + s_suppkey % 17 AS INTEGER) AS start_year FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey")
 def s26(c):
     """Vehicles are written as seed files, one for each make, and read from there."""

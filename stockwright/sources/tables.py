@@ -189,5 +189,12 @@ def utc_micros(at: str) -> F.Column:
 
 
 def relational(spark: SparkSession, url: str, name: str, key: str, low: int, high: int, parts: int, **options: str) -> DataFrame:
-    """A table of a relational database, read in ranges of a numeric key."""
+    """A table of a relational database, read in ranges of a numeric key; filters and columns are the database's work."""
     return spark.read.format("jdbc").options(url=url, dbtable=name, partitionColumn=key, lowerBound=low, upperBound=high, numPartitions=parts, **options).load()
+
+
+def to_relational(df: DataFrame, url: str, name: str, types: str | None = None, **options: str) -> None:
+    """Writes a new table of a relational database, each task its own rows; types are the database's, for columns that need others."""
+    if types:
+        options["createTableColumnTypes"] = types
+    df.write.format("jdbc").options(url=url, dbtable=name, **options).mode("errorifexists").save()

@@ -35,6 +35,23 @@ def rows(df):
     return sorted(tuple(map(_cell, r)) for r in df[sorted(df.columns)].astype(object).itertuples(index=False))
 
 
+def is_ordered(sql):
+    """Whether the rows of the outermost SELECT are ordered."""
+    outer, depth = "", 0
+    for ch in sql:
+        depth += (ch == "(") - (ch == ")")
+        outer += ch if depth == 0 else " "
+    return "ORDER BY" in outer.rsplit("SELECT", 1)[-1]
+
+
+@pytest.mark.parametrize("name", sorted(n for n, sql in catalogue.ORACLE_SQL.items() if is_ordered(sql)))
+def test_order_is_that_of_sql(spark, duck, name):
+    """Rows come in the order that the SQL states, not only the same rows."""
+    ours, theirs = catalogue.QUERIES[name](spark, DIR).toPandas(), duck.execute(catalogue.ORACLE_SQL[name]).fetchdf()
+    listed = lambda df: [tuple(map(_cell, r)) for r in df[sorted(df.columns)].astype(object).itertuples(index=False)]
+    assert listed(ours) == listed(theirs)
+
+
 @pytest.mark.parametrize("name", sorted(catalogue.ORACLE_SQL))
 def test_query_equals_sql(spark, duck, name):
     ours, theirs = catalogue.QUERIES[name](spark, DIR).toPandas(), duck.execute(catalogue.ORACLE_SQL[name]).fetchdf()

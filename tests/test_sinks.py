@@ -104,3 +104,19 @@ def test_sitemap_files(spark, tmp_path):
     assert [s.findtext(f"{space}loc") for s in ET.fromstring(files["sitemap.xml"])] == [f"https://api.example/sitemap-{x}" for x in ("static.xml", "parts.xml", "parts.xml?page=2", "parts.xml?page=3", "cars.xml")]  # noqa: S314
     M.write_sitemap(spark, kinds[:1], folder, "https://t.example", "https://api.example", NOW, 10)  # replaces what it writes
     assert "https://t.example/parts" in {r.file: r.content for r in M.read_sitemap(spark, folder).collect()}["sitemap-parts.xml"]
+
+
+def test_relational_tables_come_back(spark):
+    url = "jdbc:derby:memory:sinks;create=true"
+    df = spark.createDataFrame([(i, f"n{i}" if i % 3 else None, bytearray([i % 256, 0, 255]) if i % 5 else None, NOW, i / 4, i % 2 == 0) for i in range(300)], "id long, name string, data binary, at timestamp, x double, yes boolean")
+    tables.to_relational(df, url, "things")
+    back = tables.relational(spark, url, "things", "id", 0, 300, 5)
+    assert back.rdd.getNumPartitions() == 5
+    key = lambda r: (r.id, r.name, bytes(r.data) if r.data is not None else None, r.at, r.x, r.yes)
+    assert sorted(map(key, back.collect())) == sorted(map(key, df.collect()))
+    some = back.where("x > 70 and name is not null").select("id")
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(x,70.0)" in plan and "ReadSchema: struct<id:bigint>" in plan
+    assert sorted(r.id for r in some.collect()) == [i for i in range(281, 300) if i % 3]
+    with pytest.raises(Exception, match="(?i)exists"):
+        tables.to_relational(df, url, "things")
