@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from stockwright.functions import ordering as O
 from stockwright.functions import predicates as P
 from stockwright.operators import analysis as A
+from stockwright.operators import listings as I
 from stockwright.operators import relations as L
 from stockwright.operators import search as G
 from stockwright.operators.ordered import Ordered
@@ -64,6 +65,27 @@ def s14(c):
     return c.parts.select("id", "category").join(F.broadcast(first), "category", "left_semi").orderBy(F.desc("id")).select("id", "category")
 
 
+@R.add("s14_indexed_listing", "WITH k AS (SELECT min(category) AS a, max(category) AS b FROM parts) SELECT 1 AS page, id, name, category FROM (SELECT * FROM parts WHERE category = (SELECT a FROM k) ORDER BY name, id LIMIT 25) UNION ALL SELECT 2, id, name, category FROM (SELECT * FROM parts WHERE category = (SELECT a FROM k) ORDER BY name, id LIMIT 25 OFFSET 25) UNION ALL SELECT 3, id, name, category FROM (SELECT * FROM parts WHERE category = (SELECT b FROM k) AND name <= 'm' ORDER BY name DESC, id DESC LIMIT 25)")
+def s14_indexed(c):
+    """Two pages of a category forwards, the second behind the first's cursor, and one of another backwards from a name."""
+    listing = I.build_listing(c.parts.select("category", "name", "id"), ["category", "name", "id"], tables.scratch(c.spark))
+    a, b = c.raw("part").agg(F.min("p_type"), F.max("p_type")).first()
+    one = listing.page([a], 25)
+    last = one.orderBy(F.desc("name"), F.desc("id")).first()
+    two = listing.page([a], 25, after=[last.name, last.id]) if last else one
+    three = listing.page([b], 25, forward=False, high="m")
+    pages = [p.select(F.lit(n).alias("page"), "id", "name", "category") for n, p in enumerate((one, two, three), 1)]
+    return pages[0].unionByName(pages[1]).unionByName(pages[2])
+
+
+@R.add("m13_listing_faults", "SELECT id, CASE WHEN id % 9 = 0 THEN 'missing' WHEN id % 10 = 1 THEN 'wrongly present' ELSE 'different' END AS fault FROM parts WHERE (id % 9 = 0) <> (id % 10 = 1) OR (id % 9 <> 0 AND id % 7 = 0 AND id % 10 <> 1)")
+def m13_listing(c):
+    """A listing of parts that was built before some were added, changed and taken out of their category."""
+    now = c.parts.select(F.when(F.col("id") % 10 != 1, F.col("category")).alias("category"), "name", "id")
+    before = c.parts.where("id % 9 <> 0").select("category", F.when(F.col("id") % 7 == 0, F.concat("name", F.lit("!"))).otherwise(F.col("name")).alias("name"), "id")
+    return I.build_listing(before, ["category", "name", "id"], tables.scratch(c.spark)).faults(now, "id")
+
+
 @R.add("s15_canonical_parts", "SELECT id, name FROM parts WHERE canonical_part_id IS NULL")
 def s15(c):
     return c.parts.where("canonical_part_id is null").select("id", "name")
