@@ -207,3 +207,11 @@ def axis(history: DataFrame) -> DataFrame:
     ends = ends.select(F.greatest(F.col("low") - F.col("pad"), F.lit(0)).alias("axis_min"), (F.col("high") + F.col("pad")).alias("axis_max"))
     steps = F.filter(F.transform(F.sequence(F.lit(0), F.lit(50)), lambda k: F.lit(1000).cast("long") * F.pow(F.lit(2), k).cast("long")), lambda s: (F.col("axis_max") - F.col("axis_min")) / s <= 12)
     return ends.withColumn("step", F.get(steps, F.lit(0)))
+
+
+def migrated(parts: DataFrame, fits: DataFrame, listings: DataFrame, net_votes: DataFrame) -> DataFrame:
+    """parts with what relational rows leave to joins: car_ids in order (fits: part_id, car_id), the best price of the link group, net votes."""
+    cars = fits.groupBy(F.col("part_id").alias("id")).agg(F.sort_array(F.collect_set("car_id")).alias("car_ids"))
+    none = F.array().cast(cars.schema["car_ids"].dataType)
+    df = parts.join(cars, "id", "left").join(best_price(listings, parts), "id", "left").join(net_votes.select("id", "net_votes"), "id", "left")
+    return df.select(*parts.columns, F.coalesce("car_ids", none).alias("car_ids"), F.col("best_cents").alias("best_price_cents"), F.coalesce("net_votes", F.lit(0)).alias("net_votes"))

@@ -39,3 +39,17 @@ def top_flagged(votes: DataFrame, entities: DataFrame, k: int, as_of: str) -> Da
     """The k most flagged first, then their details: entities that are gone leave fewer than k rows."""
     top = flagged(votes, as_of).orderBy(F.desc("down_ratio"), F.desc("recent_downvotes"), "entity_id").limit(k)
     return top.join(entities, "entity_id")
+
+
+def report_verdicts(asked: DataFrame, entities: DataFrame, pending: DataFrame) -> DataFrame:
+    """(report_id, verdict) of reports (report_id, user_id, entity_id) that users ask for: ``not found``, ``own``, ``already reported`` or ``created``.
+
+    entities (entity_id, owner_id), pending (user_id, entity_id). Of several reports of a user on an entity in one batch the one of the
+    least id counts, and the others find it pending.
+    """
+    own = entities.select("entity_id", "owner_id", F.lit(True).alias("_known"))
+    held = pending.select("user_id", "entity_id").distinct().withColumn("_held", F.lit(True))
+    first = asked.groupBy("user_id", "entity_id").agg(F.min("report_id").alias("_first"))
+    df = asked.join(own, "entity_id", "left").join(held, ["user_id", "entity_id"], "left").join(first, ["user_id", "entity_id"], "left")
+    verdict = F.when(F.col("_known").isNull(), "not found").when(F.col("owner_id") == F.col("user_id"), "own").when(F.col("_held") | (F.col("report_id") != F.col("_first")), "already reported").otherwise("created")
+    return df.select("report_id", verdict.alias("verdict"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from stockwright.functions import ordering as O
 from stockwright.functions import predicates as P
 from stockwright.operators import analysis as A
+from stockwright.operators import cascades as C
 from stockwright.operators import listings as I
 from stockwright.operators import relations as L
 from stockwright.operators import search as G
@@ -736,14 +737,22 @@ def m06(c):
     return _counted(some)
 
 
-@R.add("m08_bulk_reset", "SELECT 'linked builds' AS name, CAST(0 AS BIGINT) AS n UNION ALL SELECT 'builds', count(*) FROM builds UNION ALL SELECT 'votes', count(*) FROM ballots WHERE entity_id % 2 <> 0 UNION ALL SELECT 'generations deleted', count(*) FROM supplier UNION ALL SELECT 'models deleted', count(*) FROM nation UNION ALL SELECT 'makes deleted', count(*) FROM region UNION ALL SELECT 'parts with a maker', 0")
+@R.add("m08_bulk_reset", """SELECT 'makes' AS name, count(*) AS before, 0 AS "left", 0 AS cleared, 0 AS sum FROM region UNION ALL SELECT 'models', count(*), 0, 0, 0 FROM nation UNION ALL SELECT 'generations', count(*), 0, 0, 0 FROM supplier
+    UNION ALL SELECT 'votes', count(*), count(*) FILTER (entity_id NOT IN (SELECT s_suppkey FROM supplier)), 0, CAST(coalesce(sum(event_id) FILTER (entity_id NOT IN (SELECT s_suppkey FROM supplier)), 0) AS BIGINT) FROM ballots
+    UNION ALL SELECT 'builds', count(*), count(*), count(*) FILTER (build_id % 40 + 1 IN (SELECT s_suppkey FROM supplier)), CAST(sum(build_id) AS BIGINT) FROM builds
+    UNION ALL SELECT 'makers', count(DISTINCT manufacturer), 0, 0, 0 FROM parts UNION ALL SELECT 'parts', count(*), count(*), count(manufacturer), CAST(sum(id) AS BIGINT) FROM parts""")
 def m08(c):
-    """All vehicles go: build lists lose their car, votes on vehicles and the three tables go; then all makers of parts."""
-    builds = L.emptied(c.builds.withColumn("car_id", F.col("user_id") % 25), "car_id")
-    parts = L.emptied(c.parts, "manufacturer")
-    votes = c.ballots.where("entity_id % 2 <> 0 or entity_id is null").where("entity_id is not null")
-    some = [("linked builds", builds.where("car_id is not null")), ("builds", builds), ("votes", votes), ("generations deleted", c.retailers), ("models deleted", c.raw("nation")), ("makes deleted", c.raw("region")), ("parts with a maker", parts.where("manufacturer is not null"))]
-    return _counted(some)
+    """All makes go, and with them models, generations and votes on these, while build lists lose their car; then all makers of parts go."""
+    vehicles = {
+        "makes": C.Table(c.raw("region").select("r_regionkey"), ("r_regionkey",)), "models": C.Table(c.raw("nation").select("n_nationkey", "n_regionkey"), ("n_nationkey",)), "generations": C.Table(c.retailers.select("retailer_id", "model_id"), ("retailer_id",)),
+        "votes": C.Table(c.ballots.select("event_id", "entity_id"), ("event_id",)), "builds": C.Table(c.builds.select("build_id", (F.col("build_id") % 40 + 1).alias("car_id")), ("build_id",)),
+    }
+    graph = [C.Reference("models", "n_regionkey", "makes"), C.Reference("generations", "model_id", "models"), C.Reference("votes", "entity_id", "generations"), C.Reference("builds", "car_id", "generations", clears=True)]
+    one = C.Cascade(vehicles, graph, tables.scratch(c.spark))
+    makers = {"makers": C.Table(c.parts.select("manufacturer").where("manufacturer is not null").distinct(), ("manufacturer",)), "parts": C.Table(c.parts.select("id", "manufacturer"), ("id",))}
+    two = C.Cascade(makers, [C.Reference("parts", "manufacturer", "makers", clears=True)], tables.scratch(c.spark))
+    a = one.report(one.run("makes", vehicles["makes"].rows), {"votes": F.col("event_id"), "builds": F.col("build_id")})
+    return a.unionByName(two.report(two.run("makers", makers["makers"].rows), {"parts": F.col("id")}))
 
 
 def _counted(some):

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from stockwright.operators import cascades as C
+from stockwright.operators import prices as P
 from stockwright.operators import relations as L
 from stockwright.operators import votes as V
 from stockwright.plans.registry import AS_OF_EVENTS, Registry
@@ -222,9 +223,10 @@ def m11(c):
     return L.upsert(c.alerts.select("user_id", "part_id", "threshold_cents"), c.alerts.where("user_id % 2 = 0").select("user_id", "part_id", (F.col("threshold_cents") - 100).alias("threshold_cents")), ["user_id", "part_id"])
 
 
-@R.add("m12_migration", "SELECT p.id, l.best AS best_price_cents, coalesce(v.net, 0) AS net_votes FROM parts p LEFT JOIN (SELECT coalesce(canonical_part_id, id) AS g, min(l.price_cents) AS best FROM listings l JOIN parts ON id = part_id GROUP BY 1) l ON l.g = coalesce(p.canonical_part_id, p.id) LEFT JOIN (SELECT entity_id, count(*) FILTER (vote_type = 'upvote') - count(*) FILTER (vote_type = 'downvote') AS net FROM ballots_latest GROUP BY 1) v ON v.entity_id = p.id")
+@R.add("m12_migration", "SELECT p.id, coalesce(array_to_string(cars, ','), '') AS car_ids, l.best AS best_price_cents, coalesce(v.net, 0) AS net_votes FROM parts p LEFT JOIN (SELECT coalesce(canonical_part_id, id) AS g, min(l.price_cents) FILTER (l.price_cents >= 0) AS best FROM listings l JOIN parts ON id = part_id GROUP BY 1) l ON l.g = coalesce(p.canonical_part_id, p.id) LEFT JOIN (SELECT entity_id, count(*) FILTER (vote_type = 'upvote') - count(*) FILTER (vote_type = 'downvote') AS net FROM ballots_latest GROUP BY 1) v ON v.entity_id = p.id LEFT JOIN (SELECT part_id, list(DISTINCT retailer_id ORDER BY retailer_id) AS cars FROM listings WHERE retailer_id % 3 = 0 GROUP BY 1) f ON f.part_id = p.id")
 def m12(c):
-    from stockwright.operators import prices as P
-
+    """Some retailers stand for the cars that a part fits."""
     net = V.tally(V.latest(c.ballots)).select(F.col("entity_id").cast("long").alias("id"), "net_votes")
-    return P.best_price(c.listings, c.parts).join(net, "id", "left").select("id", F.col("best_cents").alias("best_price_cents"), F.coalesce("net_votes", F.lit(0)).alias("net_votes"))
+    fits = c.listings.where("retailer_id % 3 = 0").select("part_id", F.col("retailer_id").alias("car_id"))
+    done = P.migrated(c.parts, fits, c.listings, net)
+    return done.select("id", F.array_join(F.col("car_ids").cast("array<string>"), ",").alias("car_ids"), "best_price_cents", "net_votes")

@@ -67,6 +67,11 @@ def j08(c):
     return c.raw("labels").where("toxic = 1").join(d, "doc_id", "left").select("doc_id", "quality", F.coalesce("source", F.lit("")).alias("source"), F.coalesce("lang", F.lit("Unknown document")).alias("entity"))
 
 
-@R.add("m10_reports_without_pending", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+@R.add("m10_reports_without_pending", "WITH a AS (SELECT event_id AS report_id, user_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS entity_id FROM events WHERE event_type IN ('error', 'click')), h AS (SELECT DISTINCT user_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS entity_id FROM events WHERE event_type = 'signup') SELECT report_id, CASE WHEN p.id IS NULL THEN 'not found' WHEN p.size = a.user_id THEN 'own' WHEN h.user_id IS NOT NULL OR report_id <> min(report_id) OVER (PARTITION BY a.user_id, a.entity_id) THEN 'already reported' ELSE 'created' END AS verdict FROM a LEFT JOIN (SELECT * FROM parts WHERE id % 9 <> 0) p ON p.id = a.entity_id LEFT JOIN h ON h.user_id = a.user_id AND h.entity_id = a.entity_id")
 def m10(c):
-    return c.raw("documents").select("doc_id").join(c.raw("labels").select("doc_id"), "doc_id", "left_anti")
+    """Reports on parts: some parts are gone, some are the user's own, some have been reported by the user before."""
+    entity = F.get_json_object("props", "$.k").cast("long").alias("entity_id")
+    asked = c.raw("events").where("event_type in ('error', 'click')").select(F.col("event_id").alias("report_id"), "user_id", entity)
+    pending = c.raw("events").where("event_type = 'signup'").select("user_id", entity)
+    return V.report_verdicts(asked, c.parts.where("id % 9 <> 0").select(F.col("id").alias("entity_id"), F.col("size").alias("owner_id")), pending)
+

@@ -297,3 +297,18 @@ def test_recount_is_idempotent(spark):
     first = S.recount(ballots, ballots, stored)
     assert [(r.entity_id, r.net_votes) for r in first.collect()] == [(7, -1)]
     assert S.recount(ballots, ballots, L.upsert(stored, first, ["entity_id"])).count() == 0
+
+
+def test_report_verdicts(spark):
+    asked = spark.createDataFrame([(1, 7, 1), (2, 8, 1), (3, 8, 1), (4, 9, 1), (5, 9, 2), (6, 9, 99), (7, None, 1)], "report_id long, user_id long, entity_id long")
+    entities = spark.createDataFrame([(1, 7), (2, None)], "entity_id long, owner_id long")
+    got = {r.report_id: r.verdict for r in V.report_verdicts(asked, entities, spark.createDataFrame([(9, 1), (9, 1)], "user_id long, entity_id long")).collect()}
+    assert got == {1: "own", 2: "created", 3: "already reported", 4: "already reported", 5: "created", 6: "not found", 7: "created"}
+
+
+def test_migrated(spark):
+    parts = spark.createDataFrame([(1, None), (2, 1), (3, None)], "id long, canonical_part_id long")
+    fits = spark.createDataFrame([(1, 5), (1, 2), (1, 5), (9, 1)], "part_id long, car_id long")
+    listings = spark.createDataFrame([(2, 50), (1, 70), (1, -1)], "part_id long, price_cents long")
+    got = {r.id: (r.car_ids, r.best_price_cents, r.net_votes) for r in R.migrated(parts, fits, listings, spark.createDataFrame([(2, -3)], "id long, net_votes long")).collect()}
+    assert got == {1: ([2, 5], 50, 0), 2: ([], 50, -3), 3: ([], None, 0)}
