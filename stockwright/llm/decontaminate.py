@@ -220,7 +220,8 @@ def contamination(docs: DataFrame, items: DataFrame, n: int = N, id_col: str = "
 def decontaminate(docs: DataFrame, items: DataFrame, n: int = N, most_hit: float = 0.5, text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
     """The documents without hit spans, with all their columns; one of whose words over ``most_hit`` are hit goes as a whole.
 
-    chars_col follows the text. Texts without hits stay as they are, null ones included.
+    chars_col follows the text. Texts without hits stay as they are, null ones included. Rows are judged one by one, so rows that repeat
+    stay or go together; empty documents give no rows, without items nothing is hit; other columns pass as they are, whatever their names.
     """
     found = scanned(docs, items, n, text_col).where("n_hit = 0 or n_hit <= n_words * " + repr(float(most_hit)))
 

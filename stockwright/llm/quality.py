@@ -112,7 +112,11 @@ def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def clean_documents(docs: DataFrame, text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
-    """The documents that are kept, with all their columns, without the lines that fail; chars_col follows the text."""
+    """The documents that are kept, with all their columns, without the lines that fail; chars_col follows the text.
+
+    Null, empty and blank texts are rejected. Rows are judged one by one, so rows that repeat stay or go together; an empty table gives no
+    rows; other columns pass as they are, whatever their names.
+    """
     # a filter that the optimizer may move below the measures would repeat them inside itself; one on a value that is bound
     # to the running task stays where it is
     kept = judged(docs, text_col).withColumn("stays", F.col("kept") & (F.spark_partition_id() >= 0)).where("stays")

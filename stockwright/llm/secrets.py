@@ -277,7 +277,10 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def redact(docs: DataFrame, text_col: str = "text", chars_col: str | None = "n_chars", mark: str = "[SECRET]", least: float = LEAST_LOG10) -> DataFrame:
-    """The documents with all their columns, each secret replaced by ``mark``; chars_col follows the text. Null texts stay null."""
+    """The documents with all their columns, each secret replaced by ``mark``; chars_col follows the text. Null texts stay null.
+
+    Rows are judged one by one, so rows that repeat stay and are cut alike; an empty table gives no rows; other columns pass as they are.
+    """
 
     def cut(t: str) -> str:
         out, at = [], 0

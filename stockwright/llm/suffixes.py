@@ -394,7 +394,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Every byte goes that a WIDTH-byte string covers which also starts anywhere else, in this or another document. Null texts
     are empty; texts of fewer bytes stay. Rows with the same id are different rows, whose texts can repeat each other. Ids are
-    numbers, or texts of numbers; others are an error.
+    numbers, or texts of numbers; others are an error. An empty table gives no rows; further columns, whatever their names, are in row.
     """
     rows = keyed(docs, id_col, text_col)
     lists = saved(repeated_ranges(rows, many_local, most))
