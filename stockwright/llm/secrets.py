@@ -28,17 +28,21 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 ASSIGN_LEAST, ACCESS_LEAST = 6, 20
-#: What stands before a value that is meant to be secret. The scheme of a header is passed over; behind :// a value is a
-#: password only if @ follows, and no port with a path.
+#: What stands before a value that is meant to be secret, in English, German, French and Spanish. The scheme of a header is passed over, and
+#: counts by itself before what looks like a token; behind :// a value is a password only if @ follows, and no port with a path.
+#: Words that prose uses otherwise, such as key, stand for a secret only together with another.
 CONTEXT = re.compile(
     r"""\b(?:pass(?:phrase|code|word|wd)?|pwd|credentials?|auth(?:orization)?|bearer|private_?key|access_?key|secret(?:_?key)?|client_?secret|(?:auth|access|refresh)_?token|token|api_?key)"""
     r"""["']?(?:\x20*[:=]{1,2}\x20*|\x20is\x20)["']?(?:(?:bearer|basic)\x20+)?(?!(?:bearer|basic)(?:\s|$))"""
+    r"""|\b(?:passwort|kennwort|(?:zugangs|geheimer\x20|api-)schl[üÜ]ssel|mot\x20de\x20passe|mdp|cl[éÉ]\x20(?:secr[èÈ]te|priv[éÉ]e|api|d['’]acc[èÈ]s)|contrase[ñÑ]a|clave\x20(?:secreta|privada|api|de\x20acceso))"""
+    r"""["']?[\x20\u00a0\u202f]*[:=]{1,2}[\x20\u00a0\u202f]*["']?"""
+    r"""|\bbearer\x20+(?=[A-Za-z0-9._~+/=-]{16})(?=[A-Za-z._~+/=-]*[0-9])"""
     r"""|(://)[^\s:/@"']+:(?!\d{1,5}/)""",
     re.I | re.A,
 )
 STOP = re.compile(r"""[\s"'<>,;@]""", re.A)
 #: Cheap signs, in lower case, without which CONTEXT can't match.
-SIGNS = (b"pass", b"pwd", b"credential", b"auth", b"bearer", b"key", b"secret", b"token", b"://")
+SIGNS = (b"pass", b"pwd", b"credential", b"auth", b"bearer", b"key", b"secret", b"token", b"://", b"kennwort", b"schl\xc3", b"mdp", b"cl\xc3", b"contrase", b"clave ")
 #: Least code points of a value, and log10 of the guesses from which it counts as a secret.
 LEAST_VALUE, LEAST_LOG10 = 6, 8.0
 #: Common words of passwords and prose in order of rank.

@@ -20,6 +20,16 @@ def guessed(text):
         ("postgres://user:q8/Zkw3Xvp0@host/db", "q8/Zkw3Xvp0"),
         ("passphrase: pwd=xkqjzpvmwtrbhdfc", "pwd=xkqjzpvmwtrbhdfc"),
         ("the password is pwd: xkqjzpvmwtrbhdfc", "xkqjzpvmwtrbhdfc"),
+        ("mot de passe : Zk8vQ2mX7", "Zk8vQ2mX7"),
+        ("Mot de passe\u00a0: «x» mdp=q8Zkw3Xvp0", "q8Zkw3Xvp0"),
+        ("contraseña=Zk8vQ2mX7pLw3", "Zk8vQ2mX7pLw3"),
+        ("CONTRASEÑA: 'Zk8vQ2mX7pLw3'", "Zk8vQ2mX7pLw3"),
+        ("Passwort: xkqjzpvmwtrbhdfc", "xkqjzpvmwtrbhdfc"),
+        ('"kennwort" : "Zk8vQ2mX7"', "Zk8vQ2mX7"),
+        ("API-Schlüssel: 9fQ2mX7pLw3Zk8v", "9fQ2mX7pLw3Zk8v"),
+        ("clé d'accès : Zk8vQ2mX7pLw3", "Zk8vQ2mX7pLw3"),
+        ("Clave de acceso: Zk8vQ2mX7pLw3.", "Zk8vQ2mX7pLw3"),
+        ("curl -H bearer eyJhbGciOiJIUzI1NiJ9.Zk8vQ2mX7pLw3", "eyJhbGciOiJIUzI1NiJ9.Zk8vQ2mX7pLw3"),
     ],
 )
 def test_found(text, value):
@@ -31,6 +41,7 @@ def test_found(text, value):
     [
         "http://host:8080/path/x9Qz7Kw2", "http://host:8080/path/x9Qz7Kw2@v1", "http://[::1]:8080/q8Zkw3Xvp0", "Authorization: Bearer", "Authorization: Basic\nrest",
         "the password is incorrect", "authorization is required", "pwd: changeme", "your credentials is understanding", "the passphrase is missing.",
+        "la clave: trabajar mucho", "la clé : travailler", "Der Schlüssel: Geduld", "le mot de passe est incorrect", "contraseña: password", "the bearer of this letter", "bearer instruments-and-securities", "bearer x9", "Kennwort vergessen", "mdp :",
     ],
 )
 def test_not_found(text):
