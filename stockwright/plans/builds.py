@@ -132,7 +132,7 @@ def a18(c):
     return reduce(lambda a, b: a.unionByName(b), [c.raw(t).agg(F.count("*").alias("n")).select(F.lit(k).alias("name"), "n") for k, t in names.items()])
 
 
-@R.add("m04_build_cascade", "WITH g AS (SELECT build_id FROM builds WHERE user_id % 7 = 0), p AS (SELECT DISTINCT build_id * 10 + phase AS phase_id, build_id FROM lines), l AS (SELECT build_id AS log_id, build_id FROM builds WHERE build_id % 3 = 0), t AS (SELECT event_id AS post_id, event_id % 1000 AS log_id FROM events) SELECT 'builds' AS name, count(*) AS before, count(*) FILTER (build_id NOT IN (FROM g)) AS \"left\", 0 AS cleared, CAST(sum(build_id) FILTER (build_id NOT IN (FROM g)) AS BIGINT) AS sum FROM builds UNION ALL SELECT 'lines', count(*), count(*) FILTER (build_id NOT IN (FROM g)), 0, CAST(sum(build_id * 10 + phase) FILTER (build_id NOT IN (FROM g)) AS BIGINT) FROM lines UNION ALL SELECT 'phases', count(*), count(*) FILTER (build_id NOT IN (FROM g)), 0, CAST(sum(phase_id) FILTER (build_id NOT IN (FROM g)) AS BIGINT) FROM p UNION ALL SELECT 'logs', count(*), count(*) FILTER (build_id NOT IN (FROM g)), 0, CAST(sum(log_id) FILTER (build_id NOT IN (FROM g)) AS BIGINT) FROM l UNION ALL SELECT 'posts', count(*), count(*) FILTER (log_id NOT IN (SELECT log_id FROM l WHERE build_id IN (FROM g))), 0, CAST(sum(post_id) FILTER (log_id NOT IN (SELECT log_id FROM l WHERE build_id IN (FROM g))) AS BIGINT) FROM t")
+@R.add("m04_build_cascade", "WITH g AS (SELECT build_id FROM builds WHERE user_id % 7 = 0), p AS (SELECT DISTINCT build_id * 10 + phase AS phase_id, build_id FROM lines), l AS (SELECT build_id AS log_id, build_id FROM builds WHERE build_id % 3 = 0), t AS (SELECT event_id AS post_id, event_id % 1000 AS log_id FROM events) SELECT 'builds' AS name, count(*) AS before, count(*) FILTER (build_id NOT IN (FROM g)) AS \"left\", CAST(0 AS BIGINT) AS cleared, CAST(sum(build_id) FILTER (build_id NOT IN (FROM g)) AS BIGINT) AS sum FROM builds UNION ALL SELECT 'lines', count(*), count(*) FILTER (build_id NOT IN (FROM g)), 0, CAST(sum(build_id * 10 + phase) FILTER (build_id NOT IN (FROM g)) AS BIGINT) FROM lines UNION ALL SELECT 'phases', count(*), count(*) FILTER (build_id NOT IN (FROM g)), 0, CAST(sum(phase_id) FILTER (build_id NOT IN (FROM g)) AS BIGINT) FROM p UNION ALL SELECT 'logs', count(*), count(*) FILTER (build_id NOT IN (FROM g)), 0, CAST(sum(log_id) FILTER (build_id NOT IN (FROM g)) AS BIGINT) FROM l UNION ALL SELECT 'posts', count(*), count(*) FILTER (log_id NOT IN (SELECT log_id FROM l WHERE build_id IN (FROM g))), 0, CAST(sum(post_id) FILTER (log_id NOT IN (SELECT log_id FROM l WHERE build_id IN (FROM g))) AS BIGINT) FROM t")
 def m04(c):
     """The lists of every seventh user go, with lines and phases, their logs and the posts in these."""
     lines = c.lines.select("build_id", "phase")

@@ -356,9 +356,9 @@ def j24(c):
     return L.reconcile(source, stored, "id", ["n"])
 
 
-@R.add("u01_referenced_keys", "SELECT DISTINCT k FROM (SELECT manufacturer AS k FROM parts UNION ALL SELECT category FROM parts UNION ALL SELECT segment FROM users)")
+@R.add("u01_referenced_keys", f"SELECT DISTINCT k FROM ({_REFERENCED})")
 def u01(c):
-    return c.parts.select(F.explode(F.array("manufacturer", "category")).alias("k")).unionByName(c.users.select(F.col("segment").alias("k"))).distinct()
+    return L.referenced_keys(_sources(c), "k")
 
 
 @R.add("u02_set_difference", "SELECT id FROM parts EXCEPT SELECT part_id FROM listings WHERE retailer_id < 20")
@@ -446,7 +446,7 @@ def k05(c):
     ]
     folder = tables.scratch(c.spark)
     M.write_sitemap(c.spark, kinds, folder, "https://site.example", "https://api.example", dt.datetime(2024, 1, 31), 2000)
-    return M.read_sitemap(c.spark, folder).select("file", F.length("content").alias("n_chars"), F.sha2("content", 256).alias("sha256"))
+    return M.read_sitemap(c.spark, folder).select("file", F.length("content").cast("long").alias("n_chars"), F.sha2("content", 256).alias("sha256"))
 
 
 _WITH_RESERVATIONS = "(SELECT CAST(id AS VARCHAR) AS id, name, price_cents FROM parts UNION ALL SELECT '#unique#name#' || lower(name), NULL, NULL FROM parts)"

@@ -10,7 +10,7 @@ from stockwright.operators import prices as P
 from stockwright.operators import relations as L
 from stockwright.operators import votes as V
 from stockwright.plans.registry import AS_OF_EVENTS, Registry
-from stockwright.sources.tables import scratch
+from stockwright.sources.tables import kept, scratch
 from stockwright.streaming import changes as S
 from stockwright.streaming.letters import bisecting
 
@@ -35,8 +35,9 @@ def t01_dead(c):
 
 @R.add("t03_recounted_votes", "SELECT entity_id, count(*) FILTER (vote_type = 'upvote') - count(*) FILTER (vote_type = 'downvote') AS net_votes FROM ballots_latest GROUP BY 1 HAVING net_votes <> 0")
 def t03(c):
-    stored = c.ballots.select("entity_id").distinct().withColumn("net_votes", F.lit(0).cast("long"))
-    return S.recount(c.ballots.select("entity_id"), c.ballots, stored)
+    ballots = kept(c.ballots)  # its JSON is read once
+    stored = ballots.select("entity_id").distinct().withColumn("net_votes", F.lit(0).cast("long"))
+    return S.recount(ballots.select("entity_id"), ballots, stored)
 
 
 def _changes(c):
