@@ -1,4 +1,4 @@
-"""The ten queries against brute force over a whole small table (TEST_SF_DIR)."""
+"""The first ten queries against brute force over a whole small table (TEST_SF_DIR)."""
 
 import os
 
@@ -75,13 +75,15 @@ def test_op10(spark, docs):
 
 
 def sql_rows(df):
-    return sorted(tuple("~" if pd.isna(v) else str(v) for v in r) for r in df[sorted(df.columns)].astype(object).itertuples(index=False))
+    # whole numbers beside nulls are floats in one of the frames
+    cell = lambda v: "~" if pd.isna(v) else str(int(v)) if isinstance(v, float) and v == int(v) else str(v)
+    return sorted(tuple(map(cell, r)) for r in df[sorted(df.columns)].astype(object).itertuples(index=False))
 
 
 @pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
 def test_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "pages"):
+    for t in ("documents", "benchmark", "pages", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DIR}/{t}.parquet'")
     ours, theirs = registry.QUERIES[name](spark, DIR).toPandas(), con.execute(registry.ORACLE_SQL[name]).fetchdf()
     assert sorted(ours.columns) == sorted(theirs.columns)
