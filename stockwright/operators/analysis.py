@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -162,14 +162,25 @@ def retailer_of(candidates: DataFrame, retailers: DataFrame) -> DataFrame:
     return df.select("candidate_id", found.alias("retailer_id"), F.when(found.isNull(), "created").when(fills, "backfilled").otherwise("found").alias("action"))
 
 
+def _least_two(stored: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(by, least, next): the least id and the least other one of rows with the same identifiers; next is null if there is none."""
+    known = stored.where(reduce(and_, [F.col(k).isNotNull() for k in ["id", *by]])).select(*by, "id")
+    least = known.groupBy(*by).agg(F.min("id").alias("least"))
+    rest = known.join(least, [*by]).where("id > least").groupBy(*by).agg(F.min("id").alias("next"))
+    return least.join(rest, [*by], "left")
+
+
 def identifier_conflicts(candidates: DataFrame, stored: DataFrame) -> DataFrame:
     """(candidate_id, identifier, existing_id) of candidates with an identifier that a stored part of another id has: gtin
     before manufacturer_part_number, then the least id. Both tables have (id, gtin, manufacturer, number), null where unknown.
+
+    A candidate meets the two least ids of its identifier, of which one at least isn't its own, and not all that share it.
     """
-    c = candidates.select(F.col("id").alias("candidate_id"), "gtin", "manufacturer", "number")
-    g = c.join(stored.where("gtin is not null").select("gtin", "id"), "gtin").select("candidate_id", F.lit(0).alias("place"), "id")
-    m = c.join(stored.where("manufacturer is not null and number is not null").select("manufacturer", "number", "id"), ["manufacturer", "number"]).select("candidate_id", F.lit(1).alias("place"), "id")
-    first = g.unionByName(m).where("id <> candidate_id").groupBy("candidate_id").agg(F.min(F.struct("place", "id")).alias("x"))
+    c = candidates.where("id is not null").select(F.col("id").alias("candidate_id"), "gtin", "manufacturer", "number")
+    g = c.join(_least_two(stored, ["gtin"]), ["gtin"]).select("candidate_id", F.lit(0).alias("place"), "least", "next")
+    m = c.join(_least_two(stored, ["manufacturer", "number"]), ["manufacturer", "number"]).select("candidate_id", F.lit(1).alias("place"), "least", "next")
+    other = F.when(F.col("least") != F.col("candidate_id"), F.col("least")).otherwise(F.col("next"))
+    first = g.unionByName(m).select("candidate_id", "place", other.alias("id")).where("id is not null").groupBy("candidate_id").agg(F.min(F.struct("place", "id")).alias("x"))
     return first.select("candidate_id", F.when(F.col("x.place") == 0, "gtin").otherwise("manufacturer_part_number").alias("identifier"), F.col("x.id").alias("existing_id"))
 
 

@@ -180,3 +180,11 @@ def test_scores_of_many(spark):
     assert (r.sample_size, r.true_positives, r.precision, r.recall) == (3, 1, 1 / 3, 0.5)
     none = p.limit(0)
     assert A.micro_score(none, none, "e", ["k"]).first().f1 == 0.0
+
+
+def test_identifier_conflicts_of_an_identifier_that_very_many_share(spark):
+    """100,000 parts of one GTIN and one number: all pairs would be ten billion rows."""
+    known = spark.range(100_000).select(F.col("id"), F.lit("g").alias("gtin"), F.lit("m").alias("manufacturer"), F.lit("n").alias("number"))
+    x = A.identifier_conflicts(known.where("id <> 5").unionByName(spark.createDataFrame([(5, None, "m", "n"), (None, "g", "m", "n")], "id long, gtin string, manufacturer string, number string")), known)
+    got = x.groupBy("identifier", "existing_id").agg(F.count("*").alias("n"), F.min("candidate_id").alias("first"))
+    assert rows(got) == [("gtin", 0, 99_998, 1), ("gtin", 1, 1, 0), ("manufacturer_part_number", 0, 1, 5)]
