@@ -88,6 +88,26 @@ def test_single_records_are_tried_again(spark, tmp_path):
     assert not os.path.exists(f"{folder}/o2/batch=5")
 
 
+def test_records_are_halved_in_their_tasks(spark, tmp_path, monkeypatch):
+    """A batch with very many bad records is a fixed number of jobs, and its results are those of bisecting."""
+    folder, bad = str(tmp_path), set(range(3, 20000, 7))
+    put(spark, f"{folder}/in", range(20000), bad, {20})
+    df = spark.read.schema(SCHEMA).parquet(f"{folder}/in")
+    consume = letters.bisecting_records(lambda rs: [(r["id"], int(r["price"])) for r in rs], "id long, price long", f"{folder}/out", f"{folder}/dead", F.lit(NOW).cast("timestamp"))
+    before = spark.sparkContext._jsc.sc().dagScheduler().nextJobId()
+    for _ in range(2):  # a batch that comes again is written once
+        consume(df, 0)
+    assert spark.sparkContext._jsc.sc().dagScheduler().nextJobId() - before < 20
+    out, dead = results(spark, folder)
+    assert out == [(i, i) for i in range(20000) if i not in bad | {20}]
+    assert [(i, r) for i, _, r, _ in dead] == [(i, "stale" if i == 20 else "failed") for i in sorted(bad | {20})]
+    small = df.where("id < 40")
+    bisecting(parse, f"{folder}/o2/out", f"{folder}/o2/dead", ["id"], F.lit(NOW).cast("timestamp"))(small, 1)
+    letters.bisecting_records(lambda rs: [(r["id"], int(r["price"])) for r in rs], "id long, price long", f"{folder}/o3/out", f"{folder}/o3/dead", F.lit(NOW).cast("timestamp"))(small, 1)
+    (a, x), (b, y) = results(spark, f"{folder}/o2"), results(spark, f"{folder}/o3")
+    assert a == b and [d[:3] for d in x] == [d[:3] for d in y]
+
+
 def test_sitemap_files(spark, tmp_path):
     rows = spark.createDataFrame([(i, NOW if i % 2 else None) for i in range(25)] + [(None, NOW)], "id long, at timestamp")
     kinds = [M.Kind("parts", rows, "id", "at", "/parts&x", "weekly", "0.7"), M.Kind("cars", rows.where("id < 0"), "id", "at", "/cars", "monthly", "0.6")]
