@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -117,6 +119,22 @@ def anchors_of(wanted: DataFrame, history: DataFrame, keys: Sequence[str] = ("pa
     return as_of(wanted, seen, keys, start, "anchor_at", ["anchor_at", "anchor_cents"], tie="anchor_cents", strict=True)
 
 
+def anchors_of_windows(history: DataFrame, keys: Sequence[str] = ("part_id", "retailer_id"), of: Sequence[str] = ("part_id",)) -> DataFrame:
+    """(keys, name, start, anchor_at, anchor_cents): for each group and named window its anchor, null if there is none; windows end with
+    the last observation of the columns ``of``, which are among the keys.
+
+    All windows are found in one grouping of the history, which is dealt anew for neither of them.
+    """
+    days = {n: d for n, d in DAYS.items() if d}
+    ends = history.groupBy(*of).agg(F.max("observed_at").alias("_end"))
+    start = {n: F.col("_end") - F.make_dt_interval(F.lit(d)) for n, d in days.items()}
+    known = reduce(and_, [F.col(k).isNotNull() for k in keys])  # a null key equals none
+    before = [F.max(F.when(known & (F.col("observed_at") < start[n]), F.struct("observed_at", "price_cents"))).alias(f"_{n}") for n in days]
+    found = history.join(ends, [*of]).groupBy(*keys, "_end").agg(*before)
+    windows = [F.struct(F.lit(n).alias("name"), start[n].alias("start"), F.col(f"_{n}.observed_at").alias("anchor_at"), F.col(f"_{n}.price_cents").alias("anchor_cents")) for n in days]
+    return found.select(*keys, F.inline(F.array(*windows)))
+
+
 def carried_in(history: DataFrame, start: Column, keys: Sequence[str] = ("part_id", "retailer_id")) -> DataFrame:
     """(keys, observed_at, price_cents, seen_at): the point that a window's line begins with, the last price before the window.
 

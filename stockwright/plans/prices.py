@@ -126,11 +126,7 @@ def j22(c):
 @R.add("j22_anchor_of_each_window", "WITH w AS (SELECT part_id, w AS name, e - to_days(CAST(d AS INTEGER)) AS start FROM (SELECT part_id, max(observed_at) AS e FROM history GROUP BY 1), (VALUES ('7d', 7), ('30d', 30), ('90d', 90), ('180d', 180), ('1y', 365)) v(w, d)) SELECT l.part_id, l.retailer_id, name, start, anchor_at, anchor_cents FROM (SELECT part_id, retailer_id, name, start FROM w JOIN listings USING (part_id)) l ASOF LEFT JOIN (SELECT part_id, retailer_id, observed_at AS anchor_at, price_cents AS anchor_cents FROM history) h ON l.part_id = h.part_id AND l.retailer_id = h.retailer_id AND l.start > h.anchor_at")
 def j22_each(c):
     """For each listing and named window its anchor; a part's windows end with the last observation of the part."""
-    ends = c.history.groupBy("part_id").agg(F.max("observed_at").alias("end"))
-    days = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(d).alias("days")) for n, d in P.DAYS.items() if d])
-    wanted = c.history.select("part_id", "retailer_id").distinct().join(ends, "part_id").select("part_id", "retailer_id", "end", F.inline(days))
-    wanted = wanted.select("part_id", "retailer_id", "name", (F.col("end") - F.make_dt_interval(F.col("days"))).alias("start"))
-    return P.anchors_of(wanted, c.history)
+    return P.anchors_of_windows(c.history)
 
 
 @R.add("s17_history_since", f"SELECT part_id, retailer_id, observed_at, price_cents FROM history WHERE observed_at >= {T90}")

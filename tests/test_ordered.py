@@ -216,3 +216,17 @@ def test_scratch_is_dropped(spark, tmp_path):
     path = tables.SCRATCH[spark.sparkContext.applicationId][-1].removeprefix("file:")
     assert df.count() == 5 and os.path.isdir(path)
     assert tables.drop_scratch(spark) > 0 and not os.path.isdir(path) and tables.drop_scratch(spark) == 0
+
+
+def test_anchors_of_windows_are_those_of_each_row(spark):
+    """One grouping gives what the as-of join gives, nulls included, and deals the history once."""
+    day = lambda n: dt.datetime(2024, 1, 1) + dt.timedelta(days=n)
+    seen = [(p, r, day(n), n * 7 % 13) for p in range(3) for r in (0, 1, None) for n in range(p, 420, 11 + 29 * (r or 0))] + [(None, 1, day(3), 1), (9, 1, None, 5)]
+    history = spark.createDataFrame(seen, "part_id long, retailer_id long, observed_at timestamp, price_cents long")
+    ends = history.groupBy("part_id").agg(F.max("observed_at").alias("end"))
+    days = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(d).alias("days")) for n, d in P.DAYS.items() if d])
+    wanted = history.select("part_id", "retailer_id").distinct().join(ends, "part_id").select("part_id", "retailer_id", "end", F.inline(days))
+    each = P.anchors_of(wanted.select("part_id", "retailer_id", "name", (F.col("end") - F.make_dt_interval(F.col("days"))).alias("start")), history)
+    got = P.anchors_of_windows(history)
+    key = lambda df: sorted(map(repr, df.select("part_id", "retailer_id", "name", "start", "anchor_at", "anchor_cents").collect()))
+    assert key(got) == key(each) and len(key(got)) == 50
