@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 from functools import cached_property
+from math import ceil
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,6 +18,8 @@ def cents(amount) -> F.Column:  # noqa: ANN001
     return F.round(amount * 100).cast("long")
 
 
+#: Rows of a large table that a task is dealt.
+DEALT = 1 << 18
 #: Folders that scratch() gave out, by application.
 SCRATCH: dict[str, list[str]] = {}
 
@@ -30,6 +33,16 @@ class Catalogue:
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
+    def tasks(self, name: str) -> int | None:
+        """How many tasks take the rows of a raw table, DEALT each; None where Spark deals them to as many anyway."""
+        n = ceil(self.raw(name).count() / DEALT)
+        return n if n > self.spark.sparkContext.defaultParallelism else None
+
+    def dealt(self, df: DataFrame, name: str, *by: str) -> DataFrame:
+        """df, of about as many rows as a raw table, dealt by columns, so that no task's share grows with the table."""
+        n = self.tasks(name)
+        return df.repartition(n, *by) if n else df.repartition(*by)
+
     @cached_property
     def parts(self) -> DataFrame:
         """A part whose brand and name occur under a smaller id is a duplicate of that canonical part."""
@@ -47,11 +60,12 @@ class Catalogue:
     def history(self) -> DataFrame:
         """One observation for each part, retailer and day: the lowest price of the day.
 
-        Dealt by part, which serves this grouping and those by part and by listing that follow it: one shuffle for all.
+        Dealt by part, which serves this grouping and those by part and by listing that follow it: one shuffle for all. Its number of tasks
+        follows the rows, as partitions that are merged to the number of cores would grow with them.
         """
         price = F.round(F.col("l_extendedprice") * 100 / F.col("l_quantity")).cast("long")
         seen = self.raw("lineitem").select(F.col("l_partkey").alias("part_id"), F.col("l_suppkey").alias("retailer_id"), F.col("l_shipdate").alias("observed_at"), price.alias("price_cents"))
-        return seen.repartition("part_id").groupBy("part_id", "retailer_id", "observed_at").agg(F.min("price_cents").alias("price_cents"))
+        return self.dealt(seen, "lineitem", "part_id").groupBy("part_id", "retailer_id", "observed_at").agg(F.min("price_cents").alias("price_cents"))
 
     @cached_property
     def listings(self) -> DataFrame:

@@ -52,12 +52,13 @@ def recount(changed: DataFrame, ballots: DataFrame, stored: DataFrame) -> DataFr
     return now.join(old, "entity_id").where("not net_votes <=> old").drop("old")
 
 
-def lowest_drops(changes: DataFrame) -> DataFrame:
-    """Of each listing in a batch the lowest price that is below the one before, the earliest of equals."""
+def lowest_drops(changes: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Of each listing in a batch the lowest price that is below the one before, the earliest of equals; large batches are dealt to so many tasks."""
     new, old = F.col("new.last_known_price_cents"), F.col("old.last_known_price_cents")
     fell = changes.where((new >= 0) & (old.isNull() | (new < old)))
-    x = F.min_by(F.struct("new.part_id", "new.retailer_id", new.alias("price_cents"), F.col("new.last_price_updated_at").alias("observed_at")), F.struct(new, "sequence_number"))
-    return fell.groupBy(F.col("new.id").alias("listing_id")).agg(x.alias("x")).select("listing_id", "x.*")
+    fell = fell.select(F.col("new.id").alias("listing_id"), "new.part_id", "new.retailer_id", new.alias("price_cents"), F.col("new.last_price_updated_at").alias("observed_at"), "sequence_number")
+    x = F.min_by(F.struct("part_id", "retailer_id", "price_cents", "observed_at"), F.struct("price_cents", "sequence_number"))
+    return (fell.repartition(tasks, "listing_id") if tasks else fell).groupBy("listing_id").agg(x.alias("x")).select("listing_id", "x.*")
 
 
 def tombstoned(changes: DataFrame) -> DataFrame:

@@ -312,3 +312,11 @@ def test_migrated(spark):
     listings = spark.createDataFrame([(2, 50), (1, 70), (1, -1)], "part_id long, price_cents long")
     got = {r.id: (r.car_ids, r.best_price_cents, r.net_votes) for r in R.migrated(parts, fits, listings, spark.createDataFrame([(2, -3)], "id long, net_votes long")).collect()}
     assert got == {1: ([2, 5], 50, 0), 2: ([], 50, -3), 3: ([], None, 0)}
+
+
+def test_tasks_of_the_history_follow_its_rows(spark, monkeypatch):
+    """A task's share of the history is bounded, whatever Spark merges partitions to; small tables are left to Spark."""
+    c = tables.Catalogue(spark, "/root/testdata/sf0.001")
+    assert c.tasks("lineitem") is None
+    monkeypatch.setattr(tables, "DEALT", 500)
+    assert c.tasks("lineitem") == c.history.rdd.getNumPartitions() == c.listings.rdd.getNumPartitions() == -(-c.raw("lineitem").count() // 500)
