@@ -1,7 +1,6 @@
 """Queries over the catalogue: access paths, filters, orders, pages, facets, vehicles, search."""
 
 import datetime as dt
-import uuid
 
 from pyspark.sql import functions as F
 
@@ -763,13 +762,10 @@ def _counted(some):
 
 @R.add("s25_relational", "SELECT id, name, upper(md5(CAST(id AS VARCHAR))) AS code FROM parts WHERE price_cents >= 90500 AND size < 40")
 def s25(c):
-    """Parts with a binary column go into an embedded database and come back in ranges of ids, filtered there."""
-    url = f"jdbc:derby:memory:{uuid.uuid4().hex};create=true"
+    """Parts with a binary column go into embedded databases, one for each range of ids, and come back from there, filtered by them."""
     parts = c.parts.select("id", "name", "price_cents", "size", F.unhex(F.md5(F.col("id").cast("string"))).alias("code"))
-    tables.to_relational(parts, url, "parts", "name VARCHAR(200)")
-    low, high = c.parts.agg(F.min("id"), F.max("id")).first()
-    back = tables.relational(c.spark, url, "parts", "id", low or 0, (high or 0) + 1, 4)
-    return back.where("price_cents >= 90500 and size < 40").select("id", "name", F.hex("code").alias("code"))
+    back = tables.from_databases(tables.to_databases(parts, "id", "parts"), "parts", "id long, name string, code binary", "price_cents >= 90500 AND size < 40")
+    return back.select("id", "name", F.hex("code").alias("code"))
 
 
 @R.add("s26_json_seed", "SELECT r_name AS make, n_name AS model, s_name AS generation, CAST(1980 + s_suppkey % 17 AS INTEGER) AS start_year FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey")

@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import re
+import sqlite3
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import closing
 from functools import cached_property
 from math import ceil
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from stockwright.functions.text import slug
 
@@ -212,3 +217,56 @@ def to_relational(df: DataFrame, url: str, name: str, types: str | None = None,
     if types:
         options["createTableColumnTypes"] = types
     df.write.format("jdbc").options(url=url, dbtable=name, **options).mode("errorifexists").save()
+
+
+#: Rows of a table that one embedded database holds.
+SHARD = 1 << 16
+
+
+def to_databases(df: DataFrame, key: str, name: str, rows: int = SHARD) -> DataFrame:
+    """(low, high, database): a table of numbers, texts, bytes and booleans in embedded relational databases, each of a range of a numeric key.
+
+    An embedded database lives in one process, while executors are several: so every task makes its own, as bytes that Spark keeps where all
+    can read them. low and high are null where no row of a database has a key.
+    """
+    parts = max(1, ceil(df.count() / rows))
+    kinds = {"string": "TEXT", "binary": "BLOB", "double": "REAL", "float": "REAL"} | dict.fromkeys(("tinyint", "smallint", "int", "bigint", "boolean"), "INTEGER")
+    columns = ", ".join(f'"{n}" {kinds[t]}' for n, t in df.dtypes)
+
+    def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with closing(sqlite3.connect(":memory:")) as db:
+            db.execute(f'CREATE TABLE "{name}" ({columns})')
+            for b in batches:
+                db.executemany(f'INSERT INTO "{name}" VALUES ({", ".join("?" * b.num_columns)})', zip(*[c.to_pylist() for c in b.columns], strict=True))
+            db.execute(f'CREATE INDEX "{name}_key" ON "{name}" ("{key}")')
+            db.commit()
+            low, high, n = db.execute(f'SELECT min("{key}"), max("{key}"), count(*) FROM "{name}"').fetchone()
+            if n:
+                yield pa.RecordBatch.from_arrays([pa.array([low], pa.int64()), pa.array([high], pa.int64()), pa.array([db.serialize()], pa.binary())], names=["low", "high", "database"])
+
+    return kept(df.repartitionByRange(parts, key).mapInArrow(store, "low long, high long, database binary"))
+
+
+def from_databases(databases: DataFrame, name: str, columns: str, where: str = "1", low: int | None = None, high: int | None = None) -> DataFrame:
+    """Columns (a schema) of the rows of a table in databases for which ``where``, in the databases' SQL, holds: filters and columns are their work.
+
+    With bounds of the key only databases with keys from low to below high are opened.
+    """
+    some = databases
+    if low is not None:
+        some = some.where(F.col("high") >= low)
+    if high is not None:
+        some = some.where(F.col("low") < high)
+    wanted = databases.sparkSession.createDataFrame([], columns).schema
+    shape = to_arrow_schema(wanted)
+    sql = f'SELECT {", ".join(chr(34) + n + chr(34) for n in wanted.names)} FROM "{name}" WHERE {where}'
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for raw in b.column(0):
+                with closing(sqlite3.connect(":memory:")) as db:
+                    db.deserialize(raw.as_py())
+                    found = list(zip(*db.execute(sql).fetchall(), strict=True)) or [()] * len(shape)
+                yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()).cast(f.type) if pa.types.is_boolean(f.type) else pa.array(v, f.type) for v, f in zip(found, shape, strict=True)], schema=shape)
+
+    return some.select("database").mapInArrow(read, wanted)

@@ -140,3 +140,15 @@ def test_relational_tables_come_back(spark):
     assert sorted(r.id for r in some.collect()) == [i for i in range(281, 300) if i % 3]
     with pytest.raises(Exception, match="(?i)exists"):
         tables.to_relational(df, url, "things")
+
+
+def test_databases_come_back(spark):
+    """Executors are several processes: each database is made and read by tasks alone."""
+    df = spark.createDataFrame([(i if i else None, f"n{i}" if i % 3 else None, bytearray([i % 256, 0, 255]) if i % 5 else None, i / 4, i % 2 == 0) for i in range(300)], "id long, name string, data binary, x double, yes boolean")
+    dbs = tables.to_databases(df, "id", "things", 50)
+    assert dbs.count() == 6 and df.schema == tables.from_databases(dbs, "things", "id long, name string, data binary, x double, yes boolean").schema
+    key = lambda r: repr((r.id, r.name, bytes(r.data) if r.data is not None else None, r.x, r.yes))
+    assert sorted(map(key, tables.from_databases(dbs, "things", "id long, name string, data binary, x double, yes boolean").collect())) == sorted(map(key, df.collect()))
+    some = tables.from_databases(dbs, "things", "id long", "x > 70 AND name IS NOT NULL", 250, 290)
+    assert sorted(r.id for r in some.collect()) == [i for i in range(281, 300) if i % 3]
+    assert tables.from_databases(tables.to_databases(df.limit(0), "id", "none"), "none", "id long").count() == 0
