@@ -54,11 +54,14 @@ class Cascade:
 
     def levels(self, root: str, gone: DataFrame) -> list[DataFrame]:
         """(table, name) of what goes, by level; gone has the names of the root's rows in its first column."""
+        return self._walk(root, gone, self.graph, "level")
+
+    def _walk(self, root: str, gone: DataFrame, graph: Sequence[Reference], what: str) -> list[DataFrame]:
         names = gone.select(F.lit(root).alias("table"), gone[gone.columns[0]].cast("string").alias("name")).where("name is not null").distinct()
-        out = [self._once("level=0", names)]
+        out = [self._once(f"{what}=0", names)]
         while True:
             found = []
-            for r in self.graph:
+            for r in graph:
                 if not r.clears:
                     child, last = self.tables[r.child], out[-1].where(F.col("table") == r.parent).select(F.col("name").alias("_gone"))
                     hit = child.rows.join(last, F.col(r.column).cast("string") == F.col("_gone"), "left_semi")
@@ -66,19 +69,29 @@ class Cascade:
             reached = reduce(lambda a, b: a.unionByName(b), found).distinct() if found else out[0].limit(0)
             for earlier in out:
                 reached = reached.join(earlier, ["table", "name"], "left_anti")
-            level = self._once(f"level={len(out)}", reached)
+            level = self._once(f"{what}={len(out)}", reached)
             if level.isEmpty():
                 return out
             out.append(level)
 
     def run(self, root: str, gone: DataFrame) -> dict[str, DataFrame]:
-        """Every table without what goes and with its cleared columns, as written to the folder."""
-        every = reduce(lambda a, b: a.unionByName(b), self.levels(root, gone))
-        return {name: self._once(f"table={name}", self._left(name, t, every)) for name, t in self.tables.items()}
+        """Every table without what goes and with its cleared columns, as written to the folder.
 
-    def _left(self, name: str, t: Table, every: DataFrame) -> DataFrame:
+        Only of tables that others refer to is it listed what goes; rows of the others go with what they refer to, without a name.
+        """
+        listed = {root, *(r.parent for r in self.graph)}
+        every = reduce(lambda a, b: a.unionByName(b), self._walk(root, gone, [r for r in self.graph if r.child in listed], "gone"))
+        return {name: self._once(f"table={name}", self._left(name, t, every, name in listed)) for name, t in self.tables.items()}
+
+    def _left(self, name: str, t: Table, every: DataFrame, listed: bool) -> DataFrame:
         of = lambda n: every.where(F.col("table") == n).select(F.col("name").alias("_gone"))
-        rows = t.rows.withColumn("_name", t.name()).join(of(name), F.col("_name") == F.col("_gone"), "left_anti").drop("_name")
+        rows = t.rows
+        if listed:
+            rows = rows.join(of(name), t.name() == F.col("_gone"), "left_anti")
+        else:
+            for r in self.graph:
+                if r.child == name and not r.clears:
+                    rows = rows.join(of(r.parent), F.col(r.column).cast("string") == F.col("_gone"), "left_anti")
         for r in self.graph:
             if r.clears and r.child == name:
                 rows = rows.join(of(r.parent), F.col(r.column).cast("string") == F.col("_gone"), "left").withColumn(r.column, F.when(F.col("_gone").isNull(), F.col(r.column))).drop("_gone")

@@ -77,3 +77,12 @@ def test_nothing_gone_and_empty_tables(spark, tmp_path):
     assert content(c.run("users", gone(spark))) == {n: sorted(r, key=repr) for n, (_, r) in ROWS.items()}
     empty = {n: (s, []) for n, (s, _) in ROWS.items()}
     assert set(map(len, content(C.Cascade(made(spark, empty), GRAPH, str(tmp_path / "b")).run("users", gone(spark, 1))).values())) == {0}
+
+
+def test_rows_that_nothing_refers_to_are_not_listed(spark, tmp_path):
+    """Lines are most of the rows; they go with what they refer to, and no list of their names is written on the way."""
+    c = C.Cascade(made(spark), GRAPH, str(tmp_path / "run"))
+    after = c.run("users", gone(spark, 1))
+    assert content(after)["lines"] == sorted(LEFT["lines"], key=repr)
+    listed = {r.table for d in os.listdir(tmp_path / "run") if not d.startswith("table=") for r in spark.read.parquet(f"{tmp_path}/run/{d}").select("table").distinct().collect()}
+    assert listed == {"users", "lists", "parts", "posts"}
