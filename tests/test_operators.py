@@ -320,3 +320,8 @@ def test_tasks_of_the_history_follow_its_rows(spark, monkeypatch):
     assert c.tasks("lineitem") is None
     monkeypatch.setattr(tables, "DEALT", 500)
     assert c.tasks("lineitem") == c.history.rdd.getNumPartitions() == c.listings.rdd.getNumPartitions() == -(-c.raw("lineitem").count() // 500)
+
+
+def test_references_without_a_semicolon_are_read():
+    """As in HTML, and as the reference's html.unescape reads them; SQL of f20_parsed_page leaves them as text."""
+    assert H.read_page("<title>the&amp;&amp;&amp</title>", None)[0] == "the&&&"
