@@ -5,8 +5,9 @@ a few bits, so each fingerprint looks up small Hamming balls about its segments
 complete distance of every match is verified inside the join. Links become groups by distributed connected components.
 Equal fingerprints are one row throughout, so that a hot group of exact copies costs no more than one document.
 
-The pipeline's near-duplicates are pairs by the Jaccard similarity itself, for which no fingerprint is wide enough: candidates
-share one of their rarest shingles, which two similar sets can't avoid, and each is verified by its texts.
+The pipeline's near-duplicates are found by the same fingerprints, of five-word shingles, and each pair is verified by the Jaccard
+similarity of its texts. As no fingerprint is wide enough for all pairs of that similarity, an exact completion follows: what the
+fingerprints left apart is compared where it shares one of its rarest shingles, which two similar sets can't avoid.
 """
 
 from __future__ import annotations
@@ -242,8 +243,16 @@ def set_hash(h: np.ndarray) -> int:
     return int(mixed(h + np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64).astype(np.int64))
 
 
+def set_print(h: np.ndarray) -> int:
+    """The SimHash fingerprint of a set of shingles, signed: a bit is set if it is in over half of their hashes."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(h), SLICE >> 6):
+        ones += np.unpackbits(h[at : at + (SLICE >> 6)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.int64)[0])
+
+
 def set_hashes(docs: DataFrame, size: int) -> DataFrame:
-    """docs (with a text) with ``s``, the hash of the text's set of shingles, and its parities m0, ..., in place of the text.
+    """docs (with a text) with ``s``, the hash of the text's set of shingles, its fingerprint f0 and its parities m0, ..., in place of the text.
 
     A parity bit is set if an odd number of the set's shingles fall on it; two sets differ in as many shingles at least as
     their parities in bits.
@@ -252,16 +261,24 @@ def set_hashes(docs: DataFrame, size: int) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            s, m = [], []
+            s, f, m = [], [], []
             for h in shingle_sets(as_bytes(batch.column("text")), size):
                 odd = np.bincount((h % np.uint64(64 * PARITIES)).astype(np.int64), minlength=64 * PARITIES) & 1
                 s.append(set_hash(h))
+                f.append(set_print(h))
                 m.append(np.packbits(odd.astype(bool), bitorder="little").view(np.int64))
             m = np.array(m, np.int64).reshape(-1, PARITIES)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(s, pa.int64()), *[pa.array(m[:, k]) for k in range(PARITIES)]], names=[*batch.schema.names[:-1], "s", *names])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(s, pa.int64()), pa.array(f, pa.int64()), *[pa.array(m[:, k]) for k in range(PARITIES)]], names=[*batch.schema.names[:-1], "s", "f0", *names])
 
     rest = [f for f in docs.schema if f.name != "text"]
-    return docs.select(*[f.name for f in rest], "text").mapInArrow(work, ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in rest], "s long", *[f"{x} long" for x in names]]))
+    return docs.select(*[f.name for f in rest], "text").mapInArrow(work, ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in rest], "s long", "f0 long", *[f"{x} long" for x in names]]))
+
+
+def print_links(sets: DataFrame, radius: int) -> DataFrame:
+    """(a, b): links of sets (s, f0) of at most ``radius`` differing bits, which join all that such links join."""
+    once = written(sets.select(F.col("s").alias("d"), "f0"))
+    star = written(stars(once, F.bit_count(F.col("t.f0").bitwiseXOR(F.col("q.f0"))) <= radius))
+    return star.unionByName(links(labelled(once, components(star)), once.count(), radius))
 
 
 def posts(texts: DataFrame, size: int, similarity: float) -> DataFrame:
@@ -367,10 +384,11 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) -
     return full.select("a", "b", "x", "y").mapInArrow(work, "a long, b long")
 
 
-def similar(texts: DataFrame, sets: DataFrame, size: int, similarity: float) -> DataFrame:
+def similar(texts: DataFrame, sets: DataFrame, size: int, similarity: float, radius: int = 4) -> DataFrame:
     """(node, component) of sets of shingles over all pairs of at least the Jaccard similarity; those without a pair aren't returned.
 
-    sets (s, m0, ...) has the parities of each. Pairs are found under the first leading shingle that they have in common: what
+    sets (s, f0, m0, ...) has the fingerprint and the parities of each. Links of fingerprints within the radius come first, verified by
+    their texts. What they leave apart is completed: pairs are found under the first leading shingle that they have in common: what
     leads one of them before it is not in the other. Of the sets of a key the head is the one that it leads first, as the text
     is from which others were made. Each set is first held against the head with which it shares most keys, so that a dense
     group is joined by a number of pairs that grows with its size; then all pairs of different components whose places and
@@ -381,7 +399,9 @@ def similar(texts: DataFrame, sets: DataFrame, size: int, similarity: float) ->
     heads = shared.groupBy("key").agg(F.min(F.struct("pos", "s", "n")).alias("h"))
     tried = shared.join(heads, "key").where((F.col("s") != F.col("h.s")) & ~differ(F.col("pos") + F.col("h.pos"), F.col("n") + F.col("h.n"), similarity))
     best = tried.groupBy("s", F.col("h.s").alias("head")).count().groupBy("s").agg(F.max_by("head", F.struct("count", "head")).alias("b"))
-    group = components(verified(written(best.select(F.col("s").alias("a"), "b")), texts, size, similarity))
+    first = print_links(sets, radius).unionByName(best.select(F.col("s").alias("a"), "b"))
+    first = written(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    group = components(verified(first, texts, size, similarity))
     own = shared.join(group, F.col("s") == F.col("node"), "left").select(*shared.columns, F.coalesce("component", "s").alias("c"))
     # keys whose sets are all of one component are done; so is a set under a key where none is near enough to it
     room = F.col("pos") * (1 + similarity) - F.col("n") * (1 - similarity)
@@ -409,7 +429,7 @@ def representatives(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
     # documents with the same set of shingles share s
     prints = written(set_hashes(texts.select(F.struct("doc_id", F.xxhash64("text").alias("t")).alias("doc"), "text"), shingle))
-    sets = prints.groupBy("s").agg(*[F.first(f"m{k}").alias(f"m{k}") for k in range(PARITIES)])
+    sets = prints.groupBy("s").agg(F.first("f0").alias("f0"), *[F.first(f"m{k}").alias(f"m{k}") for k in range(PARITIES)])
     group = similar(texts, sets, shingle, similarity)
     own = prints.join(group, F.col("s") == F.col("node"), "left").select("doc", F.coalesce("component", "s").alias("c"))
     first = own.groupBy("c").agg(F.min("doc").alias("first"))

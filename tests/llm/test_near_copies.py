@@ -73,3 +73,20 @@ def test_rows_that_repeat_an_id_are_judged_by_their_texts(spark):
     docs = [(1, words("a", 90)), (2, words("a", 90) + " end"), (2, words("b", 90)), (3, words("c", 90)), (3, words("d", 90)), (3, words("d", 90)), (3, words("d", 90).upper())]
     got = simhash.representatives(spark.createDataFrame(docs, SCHEMA).repartition(2)).collect()
     assert sorted((r.doc_id, r.text[0].lower()) for r in got) == [(1, "a"), (2, "b"), (3, "c"), (3, "d")]
+
+
+def test_fingerprints_find_pairs_and_the_completion_the_rest(spark, monkeypatch):
+    """SimHash finds near copies by itself: links of fingerprints join texts that differ little; what they miss is completed."""
+    r = random.Random(3)
+    base = [f"w{r.randrange(10**6)}" for _ in range(600)]
+    docs = [(0, " ".join(base)), (1, " ".join([*base[:599], "x"])), (2, " ".join(f"v{r.randrange(10**6)}" for _ in range(600)))]
+    prints = simhash.set_hashes(spark.createDataFrame(docs, SCHEMA), 5)
+    of = {x.doc_id: (x.s, x.f0) for x in prints.collect()}
+    hashes = {i: next(simhash.shingle_sets([t.encode()], 5)) for i, t in docs}
+    for i, h in hashes.items():
+        assert of[i][1] & (2**64 - 1) == sum(1 << b for b in range(64) if 2 * sum(int(x) >> b & 1 for x in h) > len(h))
+    links = {frozenset(x) for x in simhash.print_links(prints, 4).collect()}
+    assert links == {frozenset({of[0][0], of[1][0]})}
+    real, seen = simhash.print_links, []
+    monkeypatch.setattr(simhash, "print_links", lambda *a: seen.append(a) or real(*a))
+    assert sorted(x.doc_id for x in simhash.representatives(spark.createDataFrame(docs, SCHEMA)).collect()) == [0, 2] and len(seen) == 1
