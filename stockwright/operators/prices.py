@@ -14,6 +14,8 @@ from stockwright.operators.ordered import as_of
 
 #: Neighbouring ids that one range of a group's history holds at most.
 BLOCK = 1 << 16
+#: Rows of a group up to which one task orders them as a whole.
+WHOLE = 1 << 18
 DAYS = {"7d": 7, "30d": 30, "90d": 90, "180d": 180, "1y": 365, "all": None}
 
 
@@ -77,20 +79,34 @@ def summary(history: DataFrame, keys: Sequence[str], ties: Sequence[str] = ("ret
     return sums.select(*keys, *facts)
 
 
-def placed(history: DataFrame, keys: Sequence[str], ties: Sequence[str]) -> DataFrame:
+def _met(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", small: bool = False) -> DataFrame:
+    """left joined with right by keys, of which null ones meet too."""
+    own = right.withColumnsRenamed({k: f"{k}_key" for k in keys})
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"{k}_key")) for k in keys])
+    return left.join(F.broadcast(own) if small else own, same, how).drop(*[f"{k}_key" for k in keys])
+
+
+def placed(history: DataFrame, keys: Sequence[str], ties: Sequence[str], whole: int = WHOLE) -> DataFrame:
     """history with ``place``, each row's number from 0 in its group by time and ids, and the group's least and greatest price, ``low`` and ``high``.
 
-    What comes before a range in its day, and before a day in its group, is summed up from counts; rows only meet those of their range.
+    Groups of up to ``whole`` rows are ordered where they are dealt, without another shuffle. Of greater ones rows only meet those of their
+    range: what comes before a range in its day, and before a day in its group, is summed up from counts.
     """
-    rows, day, within = _in_ranges(history, keys, ties)
+    sizes = history.groupBy(*keys).agg(F.count("*").alias("_n"), F.min("price_cents").alias("_low"), F.max("price_cents").alias("_high"))
+    marked = _met(history, sizes.where(F.col("_n") > whole), keys, "left", small=True)  # great groups are few: one of ``whole`` rows at most
+    group = Window.partitionBy(*keys)
+    # bounds of great groups, null here, are named so that both sides read the same columns of one shuffle
+    low, high = F.coalesce("_low", F.min("price_cents").over(group)), F.coalesce("_high", F.max("price_cents").over(group))
+    place = F.row_number().over(group.orderBy("observed_at", *ties)).cast("long") - 1
+    small = marked.where("_n is null").select(*history.columns, place.alias("place"), low.alias("low"), high.alias("high"))
+
+    rows, day, within = _in_ranges(marked.where("_n is not null").select(*history.columns, F.col("_low").alias("low"), F.col("_high").alias("high")), keys, ties)
     before = lambda outer, order: F.coalesce(F.sum("n").over(Window.partitionBy(*outer).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    counts = rows.groupBy(*day, *within).agg(F.count("*").alias("n"), F.min("price_cents").alias("low"), F.max("price_cents").alias("high"))
-    days = counts.groupBy(*day).agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
-    whole = Window.partitionBy(*keys)
-    days = days.select(*day, before(keys, ["_day"]).alias("_earlier"), F.min("low").over(whole).alias("low"), F.max("high").over(whole).alias("high"))
-    ranges = counts.select(*day, *within, before(day, within).alias("_before")).join(days, day)
-    out = rows.join(ranges, [*day, *within]).withColumn("place", F.col("_place") + F.col("_before") + F.col("_earlier"))
-    return out.select(*history.columns, "place", "low", "high")
+    counts = rows.groupBy(*day, *within).agg(F.count("*").alias("n"))
+    days = counts.groupBy(*day).agg(F.sum("n").alias("n")).select(*day, before(keys, ["_day"]).alias("_earlier"))
+    ranges = counts.select(*day, *within, before(day, within).alias("_before"))
+    out = _met(_met(rows, ranges, [*day, *within]), days, day).withColumn("place", F.col("_place") + F.col("_before") + F.col("_earlier"))
+    return small.unionByName(out.select(*history.columns, "place", "low", "high"))
 
 
 def batch_summary(requested: DataFrame, parts: DataFrame, history: DataFrame) -> DataFrame:

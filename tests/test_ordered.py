@@ -200,6 +200,31 @@ def test_places_and_trends_by_ranges(spark, keys, ties):
     assert P.summary(df.limit(0), keys, ties).collect() == [] == P.placed(df.limit(0), keys, ties).collect()
 
 
+@pytest.mark.parametrize("whole", (0, 3, 4, 10**6))
+def test_places_of_small_and_of_great_groups(spark, whole):
+    """Groups up to a size are ordered as a whole, others by ranges, with the same places; a null key is a group too."""
+    rows = [*history_rows(), (None, 1, AT(0), 5), (None, 2, AT(0), 9), (6, 1, None, 3), (6, 2, AT(1), 2), (6, None, AT(1), 8), (7, 1, AT(0), None)]
+    groups = defaultdict(list)
+    for x in sorted(rows, key=lambda x: (x[2] is not None, x[2] or AT(0), x[1] is not None, x[1] or 0)):
+        groups[x[0]].append(x)
+    ends = {k: [f((y[3] for y in g if y[3] is not None), default=None) for f in (min, max)] for k, g in groups.items()}
+    want = [(*x, i, *ends[k]) for k, g in groups.items() for i, x in enumerate(g)]
+    got = P.placed(spark.createDataFrame(rows, HISTORY), ["part_id"], ["retailer_id"], whole)
+    assert got.columns == ["part_id", "retailer_id", "observed_at", "price_cents", "place", "low", "high"]
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_places_of_small_groups_need_no_other_shuffle(spark):
+    """The memory of a task would follow the table where rows are dealt anew, into partitions that are merged to the number of cores."""
+    dealt = spark.createDataFrame(history_rows(), HISTORY).repartition(6, "part_id")
+    got = P.placed(dealt, ["part_id"], ["retailer_id"])
+    assert got.count() == dealt.count()
+    out = got.select("part_id", "place", "low", "high")
+    out.collect()
+    final = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert final.count("Exchange hashpartitioning") == 1 and "Join" not in final
+
+
 def test_anchors_of_each_row_and_carried_points(spark):
     rows = [(1, 1, AT(0), 10), (1, 1, AT(24), 20), (1, 1, AT(72), 20), (1, 2, AT(24), 5), (1, 2, AT(48), 5), (2, 1, AT(100), 9), (3, 1, AT(24), 8), (3, 1, AT(48), 7)]
     df = spark.createDataFrame(rows, HISTORY)
