@@ -23,6 +23,8 @@ from stockwright.llm.common import let_go, table
 SPACE = "▁"
 #: Code points of a text that are encoded in one go.
 SLICE = 1 << 20
+#: Entries of a young half of what a worker remembers where no other stages share it; REMEMBER drops parts that soon come again.
+PARTS = 2 * REMEMBER
 SCHEMA = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 _NORMAL, _USER, _BYTE = 1, 4, 6
 
@@ -206,13 +208,13 @@ _ARROW = {"long": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.i
 
 
 def _rows(texts: DataFrame, path: str, schema: str, row, forget: bool = False) -> DataFrame:  # noqa: ANN001
-    """texts with the columns of schema, made of each text by ``row``. forget: a task remembers half as much and leaves nothing
+    """texts with the columns of schema, made of each text by ``row``. forget: a task remembers a quarter as much and leaves nothing
     remembered in its worker, where other stages follow in the same workers.
     """
     names, kinds = zip(*[x.split() for x in schema.split(", ")], strict=True)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model(path, REMEMBER // 2 if forget else REMEMBER)
+        m = model(path, REMEMBER // 2 if forget else PARTS)
         for batch in batches:
             at = 0
             while at < batch.num_rows:  # few rows at a time, as ids take more room than text

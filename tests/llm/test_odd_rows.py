@@ -158,6 +158,17 @@ def test_pieces(docs, none):
     assert whole[1].ids == [] and whole[1].decoded == "" and whole[5].decoded == LONG
 
 
+def test_pieces_remembers_parts_that_come_again():
+    """A worker without other stages knows 200,000 parts when they come again."""
+    m = pieces.PieceModel(pieces.default_model(), pieces.PARTS)
+    asked = []
+    m.known.work = lambda part: asked.append(part) or ("1", 1, part)
+    for _ in range(2):
+        for k in range(200_000):
+            m.known[str(k)]
+    assert len(asked) == 200_000
+
+
 def test_tokens(docs, none):
     got = {(r.doc_id, r.n_bytes, r.n_tokens > 0, r.over_limit) for r in tokens.count_tokens(docs).collect()}
     n = len(LONG)
