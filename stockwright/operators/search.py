@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stockwright.functions.predicates import contains
+from stockwright.sources.tables import kept
 
 GRAM, BLOCK = 3, 1 << 16
 #: Places up to which a list is shorter than a bitmap.
@@ -48,9 +49,12 @@ def decoded(places: bytes) -> np.ndarray:
 def _groups(gram: np.ndarray, block: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
     order = np.lexsort((place, block, gram))
     gram, block, place = gram[order], block[order], place[order]
-    new = np.flatnonzero((gram[1:] != gram[:-1]) | (block[1:] != block[:-1])) + 1
-    starts = np.concatenate([[0], new]).astype(np.int64) if len(gram) else np.zeros(0, np.int64)
-    parts = [coded(np.unique(p)) for p in np.split(place, new)] if len(gram) else []
+    group = np.ones(len(gram), bool)
+    group[1:] = (gram[1:] != gram[:-1]) | (block[1:] != block[:-1])
+    once = group.copy()
+    once[1:] |= place[1:] != place[:-1]
+    gram, block, place, starts = gram[once], block[once], place[once], np.flatnonzero(group[once])
+    parts = [coded(p) for p in np.split(place, starts[1:])] if len(gram) else []
     return pa.RecordBatch.from_arrays([pa.array(gram[starts]), pa.array(block[starts]), pa.array(parts, pa.binary())], names=["gram", "block", "places"])
 
 
@@ -91,7 +95,7 @@ def build_index(rows: DataFrame, key: str, columns: Sequence[str], folder: str)
     spark = rows.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = rows.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), F.array(*[F.lower(F.col(c).cast("string")) for c in columns]).alias("texts"))
-    gathered = texts.mapInArrow(gather, _POSTINGS)
+    gathered = kept(texts.mapInArrow(gather, _POSTINGS))  # read twice: for the bounds of the ranges, too
     gathered.repartitionByRange(n, "gram", "block").sortWithinPartitions("gram", "block").mapInArrow(merge, _POSTINGS).write.mode("overwrite").parquet(folder)
     return read_index(spark, folder)
 

@@ -63,3 +63,18 @@ def test_empty_tables(spark, rows, tmp_path):
     none = rows.limit(0)
     index = G.build_index(none, "id", ["name"], str(tmp_path / "index"))
     assert G.search(none, index, "id", ["name"], ["common", "a"]).collect() == []
+
+
+def test_texts_are_read_once_for_an_index(spark, rows, tmp_path):
+    """Ranges need a look at the rows first, which shall not gather all grams twice."""
+    seen = tmp_path / "seen"
+    texts = rows.where("id is not null").select("id", "name")
+
+    def counted(batches):
+        for b in batches:
+            with seen.open("a") as f:
+                f.write(f"{b.num_rows}\n")
+            yield b
+
+    G.build_index(texts.mapInArrow(counted, texts.schema), "id", ["name"], str(tmp_path / "index"))
+    assert sum(map(int, seen.read_text().split())) == texts.count()
