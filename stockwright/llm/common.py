@@ -7,6 +7,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,8 @@ WS = " \t\n\x0b\x0c\r"
 WS_RUN = r"[\x20\x09-\x0D]+"
 #: Bytes of text that one vectorised step works on; a longer text is a step of its own.
 STEP_BYTES = 1 << 20
+#: Spark's setting that deletes what an action has shuffled when the action ends.
+SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,16 +38,33 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+@contextmanager
+def shuffles_go(spark: SparkSession) -> Iterator[None]:
+    """What the actions inside shuffle is deleted when they end, and not when the driver happens to collect its garbage."""
+    before = spark.conf.get(SHUFFLES_GO, None)
+    spark.conf.set(SHUFFLES_GO, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(SHUFFLES_GO)
+        else:
+            spark.conf.set(SHUFFLES_GO, before)
+
+
 def saved(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the shared checkpoint folder, so that a lost executor costs no recomputation."""
     shared_dir(df.sparkSession)
-    return df.checkpoint()
+    with shuffles_go(df.sparkSession):
+        # the setting holds for what is planned under it
+        return df.select("*").checkpoint()
 
 
 def written(df: DataFrame) -> DataFrame:
     """df, computed once and written to the shared folder as a table: smaller than a checkpoint, and read by column."""
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4()}"
-    df.write.parquet(path)
+    with shuffles_go(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

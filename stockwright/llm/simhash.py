@@ -34,7 +34,7 @@ SLICE = 1 << 20
 FREQUENT = 1 << 19
 #: Words of 64 parity bits that tell most dissimilar sets apart without their texts.
 PARITIES = 8
-#: Bits of the map that passes over texts of no pair before they are shuffled; where it fills up, all pass.
+#: Bits of the map that passes over texts that no pair names, and rows that nothing removes, before they are shuffled; where it fills up, all pass.
 MARKS = 1 << 25
 
 
@@ -251,27 +251,42 @@ def set_print(h: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.int64)[0])
 
 
+def parities(h: np.ndarray, bits: int) -> np.ndarray:
+    """Whether an odd number of the hashes fall on each of so many bits, as words of 64."""
+    odd = np.bincount((h % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view(np.uint64)
+
+
+def laid(wide: np.ndarray, words: int) -> np.ndarray:
+    """Parities of so many words from those of a multiple of them."""
+    return np.bitwise_xor.reduce(wide.reshape(-1, words), axis=0)
+
+
 def set_hashes(docs: DataFrame, size: int) -> DataFrame:
-    """docs (with a text) with ``s``, the hash of the text's set of shingles, its fingerprint f0 and its parities m0, ..., in place of the text.
+    """docs (with a text) with ``s``, the hash of the text's set of shingles, its fingerprint f0, its size n and its parities in place of the text.
 
     A parity bit is set if an odd number of the set's shingles fall on it; two sets differ in as many shingles at least as
-    their parities in bits.
+    their parities in bits. m0, ... are the same number of bits for all sets; w has a bit or two for each shingle, at least as
+    many as these. Halves of w laid on each other are the parities of half as many bits.
     """
     names = [f"m{k}" for k in range(PARITIES)]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            s, f, m = [], [], []
+            s, f, n, m, w = [], [], [], [], []
             for h in shingle_sets(as_bytes(batch.column("text")), size):
-                odd = np.bincount((h % np.uint64(64 * PARITIES)).astype(np.int64), minlength=64 * PARITIES) & 1
+                wide = parities(h, max(64 * PARITIES, 1 << (len(h) - 1).bit_length() if len(h) else 0))
                 s.append(set_hash(h))
                 f.append(set_print(h))
-                m.append(np.packbits(odd.astype(bool), bitorder="little").view(np.int64))
+                n.append(len(h))
+                m.append(laid(wide, PARITIES).view(np.int64))
+                w.append(wide.tobytes())
             m = np.array(m, np.int64).reshape(-1, PARITIES)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(s, pa.int64()), pa.array(f, pa.int64()), *[pa.array(m[:, k]) for k in range(PARITIES)]], names=[*batch.schema.names[:-1], "s", "f0", *names])
+            own = [pa.array(s, pa.int64()), pa.array(f, pa.int64()), pa.array(n, pa.int64()), *[pa.array(m[:, k]) for k in range(PARITIES)], pa.array(w, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *own], names=[*batch.schema.names[:-1], "s", "f0", "n", *names, "w"])
 
     rest = [f for f in docs.schema if f.name != "text"]
-    return docs.select(*[f.name for f in rest], "text").mapInArrow(work, ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in rest], "s long", "f0 long", *[f"{x} long" for x in names]]))
+    return docs.select(*[f.name for f in rest], "text").mapInArrow(work, ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in rest], "s long", "f0 long", "n long", *[f"{x} long" for x in names], "w binary"]))
 
 
 def print_links(sets: DataFrame, radius: int) -> DataFrame:
@@ -332,13 +347,35 @@ def differ(least: Column, sizes: Column, similarity: float) -> Column:
     return least * (1 + similarity) > sizes * (1 - similarity) + 1e-6
 
 
+def likely(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of sets (s, n, w) whose sizes and wide parities allow the Jaccard similarity: few others, without their texts."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for n, x, y in zip(*[batch.column(k).to_pylist() for k in (2, 3, 4)], strict=True):
+                x, y = sorted((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)), key=len)
+                least = int(np.bitwise_count(x ^ laid(y, len(x))).sum())
+                keep.append(least * (1 + similarity) <= n * (1 - similarity) + 1e-6)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    one = lambda c: sets.select(F.col("s").alias(c), F.col("n").alias(f"n_{c}"), F.col("w").alias(f"w_{c}"))
+    n = F.col("n_a") + F.col("n_b")
+    full = pairs.join(one("a"), "a").join(one("b"), "b").where(~differ(F.abs(F.col("n_a") - F.col("n_b")), n, similarity)).withColumn("n", n)
+    return full.select("a", "b", "n", "w_a", "w_b").mapInArrow(work, "a long, b long")
+
+
+def marks(ids: DataFrame) -> DataFrame:
+    """(word, v): a bitmap of at most MARKS bits with the low bits of all ids ``s``: what isn't marked isn't among them."""
+    word = F.shiftright(F.col("s").bitwiseAND(F.lit(MARKS - 1)), 6)
+    return ids.groupBy(word.alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("v"))
+
+
 def named(pairs: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size with the low bits of all ids that pairs (a, b) name: what isn't marked isn't among them."""
-    bit = F.explode(F.array("a", "b")).alias("s")
-    place = F.col("s").bitwiseAND(F.lit(MARKS - 1))
-    words = pairs.select(bit).groupBy(F.shiftright(place, 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("v")).toArrow()
+    """The marks of all ids that pairs (a, b) name."""
+    words = marks(pairs.select(F.explode(F.array("a", "b")).alias("s"))).toArrow()
     out = np.zeros(MARKS // 64, np.uint64)
-    out[words["w"].to_numpy()] = words["v"].to_numpy().view(np.uint64)
+    out[words["word"].to_numpy()] = words["v"].to_numpy().view(np.uint64)
     return out
 
 
@@ -387,36 +424,41 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) -
 def similar(texts: DataFrame, sets: DataFrame, size: int, similarity: float, radius: int = 4) -> DataFrame:
     """(node, component) of sets of shingles over all pairs of at least the Jaccard similarity; those without a pair aren't returned.
 
-    sets (s, f0, m0, ...) has the fingerprint and the parities of each. Links of fingerprints within the radius come first, verified by
-    their texts. What they leave apart is completed: pairs are found under the first leading shingle that they have in common: what
+    sets (s, f0, n, m0, ..., w) has the fingerprint, the size and the parities of each. Links of fingerprints within the radius come first,
+    verified by their texts. What they leave apart is completed: pairs are found under the first leading shingle that they have in common: what
     leads one of them before it is not in the other. Of the sets of a key the head is the one that it leads first, as the text
     is from which others were made. Each set is first held against the head with which it shares most keys, so that a dense
-    group is joined by a number of pairs that grows with its size; then all pairs of different components whose places and
-    parities allow it, and all that remain are verified by their texts.
+    group is joined by a number of pairs that grows with its size; then all pairs of different components whose places, sizes and
+    parities allow it, and all that remain are verified by their texts. Texts move only for pairs that wide parities don't exclude.
     """
     shared = posts(texts, size, similarity).distinct()
     shared = written(shared.select("key", "s", F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).alias("pos"), F.shiftright("at", 32).alias("n")))
     heads = shared.groupBy("key").agg(F.min(F.struct("pos", "s", "n")).alias("h"))
-    tried = shared.join(heads, "key").where((F.col("s") != F.col("h.s")) & ~differ(F.col("pos") + F.col("h.pos"), F.col("n") + F.col("h.n"), similarity))
+    least = F.greatest(F.col("pos") + F.col("h.pos"), F.abs(F.col("n") - F.col("h.n")))
+    tried = shared.join(heads, "key").where((F.col("s") != F.col("h.s")) & ~differ(least, F.col("n") + F.col("h.n"), similarity))
     best = tried.groupBy("s", F.col("h.s").alias("head")).count().groupBy("s").agg(F.max_by("head", F.struct("count", "head")).alias("b"))
-    first = print_links(sets, radius).unionByName(best.select(F.col("s").alias("a"), "b"))
-    first = written(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    # each a job of its own: what one shuffles is gone before the next begins
+    best = written(best.select(F.col("s").alias("a"), "b"))
+    first = written(print_links(sets, radius)).unionByName(best)
+    first = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    first = written(likely(first, sets, similarity))
     group = components(verified(first, texts, size, similarity))
     own = shared.join(group, F.col("s") == F.col("node"), "left").select(*shared.columns, F.coalesce("component", "s").alias("c"))
     # keys whose sets are all of one component are done; so is a set under a key where none is near enough to it
     room = F.col("pos") * (1 + similarity) - F.col("n") * (1 - similarity)
     open_keys = own.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min(room).alias("room")).where("lo < hi").select("key", "room")
     open_ = own.join(open_keys, "key").where(room + F.col("room") <= 1e-6).drop("room")
-    open_ = written(open_.join(sets, "s"))
+    open_ = written(open_.join(sets.select("s", *[f"m{k}" for k in range(PARITIES)]), "s"))
     # of a pair of two components one side at least isn't in the key's largest
     largest = open_.groupBy("key", "c").count().groupBy("key").agg(F.max_by("c", F.struct("count", "c")).alias("most"))
     t, q = open_.join(largest, "key").where("c <> most").alias("t"), open_.alias("q")
     sizes = F.col("t.n") + F.col("q.n")
     parity = sum([F.bit_count(F.col(f"t.m{k}").bitwiseXOR(F.col(f"q.m{k}"))) for k in range(1, PARITIES)], F.bit_count(F.col("t.m0").bitwiseXOR(F.col("q.m0"))))
-    may = ~differ(F.col("t.pos") + F.col("q.pos"), sizes, similarity) & ~differ(parity, sizes, similarity)
+    least = F.greatest(F.col("t.pos") + F.col("q.pos"), F.abs(F.col("t.n") - F.col("q.n")))
+    may = ~differ(least, sizes, similarity) & ~differ(parity, sizes, similarity)
     pairs = t.join(q, (F.col("t.key") == F.col("q.key")) & (F.col("t.c") != F.col("q.c")) & may)
     pairs = written(pairs.select(F.least("t.s", "q.s").alias("a"), F.greatest("t.s", "q.s").alias("b")).distinct())
-    return also(group, verified(pairs, texts, size, similarity))
+    return also(group, verified(written(likely(pairs, sets, similarity)), texts, size, similarity))
 
 
 def representatives(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -429,17 +471,22 @@ def representatives(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
     # documents with the same set of shingles share s
     prints = written(set_hashes(texts.select(F.struct("doc_id", F.xxhash64("text").alias("t")).alias("doc"), "text"), shingle))
-    sets = prints.groupBy("s").agg(F.first("f0").alias("f0"), *[F.first(f"m{k}").alias(f"m{k}") for k in range(PARITIES)])
+    sets = prints.groupBy("s").agg(*[F.first(c).alias(c) for c in prints.columns if c not in ("doc", "s")])
     group = similar(texts, sets, shingle, similarity)
     own = prints.join(group, F.col("s") == F.col("node"), "left").select("doc", F.coalesce("component", "s").alias("c"))
     first = own.groupBy("c").agg(F.min("doc").alias("first"))
-    gone = own.join(first, "c").where("doc <> first").select(F.col("doc.doc_id").alias("id"), F.col("doc.t").alias("t"), F.lit(0).cast("long").alias("salt")).distinct()
-    # of rows that repeat an id and its text one stays; rows without id are told apart by the salt
-    row = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t"))
-    row = row.withColumn("salt", F.when(F.col("id").isNull(), F.xxhash64("row")).otherwise(F.lit(0).cast("long")))
-    kept = row.join(gone, ["id", "t", "salt"], "left_anti")
-    kept = kept.withColumn("pick", F.row_number().over(Window.partitionBy("id", "t", "salt").orderBy(F.xxhash64("row"))))
-    return kept.where("id is null or pick = 1").select(*[F.col("row")[c].alias(c) for c in docs.columns])
+    gone = written(own.join(first, "c").where("doc <> first").select(F.col("doc.doc_id").alias("id"), F.col("doc.t").alias("t")).distinct())
+    # rows that nothing marks, and those without an id, stay where they are; only the others are shuffled
+    many = prints.groupBy(F.col("doc.doc_id").alias("id"), F.col("doc.t").alias("t")).count().where("count > 1").select("id", "t")
+    place = F.xxhash64("id", "t")
+    marked = written(marks(gone.unionByName(many).select(place.alias("s"))))
+    row = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t")).withColumn("place", place.bitwiseAND(F.lit(MARKS - 1)))
+    row = row.join(F.broadcast(marked), F.shiftright("place", 6) == F.col("word"), "left")
+    seen = F.expr("id is not null and coalesce(shiftrightunsigned(v, cast(place & 63 as int)) & 1, 0) = 1")
+    # of rows that repeat an id and its text one stays
+    kept = row.where(seen).join(gone, ["id", "t"], "left_anti")
+    kept = kept.withColumn("pick", F.row_number().over(Window.partitionBy("id", "t").orderBy(F.xxhash64("row")))).where("pick = 1")
+    return row.where(~seen).select("row").unionByName(kept.select("row")).select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

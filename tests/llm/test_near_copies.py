@@ -1,8 +1,12 @@
 """Near copies about the similarity of the pipeline, against brute force over all pairs."""
 
 import random
+import time
 
-from stockwright.llm import simhash
+import numpy as np
+import pytest
+
+from stockwright.llm import common, simhash
 
 SCHEMA = "doc_id long, text string"
 
@@ -90,3 +94,52 @@ def test_fingerprints_find_pairs_and_the_completion_the_rest(spark, monkeypatch)
     real, seen = simhash.print_links, []
     monkeypatch.setattr(simhash, "print_links", lambda *a: seen.append(a) or real(*a))
     assert sorted(x.doc_id for x in simhash.representatives(spark.createDataFrame(docs, SCHEMA)).collect()) == [0, 2] and len(seen) == 1
+
+
+def test_texts_move_only_for_pairs_that_sizes_and_parities_allow(spark, monkeypatch):
+    """Long texts that share a passage are no near copies: that is told without their texts."""
+    r = random.Random(5)
+    words = lambda n: [f"w{r.randrange(10**7)}" for _ in range(n)]
+    passage, base = words(300), words(3000)
+    docs = [passage + words(3000) for _ in range(4)] + [base[:400] + passage, base, [*base[:2990], "x"]]
+    docs = [(i, " ".join(d)) for i, d in enumerate(docs)]
+    s = {simhash.set_hash(h): i for i, h in enumerate(simhash.shingle_sets([t.encode() for _, t in docs], 5))}
+    real, seen = simhash.verified, []
+    monkeypatch.setattr(simhash, "verified", lambda pairs, *a: seen.extend({s[x.a], s[x.b]} for x in pairs.collect()) or real(pairs, *a))
+    got = simhash.representatives(spark.createDataFrame(docs, SCHEMA).repartition(3)).collect()
+    assert sorted(x.doc_id for x in got) == kept(docs) == [0, 1, 2, 3, 4, 5]
+    assert seen == [{5, 6}]
+
+
+def test_halves_of_wide_parities_make_narrow_ones():
+    h = np.unique(np.random.default_rng(1).integers(0, 2**63, 3000).astype(np.uint64))
+    wide = simhash.parities(h, 4096)
+    assert [simhash.laid(wide, n).tolist() for n in (8, 16, 64)] == [simhash.parities(h, 64 * n).tolist() for n in (8, 16, 64)]
+
+
+@pytest.mark.parametrize("keep", [common.written, common.saved])
+def test_what_a_job_has_shuffled_goes_when_it_ends(spark, keep):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        files = disk.getAllFiles()
+        return {x for x in (files.apply(k).getName() for k in range(files.size())) if x.startswith("shuffle_")}
+
+    before, setting = shuffled(), spark.conf.get(common.SHUFFLES_GO)
+    df = keep(spark.range(1000).selectExpr("id % 7 as k", "id").groupBy("k").max("id"))
+    until = time.time() + 10
+    while shuffled() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not shuffled() - before and df.count() == 7 and spark.conf.get(common.SHUFFLES_GO) == setting
+
+
+def test_rows_stay_the_same_where_the_map_of_gone_rows_fills_up(spark, monkeypatch):
+    words = lambda k, n: " ".join(f"{k}{i}" for i in range(n))
+    docs = [(1, words("a", 90)), (2, words("a", 90) + " end"), (3, words("b", 90)), (3, words("b", 90)), (None, words("a", 90)), (None, words("a", 90)), *[(i, words(f"x{i}y", 60)) for i in range(4, 90)]]
+    df = spark.createDataFrame(docs, SCHEMA).selectExpr("*", "doc_id as id", "1 as t", "2 as place", "3 as word", "4 as v", "5 as row")
+    want = sorted([1, 3, -1, -1, *range(4, 90)])
+    for bits in (1 << 25, 64):
+        monkeypatch.setattr(simhash, "MARKS", bits)
+        got = simhash.representatives(df)
+        rows = got.collect()
+        assert got.columns == df.columns and sorted(-1 if x.doc_id is None else x.doc_id for x in rows) == want and {(x.t, x.place, x.word, x.v, x.row) for x in rows} == {(1, 2, 3, 4, 5)}
